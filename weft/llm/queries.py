@@ -5,15 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import read, with_text
+from . import bpe, langid, licenses, toxicity
+from .common import held_out, read, with_text
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(with_text(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_text(read(spark, sf_dir, "documents"))
+    machine = toxicity.fit(docs, read(spark, sf_dir, "labels").filter(~held_out(4, 2)))
+    return toxicity.score(docs, machine).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(with_text(read(spark, sf_dir, "documents"))).drop("text", "spans")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out(4, 2)))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_licenses": op8_licenses,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, suffixes, toxicity
+from . import bpe, ctw, langid, licenses, suffixes, toxicity
 from .common import held_out, read, with_text
 
 
@@ -13,6 +14,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(with_text(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_text(read(spark, sf_dir, "documents"))
+    learned = docs.filter(F.coalesce(~held_out(5, 1), F.lit(True)))
+    return ctw.score(docs, ctw.fit(learned))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(with_text(read(spark, sf_dir, "documents")))
 
@@ -34,6 +41,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_tree": op1_context_tree,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,

@@ -1,8 +1,8 @@
 """License notices in texts: exact phrases, and fuzzy short notices.
 
-A notice may be met with a bounded number of edits. By the pigeonhole principle one of more words than edits is whole in any
-such match, so exact finds of the longest words are the seeds; around each seed the words are laid out with single spaces, and
-the regex library's bounded-error matching verifies the edits and gives the span.
+A notice may be met with a bounded number of edits. It is split into one piece more than that; by the pigeonhole principle a
+match has one of them whole, so exact finds of the pieces are the seeds, in the text with every run of other bytes than words'
+squeezed to one space. Around each seed the regex library's bounded-error matching verifies the edits and gives the span.
 
 Defined results: a null or empty text has no words, places or labels and score 0; repeated rows are scanned each for itself.
 """
@@ -37,64 +37,38 @@ IN, OUT = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]"
 
 class Notice:
     def __init__(self, text: str, label: str, edits: int):
-        words = text.encode().split()
-        if len(words) <= edits:
-            raise ValueError(f"a notice needs more words than edits: {text}")
         self.text, self.label, self.edits, self.size = text.encode(), label, edits, len(text)
-        at = [m.start() for m in re.finditer(rb"\S+", self.text)]
-        self.seeds = sorted(zip(words, at), key=lambda x: (-len(x[0]), x[1]))[: edits + 1]
+        cuts = [k * self.size // (edits + 1) for k in range(edits + 2)]
+        self.seeds = [(self.text[a:b], a) for a, b in zip(cuts, cuts[1:])]
         self.fuzzy = regex.compile(rb"(?b)(?:" + regex.escape(self.text) + rb"){e<=%d}" % edits)
 
     def find(self, text: bytes) -> list[tuple[int, int, int]]:
-        """Byte spans of matches in the lower-cased text, and their edits; one of each set of overlapping matches, the best."""
-        found = {}
+        """Spans of matches in a squeezed text, and their edits; one of each set of overlapping matches, the best."""
+        found: dict[tuple[int, int], int] = {}
+        at = text.find(self.text)
+        while at >= 0:  # whole notices need no verifying
+            found[at, at + self.size] = 0
+            at = text.find(self.text, at + 1)
+        exact = list(found)
         for seed, offset in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                for hit in self.verify(text, at, offset, len(seed)):
-                    found.setdefault(hit[:2], hit[2])
+                if not any(a <= at and at + len(seed) <= b for a, b in exact):
+                    low = max(0, at - offset - self.edits)
+                    m = self.fuzzy.search(text[low : at - offset + self.size + self.edits])
+                    if m:
+                        a, b = m.span()
+                        found.setdefault((low + a, low + b), sum(m.fuzzy_counts))
                 at = text.find(seed, at + 1)
         out: list[tuple[int, int, int]] = []
         for (a, b), e in sorted(found.items(), key=lambda x: (x[1], x[0])):
-            if all(b <= c or a >= d for c, d, _ in out):
-                out.append((a, b, e))
-        return sorted(out)
-
-    def verify(self, text: bytes, at: int, offset: int, seed: int):
-        """The best match around a seed, in a window that is widened until it holds enough words' bytes on either side."""
-        before, after = offset + self.edits, self.size - offset - seed + self.edits
-        low, high = at, at + seed
-        left: list[tuple[int, int]] = []
-        room = before
-        while room > 0 and low > 0:  # bytes to the left, a run of separators as one space
-            low -= 1
-            if WORD[text[low]]:
-                left.append((low, text[low]))
-            else:
-                while low > 0 and not WORD[text[low - 1]]:
-                    low -= 1
-                left.append((low, 32))
-            room -= 1
-        right: list[tuple[int, int]] = []
-        while after > 0 and high < len(text):
-            if WORD[text[high]]:
-                right.append((high, text[high]))
-                high += 1
-            else:
-                right.append((high, 32))
-                while high < len(text) and not WORD[text[high]]:
-                    high += 1
-            after -= 1
-        cells = left[::-1] + [(i, text[i]) for i in range(at, at + seed)] + right
-        m = self.fuzzy.search(bytes(c for _, c in cells))
-        if m:
-            a, b = m.span()
-            while a < b and cells[a][1] == 32:
+            while a < b and text[a] == 32:
                 a += 1
-            while b > a and cells[b - 1][1] == 32:
+            while b > a and text[b - 1] == 32:
                 b -= 1
-            if a < b:
-                yield cells[a][0], cells[b - 1][0] + 1, sum(m.fuzzy_counts)
+            if a < b and all(b <= c or a >= d for c, d, _ in out):
+                out.append((a, b, e))
+        return sorted(out)
 
 
 def word_pattern(phrase: str) -> re.Pattern:
@@ -135,6 +109,10 @@ def scan(docs: DataFrame, base: list = BASE, notices: list = NOTICES) -> DataFra
                 starts = np.flatnonzero(begins)
                 first = np.searchsorted(starts, own)
                 raw = low.tobytes()
+                keep = mask | np.concatenate([[True], mask[:-1]])
+                keep[inner] = True
+                squeezed = np.where(mask, low, 32)[keep].tobytes()
+                at = np.concatenate([[0], np.cumsum(keep)])[own].tolist()
                 for k in range(j - i):
                     text = raw[own[k] : own[k + 1]]
                     places, labels, all_labels, best = [], set(), set(), 0.0
@@ -145,12 +123,14 @@ def scan(docs: DataFrame, base: list = BASE, notices: list = NOTICES) -> DataFra
                                 places += hits
                                 labels.add(label)
                     spans = []
-                    present = {s for s in seeds if s in text}
+                    flat = squeezed[at[k] : at[k + 1]]
+                    present = {s for s in seeds if s in flat}
                     if present:
+                        back = np.flatnonzero(keep[own[k] : own[k + 1]])
                         for n in fuzzy:
                             if any(s in present for s, _ in n.seeds):
-                                for a, b, e in n.find(text):
-                                    spans.append({"start": a, "end": b, "label": n.label, "edits": e})
+                                for a, b, e in n.find(flat):
+                                    spans.append({"start": int(back[a]), "end": int(back[b - 1]) + 1, "label": n.label, "edits": e})
                                     all_labels.add(n.label)
                                     best = max(best, 1 - e / n.size)
                     index = np.searchsorted(starts, np.array(places, np.int64) + own[k]) - first[k]

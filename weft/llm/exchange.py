@@ -139,15 +139,15 @@ def meet(packs: DataFrame, answers: DataFrame, finish: Callable[[Pack, dict], pa
 
 def deal(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the hashes of each bucket; the bucket is the hash modulo their number."""
-    of = (hashes % np.uint64(buckets)).astype(np.int64)
+    of = (hashes % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # 16 bits are sorted by counting
     order = np.argsort(of, kind="stable")
-    at = np.searchsorted(of[order], np.arange(buckets + 1))
+    at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=buckets))])
     for b in range(buckets):
         yield b, order[at[b] : at[b + 1]]
 
 
 def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts values, and where equal ones begin in it."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     s = values[order]
     return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])

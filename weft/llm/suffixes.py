@@ -28,7 +28,6 @@ LENGTH = 50
 TUPLE = LENGTH - PERIOD + 1
 NAMES, WHOLE = 0, 1
 FRAGMENT = 30
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def fixed_hash(w: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -60,9 +59,16 @@ class Work:
         self.w = words64(self.data)
         n, size = len(pack.data), np.diff(pack.offs)
         self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        rel = np.arange(n, dtype=np.int64) - pack.offs[self.doc]
-        self.left = size[self.doc] - rel
-        self.samples = np.flatnonzero(_IN_COVER[rel % PERIOD] & (self.left >= TUPLE))
+        samples = []
+        for c in COVER:  # places c, c + 21, ... of each text, as far as a tuple fits
+            many = np.maximum(0, (size - TUPLE - c) // PERIOD + 1)
+            first = np.cumsum(many) - many
+            samples.append(np.arange(many.sum()) * PERIOD + np.repeat(pack.offs[:-1] + c - first * PERIOD, many))
+        self.samples = np.concatenate(samples)
+        short = np.zeros(n + 1, np.int32)  # fewer than 50 bytes follow within the text
+        np.add.at(short, np.maximum(pack.offs[:-1], pack.offs[1:] - LENGTH + 1), 1)
+        np.subtract.at(short, pack.offs[1:], 1)
+        self.fits = np.cumsum(short[:-1]) == 0
         # blocks: cut at the starts of documents and where the next 8 bytes hash to a multiple of 32
         cut = ((self.w[:n] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(59)) == 0
         cut[pack.offs[:-1][size > 0]] = True
@@ -75,16 +81,16 @@ class Work:
 
     def names(self):
         h = fixed_hash(self.w, self.samples, TUPLE)
-        distinct, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        return distinct, inverse, count
+        order, first = ex.groups(h)
+        return h[order][first], order, np.diff(np.append(first, len(h)))
 
     def ask(self):
-        distinct, _, _ = self.names()
+        distinct = self.names()[0]
         for b, at in ex.deal(distinct, self.buckets):
             yield b, NAMES, ex.squeeze_sorted(fragment(distinct[at]))
         keys, low, _ = self.blocks()
         for b, at in ex.deal(keys, self.buckets):
-            yield b, WHOLE, ex.join_parts(ex.squeeze_sorted(keys[at]), ex.squeeze(low[at].view(np.uint64)))
+            yield b, WHOLE, ex.join_parts(ex.squeeze_sorted(keys[at] // np.uint64(self.buckets)), ex.squeeze(low[at].view(np.uint64)))
 
     def blocks(self):
         return smallest(slice_hash(self.data, self.start, self.reach), self.pack.ids[self.doc[self.start]])
@@ -99,14 +105,14 @@ class Work:
 
     def settle(self, got: dict) -> tuple[np.ndarray, np.ndarray]:
         """Places whose string an earlier document is known to have, and those still to be compared."""
-        distinct, inverse, count = self.names()
+        distinct, order, count = self.names()
         repeated = self.answered(NAMES, got, distinct) | (count > 1)
         n = len(self.pack.data)
         flags = np.zeros(n + PERIOD + 1, np.int32)
-        flags[self.samples[repeated[inverse]] + 1] = 1
-        flags = np.cumsum(flags)
-        near = (flags[PERIOD : n + PERIOD] - flags[:n]) > 0
-        near &= self.left >= LENGTH
+        flags[self.samples[order[np.repeat(repeated, count)]] + 1] = 1
+        flags = np.cumsum(flags, dtype=np.int32)
+        near = flags[PERIOD : n + PERIOD] > flags[:n]
+        near &= self.fits
         keys, low, inverse = self.blocks()
         gone = self.answered(WHOLE, got, keys)[inverse] | (low[inverse] < self.pack.ids[self.doc[self.start]])
         whole = np.zeros(n + 1, np.int32)
@@ -122,7 +128,7 @@ class Work:
         _, places = self.settle(got)
         keys, low, _ = self.suffixes(places)
         for b, at in ex.deal(keys, self.buckets):
-            yield b, WHOLE, ex.join_parts(ex.squeeze_sorted(keys[at]), ex.squeeze(low[at].view(np.uint64)))
+            yield b, WHOLE, ex.join_parts(ex.squeeze_sorted(keys[at] // np.uint64(self.buckets)), ex.squeeze(low[at].view(np.uint64)))
 
     def removed(self, first: dict, second: dict) -> np.ndarray:
         settled, places = self.settle(first)
@@ -131,8 +137,8 @@ class Work:
         n = len(self.pack.data)
         cover = np.zeros(n + LENGTH + 1, np.int32)
         starts = np.concatenate([np.flatnonzero(settled), places[gone]])
-        cover[: n + LENGTH + 1] += np.bincount(starts, minlength=n + LENGTH + 1).astype(np.int32)
-        cover -= np.bincount(starts + LENGTH, minlength=n + LENGTH + 1).astype(np.int32)
+        cover[starts] = 1
+        cover[LENGTH:] -= cover[: n + 1].copy()
         return np.cumsum(cover)[:n] > 0
 
 

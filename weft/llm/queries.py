@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, langid, licenses, suffixes, toxicity
+from . import bpe, ctw, jaccard, langid, licenses, suffixes, toxicity
 from .common import held_out, read, with_text
 
 
@@ -40,6 +40,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(with_text(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op4_suffix_dedup": op4_suffix_dedup,
@@ -47,5 +51,6 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, jaccard, langid, licenses, suffixes, toxicity
-from .common import held_out, read, with_text
+from . import bpe, ctw, jaccard, langid, licenses, suffixes, toxicity, wavelet
+from .common import held_out, read, shared_dir, with_text
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    wavelet.write(with_text(read(spark, sf_dir, "documents")), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return wavelet.read_back(spark, path)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(with_text(read(spark, sf_dir, "documents"))).drop("text", "spans")
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_wavelet": op7_wavelet,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, jaccard, langid, licenses, suffixes, toxicity, wavelet
+from . import bpe, ctw, decontaminate, jaccard, langid, licenses, suffixes, toxicity, wavelet
 from .common import held_out, read, shared_dir, with_text
 
 
@@ -20,6 +20,10 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, ctw.fit(learned))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(with_text(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(with_text(read(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_context_tree": op1_context_tree,
+    "op3_decontaminate": op3_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,

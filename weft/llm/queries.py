@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, jaccard, langid, licenses, suffixes, toxicity, wavelet
+from . import bpe, ctw, decontaminate, jaccard, langid, licenses, neighbors, suffixes, toxicity, wavelet
 from .common import held_out, read, shared_dir, with_text
 
 
@@ -20,6 +20,11 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, ctw.fit(learned))
 
 
+def op2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbors.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.passages(with_text(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_context_tree": op1_context_tree,
+    "op2_neighbors": op2_neighbors,
     "op3_decontaminate": op3_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,

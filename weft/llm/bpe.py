@@ -298,10 +298,12 @@ def token_offsets(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return ends - sizes[ids]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with token_ids and token_starts (byte offsets in the UTF-8 text), each an array of integers; columns of these names are replaced."""
+def encode(docs: DataFrame, path: str, text: str = "text", starts: bool = True) -> DataFrame:
+    """docs with token_ids and, if wanted, token_starts (byte offsets in the UTF-8 text), arrays of integers; columns of these names
+    are replaced."""
     docs = docs.drop("token_ids", "token_starts")
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("token_starts", T.ArrayType(T.IntegerType(), False))])
+    names = ["token_ids", "token_starts"][: 1 + starts]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names)])
 
     def run(batches):
         sizes = np.array([len(t) for t in merger(path).tokens], np.int64)
@@ -309,9 +311,9 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             for i, j, ids in encode_column(batch.column(text), path):
                 arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
                 at = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32))
-                flat = pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32))
-                starts = pa.array(np.concatenate([token_offsets(a, sizes) for a in arrays]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(at, starts)], names=[*batch.schema.names, "token_ids", "token_starts"])
+                made = [arrays, [token_offsets(a, sizes) for a in arrays]] if starts else [arrays]
+                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(m).astype(np.int32))) for m in made]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *lists], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

@@ -157,37 +157,67 @@ class Index:
         return best >> 24, np.maximum(0, first + (best & (one - 1))), np.minimum(first + end, np.diff(offs)[text])
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, segment: int = SEGMENT) -> DataFrame:
-    """doc_id, item_id, start, end (code points of the text that the matches of the item's segments span), segments, edits (of the best
-    one). docs: doc_id, text; benchmark: item_id, text."""
-    spark = docs.sparkSession
+    def matches(self, column):
+        """For ranges of rows of an Arrow text column: (row, item) to start, end, segments and fewest edits."""
+        data, offs = text_bytes(column)
+        for i, j in row_chunks(offs):
+            points, mine, place = folded(data[offs[i] : offs[j]].tobytes(), offs[i : j + 1] - offs[i])
+            text, seg, diagonal = self.candidates(points, mine)
+            edits, start, end = self.align(points, mine, text, seg, diagonal)
+            found: dict[tuple[int, int], list] = {}
+            for t, s, e, a, b in zip(text.tolist(), seg.tolist(), edits.tolist(), start.tolist(), end.tolist()):
+                if e <= self.edits[s] and a < b:
+                    a, b = int(place[mine[t] + a]), int(place[mine[t] + b - 1]) + 1
+                    one = found.setdefault((i + t, self.item[s]), [a, b, set(), e])
+                    one[0], one[1], one[3] = min(one[0], a), max(one[1], b), min(one[3], e)
+                    one[2].add(s)
+            yield found
+
+
+def indexes(benchmark: DataFrame, rate: float, segment: int):
+    """Broadcast indexes of slices of the benchmark, each of about SLICE characters at most."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // SLICE))
-    out = None
     for k in range(slices):
-        items = [(r.item_id, r.text) for r in benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).select("item_id", "text").orderBy("item_id", "text").collect()]  # at most about SLICE characters
-        held = spark.sparkContext.broadcast(Index(items, rate, segment))
+        rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], rate, segment))
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, item_id, start, end (code points of the text that the matches of the item's segments span), segments, edits (of the best
+    one). docs: doc_id, text; benchmark: item_id, text."""
 
-        def run(batches, held=held):
-            index = held.value
+    def finder(held):
+        def run(batches):
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                data, offs = text_bytes(batch.column("text"))
-                for i, j in row_chunks(offs):
-                    points, mine, place = folded(data[offs[i] : offs[j]].tobytes(), offs[i : j + 1] - offs[i])
-                    text, seg, diagonal = index.candidates(points, mine)
-                    edits, start, end = index.align(points, mine, text, seg, diagonal)
-                    found: dict[tuple[int, int], list] = {}
-                    for t, s, e, a, b in zip(text.tolist(), seg.tolist(), edits.tolist(), start.tolist(), end.tolist()):
-                        if e <= index.edits[s] and a < b:
-                            a, b = int(place[mine[t] + a]), int(place[mine[t] + b - 1]) + 1
-                            one = found.setdefault((t, index.item[s]), [a, b, set(), e])
-                            one[0], one[1], one[3] = min(one[0], a), max(one[1], b), min(one[3], e)
-                            one[2].add(s)
-                    rows = [(ids[i + t], item, a, b, len(s), e) for (t, item), (a, b, s, e) in sorted(found.items(), key=lambda x: x[0])]
+                for found in held.value.matches(batch.column("text")):
+                    rows = [(ids[t], item, a, b, len(s), e) for (t, item), (a, b, s, e) in sorted(found.items(), key=lambda x: x[0])]
                     columns = list(zip(*rows)) or [[]] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "segments", "edits"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, segments long, edits long")
-        out = part if out is None else out.union(part)
+        return run
+
+    parts = [docs.select("doc_id", "text").mapInArrow(finder(held), "doc_id long, item_id long, start long, end long, segments long, edits long") for held in indexes(benchmark, rate, segment)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     return out
+
+
+def without(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, segment: int = SEGMENT) -> DataFrame:
+    """The rows of docs that hold no passage of the benchmark; each slice of it is one more pass over what is left."""
+
+    def keeper(held):
+        def run(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for found in held.value.matches(batch.column("text")):
+                    keep[[t for t, _ in found]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for held in indexes(benchmark, rate, segment):
+        docs = docs.mapInArrow(keeper(held), docs.schema)
+    return docs

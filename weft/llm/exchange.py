@@ -57,31 +57,37 @@ def split_parts(raw: bytes) -> list[bytes]:
 
 
 class Pack:
-    """doc_ids, and the documents' bytes laid end to end."""
+    """doc_ids, the documents' bytes laid end to end, and the rows' other columns."""
 
     def __init__(self, body: bytes):
-        ids, offs, text = split_parts(body)
+        ids, offs, text, self._rest = split_parts(body)
         self.ids, self.offs = expand(ids).view(np.int64), np.cumsum(expand(offs)).astype(np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
 
+    def rest(self) -> pa.Table:
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
+
 
 def packed(docs: DataFrame) -> DataFrame:
-    """pack, body: docs (doc_id long, text) in packs, dealt out by pack. Every use of the result reuses one shuffle. docs must give
-    the same rows in the same order when a task runs again, as a table does."""
+    """pack, body: docs (doc_id, text, and any other columns) in packs, dealt out by pack. Every use of the result reuses one
+    shuffle. docs must give the same rows in the same order when a task runs again, as a table does."""
 
     def run(batches):
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data, offs = text_bytes(batch.column("text"))
-            rows = []
+            rest, rows = batch.select([c for c in batch.schema.names if c not in ("doc_id", "text")]), []
             for i, j in row_chunks(offs, PACK):
-                body = join_parts(squeeze(ids[i:j].view(np.uint64)), squeeze(np.diff(offs[i : j + 1], prepend=offs[i])), zstandard.ZstdCompressor(level=3).compress(data[offs[i] : offs[j]].tobytes()))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema) as stream:
+                    stream.write_batch(rest.slice(i, j - i))
+                body = join_parts(squeeze(ids[i:j].view(np.uint64)), squeeze(np.diff(offs[i : j + 1], prepend=offs[i])), zstandard.ZstdCompressor(level=3).compress(data[offs[i] : offs[j]].tobytes()), zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))
                 rows.append((task << 32 | n, body))
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["pack", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pack long, body binary").repartition(partitions(docs.sparkSession), "pack")
+    return docs.mapInArrow(run, "pack long, body binary").repartition(partitions(docs.sparkSession), "pack")
 
 
 def ask(packs: DataFrame, question: Callable[[Pack], Iterator[tuple[int, int, bytes]]]) -> DataFrame:

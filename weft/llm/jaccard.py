@@ -99,7 +99,7 @@ def parts_of(keys: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarr
 
 def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node, shingles, parts: node is a hash of the set; the last three are null where no other set has a part of it."""
-    packs, buckets = ex.packed(docs), partitions(docs.sparkSession)
+    packs, buckets = ex.packed(docs.select("doc_id", "text")), partitions(docs.sparkSession)
 
     def own(pack):
         keys, offs = shingles(pack.data, pack.offs, words)

@@ -167,7 +167,7 @@ def reply(kind: int, payloads: list[bytes]) -> list[bytes]:
 
 
 def removed_spans(docs: DataFrame, finish, schema: str) -> DataFrame:
-    """Of each pack: finish(pack, mask of removed bytes). docs: doc_id long, text."""
+    """Of each pack: finish(pack, mask of removed bytes). docs: doc_id long, text, and what else finish takes from pack.rest()."""
     packs = ex.packed(docs)
     buckets = partitions(docs.sparkSession)
     first = ex.answer(ex.ask(packs, lambda p: Work(p, buckets).ask()), reply)
@@ -196,7 +196,7 @@ def digests(docs: DataFrame) -> DataFrame:
         columns = list(zip(*rows)) or [[]] * 4
         return pa.table([ids_column(pack), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed_spans(docs, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(docs.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -212,14 +212,17 @@ def spans(docs: DataFrame) -> DataFrame:
         doc = np.concatenate([*doc, np.zeros(0, np.int64)])
         return pa.table([pa.array(doc, pa.int64(), mask=doc == ex.NO_ID), pa.array(np.concatenate([*start, np.zeros(0, np.int64)]), pa.int64()), pa.array(np.concatenate([*end, np.zeros(0, np.int64)]), pa.int64())], names=["doc_id", "start", "end"])
 
-    return removed_spans(docs, finish, "doc_id long, start long, end long")
+    return removed_spans(docs.select("doc_id", "text"), finish, "doc_id long, start long, end long")
 
 
 def kept_text(docs: DataFrame) -> DataFrame:
-    """doc_id, text without the removed bytes; what is left of a character that was cut is dropped too."""
+    """docs with each text without its removed bytes (a null text is empty); what is left of a character that was cut goes too."""
+    names = docs.columns
 
     def finish(pack, mask):
         texts = [pack.data[a:b][~mask[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(pack.offs[:-1].tolist(), pack.offs[1:].tolist())]
-        return pa.table([ids_column(pack), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        rest = pack.rest()
+        own = {"doc_id": ids_column(pack), "text": pa.array(texts, pa.string())}
+        return pa.table([own[c] if c in own else rest.column(c) for c in names], names=names)
 
-    return removed_spans(docs, finish, "doc_id long, text string")
+    return removed_spans(docs, finish, docs.schema)

@@ -28,7 +28,8 @@ def line_tokens(docs: DataFrame) -> DataFrame:
 
 def shingles(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, pos, gram of docs."""
-    return docs.select("doc_id", F.posexplode(tx.ngrams(tx.words(tx.body(F.col("text"))), n)).alias("pos", "gram"))
+    split = docs.select("doc_id", tx.words(tx.body(F.col("text"))).alias("t"))  # a step of its own: made once, not for each gram
+    return split.select("doc_id", F.posexplode(tx.ngrams(F.col("t"), n)).alias("pos", "gram"))
 
 
 def shingle_index(grams: DataFrame) -> DataFrame:

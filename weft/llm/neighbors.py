@@ -77,28 +77,58 @@ def matrix(column) -> np.ndarray:
     return np.stack(column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
-def scan(query_id: int, turned: np.ndarray, block: np.ndarray, ids: np.ndarray, exact: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k best of a slice of a list for one query: turned is the query rotated, block and exact are the slice's rotated and original vectors."""
-    d = block.shape[1]
-    best: list[tuple[int, float]] = []
-    limit = np.inf
-    for a in range(0, len(block), 256):
-        live = np.flatnonzero(ids[a : a + 256] != query_id) + a
-        far = np.zeros(len(live))
-        for c in range(0, d, BLOCK):
-            far += ((block[live, c : c + BLOCK] - turned[c : c + BLOCK]) ** 2).sum(axis=1)
-            seen = min(c + BLOCK, d)
-            if seen < d and np.isfinite(limit):
-                keep = far * (d / seen) <= limit * (1 + EPSILON / np.sqrt(seen)) ** 2
-                live, far = live[keep], far[keep]
-        if len(live):
-            dot = (exact[live] * query).sum(axis=1)
-            best += list(zip(ids[live].tolist(), dot.tolist(), far.tolist()))
-            best.sort(key=lambda x: (-x[1], x[0]))
-            best = best[:k]
-            if len(best) == k:
-                limit = max(x[2] for x in best) * (1 + 1e-9)
-    return [(i, s) for i, s, _ in best]
+def scan(query_ids: np.ndarray, turned: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, exact: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """query_id, vec_id and score of the k best of a slice of a list for each query; turned and block are rotated, queries and exact
+    are original vectors. ids are ascending."""
+    out = []
+    for a in range(0, len(query_ids), 256):
+        out += _scan(query_ids[a : a + 256], turned[a : a + 256], queries[a : a + 256], ids, block, exact, k)
+    return out
+
+
+def _scan(query_ids, turned, queries, ids, block, exact, k):
+    d, n = block.shape[1], len(block)
+    # distances to a few evenly spread vectors bound each query's k-th distance from above
+    some = np.unique(np.linspace(0, n - 1, min(n, 8 * k)).astype(np.int64)) if n else np.zeros(0, np.int64)
+    limit = np.full(len(query_ids), np.inf)
+    if len(some) > k:
+        limit = np.partition(squares(turned, block[some]), k, axis=1)[:, k] * (1 + 1e-9)  # k others, if one is the query itself
+    alive = ids[None, :] != query_ids[:, None]
+    far = np.zeros((len(query_ids), n))
+    row, col = None, None
+    for c in range(0, d, BLOCK):
+        part = slice(c, c + BLOCK)
+        seen = min(c + BLOCK, d)
+        bound = limit * ((1 + EPSILON / np.sqrt(seen)) ** 2 * seen / d if seen < d else 1)
+        if row is None:
+            far += squares(turned[:, part], block[:, part])
+            alive &= far <= bound[:, None]
+            if alive.mean() < 0.1:  # from here on pair by pair
+                row, col = np.nonzero(alive)
+                left = far[row, col]
+        else:
+            left = left + ((turned[row, part] - block[col, part]) ** 2).sum(axis=1)
+            keep = left <= bound[row]
+            row, col, left = row[keep], col[keep], left[keep]
+    if row is None:
+        row, col = np.nonzero(alive)
+        left = far[row, col]
+    # of what survives, all that are no farther than the k-th are scored
+    at = np.searchsorted(row, np.arange(len(query_ids) + 1))
+    out = []
+    for q, (a, b) in enumerate(zip(at, at[1:])):
+        mine = col[a:b]
+        if b - a > k:
+            mine = mine[left[a:b] <= np.partition(left[a:b], k - 1)[k - 1] * (1 + 1e-9) + 1e-12]
+        dot = (exact[mine] * queries[q]).sum(axis=1)
+        best = np.lexsort((ids[mine], -dot))[:k]
+        out += zip([int(query_ids[q])] * len(best), ids[mine[best]].tolist(), dot[best].tolist())
+    return out
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs."""
+    return np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PROBES) -> DataFrame:
@@ -136,10 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PR
         ids, x, side = ids[order], x[order], side[order]
         mine, ask = side == 0, side == 1
         block, turned = q.turn(x[mine]), q.turn(x[ask], True)
-        # nearest to the center first: the k-th distance falls early
-        near = np.argsort(((block - block.mean(axis=0)) ** 2).sum(axis=1), kind="stable") if mine.any() else []
-        block, own, exact = block[near], ids[mine][near], x[mine][near]
-        out = [(int(i), v, s) for i, t, o in zip(ids[ask], turned, x[ask]) for v, s in scan(i, t, block, own, exact, o, k)]
+        out = scan(ids[ask], turned, x[ask], ids[mine], block, x[mine], k)
         columns = list(zip(*out)) or [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 

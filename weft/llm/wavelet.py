@@ -12,6 +12,8 @@ doc_id comes first.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -26,7 +28,8 @@ from .common import partitions, row_chunks, text_bytes
 from .exchange import expand, join_parts, split_parts, squeeze
 
 SHARD = 1 << 21
-CACHE = 300_000
+#: words in each of two generations of the cache, and half as many as letters of words
+CACHE = 250_000
 STEP = 512
 
 
@@ -128,9 +131,17 @@ class WaveletMatrix:
         return WaveletMatrix(int.from_bytes(n, "little"), [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in planes])
 
 
+def byte_letters() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
-    """The tokenizers library behind a cache of words. A text is cut before each single space between other characters, where the
-    tokenizer's pattern always starts a token; a text with white space next to a space goes to the library as it is."""
+    """The tokenizers library behind caches. A text is cut before each single space between other characters, where the tokenizer's
+    pattern always starts a token; a text with white space next to a space goes to the library as it is. A word of Latin letters
+    with other marks after it is cut between the two, where the pattern ends a token too, and its letters go to the library's model."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,46 +149,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.words, self.old_words = {}, {}
+        self.stems, self.old_stems = {}, {}
+        self.marks: dict[str, bytes] = {"": b""}
+        letters, marks = "([A-Za-zÀ-ÖØ-öø-ÿ]+)", r"([!-&(-/:-@\[-`{-~]*)"
+        self.shape = re.compile(rf"{letters}{marks}(?:\n{letters}{marks})?").fullmatch
+        self.letters = byte_letters()
+        self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def learn(self, words: list[str]) -> dict[str, bytes | None]:
-        """Ids of each word with a space before it; None: the text must not be cut there."""
-        made: dict[str, bytes | None] = {w: None for w in words if not w or w[0].isspace() or w[-1].isspace()}
-        rest = [w for w in words if w not in made]
-        for k in range(0, len(rest), 50_000):
-            part = rest[k : k + 50_000]
-            got = self.tokenizer.encode([" " + w for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, self.type), np.array(got.word_ids, np.int64)
-            at = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
-            raw, size = ids.tobytes(), self.type().itemsize
-            made.update((w, raw[a * size : b * size]) for w, a, b in zip(part, at, at[1:]))
-        return made
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [s[0] for s in split]
-        words = set().union(*(s[1:] for s in split))
-        missing = words.difference(self.young)
-        if missing:
-            kept = {w: self.old[w] for w in missing if w in self.old}
-            kept.update(self.learn([w for w in missing if w not in kept]))
-            if len(self.young) + len(kept) > CACHE:
-                self.old, self.young = self.young, {}
-                kept.update((w, self.old[w]) for w in words if w in self.old)
-            self.young.update(kept)
-        get, out = self.young.__getitem__, []
-        for text, parts, head in zip(texts, split, heads):
-            got = list(map(get, parts[1:]))
-            if None in got or head[-1:].isspace() or (not head and len(parts) > 1):
-                out.append(self.whole(text))
-            else:
-                out.append((self.whole(head) if head else b"") + b"".join(got))
-        return out
+    def stem(self, s: str) -> bytes:
+        """Ids of letters, with or without a space before them."""
+        got = self.stems.get(s)
+        if got is None:
+            got = self.old_stems.get(s)
+            if got is None:
+                ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, s.encode())))]
+                got = struct.pack(f"<{len(ids)}{'H' if self.type is np.uint16 else 'I'}", *ids)
+            if len(self.stems) >= 2 * CACHE:
+                self.old_stems, self.stems = self.stems, {}
+            self.stems[s] = got
+        return got
+
+    def mark(self, s: str) -> bytes:
+        got = self.marks.get(s)
+        if got is None:
+            if len(self.marks) >= CACHE:
+                self.marks = {"": b""}
+            got = self.marks[s] = self.whole(s)
+        return got
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of each word with a space before it; False: the text must not be cut there."""
+        if len(self.words) + len(words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        for w in words:
+            got = self.old_words.get(w)
+            if got is None:
+                m = self.shape(w)
+                if m:
+                    stem, mark, second, end = m.groups()
+                    got = self.stem(" " + stem) + self.mark(mark)
+                    if second:
+                        got += self.line + self.stem(second) + self.mark(end)
+                else:
+                    got = False if not w or w[0].isspace() or w[-1].isspace() else self.whole(" " + w)
+            self.words[w] = got
+
+    def encode(self, text: str) -> bytes:
+        parts = text.split(" ")
+        head, parts[0] = parts[0], "."
+        if head[-1:].isspace() or (not head and len(parts) > 1):
+            return self.whole(text)
+        got = list(map(self.words.get, parts))
+        if None in got:
+            self.learn([w for w, g in zip(parts, got) if g is None])
+            known, older = self.words, self.old_words
+            got = [g if g is not None else known[w] if w in known else older[w] for w, g in zip(parts, got)]
+        if False in got:
+            return self.whole(text)
+        got[0] = self.whole(head) if head else b""
+        return b"".join(got)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -225,7 +261,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             _, offs = text_bytes(batch.column("text"))
             for i, j in row_chunks(offs):
                 texts = [t or "" for t in batch.column("text").slice(i, j - i).to_pylist()]
-                for key, ids in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), enc.encode(texts)):
+                for key, ids in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), map(enc.encode, texts)):
                     keys.append(key)
                     rows.append(ids + end)
                     held += len(rows[-1]) // len(end)

@@ -59,6 +59,7 @@ def test_against_all_pairs(spark, seed, words, percent):
 
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "SKETCHED", 5)
     rows = made(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r) for r in jaccard.linked_groups(df).collect()), key=str) == by_hand(rows, 3, 90)

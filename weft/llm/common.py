@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written  # noqa: F401  (for the operators)
+
 #: bytes of text that one numpy pass holds; bounds the memory of a Python worker whatever the batch or the text is
 CHUNK = 1 << 21
 
@@ -105,19 +106,6 @@ def segment_sum(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; one under /tmp where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a table in the shared folder, read again: the lineage ends here, and a lost executor costs nothing."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(modulus: int, remainder: int, key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % modulus == remainder
 

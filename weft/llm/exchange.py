@@ -68,24 +68,29 @@ class Pack:
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
 
 
+def numbered(batches):
+    """Pack number, batch, range of its rows, and their ids, bytes and offsets, of each pack of a task's batches."""
+    task, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        data, offs = text_bytes(batch.column("text"))
+        for i, j in row_chunks(offs, PACK):
+            yield task << 32 | n, batch, i, j, ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            n += 1
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """pack, body: docs (doc_id, text, and any other columns) in packs, dealt out by pack. Every use of the result reuses one
     shuffle. docs must give the same rows in the same order when a task runs again, as a table does."""
 
     def run(batches):
-        task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            data, offs = text_bytes(batch.column("text"))
-            rest, rows = batch.select([c for c in batch.schema.names if c not in ("doc_id", "text")]), []
-            for i, j in row_chunks(offs, PACK):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rest.schema) as stream:
-                    stream.write_batch(rest.slice(i, j - i))
-                body = join_parts(squeeze(ids[i:j].view(np.uint64)), squeeze(np.diff(offs[i : j + 1], prepend=offs[i])), zstandard.ZstdCompressor(level=3).compress(data[offs[i] : offs[j]].tobytes()), zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))
-                rows.append((task << 32 | n, body))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["pack", "body"])
+        for key, batch, i, j, ids, data, offs in numbered(batches):
+            rest = batch.select([c for c in batch.schema.names if c not in ("doc_id", "text")]).slice(i, j - i)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as stream:
+                stream.write_batch(rest)
+            body = join_parts(squeeze(ids.view(np.uint64)), squeeze(np.diff(offs, prepend=0)), zstandard.ZstdCompressor(level=3).compress(data.tobytes()), zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([body], pa.binary())], names=["pack", "body"])
 
     return docs.mapInArrow(run, "pack long, body binary").repartition(partitions(docs.sparkSession), "pack")
 

@@ -1,30 +1,5 @@
-"""Connected components of an edge table, by contraction."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of edges (a, b). Each round maps every node to the smallest of itself and
-    its neighbours and keeps the distinct edges between different images; nothing of it goes through the driver."""
-    left = edges.selectExpr("least(a, b) a", "greatest(a, b) b").filter("a < b").distinct()
-    steps = []
-    left = written(left, "edges")
-    while left.limit(1).count():
-        low = left.selectExpr("a node", "b other").union(left.selectExpr("b", "a")).groupBy("node").agg(F.min("other").alias("m")).selectExpr("node", "least(node, m) parent")
-        low = written(low, "parents")
-        steps.append(low)
-        moved = left.join(low.selectExpr("node a", "parent pa"), "a").join(low.selectExpr("node b", "parent pb"), "b")
-        left = written(moved.selectExpr("least(pa, pb) a", "greatest(pa, pb) b").filter("a < b").distinct(), "edges")
-    if not steps:
-        return left.selectExpr("a node", "b component")
-    out = steps[-1].selectExpr("node", "parent component")
-    for step in reversed(steps[:-1]):
-        # a parent without an entry of its own was no longer joined to anything
-        out = step.join(out.withColumnRenamed("node", "parent"), "parent", "left").selectExpr("node", "coalesce(component, parent) component")
-        out = written(out, "components")
-    return out
+__all__ = ["components"]

@@ -3,8 +3,8 @@
 Two sets that reach the threshold differ in few elements for their size. Sizes fall in bands such that a pair lies in one band
 or two adjacent ones; a tile is a band together with the one below. In a tile the range of the shingles' hashes is cut into more
 parts than a pair may differ in, so a pair has a part in common, whole; documents without a part that any other document has
-drop out by asking for the parts' hashes (weft.llm.exchange). What remains is grouped into families that parts connect, and each
-family's tiles compare hashed bitmaps first: the bits that one bitmap has and the other lacks bound the overlap from above. The
+drop out by asking for the parts' hashes (weft.llm.exchange). What remains is grouped into families that parts connect, and into
+smaller ones by sketches (how many shingles fall in each class of hashes). Each family's tiles compare hashed bitmaps first: the bits that one bitmap has and the other lacks bound the overlap from above. The
 sorted arrays are intersected where that bound still reaches the threshold. Pairs that are already linked through others are
 passed over, since only the groups are asked for; large tiles are dealt out as pairs of blocks.
 
@@ -26,6 +26,12 @@ from .graph import components
 
 #: documents of a block of a tile
 BLOCK = 1024
+#: the same while only sketches are compared
+SKETCHED = 4096
+#: bytes of text for each bucket that connects rows by their common parts
+CONNECTED = 1 << 28
+#: bits of a part's hash that are sent to find out whether any other set has it
+FRAGMENT = 36
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -97,29 +103,53 @@ def parts_of(keys: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(out), np.concatenate(owner)
 
 
-def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, shingles, parts: node is a hash of the set; the last three are null where no other set has a part of it."""
-    packs, buckets = ex.packed(docs.select("doc_id", "text")), partitions(docs.sparkSession)
+def row_key(pack: int, place: np.ndarray) -> np.ndarray:
+    """One number for a row of a pack; a batch, and so a pack, has fewer than 2**20 rows."""
+    return (np.int64(pack >> 32) << np.int64(44)) | (np.int64(pack & 0xFFFFFFFF) << np.int64(20)) | place.astype(np.int64)
 
-    def own(pack):
-        keys, offs = shingles(pack.data, pack.offs, words)
-        size = np.diff(offs)
-        begin = offs[:-1][size > 0]
-        node = np.zeros(len(size), np.uint64)
-        if len(begin):
-            strong = mix64(keys + np.uint64(0x51ED270B))
-            node[size > 0] = mix64(np.add.reduceat(strong, begin) * np.uint64(3) + mix64(size[size > 0].astype(np.uint64)))
-        part, owner = parts_of(keys, offs, percent)
-        return keys, offs, node, part, owner
+
+class Sets:
+    """What a pack derives from its texts: sets of shingles, a hash of each set, and hashes of their parts."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, words: int):
+        self.keys, self.offs = shingles(data, offs, words)
+        self.size = np.diff(self.offs)
+        self.node = np.zeros(len(self.size), np.uint64)
+        full = self.size > 0
+        if full.any():
+            sums = np.add.reduceat(mix64(self.keys + np.uint64(0x51ED270B)), self.offs[:-1][full])
+            self.node[full] = mix64(sums * np.uint64(3) + mix64(self.size[full].astype(np.uint64)))
+
+    def sketches(self, own: np.ndarray) -> list[bytes]:
+        """Of each set: how many shingles fall in each class of hashes, 255 at most; about one class for eight shingles. Two sets differ
+        in as many elements as their sketches do, or more."""
+        out = []
+        for i in own.tolist():
+            keys = self.keys[self.offs[i] : self.offs[i + 1]]
+            many = 1 << max(6, (len(keys) // 8).bit_length())
+            out.append(np.minimum(np.bincount((keys & np.uint64(many - 1)).astype(np.int64), minlength=many), 255).astype(np.uint8).tobytes())
+        return out
+
+
+def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, kind, sketch of rows (row_key). Kind 1: b has a part of a's, or others between them do. Kind 2: b has an equal set and is the
+    smallest such. Kind 3: b is a's number of shingles, and sketch its sketch; of every row with a common part."""
+    packs, buckets = ex.packed(docs), partitions(docs.sparkSession)
+    # a bucket names a row's neighbour again, so there are as many as the text needs and no more
+    few = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CONNECTED)
+
+    def asked_of(pack):
+        sets = Sets(pack.data, pack.offs, words)
+        part, owner = parts_of(sets.keys, sets.offs, percent)
+        return sets, part, owner, *np.unique(np.concatenate([part, sets.node[sets.size > 0]]), return_inverse=True, return_counts=True)
 
     def question(pack):
-        _, _, node, part, _ = own(pack)
-        asked = np.unique(np.concatenate([part, node]))
+        asked = asked_of(pack)[3]
         for b, at in ex.deal(asked, buckets):
-            yield b, 0, ex.squeeze_sorted(asked[at] // np.uint64(buckets))
+            yield b, 0, ex.squeeze_sorted(asked[at] >> np.uint64(64 - FRAGMENT))
 
     def reply(kind, payloads):
-        """Does another pack have it?"""
+        """Is it there more than once? Fragments say so for a few that are not; these find no partner later."""
         values = [ex.expand_sorted(p) for p in payloads]
         every = np.concatenate(values)
         order, first = ex.groups(every)
@@ -129,29 +159,70 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         ends = np.cumsum([len(v) for v in values])
         return [np.packbits(many[e - len(v) : e]).tobytes() for e, v in zip(ends, values)]
 
-    def finish(pack, got):
-        keys, offs, node, part, owner = own(pack)
-        size = np.diff(offs)
-        every = np.concatenate([part, node])
-        asked, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-        shared = np.zeros(len(asked), bool)
+    def question_again(pack, got):
+        sets, part, owner, asked, inverse, count = asked_of(pack)
+        shared = count > 1
         for b, at in ex.deal(asked, buckets):
             if len(at):
-                shared[at] = np.unpackbits(np.frombuffer(got[0, b], np.uint8), count=len(at)).astype(bool)
-        shared = (shared | (count > 1))[inverse]
-        hit = shared[: len(part)]
-        part, owner = part[hit], owner[hit]
-        order = np.argsort(owner, kind="stable")
-        part, at = part[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
-        live = ((np.diff(at) > 0) | shared[len(hit) :]) & (size > 0)
-        sets = [ex.squeeze_sorted(keys[a:b]) if ok else None for a, b, ok in zip(offs, offs[1:], live)]
-        parts = [part[a:b].view(np.int64) if ok else None for a, b, ok in zip(at, at[1:], live)]
-        return pa.table(
-            [pa.array(pack.ids, pa.int64(), mask=pack.ids == ex.NO_ID), pa.array(size), pa.array(node.view(np.int64), mask=~live), pa.array(sets, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "shingles", "parts"],
-        )
-
-    return ex.meet(packs, ex.answer(ex.ask(packs, question), reply), finish, "doc_id long, n_shingles long, node long, shingles binary, parts array<long>")
+                shared[at] |= np.unpackbits(np.frombuffer(got[0, b], np.uint8), count=len(at)).astype(bool)
+        shared = shared[inverse]
+        full = np.flatnonzero(sets.size > 0)
+        known = np.zeros(len(sets.size), bool)
+        for kind, h, own in ((1, part[shared[: len(part)]], owner[shared[: len(part)]]), (2, sets.node[full][shared[len(part) :]], full[shared[len(part) :]])):
+            known[own] = True
+            order = np.argsort(h)
+            h, own = h[order], own[order]
+            for b, at in ex.deal(h, few):
+                if len(at):
+                    yield b, kind, ex.join_parts(ex.squeeze_sorted(h[at] // np.uint64(few)), ex.squeeze(own[at]))
+        own = np.flatnonzero(known)
+        yield (int(pack.ids[0] % few) if len(pack.ids) else 0), 3, ex.join_parts(ex.squeeze(own), ex.squeeze(sets.size[own]), ex.join_parts(*sets.sketches(own)))
+
+    def edges(table: pa.Table) -> pa.Table:
+        rows, sizes = {1: [], 2: []}, []
+        for pack, kind, payload in zip(*(table.column(c).to_pylist() for c in ("pack", "kind", "payload"))):
+            x, y, *sketch = ex.split_parts(payload)
+            if kind == 3:
+                sizes.append((row_key(pack, ex.expand(x)), ex.expand(y).astype(np.int64), ex.split_parts(sketch[0])))
+            else:
+                rows[kind].append((ex.expand_sorted(x), row_key(pack, ex.expand(y))))
+        out = []
+        for kind in (1, 2):
+            if rows[kind]:
+                h, row = (np.concatenate(c) for c in zip(*rows[kind]))
+                order, first = ex.groups(h)
+                low = np.minimum.reduceat(row[order], first)
+                a, b = row[order], np.repeat(low, np.diff(np.append(first, len(h))))
+                a, b = a[a != b], b[a != b]
+                if kind == 1:
+                    a, b = forest(a, b)
+                out.append(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([kind] * len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=["a", "b", "kind", "sketch"]))
+        for a, b, sketch in sizes:
+            out.append(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([3] * len(a), pa.int32()), pa.array(sketch, pa.binary())], names=["a", "b", "kind", "sketch"]))
+        return pa.concat_tables(out)
+
+    first = ex.answer(ex.ask(packs, question), reply)
+    return ex.ask_again(packs, first, question_again).groupBy("bucket").applyInArrow(edges, "a long, b long, kind int, sketch binary")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges with the smallest that it is connected to, where that is another."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(node))
+    return node[moved], node[label[moved]]
 
 
 class Groups:
@@ -204,39 +275,96 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
     return out
 
 
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches by the smallest number of classes among them; classes are powers of 2, so they fold."""
+    many = min(map(len, sketches))
+    return np.stack([np.frombuffer(s, np.uint8).reshape(-1, many).sum(axis=0, dtype=np.int32) for s in sketches])
+
+
+def near_sketches(size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all sets which their sizes and sketches allow to be linked; side as in tile_links."""
+    order = np.argsort(size, kind="stable")
+    size, sketch, side = size[order], sketch[order], side[order]
+    groups, out = Groups(len(size)), []
+    for i in range(len(size)):
+        js = np.arange(np.searchsorted(size, -(-percent * size[i] // 100)), i)
+        js = js[(groups.label[js] != groups.label[i]) & ((side[js] != side[i]) | (side[i] == 2))]
+        for part in np.split(js, range(512, len(js), 512)):
+            differ = np.abs(sketch[part] - sketch[i]).sum(axis=1, dtype=np.int64)
+            for j in part[differ * (100 + percent) <= (size[part] + size[i]) * (100 - percent)].tolist():
+                if groups.label[j] != groups.label[i]:
+                    groups.join(i, j)
+                    out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def dealt_out(heads: DataFrame, block: int) -> DataFrame:
+    """Rows of heads (family, band, node and others) for each pair of blocks (x, y) of each tile that they belong to, with their own
+    block k. A tile is a band that the family has, with the one below; a set of block k goes to all pairs that have k."""
+    per = heads.groupBy("family", "band").agg(F.count("*").alias("c")).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    tiles = per.groupBy("family", "tile").agg(F.sum("c").alias("c"), F.max("band").alias("top")).filter("c > 1 and top = tile").selectExpr("family", "tile", f"cast(ceil(c / {block}) as int) blocks")
+    rows = heads.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(tiles, ["family", "tile"]).withColumn("k", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("x", F.least("k", "other")).withColumn("y", F.greatest("k", "other")).drop("blocks", "other", "band")
+
+
+def sides(table: pa.Table) -> np.ndarray:
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    return np.full(table.num_rows, 2) if x == y else (table.column("k").to_numpy() == y).astype(np.int64)
+
+
+def pairs_table(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([int(node[a]) for a, _ in pairs], pa.int64()), pa.array([int(node[b]) for _, b in pairs], pa.int64())], names=["a", "b"])
+
+
 def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of docs (doc_id long, text)."""
-    spark = docs.sparkSession
-    rows = written(candidates(docs, words, percent), "candidates")
-    # one row of each set, whatever number of documents has it
-    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"), F.first("parts").alias("parts"), F.first("n_shingles").alias("n")), "nodes")
-    part = nodes.select("node", F.explode("parts").alias("part"))
-    least = part.groupBy("part").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    family = components(part.join(least, "part").select(F.col("node").alias("a"), "b").distinct())
-    edge = bands_column(percent)
-    members = nodes.join(family, "node").select("node", "shingles", "component", edge.alias("band"))
-    tiles = members.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("block", F.lit(0))
-    tiles = written(tiles, "tiles")
-    counts = tiles.groupBy("component", "tile").agg(F.count("*").alias("c"), F.min("band").alias("lo"), F.max("band").alias("hi")).filter("c > 1 and hi = tile").selectExpr("component", "tile", f"cast(ceil(c / {BLOCK}) as int) blocks")
-    # block pairs (x, y), x <= y: a set of block k goes to all pairs that have k
-    dealt = tiles.join(counts, ["component", "tile"]).withColumn("k", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "tile", F.least("k", "other").alias("x"), F.greatest("k", "other").alias("y"), "k", "node", "shingles")
+    """doc_id, n_shingles, component_id of docs (doc_id long, text). docs must give the same rows in the same order when it is read
+    again, as a table does."""
+    docs = docs.select("doc_id", "text")
+    found = written(neighbours(docs, words, percent), "neighbours")
+    twins = found.filter("kind = 2").select("a", F.col("b").alias("head"))
+    family = components(found.filter("kind < 3").select("a", "b"))
+    heads = family.join(found.filter("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("n"), "sketch"), "node").join(twins, F.col("node") == F.col("a"), "left_anti")
+    heads = written(heads.select("node", F.col("component").alias("family"), "n", bands_column(percent).alias("band"), "sketch"), "heads")
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        sketch = folded(table.column("sketch").to_pylist())
+        return pairs_table(table.column("node").to_numpy(), near_sketches(table.column("n").to_numpy(), sketch, sides(table), percent))
+
+    # sketches alone part most families; what is left of them is compared by its shingles
+    close = components(dealt_out(heads, SKETCHED).groupBy("family", "tile", "x", "y").applyInArrow(near, "a long, b long"))
+    kept = written(heads.select("node", "band").join(close, "node").withColumnRenamed("component", "family"), "kept")
+    place = [F.expr("(shiftright(node, 44) << 32) | (shiftright(node, 20) & 16777215)").alias("pack"), F.expr("node & 1048575").alias("place")]
+    wanted = dealt_out(kept, BLOCK).select(*place, "node", "family", "tile", "x", "y", "k")
+
+    def fetch(own: pa.Table, want: pa.Table) -> pa.Table:
+        names = ["family", "tile", "x", "y", "k", "node"]
+        body = []
+        if own.num_rows and want.num_rows:
+            pack = ex.Pack(own.column("body")[0].as_py())
+            sets = Sets(pack.data, pack.offs, words)
+            body = [ex.squeeze_sorted(sets.keys[sets.offs[p] : sets.offs[p + 1]]) for p in want.column("place").to_pylist()]
+        return pa.table([*(want.column(c) if body else want.column(c).slice(0, 0) for c in names), pa.array(body, pa.binary())], names=[*names, "shingles"])
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        k = table.column("k").to_numpy()
         sets = [ex.expand_sorted(s) for s in table.column("shingles").to_pylist()]
-        side = np.full(len(sets), 2) if x == y else (k == y).astype(np.int64)
-        node = table.column("node").to_numpy()
-        links = tile_links(sets, side, percent)
-        return pa.table([pa.array([int(node[a]) for a, _ in links], pa.int64()), pa.array([int(node[b]) for _, b in links], pa.int64())], names=["a", "b"])
-
-    links = dealt.groupBy("component", "tile", "x", "y").applyInArrow(compare, "a long, b long")
-    group = components(links)
-    named = nodes.select("node", "first_id").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        return pairs_table(table.column("node").to_numpy(), tile_links(sets, sides(table), percent))
+
+    rows = ex.packed(docs).groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(fetch, "family long, tile int, x int, y int, k int, node long, shingles binary")
+    group = components(rows.groupBy("family", "tile", "x", "y").applyInArrow(compare, "a long, b long"))
+
+    def sizes(batches):
+        for key, _, _, _, ids, data, offs in ex.numbered(batches):
+            size = np.diff(shingles(data, offs, words)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(row_key(key, np.arange(len(ids)))), pa.array(ids, pa.int64(), mask=ids == ex.NO_ID), pa.array(size)], names=["node", "doc_id", "n_shingles"])
+
+    every = docs.mapInArrow(sizes, "node long, doc_id long, n_shingles long")
+    every = every.join(twins.withColumnRenamed("a", "node"), "node", "left").withColumn("head", F.coalesce("head", "node"))
+    every = every.join(group.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component"))
+    names = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return every.join(names, "component").select("doc_id", "n_shingles", "component_id")
 
 
 def bands_column(percent: int):

@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import written  # noqa: F401
-
 NODES = "node_id string, name string, description string, url string, wikidata_id string"
 ERA_NODES = "node_id string, name string, era string, description string, url string"
 ALIASES = "map<string, struct<label: string, aliases: array<string>>>"

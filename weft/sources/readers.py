@@ -48,7 +48,7 @@ def zip_text(spark: SparkSession, path: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, schema: str = ALIASES) -> DataFrame:
     """key, value of one JSON object with dynamic keys (gzip by its extension)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", schema)).alias("key", "value"))
 
 

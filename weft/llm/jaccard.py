@@ -29,7 +29,7 @@ BLOCK = 1024
 #: the same while only sketches are compared
 SKETCHED = 4096
 #: bytes of text for each bucket that connects rows by their common parts
-CONNECTED = 1 << 28
+CONNECTED = 1 << 27
 #: bits of a part's hash that are sent to find out whether any other set has it
 FRAGMENT = 36
 LOW48 = np.uint64((1 << 48) - 1)
@@ -189,11 +189,18 @@ def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
         out = []
         for kind in (1, 2):
             if rows[kind]:
-                h, row = (np.concatenate(c) for c in zip(*rows[kind]))
-                order, first = ex.groups(h)
-                low = np.minimum.reduceat(row[order], first)
-                a, b = row[order], np.repeat(low, np.diff(np.append(first, len(h))))
-                a, b = a[a != b], b[a != b]
+                h, row = (np.concatenate(c) for c in zip(*rows.pop(kind)))
+                found = []
+                for some in range(8):  # an eighth of the hashes at a time, for memory
+                    mine = (h & np.uint64(7)) == np.uint64(some)
+                    x, y = h[mine], row[mine]
+                    order, first = ex.groups(x)
+                    y = y[order]
+                    low = np.repeat(np.minimum.reduceat(y, first), np.diff(np.append(first, len(x)))) if len(x) else y
+                    found.append((y[y != low], low[y != low]))
+                    if kind == 1:
+                        found[-1] = forest(*found[-1])
+                a, b = (np.concatenate(c) for c in zip(*found))
                 if kind == 1:
                     a, b = forest(a, b)
                 out.append(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([kind] * len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=["a", "b", "kind", "sketch"]))

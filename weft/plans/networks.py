@@ -20,15 +20,11 @@ def _sparse(spark, d):
     return written(b.nodes(spark, d), "nodes"), written(graph.undirect(b.sparse(spark, d)), "edges")
 
 
-@query("g_bfs_all", b.sql(b.NODES, b.SPARSE, b.SIMPLE, _BFS, "select n.node source, m.node node, coalesce(dist, -1) dist from nodes n join nodes m on true left join best on best.source = n.node and best.node = m.node", recursive=True))
+@query("g_bfs_all", b.sql(b.NODES, b.SPARSE, b.SIMPLE, _BFS, "select source, node, dist from best", recursive=True))
 def g_bfs_all(spark, d):
-    """All ordered pairs; -1 where there is no path."""
+    """All ordered pairs with a path; a pair that is not there has none (-1 where a number is wanted)."""
     nodes, edges = _sparse(spark, d)
-    found = paths.distances(edges, nodes)
-    pairs = nodes.select(F.col("node").alias("source"), F.lit(1).alias("one")).join(nodes.select("node", F.lit(1).alias("one")), "one").drop("one")
-    return pairs.join(found, ["source", "node"], "left").select("source", "node", F.coalesce("dist", F.lit(-1).cast("long")).alias("dist"))
-
-
+    return paths.distances(edges, nodes)
 
 
 @query("g_betweenness")

@@ -71,4 +71,34 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {}
+#: bytes as pairs of hexadecimal digits; a byte is removed if one of the 50 strings over it starts in an earlier document too
+OP4_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+s as materialized (select doc_id, unnest(range(0, length(h) // 2 - 49)) i, unnest(list_transform(range(0, length(h) // 2 - 49), lambda z: substr(h, cast(2 * z + 1 as int), 100))) g from d where length(h) >= 100),
+f as (select g, min(doc_id) first_id from s group by g having count(*) > 1),
+hit as (select s.doc_id, i from s join f using (g) where f.first_id < s.doc_id),
+isl as (select doc_id, i, case when i > lag(i) over w + 50 or lag(i) over w is null then 1 else 0 end fresh from hit window w as (partition by doc_id order by i)),
+run as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) r from isl),
+span as (select doc_id, r, min(i) a, max(i) + 50 z from run group by all),
+gap as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) before from span),
+kept as (select doc_id, string_agg(substr(h, cast(2 * before + 1 as int), cast(2 * (a - before) as int)), '' order by a) head, max(z) last, sum(z - a) removed, count(*) spans from gap join d using (doc_id) group by doc_id)
+select d.doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(removed, 0) as bigint) n_removed, coalesce(spans, 0) n_spans,
+  sha256(unhex(case when last is null then h else head || substr(h, cast(2 * last + 1 as int)) end)) kept_sha256
+from d left join kept using (doc_id)
+"""
+
+OP10_SQL = """
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') w from documents),
+sh as materialized (select distinct doc_id, array_to_string(w[i:i + 2], ' ') g from t, generate_series(1, greatest(1, len(w) - 2)) s(i) where len(w) > 0),
+n as (select doc_id, count(*) n from sh group by doc_id),
+common as (select g from sh group by g having count(*) > 1),
+c as materialized (select sh.doc_id, g, n from sh semi join common using (g) join n using (doc_id)),
+both as materialized (select x.doc_id a, y.doc_id b, any_value(x.n) na, any_value(y.n) nb, count(*) k from c x join c y using (g) where x.doc_id < y.doc_id and 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n) group by 1, 2),
+link as materialized (select a, b from both where 100 * k >= 90 * (na + nb - k)),
+two as materialized (select a, b from link union all select b, a from link),
+reach(node, other) as (select a, a from two union select r.node, e.b from reach r join two e on e.a = r.other),
+comp as (select node, min(other) component_id from reach group by node)
+select t.doc_id, coalesce(n.n, 0) n_shingles, coalesce(component_id, t.doc_id) component_id from t left join n using (doc_id) left join comp on comp.node = t.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op10_jaccard": OP10_SQL.replace("both", "near")}

@@ -101,3 +101,56 @@ def test_empty(spark):
     blank = ctw.fit(none)
     assert blank.bits(np.array([97 << 40], np.uint64))[0] == -8
     assert ctw.score(none, blank).count() == 0
+
+
+def by_dictionaries(text, keys):
+    """As direct, for a text with many contexts: the log2 probability of each (context, byte), by tables of all nodes."""
+    raw, out = b"\0" * 5 + low(text) + b"\0", np.zeros(len(keys))
+    for level in range(8):
+        layers = [{} for _ in range(6)]
+        for k in range(5, len(raw)):
+            prefix, bit = (1 << level) | raw[k] >> (8 - level), raw[k] >> (7 - level) & 1
+            for d in range(6):
+                layers[d].setdefault((raw[k - d : k], prefix), [0, 0])[bit] += 1
+        stop, below = [{} for _ in range(6)], {}
+        for d in range(5, -1, -1):
+            weighted, rest = {}, below
+            below = {}
+            for (ctx, prefix), (a, b) in layers[d].items():
+                kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+                stop[d][ctx, prefix] = kt - rest.get((ctx, prefix), kt)
+                weighted[ctx, prefix] = kt if d == 5 else np.logaddexp(kt, rest[ctx, prefix]) - math.log(2)
+                up = ctx[1:], prefix
+                below[up] = below.get(up, 0.0) + weighted[ctx, prefix]
+        for n, (context, byte) in enumerate(keys):
+            prefix, bit = (1 << level) | byte >> (8 - level), byte >> (7 - level) & 1
+            path = [(context[5 - d :], prefix) for d in range(6)]
+            deepest = max((d for d in range(6) if path[d] in layers[d]), default=None)
+            p, left = 0.5 if deepest is None else 0.0, 1.0
+            for d in range(0 if deepest is None else deepest + 1):
+                c = layers[d][path[d]]
+                share = 1 / (1 + math.exp(-np.clip(stop[d][path[d]], -60, 60))) if d < deepest else 1.0
+                p += left * share * (c[bit] + 0.5) / (sum(c) + 1)
+                left *= 1 - share
+            out[n] += math.log2(p)
+    return out
+
+
+def test_no_node_is_lost(spark):
+    """Words of random letters, each three times: only long contexts tell what comes, and there are more of them than tables of 2^19 and
+    2^20 places keep apart."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}"))
+    text = " ".join(rng.permutation(np.repeat(["".join(w) for w in rng.choice(letters, (2_000, 8))], 3)))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model, raw = ctw.fit(docs), b"\0" * 5 + text.encode() + b"\0"
+    keys = [(raw[k - 5 : k], raw[k]) for k in range(5, len(raw), 199)] + [(raw[k - 5 : k], ord("~")) for k in range(5, len(raw), 1999)]
+    got = model.bits(np.array([int.from_bytes(c + bytes([b]), "little") for c, b in keys], np.uint64))
+    assert got == pytest.approx(by_dictionaries(text, keys), abs=1e-6)
+
+
+def test_scores_add_up(spark, model):
+    docs = spark.createDataFrame([(i, t) for i, t in ROWS], "doc_id long, text string")
+    raw = {t: b"\0" * 5 + low(t) + b"\0" for _, t in ROWS}
+    want = [sum(model.bits(np.array([int.from_bytes(raw[t][k - 5 : k + 1], "little") for k in range(5, len(raw[t]))], np.uint64))) * math.log10(2) for _, t in ROWS]
+    assert sorted(r.score for r in ctw.score(docs, model).collect()) == pytest.approx(sorted(want), abs=1e-4)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from weft.llm import neighbors
 
 
@@ -62,3 +63,19 @@ def test_left_out_and_few(spark):
     got = found(neighbors.search(df, df.filter("vec_id % 20 = 0"), probes=neighbors.LISTS))
     assert got[0] == [(20, 3.0), (20, 3.0)] and set(got) == {0, 20} and set(got[20]) == {(0, 3.0)}
     assert neighbors.search(df.filter("vec_id = 1"), df).count() == 0
+
+
+def test_no_task_holds_all_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    queries, lists = df.filter("vec_id % 3 = 0"), neighbors.LISTS
+    want = found(neighbors.search(df, queries, 5, lists))
+    monkeypatch.setattr(neighbors, "ASKED", 20, raising=False)
+    monkeypatch.setattr(neighbors, "SLICE", 2)
+    held = []
+    deal = neighbors.dealt_out
+    monkeypatch.setattr(neighbors, "dealt_out", lambda *a: held.append(deal(*a)) or held[0])
+    assert found(neighbors.search(df, queries, 5, lists)) == want
+    tasks = held[0].groupBy("list", "slice", "part").agg(F.sum("side").alias("asked"), F.sum(1 - F.col("side")).alias("vectors")).collect()
+    assert max(t.asked for t in tasks) <= 2 * 20
+    assert sum(t.asked * t.vectors for t in tasks) == 600 * 200

@@ -5,7 +5,8 @@ distance; then all are turned by one random rotation, after which any block of l
 distance. Lists come from k-means on a bounded sample; every vector goes to its nearest list. A list is scanned by blocks of
 columns: after each block a candidate is given up when its partial distance, scaled to all dimensions, exceeds the query's
 current k-th distance by more than the hypothesis test allows. What survives is scored exactly, in double precision, on the
-original vectors. Lists are dealt out in slices of at most SLICE vectors, queries in groups, so no list is one task.
+original vectors. Lists are dealt out in slices of about SLICE vectors, the queries that probe a list in groups of about ASKED, and
+each slice meets each group in a task of its own, so no list is one task and no task holds all queries.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 ties go to the smaller vec_id; a query with fewer candidates gets all that its probed lists have, and all there are where LISTS
@@ -26,6 +27,8 @@ LISTS = 128
 #: vectors without clusters need many; 0.96 to 0.98 of the true neighbours were measured on such
 PROBES = 96
 SLICE = 4096
+#: queries that a slice meets at once
+ASKED = 16384
 BLOCK = 16
 #: deviation of the scaled partial distance that the test allows: (1 + EPSILON / sqrt(d)) squared
 EPSILON = 2.1
@@ -131,6 +134,19 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T)
 
 
+def dealt_out(data: DataFrame, probing: DataFrame) -> DataFrame:
+    """list, slice, part, side (0: data, 1: probing), vec_id, x: each slice of a list's vectors with each group of the queries that probe
+    the list. data and probing: list, vec_id, x."""
+    sizes = data.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {SLICE}) as int)").alias("slices"))
+    sizes = sizes.join(probing.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {ASKED}) as int)").alias("parts")), "list")
+    sizes = F.broadcast(sizes)  # LISTS rows at most
+    of = lambda count: F.expr(f"cast(pmod(xxhash64(vec_id), {count}) as int)")
+    every = lambda count: F.explode(F.expr(f"sequence(0, {count} - 1)"))
+    held = data.join(sizes, "list").select("list", of("slices").alias("slice"), every("parts").alias("part"), F.lit(0).alias("side"), "vec_id", "x")
+    asked = probing.join(sizes, "list").select("list", every("slices").alias("slice"), of("parts").alias("part"), F.lit(1).alias("side"), "vec_id", "x")
+    return held.union(asked)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PROBES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. vectors and queries: vec_id, embedding."""
     spark = vectors.sparkSession
@@ -154,10 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PR
 
     fields = "vec_id long, x array<double>, lists array<int>"
     data = known.mapInArrow(listed(1), fields).select("vec_id", "x", F.col("lists")[0].alias("list"))
-    sizes = data.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {SLICE}) as int)").alias("slices"))  # LISTS rows at most
-    data = data.join(F.broadcast(sizes), "list").select("list", F.expr("cast(pmod(xxhash64(vec_id), slices) as int)").alias("slice"), F.lit(0).alias("side"), "vec_id", "x")
     probing = asked.filter(F.size("x") == F.lit(quantizer.rotation.shape[0] - 1)).mapInArrow(listed(probes), fields).select("vec_id", "x", F.explode("lists").alias("list"))
-    probing = probing.join(F.broadcast(sizes), "list").select("list", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(1).alias("side"), "vec_id", "x")
 
     def compare(table: pa.Table) -> pa.Table:
         q, side = held.value, table.column("side").to_numpy()
@@ -170,7 +183,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PR
         columns = list(zip(*out)) or [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    # a list's slice meets all queries that probe it; queries are dealt over groups where they are many
-    found = data.union(probing).groupBy("list", "slice").applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = dealt_out(data, probing).groupBy("list", "slice", "part").applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -223,3 +223,14 @@ def test_stream(spark, tmp_path, tiny):
     q = sd.running_degrees(stream).writeStream.outputMode("complete").format("memory").queryName("deg").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.node: (r.in_degree, r.out_degree) for r in spark.table("deg").collect()} == {1: (1, 1), 2: (1, 3), 3: (3, 1), 5: (0, 1), 6: (1, 0)}
+
+
+def test_cosines_beyond_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    w = tf.weights(spark.createDataFrame([(k, " ".join(2 * c for c in rng.choice(list("abcdefgh"), 6).tolist())) for k in range(60)], "doc long, text string").transform(lambda df: tf.words(df.selectExpr("doc", "text")))).cache()
+    all_pairs = {(r.i, r.j): r.cos for r in tf.both_ways(tf.cosines(w)).collect()}
+    monkeypatch.setattr(tf, "MOST_PAIRED", 50)
+    with pytest.raises(ValueError):
+        tf.cosines(w)
+    got = {(r.i, r.j): r.cos for r in tf.cosines_to(w, w.filter("doc % 10 = 0")).collect()}
+    assert got == pytest.approx({k: v for k, v in all_pairs.items() if k[0] % 10 == 0}) and got

@@ -13,8 +13,10 @@ PAPER_SHARE = 0.7
 MIN_DF = 2
 MAX_DF = 0.5
 TOP_TERMS = 14
-#: documents whose pairs are all compared, at most; beyond, pairs come from candidates
+#: documents whose pairs are all compared, at most; beyond, cosines_to compares a stated set of documents with all
 MOST_PAIRED = 20_000
+#: parts that a term's documents are dealt over in cosines_to
+PARTS = 16
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -67,6 +69,19 @@ def cosines(w: DataFrame, cls: DataFrame | None = None) -> DataFrame:
     a = w.select(F.col("doc").alias("i"), "term", F.col("w").alias("wi"))
     c = w.select(F.col("doc").alias("j"), "term", F.col("w").alias("wj"))
     rows = a.join(c, "term").filter("i < j").withColumn("p", F.col("wi") * F.col("wj"))
+    return _summed(rows, cls)
+
+
+def cosines_to(w: DataFrame, asked: DataFrame, cls: DataFrame | None = None) -> DataFrame:
+    """i of asked (doc), j another document of w, and what cosines gives of them, of all such pairs with a common term, whatever their
+    number is. A frequent term's documents are dealt over PARTS tasks."""
+    part = F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int")
+    a = w.join(asked.select("doc").distinct(), "doc", "left_semi").select(F.col("doc").alias("i"), "term", F.col("w").alias("wi"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    c = w.select(F.col("doc").alias("j"), "term", F.col("w").alias("wj"), part.alias("part"))
+    return _summed(a.join(c, ["term", "part"]).filter("i <> j").withColumn("p", F.col("wi") * F.col("wj")).select("i", "j", "term", "p"), cls)
+
+
+def _summed(rows: DataFrame, cls: DataFrame | None) -> DataFrame:
     if cls is None:
         return rows.groupBy("i", "j").agg(F.sum("p").alias("cos"))
     part = lambda k, name: F.sum(F.when(F.col("cls") == k, F.col("p")).otherwise(0.0)).alias(name)
@@ -80,8 +95,13 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 def nearest(pairs: DataFrame, k: int = 1, score: str = "cos") -> DataFrame:
     """The k best partners of each document, ties to the smaller one (of scores rounded to 9 places)."""
+    return best(both_ways(pairs), k, score)
+
+
+def best(rows: DataFrame, k: int = 1, score: str = "cos") -> DataFrame:
+    """As nearest, of rows that have i's partners j already."""
     order = Window.partitionBy("i").orderBy(F.desc(F.round(score, 9)), "j")
-    return both_ways(pairs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def term_products(w: DataFrame, pairs: DataFrame, k: int = TOP_TERMS) -> DataFrame:

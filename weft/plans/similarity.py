@@ -1,4 +1,5 @@
-"""Queries on TF-IDF similarity. The benchmark's items are the documents whose pairs are compared; long ones stand for paperwork."""
+"""Queries on TF-IDF similarity. The benchmark's items are the documents whose pairs are all compared; long ones stand for paperwork.
+Those named ..._documents run over the documents table; there, each document whose doc_id is divisible by 50 is compared with all."""
 
 from __future__ import annotations
 
@@ -228,3 +229,77 @@ def t_gender(spark, d):
 def agg_pattern_rate(spark, d):
     rate = lambda p, name: F.round(F.avg(F.lower("text").rlike(p).cast("double")), 6).alias(name)
     return b.read(spark, d, "documents").groupBy("lang").agg(rate("licen[sc]e", "license"), rate("[0-9]", "digit"))
+
+
+#: documents whose partners are sought among all have ids divisible by this
+ASKED = 50
+_DOC_WORDS = WORDS.replace("item_id doc", "doc_id doc").replace("from benchmark", "from documents")
+_TO_ALL = "co as (select x.doc i, y.doc j, sum(x.w * y.w) cos, sum(case when cls = 0 then x.w * y.w else 0 end) name_part, sum(case when cls = 1 then x.w * y.w else 0 end) paper_part, sum(case when cls = 2 then x.w * y.w else 0 end) story_part from {0} x join {0} y on x.term = y.term and x.doc % 50 = 0 and x.doc <> y.doc join cls on cls.term = x.term group by all)"
+_BEST = "nn as (select * from (select *, row_number() over (partition by i order by round(cos, 9) desc, j) rank from co) where rank <= {})"
+
+
+def _document_words(spark, d):
+    return tf.words(b.read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", (F.length("text") > 240).alias("long")))
+
+
+def _document_weights(spark, d):
+    return written(tf.weights(_document_words(spark, d)), "weights")
+
+
+def _document_classes(spark, d):
+    return written(tf.classes(tf.word_stats(_document_words(spark, d), "long")), "classes")
+
+
+def _partners(w, k, cls=None):
+    return tf.best(tf.cosines_to(w, w.filter(F.col("doc") % ASKED == 0), cls), k)
+
+
+@query("agg_word_stats_documents", b.sql(_DOC_WORDS, STATS, "select * from stats"))
+def agg_word_stats_documents(spark, d):
+    return tf.word_stats(_document_words(spark, d), "long")
+
+
+@query("t_class_documents", b.sql(_DOC_WORDS, STATS, CLS, "select term, cast(cls as int) cls from cls"))
+def t_class_documents(spark, d):
+    return tf.classes(tf.word_stats(_document_words(spark, d), "long"))
+
+
+@query("t_weights_documents", b.sql(_DOC_WORDS, W, "select doc, term, round(w, 6) w from w"))
+def t_weights_documents(spark, d):
+    return _rounded(tf.weights(_document_words(spark, d)), "w")
+
+
+@query("flt_vocab_documents", b.sql(_DOC_WORDS, W, "select term, df from dfs"))
+def flt_vocab_documents(spark, d):
+    return tf.weights(_document_words(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("win_topk_documents", b.sql(_DOC_WORDS, STATS, CLS, W, _TO_ALL.format("w"), _BEST.format(8), "select i, j, rank, round(cos, 6) cos, round(name_part, 6) name_part, round(paper_part, 6) paper_part, round(story_part, 6) story_part from nn"))
+def win_topk_documents(spark, d):
+    """With the split of each cosine."""
+    rows = _partners(_document_weights(spark, d), 8, _document_classes(spark, d))
+    return _rounded(rows.select("i", "j", "rank", "cos", "name_part", "paper_part", "story_part"), "cos", "name_part", "paper_part", "story_part")
+
+
+def _class_sql(cls):
+    return b.sql(_DOC_WORDS, STATS, CLS, W, _OWN.format(cls), _TO_ALL.format("re"), _BEST.format(8), "select i, j, rank, round(cos, 6) cos from nn")
+
+
+def _by_class(spark, d, keep):
+    return _rounded(_partners(written(tf.renormalised(_document_weights(spark, d), _document_classes(spark, d), keep), "own"), 8).select("i", "j", "rank", "cos"), "cos")
+
+
+@query("t_story_documents", _class_sql(2))
+def t_story_documents(spark, d):
+    return _by_class(spark, d, tf.STORY)
+
+
+@query("t_name_documents", _class_sql(0))
+def t_name_documents(spark, d):
+    return _by_class(spark, d, tf.NAME)
+
+
+@query("top_terms_documents", b.sql(_DOC_WORDS, STATS, CLS, W, _TO_ALL.format("w"), _BEST.format(1), _PRODUCTS, "select i, j, term, round(p, 6) p, r as rank from topt"))
+def top_terms_documents(spark, d):
+    w = _document_weights(spark, d)
+    return _rounded(tf.term_products(w, _partners(w, 1)), "p")

@@ -234,3 +234,19 @@ def test_cosines_beyond_all_pairs(spark, monkeypatch):
         tf.cosines(w)
     got = {(r.i, r.j): r.cos for r in tf.cosines_to(w, w.filter("doc % 10 = 0")).collect()}
     assert got == pytest.approx({k: v for k, v in all_pairs.items() if k[0] % 10 == 0}) and got
+
+
+def test_runs_of_the_whole_graph(spark):
+    """200 seeds over every node that has an edge, and 500 distinct pairs of them."""
+    from weft.plans import base, networks
+
+    d = "/root/testdata/sf0.001"
+    nodes, labels = networks._all_runs(spark, d)
+    ends = {n for r in base.weighted(spark, d).collect() for n in (r.src, r.dst)}
+    assert labels.select("run").distinct().count() == 200 and labels.count() == 200 * len(ends) == 200 * nodes.count()
+    pairs = cm.random_pairs(200, 500)
+    assert len(set(pairs)) == 500 and all(a < b for a, b in pairs)
+    got = {(r.a, r.b): r.nmi for r in cm.pair_nmi(labels, pairs[:3]).collect()}
+    for a, b in pairs[:3]:
+        one, two = (labels.filter(f"run = {k}").select("node", "community") for k in (a, b))
+        assert got[a, b] == pytest.approx(graph.nmi(one, two).first()[0])

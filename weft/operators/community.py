@@ -71,6 +71,26 @@ def runs(nodes: DataFrame, edges: DataFrame, count: int = 200, weight: str | Non
     return spark.range(count).repartition(min(count, 64)).mapInPandas(run, "run long, node long, community long")
 
 
+def random_pairs(count: int, pairs: int, seed: int = 42) -> list[tuple[int, int]]:
+    """Distinct pairs a < b of count runs, all there are if they are fewer."""
+    a, b = np.triu_indices(count, 1)
+    at = np.random.default_rng(seed).choice(len(a), min(pairs, len(a)), replace=False)
+    return list(zip(a[at].tolist(), b[at].tolist()))
+
+
+def pair_nmi(labels: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """a, b, nmi (as graph.nmi) of pairs of runs."""
+    rows = labels.sparkSession.createDataFrame(pairs, "a long, b long")
+    x = labels.join(F.broadcast(rows), F.col("run") == F.col("a")).select("a", "b", "node", F.col("community").alias("x"))  # a few hundred pairs
+    y = labels.select(F.col("run").alias("b"), "node", F.col("community").alias("y"))
+    cells = x.join(y, ["b", "node"]).groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    of = lambda c: Window.partitionBy("a", "b", *c)
+    cells = cells.withColumns({"nx": F.sum("n").over(of("x")), "ny": F.sum("n").over(of("y")), "t": F.sum("n").over(of("")).cast("double")})
+    # a cell's share of an entropy: its part of the row or column, so that each counts once
+    sums = cells.groupBy("a", "b").agg(F.sum(F.expr("n / t * ln(n * t / (nx * ny))")).alias("mi"), (-F.sum(F.expr("n / t * ln(nx / t)"))).alias("hx"), (-F.sum(F.expr("n / t * ln(ny / t)"))).alias("hy"))
+    return sums.select("a", "b", F.expr("case when hx + hy = 0 then 1d else 2 * mi / (hx + hy) end").alias("nmi"))
+
+
 def coassignment(labels: DataFrame) -> DataFrame:
     """i < j, p: share of the runs that have both in one community (pairs that never are left out)."""
     total = labels.agg(F.count_distinct("run").alias("runs"))

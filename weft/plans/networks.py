@@ -88,6 +88,23 @@ def _backbone(spark, d):
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), edges
 
 
+#: seeds of the runs that shares, loyalty and consensus are taken over
+RUNS = 200
+#: random pairs of different runs whose agreement is measured
+NMI_PAIRS = 500
+
+
+def _whole(spark, d):
+    """All nodes and edges of the weighted graph; the filter by p is for the exported backbone alone."""
+    edges = written(b.weighted(spark, d), "edges")
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), edges
+
+
+def _all_runs(spark, d, weight="weight"):
+    nodes, edges = _whole(spark, d)
+    return nodes, written(cm.runs(nodes, edges, RUNS, weight), "labels")
+
+
 _KEPT = "kept as (select src, dst, weight from disp where p < 0.35)"
 
 
@@ -105,19 +122,26 @@ def c_louvain_runs(spark, d):
 
 @query("agg_coassign")
 def agg_coassign(spark, d):
-    nodes, edges = _backbone(spark, d)
-    return cm.coassignment(cm.runs(nodes, edges, 20, "weight"))
+    return cm.coassignment(_all_runs(spark, d)[1])
+
+
+@query("agg_coassign_unweighted")
+def agg_coassign_unweighted(spark, d):
+    return cm.coassignment(_all_runs(spark, d, None)[1])
 
 
 @query("c_consensus")
 def c_consensus(spark, d):
-    nodes, edges = _backbone(spark, d)
-    return cm.consensus(nodes, cm.runs(nodes, edges, 20, "weight"))
+    return cm.consensus(*_all_runs(spark, d))
 
 
-def _labels(spark, d):
-    nodes, edges = _backbone(spark, d)
-    labels = written(cm.runs(nodes, edges, 20, "weight"), "labels")
+@query("c_loyalty_unweighted")
+def c_loyalty_unweighted(spark, d):
+    return cm.loyalty(*_labels(spark, d, None))
+
+
+def _labels(spark, d, weight="weight"):
+    nodes, labels = _all_runs(spark, d, weight)
     return labels, written(cm.consensus(nodes, labels), "agreed")
 
 
@@ -140,19 +164,14 @@ def jn_run_mapping(spark, d):
 
 @query("agg_k_hist")
 def agg_k_hist(spark, d):
-    labels, _ = _labels(spark, d)
+    _, labels = _all_runs(spark, d)
     return labels.groupBy("run").agg(F.count_distinct("community").alias("k")).groupBy("k").agg(F.count("*").alias("runs"))
 
 
 @query("c_pair_nmi")
 def c_pair_nmi(spark, d):
-    labels, _ = _labels(spark, d)
-    one = lambda r: labels.filter(F.col("run") == r).select("node", "community")
-    out = None
-    for r in range(1, 6):
-        row = graph.nmi(one(0), one(r)).select(F.lit(r).cast("long").alias("run"), "nmi")
-        out = row if out is None else out.union(row)
-    return out.agg(F.min("nmi").alias("min"), F.avg("nmi").alias("mean"), F.max("nmi").alias("max"))
+    """Over NMI_PAIRS distinct random pairs of runs."""
+    return cm.pair_nmi(_all_runs(spark, d)[1], cm.random_pairs(RUNS, NMI_PAIRS)).agg(F.min("nmi").alias("min"), F.avg("nmi").alias("mean"), F.max("nmi").alias("max"))
 
 
 @query("c_anchor")

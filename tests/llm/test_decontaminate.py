@@ -58,3 +58,40 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "abc" * 50)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.passages(docs, bench).count() == 0 and dc.passages(docs.filter("false"), spark.createDataFrame([(1, "abc" * 50)], "item_id long, text string")).count() == 0
     assert np.array_equal(dc.folded("É \n x".encode(), np.array([0, 6]))[0], [ord(c) for c in "é x"])
+
+
+def test_many_items_and_many_texts(spark):
+    rng = random.Random(6)
+    items = [(k, "".join(rng.choice("abcdefghijklmnop ") for _ in range(60))) for k in range(20_000)]
+    docs = [(i, f"before {items[5 * i][1]} after") for i in range(4_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in dc.passages(df, bench).collect()}
+    assert {(i, 5 * i) for i in range(4_000)} <= got and len(got) < 4_100
+    assert dc.without(df, bench).count() == 0
+
+
+def test_common_grams_in_stretches(monkeypatch):
+    """Counts of a bounded number of hits at a time find the bands that all hits at once find, in long texts too."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    index = dc.Index([(k, word(rng.choice([40, 90, 140]))) for k in range(60)])
+    texts = [word(rng.choice([0, 5, 300])) for _ in range(30)] + [word(20_000)]
+    raw = [t.encode() for t in texts]
+    points, offs, _ = dc.folded(b"".join(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    want = sorted(zip(*(x.tolist() for x in index.candidates(points, offs))))
+    for hits in (1, 1000, 50_000):
+        monkeypatch.setattr(dc, "HITS", hits)
+        assert sorted(zip(*(x.tolist() for x in index.candidates(points, offs)))) == want
+    counts = {}
+    for t in range(len(texts)):
+        own = points[offs[t] : offs[t + 1]]
+        places = {}
+        for i in range(len(own) - dc.Q + 1):
+            places.setdefault(own[i : i + dc.Q].tobytes(), []).append(i)
+        for s, part in enumerate(index.text):
+            for j in range(len(part) - dc.Q + 1):
+                for i in places.get(part[j : j + dc.Q].tobytes(), ()):
+                    counts[t, s, (i - j) >> index.shift] = counts.get((t, s, (i - j) >> index.shift), 0) + 1
+    by_hand = sorted((t, s, b << index.shift) for (t, s, b), n in counts.items() if n + counts.get((t, s, b + 1), 0) >= index.need[s])
+    assert want == by_hand and len(want) > 100

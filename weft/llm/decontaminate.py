@@ -5,7 +5,7 @@ of its q-grams with the document, on diagonals that differ by e at most (the q-g
 overlapping diagonal bands; bands that reach that number are aligned, in the band alone, for all of a batch's candidates at once.
 
 Texts and items are compared in lower case with runs of white space as one space. The index of the benchmark is broadcast in
-slices of at most SLICE characters; a larger benchmark takes more passes. Defined results: null or empty texts match nothing;
+slices of at most SLICE characters; a larger benchmark takes more passes. Hits are counted in stretches of a bounded number of them. Defined results: null or empty texts match nothing;
 null, empty and very short items (under q characters) are not searched; repeated rows give repeated results.
 """
 
@@ -26,6 +26,11 @@ RATE = 0.1
 SEGMENT = 100
 SLICE = 8_000_000
 BITS = 22
+#: hits of a stretch of places; bounds the memory of a task whatever grams a text and the benchmark have in common
+HITS = 1 << 22
+#: bits of a key for the half bands of a text and a segment; they are counted from MIDDLE on, since the first ones are negative
+WIDE = 32
+MIDDLE = 1 << 20
 _FOLD: list[np.ndarray] = []
 
 
@@ -97,29 +102,42 @@ class Index:
         self.bitmap[(self.hash >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def candidates(self, points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, segment and first diagonal (relative to the text) of each band that reaches its number."""
+        """Text, segment and first diagonal (relative to the text) of each band that reaches its number. The hits of a band lie within
+        reach places of where it begins, so places are taken in stretches of about HITS hits; each settles the bands that begin in it."""
         h = gram_hashes(points)
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         text = np.searchsorted(offs, at, side="right") - 1
         inside = at + Q <= offs[text + 1]
         at, text = at[inside], text[inside]
         lo = np.searchsorted(self.hash, h[at])
-        hi = np.searchsorted(self.hash, h[at], side="right")
-        found = hi > lo
-        at, text, lo, hi = at[found], text[found], lo[found], hi[found]
-        many = hi - lo
+        many = np.searchsorted(self.hash, h[at], side="right") - lo
+        at, text, lo, many = (x[many > 0] for x in (at, text, lo, many))
+        if not len(at):
+            return at, at, at
+        reach = int(self.size.max()) + (4 << self.shift)
+        part = np.cumsum(many) // HITS
+        edge = at[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
+        edge = np.concatenate([[0], edge[1:], [len(points)]])
+        out = []
+        for a, z in zip(edge[:-1], edge[1:]):
+            own = slice(np.searchsorted(at, a), np.searchsorted(at, z + reach))
+            out.append(self._bands(at[own], text[own], lo[own], many[own], offs, a, z))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _bands(self, at, text, lo, many, offs, a, z):
         which = np.repeat(np.arange(len(at)), many)
         entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        diagonal = at[which] - offs[text[which]] - self.offset[entry]
-        segment = self.segment[entry]
-        band = (diagonal >> self.shift) + (1 << 20)  # a segment is shorter than 2**20
-        key = ((text[which] * len(self.text) + segment) << 40) + band
-        key, count = np.unique(key, return_counts=True)  # hits by half band
+        begin = offs[text[which]]
+        half = (at[which] - begin - self.offset[entry]) >> self.shift
+        pair, rank = np.unique(text[which] * len(self.text) + self.segment[entry], return_inverse=True)
+        key, count = np.unique((rank << WIDE) + half + MIDDLE, return_counts=True)  # hits by half band
         both = count + np.where(np.append(key[1:], -1) == key + 1, np.append(count[1:], 0), 0)
         # a band is a half and the next one; one that begins before the first hit's half holds no more
-        segment = (key >> 40) % max(1, len(self.text))
-        ok = both >= self.need[segment]
-        return (key[ok] >> 40) // max(1, len(self.text)), segment[ok], ((key[ok] & ((1 << 40) - 1)) - (1 << 20)) << self.shift
+        pair, half = pair[key >> WIDE], (key & ((1 << WIDE) - 1)) - MIDDLE
+        text, segment = pair // len(self.text), pair % len(self.text)
+        starts = np.maximum(offs[text], offs[text] + (half << self.shift))
+        ok = (both >= self.need[segment]) & (starts >= a) & (starts < z)
+        return text[ok], segment[ok], half[ok] << self.shift
 
     def align(self, points: np.ndarray, offs: np.ndarray, text: np.ndarray, segment: np.ndarray, diagonal: np.ndarray):
         """Edits, start and end in the text of the best alignment of each candidate in its band."""

@@ -2,8 +2,9 @@
 
 Documents are range-partitioned and sorted by doc_id, encoded, and cut into shards. A shard's ids are kept as bit-planes, the
 highest bit first; before each next plane the ids are partitioned stably by the bit, so that rank and select on the planes give
-any token, the number of a token's occurrences up to a place and the place of its k-th occurrence. Planes are compressed one
-by one, and every 512 bits have their rank kept. The shard's documents, and their lengths, are in the same file.
+any token, the number of a token's occurrences up to a place and the place of its k-th occurrence. Planes are compressed in blocks
+of 2^16 bits, so a look-up unpacks one block of each plane, and the ones among every 512 bits are kept beside them. The shard's
+documents, and their lengths, are in the same file.
 
 Defined results: a null or empty text is the end id alone; documents with one doc_id follow each other by their text; a null
 doc_id comes first.
@@ -30,37 +31,65 @@ from .exchange import expand, join_parts, split_parts, squeeze
 SHARD = 1 << 21
 #: words in each of two generations of the cache, and half as many as letters of words
 CACHE = 250_000
+#: bits between two ranks that a file keeps, and bytes of a block of a plane (whole steps)
 STEP = 512
+BLOCK = 1 << 13
+
+
+class Plane:
+    """Packed bits in blocks, each compressed by itself, so that a look-up unpacks one block; the block last used is kept."""
+
+    def __init__(self, blocks: list[bytes]):
+        self.blocks, self.held = blocks, (-1, np.zeros(0, np.uint8))
+
+    @staticmethod
+    def build(bits: np.ndarray) -> Plane:
+        packed, pack = np.packbits(bits, bitorder="little"), zstandard.ZstdCompressor(level=1)
+        return Plane([pack.compress(packed[k : k + BLOCK].tobytes()) for k in range(0, len(packed), BLOCK)])
+
+    def block(self, k: int) -> np.ndarray:
+        if self.held[0] != k:
+            self.held = k, np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blocks[k]), np.uint8)
+        return self.held[1]
+
+    def part(self, start: int, stop: int) -> np.ndarray:
+        """Bytes of one block; start and stop are counted in the plane."""
+        if start >= stop:
+            return np.zeros(0, np.uint8)
+        base = start // BLOCK * BLOCK
+        return self.block(start // BLOCK)[start - base : stop - base]
+
+    def bits(self, n: int) -> np.ndarray:
+        unpack = zstandard.ZstdDecompressor()
+        return np.unpackbits(np.frombuffer(b"".join(map(unpack.decompress, self.blocks)), np.uint8), count=n, bitorder="little").astype(bool)
 
 
 class WaveletMatrix:
     """Ids with access, rank and select; made by build, or read from to_bytes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes  # packed bits, highest plane first
-        blocks = -(-max(n, 1) // STEP) + 1
-        self.ranks, self.zeros = [], []
-        for p in planes:
-            ones = np.bitwise_count(np.concatenate([p, np.zeros(blocks * (STEP // 8) - len(p), np.uint8)]).reshape(blocks, -1)).sum(axis=1, dtype=np.int64)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-            self.zeros.append(n - int(ones.sum()))
+    def __init__(self, n: int, planes: list[Plane], counts: list[np.ndarray]):
+        """planes: the highest first; counts: the ones among each STEP bits of a plane."""
+        self.n, self.planes, self.counts = n, planes, counts
+        self.ranks = [np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in counts]
+        self.zeros = [n - int(r[-1]) for r in self.ranks]
 
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
         levels = max(1, int(ids.max(initial=0)).bit_length())
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
-        planes = []
+        planes, counts = [], []
         for k in range(levels - 1, -1, -1):
             bit = (now & now.dtype.type(1 << k)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
+            planes.append(Plane.build(bit))
+            counts.append(np.add.reduceat(bit, np.arange(0, len(bit), STEP), dtype=np.int64) if len(bit) else np.zeros(0, np.int64))
             now = np.concatenate([now[~bit], now[bit]])
-        return WaveletMatrix(len(ids), planes)
+        return WaveletMatrix(len(ids), planes, counts)
 
     def ids(self) -> np.ndarray:
         """All ids in order: the partitions undone, from the last plane on."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+            bit = plane.bits(self.n)
             out = np.empty_like(now)
             out[~bit] = now[:zeros]
             out[bit] = now[zeros:] | now.dtype.type(1 << k)
@@ -68,15 +97,15 @@ class WaveletMatrix:
         return now
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        return int(self.planes[level].part(i >> 3, (i >> 3) + 1)[0]) >> (i & 7) & 1
 
     def _rank1(self, level: int, i: int) -> int:
-        block = i // STEP
-        part = self.planes[level][block * (STEP // 8) : (i + 7) >> 3]
+        step = i // STEP
+        part = self.planes[level].part(step * (STEP // 8), (i + 7) >> 3)
         count = int(np.bitwise_count(part).sum())
         if i & 7 and len(part):
             count -= (int(part[-1]) >> (i & 7)).bit_count()
-        return int(self.ranks[level][block]) + count
+        return int(self.ranks[level][step]) + count
 
     def access(self, i: int) -> int:
         value = 0
@@ -116,19 +145,19 @@ class WaveletMatrix:
             one = token >> (len(self.planes) - 1 - level) & 1
             want = i - self.zeros[level] if one else i
             ranks = self.ranks[level] if one else np.arange(len(self.ranks[level])) * STEP - self.ranks[level]
-            block = int(np.searchsorted(ranks, want, side="right")) - 1
-            bits = np.unpackbits(self.planes[level][block * (STEP // 8) : (block + 1) * (STEP // 8)], bitorder="little")
-            i = block * STEP + int(np.flatnonzero(bits == one)[want - int(ranks[block])])
+            step = int(np.searchsorted(ranks, want, side="right")) - 1
+            bits = np.unpackbits(self.planes[level].part(step * (STEP // 8), (step + 1) * (STEP // 8)), bitorder="little")
+            i = step * STEP + int(np.flatnonzero(bits == one)[want - int(ranks[step])])
         return i
 
     def to_bytes(self) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1)
-        return join_parts(self.n.to_bytes(8, "little"), *(pack.compress(p.tobytes()) for p in self.planes))
+        return join_parts(self.n.to_bytes(8, "little"), *(join_parts(squeeze(c), *p.blocks) for c, p in zip(self.counts, self.planes)))
 
     @staticmethod
     def from_bytes(raw: bytes) -> WaveletMatrix:
         n, *planes = split_parts(raw)
-        return WaveletMatrix(int.from_bytes(n, "little"), [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in planes])
+        parts = [split_parts(p) for p in planes]
+        return WaveletMatrix(int.from_bytes(n, "little"), [Plane(p[1:]) for p in parts], [expand(p[0]).astype(np.int64) for p in parts])
 
 
 def byte_letters() -> list[str]:
@@ -140,7 +169,7 @@ def byte_letters() -> list[str]:
 
 class Encoder:
     """The tokenizers library behind caches. A text is cut before each single space between other characters, where the tokenizer's
-    pattern always starts a token; a text with white space next to a space goes to the library as it is. A word of Latin letters
+    pattern always starts a token; a text with white space next to a space, or with an added token, goes to the library as it is. A word of Latin letters
     with other marks after it is cut between the two, where the pattern ends a token too, and its letters go to the library's model."""
 
     def __init__(self, path: str):
@@ -148,7 +177,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.words, self.old_words = {}, {}
@@ -203,7 +232,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
         head, parts[0] = parts[0], "."
-        if head[-1:].isspace() or (not head and len(parts) > 1):
+        if head[-1:].isspace() or (not head and len(parts) > 1) or any(t in text for t in self.added):
             return self.whole(text)
         got = list(map(self.words.get, parts))
         if None in got:
@@ -241,7 +270,8 @@ def open_shard(raw: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Shards of docs (doc_id, text) below path, one file each, in the order of part and shard: the ids of each text and end_id."""
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the first letters, so that the rows of one doc_id are not one task; they are in the order of the texts
+    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         part, shard = TaskContext.get().partitionId(), 0

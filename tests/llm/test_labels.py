@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -39,6 +40,11 @@ def test_language_counts_by_brute_force(spark):
     assert sum(n for (_, b), n in got.items() if b >= 0) == sum(max(0, len(t) - n + 1) for t in ("ab a", "éé x", "z") for n in (1, 2, 3))
 
 
+def test_null_id_is_learned_from(spark):
+    df = spark.createDataFrame([(None,), (1,), (7,)], "doc_id long")
+    assert [r.h for r in df.select(held_out(4, 2).alias("h")).collect()] == [False, *(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 7))]
+
+
 def test_toxicity_held_out(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     machine = toxicity.fit(docs, labels.filter(~held_out(4, 2)))

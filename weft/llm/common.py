@@ -107,7 +107,8 @@ def segment_sum(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string")) % modulus == remainder
+    """Whether crc32 of the id as text leaves this remainder; false for a null id, which is learned from everywhere."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == remainder, F.lit(False))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_text(read(spark, sf_dir, "documents"))
-    learned = docs.filter(F.coalesce(~held_out(5, 1), F.lit(True)))
+    learned = docs.filter(~held_out(5, 1))
     return ctw.score(docs, ctw.fit(learned))
 
 

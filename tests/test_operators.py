@@ -12,6 +12,7 @@ from weft.operators import components as cc
 from weft.operators import copying as cp
 from weft.operators import distributions as ds
 from weft.operators import graph, paths
+from pyspark.sql import functions as F
 from weft.operators import links as lk
 from weft.operators import names as nm
 from weft.operators import robustness as rb
@@ -165,11 +166,14 @@ def test_names(spark):
     cands = spark.createDataFrame([("Wolf", 1, "title"), ("Wolf", 2, "label"), ("Air Force", 3, "label"), ("Ghost", 4, "label"), ("Ghost", 5, "label"), ("Gone Far", 6, "label"), ("light", 7, "title")], "name string, node long, source string")
     targets = spark.createDataFrame([("Wolf", None), ("Gone Far", "Elsewhere"), ("Air Force", "2")], "name string, target string")
     stats = spark.createDataFrame([("light", 10, 1), ("ghost", 10, 9)], "term string, seen long, cap long")
-    picked = nm.resolve(cands, targets, stats, spark.createDataFrame([(1,)], "node long"))
+    pages = spark.createDataFrame([(1, "comics"), (2, "Ultimate"), (3, None), (4, None), (5, None), (6, None), (7, None), (8, "Gwen"), (9, None)], "node long, qual string")
+    cands = cands.union(spark.createDataFrame([("Gwen", 8, "title"), ("Justice", 9, "title")], cands.schema))
+    targets = targets.union(spark.createDataFrame([("Gwen", "1")], targets.schema))
+    picked = nm.resolve(cands, targets, stats, pages)
     by = {r.name: (r.pick, r.reason) for r in picked.collect()}
-    assert by == {"Wolf": (1, "page title"), "Air Force": (2, "redirect"), "Ghost": (None, "shared codename"), "Gone Far": (None, "goes elsewhere"), "light": (None, "common word or a title")}
+    assert by == {"Wolf": (1, "page title"), "Air Force": (2, "Wikipedia redirect"), "Ghost": (None, "shared codename"), "Gone Far": (None, "Wikipedia sends it elsewhere"), "light": (None, "common word or a title"), "Gwen": (None, "Wikipedia sends it elsewhere"), "Justice": (None, "read in the text: means someone else")}
     won = nm.share_out(picked, cands, spark.createDataFrame([(4, 9), (5, 3)], "node long, used long"))
-    assert {r.name: r.pick for r in won.collect()}["Ghost"] == 4
+    assert {r.name: (r.pick, r.reason) for r in won.collect()}["Ghost"] == (4, "shared codename; 9 vs 3 unambiguous uses")
 
 
 def test_sentences_and_mentions(spark):
@@ -188,8 +192,13 @@ def test_wikilinks(spark):
     text = "{{Infobox hero|ally=[[A]]}}\nSee [[B|the b]] and ''[[C]]'' <ref>[[D]]</ref>.\n* [[E]]\n== Life ==\n{| \n|[[F]]\n|}\n[[File:x.png|thumb|of [[G]]]] <gallery>\n[[H]]\n</gallery> [[Category:I]]"
     rows = lk.wikilinks(spark.createDataFrame([(9, text), (10, None)], "page long, wikitext string")).collect()
     assert {(r.target, r.shown, r.place, r.section) for r in rows} == {("A", "A", "infobox", "Lead"), ("B", "the b", "prose", "Lead"), ("C", "C", "italic title", "Lead"), ("D", "D", "reference", "Lead"), ("E", "E", "list", "Lead"), ("F", "F", "table", "Life"), ("G", "G", "image caption", "Life"), ("H", "H", "gallery", "Life")}
-    links = spark.createDataFrame([(1, 2, "infobox"), (1, 2, "prose"), (1, 3, "gallery"), (1, 4, "reference")], "a long, b long, place string")
-    assert {r.b: r.reason for r in lk.why_unnamed(links).collect()} == {2: "linked from other words", 3: "linked from other words", 4: "only in a title or a reference"}
+    links = spark.createDataFrame([(1, 0, 2, "infobox", "Lead"), (1, 1, 2, "prose", "Lead"), (1, 2, 3, "gallery", "Lead"), (1, 3, 4, "reference", "Lead"), (1, 4, 6, "prose", "In other media")], "page long, pos long, to long, place string, section string")
+    links = links.withColumns({"target": F.col("to").cast("string"), "shown": F.concat(F.lit("S"), F.col("to")), "line": F.lit("a line")})
+    pairs = spark.createDataFrame([(1, k) for k in (2, 3, 4, 5, 6)], "a long, b long")
+    names = spark.createDataFrame([("S2", 7)], "name string, pick long")
+    none = spark.createDataFrame([], "node long, name string")
+    got = lk.why_unnamed(pairs, links, names, none, none)
+    assert {r.b: r.reason for r in got.collect()} == {2: "a shared codename we give to another page", 3: "linked from other words", 4: "only in a comic title or a reference", 5: "missing from the snapshot source", 6: "only in In other media, which we leave out"}
 
 
 def test_sources(spark, tmp_path):
@@ -250,3 +259,37 @@ def test_runs_of_the_whole_graph(spark):
     for a, b in pairs[:3]:
         one, two = (labels.filter(f"run = {k}").select("node", "community") for k in (a, b))
         assert got[a, b] == pytest.approx(graph.nmi(one, two).first()[0])
+
+
+def test_mentions_with_guards_and_own_names(spark):
+    text = "Read Amazing Wolf #12. Air Force One flew. Wolf saw Ann. The Wolf Pack came. Ann Storm-Two hid, and a storm rose. Storm-ready Wolf ran."
+    units = nm.sentences(spark.createDataFrame([(1, text), (5, "Wolf is Ann. Ann naps.")], "doc long, text string"))
+    resolved = spark.createDataFrame([("Wolf", 1), ("Force", 3), ("Ann", 4), ("Storm", 6)], "name string, pick long")
+    own = spark.createDataFrame([(5, "Ann"), (1, "Wolf")], "node long, name string")
+    stats = spark.createDataFrame([("force", 9, 2), ("wolf", 9, 9)], "term string, seen long, cap long")
+    found = nm.mentions(units, resolved, own, stats, ["ann"])
+    assert sorted((r.doc, r.sid, r.who, r.surface) for r in found.collect()) == [(1, 3, 1, "Wolf"), (1, 3, 4, "Ann"), (1, 6, 1, "Wolf"), (1, 6, 6, "Storm"), (5, 1, 1, "Wolf"), (5, 1, 5, "Ann"), (5, 2, 5, "Ann")]
+    rows = {(r.a, r.b): r for r in nm.evidence(units, found, width=6).collect()}
+    assert rows[1, 4].text == "…f saw Ann." and rows[1, 4].marks == [[7, 10]]
+    assert {(r.a, r.b): (r.named, r.story) for r in nm.mention_pairs(found).collect()} == {(1, 4): (1, 1), (1, 6): (1, 1), (5, 1): (1, 1)}
+
+
+def test_leftmost_longest_by_brute_force():
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(2)
+    for _ in range(200):
+        names = list({"".join(rng.choice("ab -") for _ in range(rng.randrange(1, 5))).strip(" -") for _ in range(6)} - {""})
+        text = "".join(rng.choice("ab -A") for _ in range(30))
+        pattern = re.compile(r"(?<![\w-])(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?!\w|-[A-Z0-9])")
+        assert [p[:2] for p in nm.leftmost(list(nm.Finder(names).places(text)))] == [m.span() for m in pattern.finditer(text)]
+    spans = [(a, z, 0) for a, z in itertools.combinations(range(9), 2)]
+    for _ in range(50):
+        some = rng.sample(spans, 8)
+        want = []
+        for p in sorted(some, key=lambda p: (p[0] - p[1], p[0])):
+            if all(p[1] <= a or z <= p[0] for a, z, _ in want):
+                want.append(p)
+        assert nm.longest(some) == sorted(want)

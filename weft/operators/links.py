@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: fixed values: places from the strongest; an unknown place comes after all
-PLACES = ["prose", "list", "table", "image caption", "template", "infobox", "italic title", "reference"]
-#: fixed values: prefixes of targets that are no pages
-NAMESPACES = ["File", "Image", "Category", "Wikipedia", "Help", "Template"]
+from ..functions import fixed as fx
+from ..functions import text as tx
+from ..functions.fixed import NAMESPACES, PLACES
+
 _OPEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|<(/?)(ref|table|td|th|tr|i|gallery)\b[^>]*?(/?)>|\{\||\|\}|''+|\n==([^=\n]+)==[ \t]*(?=\n)", re.IGNORECASE)
 
 
@@ -67,14 +67,14 @@ def parse_wikitext(text: str) -> list[tuple[str, str, str, str, str]]:
 
 
 def wikilinks(pages: DataFrame) -> DataFrame:
-    """page, target, shown, place, section, line of pages (page, wikitext)."""
-    names = ["page", "target", "shown", "place", "section", "line"]
+    """page, pos, target, shown, place, section, line of pages (page, wikitext)."""
+    names = ["page", "pos", "target", "shown", "place", "section", "line"]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([(p, *row) for p, t in zip(pdf["page"], pdf["wikitext"]) for row in parse_wikitext(t or "")], columns=names)
+            yield pd.DataFrame([(p, i, *row) for p, t in zip(pdf["page"], pdf["wikitext"]) for i, row in enumerate(parse_wikitext(t or ""))], columns=names)
 
-    return pages.select("page", "wikitext").mapInPandas(run, ", ".join(f"{n} {'long' if n == 'page' else 'string'}" for n in names))
+    return pages.select("page", "wikitext").mapInPandas(run, ", ".join(f"{n} {'long' if n in ('page', 'pos') else 'string'}" for n in names))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -92,12 +92,25 @@ def titles(redirects: DataFrame) -> DataFrame:
     return redirects.select(norm.alias("title"), "node", "ord").groupBy("title").agg(F.expr("min_by(node, struct(ord, node))").alias("node"))
 
 
+def strength():
+    """Rank of a link's place; an unknown place comes after all."""
+    return F.coalesce(*[F.when(F.col("place") == p, F.lit(i)) for i, p in enumerate(PLACES)], F.lit(len(PLACES)))
+
+
 def best_link(links: DataFrame, by: list[str]) -> DataFrame:
     """The link of each group with the strongest place, then the most frequent target, then the smallest target."""
-    rank = F.coalesce(*[F.when(F.col("place") == p, F.lit(i)) for i, p in enumerate(PLACES)], F.lit(len(PLACES)))
     n = F.count("*").over(Window.partitionBy(*by, "target"))
     order = Window.partitionBy(*by).orderBy("rank", F.desc("n"), "target", "shown")
-    return links.withColumn("rank", rank).withColumn("n", n).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "rank", "n")
+    return links.withColumn("rank", strength()).withColumn("n", n).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "rank", "n")
+
+
+def redirect_titles(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """node, titles: the titles that lead to each node: its own, and, where it alone has its present one, that and all that redirect to it.
+    pages: node (a title with underscores), title_now; redirects: dest, title."""
+    alone = pages.withColumn("n", F.count("*").over(Window.partitionBy("title_now"))).filter("n = 1 and title_now is not null").select("node", "title_now")
+    every = pages.select("node", F.translate("node", "_", " ").alias("title")).union(alone)
+    every = every.union(alone.join(redirects, F.col("title_now") == F.col("dest")).select("node", "title"))
+    return every.groupBy("node").agg(F.sort_array(F.collect_set("title")).alias("titles"))
 
 
 def ledger(links: DataFrame, mentions: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
@@ -110,8 +123,66 @@ def ledger(links: DataFrame, mentions: DataFrame, reasons: DataFrame | None = No
     return rows.select("a", "b", "linked", "named", "back", why.alias("why"))
 
 
-def why_unnamed(links: DataFrame) -> DataFrame:
-    """a, b, reason of links (a, b, place): by the strongest place that the link has."""
-    best = best_link(links.withColumns({"target": F.col("b").cast("string"), "shown": F.lit("")}), ["a", "b"])
-    reason = F.when(F.col("place") == "infobox", "only in the infobox").when(F.col("place").isin("italic title", "reference"), "only in a title or a reference").when(F.col("place").isin("table", "image caption", "template"), "only in a table or caption").otherwise("linked from other words")
-    return best.select("a", "b", reason.alias("reason"))
+_SOURCE = "if(max(rank) is null, null, min_by(struct(place, shown, target, to, line), {}))"
+
+
+def why_unnamed(pairs: DataFrame, links: DataFrame, resolved: DataFrame, own: DataFrame, cands: DataFrame) -> DataFrame:
+    """a, b, reason, src of linked pairs (a, b) that a's text doesn't name, by what its source shows. links: page, pos, to, target, shown,
+    place, section, line; resolved: name, pick; own: node, name; cands: name, node. The first reason that holds decides; src is the link
+    with the strongest place, the first of such."""
+    rows = pairs.select("a", "b").join(links.withColumnsRenamed({"page": "a"}).withColumn("b", F.col("to")), ["a", "b"], "left").withColumn("rank", strength())
+    read = ~F.coalesce(F.col("section").isin(fx.SKIPPED), F.lit(False))
+    rows = rows.withColumn("read", F.col("pos").isNotNull() & read)
+    picks = resolved.select(F.col("name").alias("shown"), "pick")
+    mine = own.select(F.col("node").alias("a"), F.col("name").alias("shown"), F.lit(True).alias("is_own")).distinct()
+    theirs = own.select(F.col("node").alias("b"), F.col("name").alias("shown"), F.lit(True).alias("is_theirs")).distinct()
+    claimed = cands.select(F.col("node").alias("b"), F.col("name").alias("shown"), F.lit(True).alias("claimed")).distinct()
+    rows = rows.join(picks, "shown", "left").join(mine, ["a", "shown"], "left").join(theirs, ["b", "shown"], "left").join(claimed, ["b", "shown"], "left")
+    said = F.col("read") & F.col("place").isin("prose", "list")
+    any_of = lambda flag: F.coalesce(F.bool_or(said & F.coalesce(flag, F.lit(False))), F.lit(False))
+    per = rows.groupBy("a", "b").agg(
+        F.count("pos").alias("n"), F.count_if("read").alias("n_read"), F.min(F.when(F.col("read"), F.col("rank"))).alias("best"),
+        any_of(F.col("pick") != F.col("b")).alias("elsewhere"), any_of(F.col("is_own")).alias("own"), any_of(F.col("claimed") & F.col("pick").isNull()).alias("open"),
+        any_of((F.col("pick") == F.col("b")) | F.col("is_theirs")).alias("missed"),
+        F.expr(f"coalesce({_SOURCE.format('if(read, struct(rank, pos), null)')}, {_SOURCE.format('struct(pos)')})").alias("src"),
+    )
+    place = F.element_at(F.array(*map(F.lit, [*PLACES, "gallery"])), F.col("best") + 1)
+    reason = F.when(F.col("n") == 0, fx.MISSING).when(F.col("n_read") == 0, "only in In other media, which we leave out").when(place == "infobox", "only in the infobox")
+    reason = reason.when(place.isin("italic title", "reference"), "only in a comic title or a reference").when(place.isin("table", "image caption", "template"), "only in a table or caption")
+    reason = reason.when(F.col("elsewhere"), "a shared codename we give to another page").when(F.col("own"), "the page's own codename, which we read as the page itself")
+    reason = reason.when(F.col("open"), "a shared codename we leave unresolved").when(F.col("missed"), "named, but our matcher missed it").otherwise("linked from other words")
+    return per.select("a", "b", reason.alias("reason"), "src")
+
+
+def why_unlinked(pairs: DataFrame, links: DataFrame, shown: DataFrame) -> DataFrame:
+    """a, b, reason, src of named pairs (a, b) that a doesn't link, by where its source sends the words. shown: a, b, shown; links as in
+    why_unnamed. src is the link with the strongest place, of such to the most frequent target, the first of such."""
+    rows = pairs.select("a", "b").join(shown, ["a", "b"], "left").join(links.withColumnRenamed("page", "a").filter(~F.coalesce(F.col("section").isin(fx.SKIPPED), F.lit(False))), ["a", "shown"], "left")
+    rows = rows.withColumn("rank", F.when(F.col("pos").isNotNull(), strength())).withColumn("n", F.count("pos").over(Window.partitionBy("a", "b", "target")))
+    per = rows.groupBy("a", "b").agg(F.expr(_SOURCE.format("if(pos is null, null, struct(rank, -n, pos))")).alias("src"))
+    reason = F.when(F.col("src").isNull(), "never linked on this page").when(F.col("src.to").isNotNull(), "the name is linked to another of our pages").otherwise("the name is linked to a page outside the 303")
+    return per.select("a", "b", reason.alias("reason"), "src")
+
+
+def full_ledger(links: DataFrame, mentions: DataFrame, unnamed: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """a, b, linked, named, story, back, why, code, family, src of every pair that is linked or named. mentions: a, b, named, story."""
+    reasons = unnamed.select("a", "b", "reason").union(unlinked.select("a", "b", "reason"))
+    src = unnamed.select("a", "b", "src").union(unlinked.select("a", "b", "src"))
+    rows = ledger(links, mentions.select("a", "b", "named"), reasons).join(mentions.select("a", "b", "story"), ["a", "b"], "left").na.fill(0, ["story"])
+    return coded(rows.join(src, ["a", "b"], "left"))
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """rows (why and others) with each reason's code and family."""
+    table = rows.sparkSession.createDataFrame(fx.REASONS, "why string, code string, family string")
+    return rows.join(F.broadcast(table), "why", "left")  # a row for each reason
+
+
+def exported(full: DataFrame, evidence: DataFrame) -> DataFrame:
+    """a, b, pair: each row of full_ledger as one struct, with its sentences (a, b, rank, sec, text, marks) and its link's line around the
+    words shown."""
+    ev = evidence.groupBy("a", "b").agg(F.expr("transform(array_sort(collect_list(struct(rank, text, marks, sec))), e -> struct(e.text as t, e.marks as h, e.sec as sec))").alias("ev"))
+    line, shown = F.col("src.line"), F.col("src.shown")
+    src = F.when(F.col("src").isNotNull(), F.struct(F.col("src.place").alias("p"), shown.alias("sh"), F.col("src.target").alias("t"), F.col("src.to").alias("to"), tx.clipped(line, shown).alias("ln")))
+    pair = F.struct(F.col("linked").cast("int").alias("l"), F.col("named").alias("n"), F.col("code").alias("w"), F.col("story").alias("s"), F.col("back").cast("int").alias("bk"), F.coalesce("ev", F.expr("array()")).alias("ev"), src.alias("src"))
+    return full.join(ev, ["a", "b"], "left").select("a", "b", pair.alias("pair"))

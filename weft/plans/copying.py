@@ -51,7 +51,7 @@ def t_tokens_w5(spark, d):
     return _docs(spark, d).withColumn("t", t).filter("size(t) > 0").select("doc_id", F.size("t").cast("long").alias("n"), F.element_at("t", 1).alias("first_token"), F.element_at("t", -1).alias("last_token"))
 
 
-@query("t_body", "select doc_id, length(regexp_replace(text, '(?s)\\n\\n\\n(?:References|External links|See also|Notes|Footnotes|Further reading|Bibliography)\\n.*$', '')) n from documents")
+@query("t_body", "select doc_id, length(regexp_replace(text, '(?s)\\n\\n\\n(?:References|External links|See also|Notes|Further reading|Bibliography|Sources)\\n.*$', '')) n from documents")
 def t_body(spark, d):
     return _docs(spark, d).select("doc_id", F.length(tx.body(F.col("text"))).cast("long").alias("n"))
 

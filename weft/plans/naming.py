@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as fx
 from ..functions import text as tx
 from ..operators import graph
 from ..operators import links as lk
@@ -34,40 +35,161 @@ def n_candidates(spark, d):
     return nm.candidates(_proposals(spark, d))
 
 
+_STATS = "words as (select unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) word from benchmark), stats as (select lower(word) term, count(*) seen, count(*) filter (regexp_matches(word, '^[A-Z]')) cap from words group by 1)"
+_TITLE_START = fx.TITLE_WORDS.replace("'", "''")
+_USABLE = f"""named as (select c."name", coalesce(contains(c."name", ' ') or contains(c."name", '-') or coalesce(seen, 0) = 0 or cap > {fx.NAME_CAP} * seen, false) is_name from (select distinct "name" from cands) c left join stats on term = lower(c."name")),
+  use as (select "name", is_name and "name" not in ('{"', '".join(fx.DROP)}') and not regexp_matches("name", '{_TITLE_START}') is_usable from named)"""
+#: pages have no qualifier and no target here, so the first source decides
+_RESOLVED = f"""per as (select "name", count(*) n, count(*) filter (source = 'title') titles, min(node) "only" from cands group by 1),
+  resolved as (select use."name", case when is_usable and n = 1 and (titles = 1 or (contains(use."name", ' ') and len(list_filter(string_split(use."name", ' '), lambda z: not regexp_matches(z, '^[A-Z]'))) = 0)) then "only" end pick,
+    case when use."name" in ('{"', '".join(fx.DROP)}') then 'read in the text: means someone else' when not is_usable then 'common word or a title' when titles = 1 then 'page title' when n = 1 and contains(use."name", ' ') and len(list_filter(string_split(use."name", ' '), lambda z: not regexp_matches(z, '^[A-Z]'))) = 0 then 'no page; unique full name' when n >= 2 then 'shared codename' else 'ambiguous' end reason from use join per using ("name")),
+  main as (select "name", min(node) filter (source = 'title') main_node, count(*) filter (source = 'title') mains from cands group by 1),
+  res as (select r."name", case when reason = 'page title' then main_node else pick end pick, reason from resolved r join main using ("name"))"""
+_NAMES = b.sql(PROPOSED, _CANDS, _STATS, _USABLE, _RESOLVED, "{}")
+
+
+def _stats(spark, d):
+    return tf.word_stats(b.read(spark, d, "benchmark").select(F.explode(tx.capitals(F.col("text"))).alias("word")))
+
+
 def _resolved(spark, d):
     cands = written(nm.candidates(_proposals(spark, d)), "candidates")
-    words = b.read(spark, d, "benchmark").select(F.explode(tx.capitals(F.col("text"))).alias("word"))
-    stats = tf.word_stats(words)
     none = cands.select("name").distinct().select("name", F.lit(None).cast("string").alias("target"))
-    return cands, written(nm.resolve(cands, none, stats, cands.select("node").distinct()), "resolved")
+    pages = cands.select("node", F.lit(None).cast("string").alias("qual")).distinct()
+    return cands, written(nm.resolve(cands, none, _stats(spark, d), pages), "resolved")
 
 
-@query("n_resolve")
+@query("n_resolve", _NAMES.format('select "name", pick, reason from res'))
 def n_resolve(spark, d):
     return _resolved(spark, d)[1]
 
 
-@query("agg_resolution")
+@query("n_namelike", b.sql(PROPOSED, _CANDS, _STATS, _USABLE, 'select "name", is_name from named'))
+def n_namelike(spark, d):
+    return nm.namelike(_stats(spark, d), nm.candidates(_proposals(spark, d)).select("name").distinct())
+
+
+@query("n_usable", b.sql(PROPOSED, _CANDS, _STATS, _USABLE, 'select "name", is_usable from use'))
+def n_usable(spark, d):
+    return nm.usable(_stats(spark, d), nm.candidates(_proposals(spark, d)).select("name").distinct())
+
+
+@query("agg_resolution", _NAMES.format("select string_split(reason, ';')[1] reason, count(*) n from res group by 1"))
 def agg_resolution(spark, d):
     return _resolved(spark, d)[1].groupBy(F.split("reason", ";")[0].alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("l_names_of")
+@query("l_names_of", _NAMES.format('select pick, list_sort(list(distinct "name")) as "names" from res where pick is not null group by pick'))
 def l_names_of(spark, d):
     return nm.names_of(_resolved(spark, d)[1])
 
 
+_OWN_SQL = f"""mant as (select item_id node from benchmark where length(text) > 240),
+  mine as (select c.node, c."name" from cands c join use using ("name") join res using ("name") left join mant on mant.node = c.node where is_usable and (pick is null or pick = c.node or mant.node is null)),
+  parts as (select node, unnest(string_split("name", ' ')) as "name" from mine),
+  likely as (select distinct p.node, p."name" from parts p left join stats on term = lower(p."name") where regexp_matches(p."name", '{fx.OWN_WORD.replace("'", "''")}') and p."name" not in ('{"', '".join(fx.OWN_STOP)}') and (contains(p."name", '-') or coalesce(seen, 0) = 0 or cap > {fx.NAME_CAP} * seen)),
+  owned as (select node, "name" from mine union select * from likely union select pick, "name" from res where pick is not null)"""
+
+
+def _own(spark, d, cands, resolved):
+    long = b.read(spark, d, "benchmark").filter("length(text) > 240").select(F.col("item_id").alias("node"))  # stands for pages on a name of many
+    return nm.own_names(cands, resolved, _stats(spark, d), long)
+
+
+@query("n_own", b.sql(PROPOSED, _CANDS, _STATS, _USABLE, _RESOLVED, _OWN_SQL, 'select node, "name" from owned'))
+def n_own(spark, d):
+    return _own(spark, d, *_resolved(spark, d))
+
+
+_HOPS = """part_names as (select distinct p_name as "name" from part), norm as (select p_name source, max(upper(p_name)) dest from part where p_size < 10 group by 1),
+  redir as (select p_name source, max(p_brand) dest from part where p_size >= 45 group by 1), pg as (select title, bool_or(missing) missing, bool_or(many) many from (select p_name title, p_size between 20 and 22 missing, p_size between 30 and 32 many from part union all select upper(p_name), false, p_size = 5 from part union all select p_brand, false, false from part) group by 1)"""
+_LANDS = """asked as (select "name" from part_names union select replace(nd, '_', ' ') from nd), hop as (select a."name", coalesce(norm.dest, a."name") t from asked a left join norm on norm.source = a."name"),
+  hop2 as (select h."name", coalesce(redir.dest, h.t) title from hop h left join redir on redir.source = h.t), lands as (select h."name", case when pg.title is null or missing then null when many then '(disambiguation)' else replace(h.title, ' ', '_') end lands from hop2 h left join pg using (title)),
+  moved as (select lands, min(nd) node from nd join lands on lands."name" = replace(nd, '_', ' ') where lands is not null and lands <> '(disambiguation)' group by lands having count(*) = 1)"""
+
+
+@query("n_redirect", b.sql(_HOPS, "nd as (select distinct replace(p_name, ' ', '_') nd from part where p_size > 25)", _LANDS, 'select p."name", coalesce(moved.node, lands.lands) target from part_names p join lands using ("name") left join moved using (lands)'))
+def n_redirect(spark, d):
+    """Part names as titles: some are normalised, some redirect to a brand, some are missing or lists of meanings."""
+    part = b.read(spark, d, "part")
+    names, nodes = part.select(F.col("p_name").alias("name")).distinct(), part.filter("p_size > 25").select(F.translate("p_name", " ", "_").alias("node")).distinct()
+    norm, redir = part.filter("p_size < 10").selectExpr("p_name source", "upper(p_name) dest"), part.filter("p_size >= 45").selectExpr("p_name source", "p_brand dest")
+    pages = part.selectExpr("p_name title", "p_size between 20 and 22 missing", "p_size between 30 and 32 disambiguation")
+    pages = pages.union(part.selectExpr("upper(p_name)", "false", "p_size = 5")).union(part.selectExpr("p_brand", "false", "false"))
+    lands = nm.landed(names.union(nodes.select(F.translate("node", "_", " "))), norm, redir, pages)
+    return nm.redirected(names, nodes, lands)
+
+
+_ABBR = "|".join(fx.ABBREVIATIONS)
+#: boundaries first, then those after abbreviations undone
+_CUT = f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(line, '([.!?][\"''”)]*)\\s+([A-Z\"“(])', '\\1' || chr(10) || '\\2', 'g'), '\\b({_ABBR})\\.([\"''”)]*)\\n', '\\1.\\2 ', 'g'), chr(10)), lambda z: trim(z)), lambda z: z <> '')"
+_LINES = "list_filter(list_transform(string_split({}, chr(10)), lambda z: trim(z)), lambda z: length(z) > 70 or regexp_matches(z, '[.!?]$'))"
+
+
 def _units(spark, d):
     return nm.sentences(b.read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
-@query("m_sentences")
+@query("m_sentences", f"with b as (select doc_id doc, {_LINES.format('text')} ls from documents), l as (select doc, unnest(ls) line from b), s as (select doc, len({_CUT}) n from l) select doc, count(*) filter (n > 0) paragraphs, cast(sum(n) as bigint) sentences from s group by doc having sum(n) > 0")
 def m_sentences(spark, d):
     return _units(spark, d).groupBy("doc").agg(F.max("par").alias("paragraphs"), F.max("sid").alias("sentences"))
 
 
+_HEADS = ["Biography", "1970s", "Powers and limits", "In other media", "Reception by critics"]
+#: a conversation as a page: each turn under a heading
+_TURNS = f"t as (select conv_id doc, turn, ['{"', '".join(_HEADS)}'][1 + turn % 5] head, text from conversations), sec as (select doc, turn, head, text, coalesce(last_value(case head when 'Biography' then 'Fictional character biography' when 'Powers and limits' then 'Powers and abilities' when 'In other media' then 'In other media' when 'Reception by critics' then 'Reception' end ignore nulls) over (partition by doc order by turn rows between unbounded preceding and current row), 'Lead') sec from t)"
+_WALK = f"bl as (select doc, turn, sec, unnest(ls) line, unnest(range(len(ls))) k from (select *, {_LINES.format('text')} ls from sec)), sn as (select doc, turn, sec, k, {_CUT} ss from bl), pr as (select doc, turn, sec, k, ss, row_number() over (partition by doc order by turn, k) par from sn where len(ss) > 0), un as (select doc, sec, par, unnest(ss) text, len(ss) m from pr)"
+
+
+def _pages_of_turns(spark, d):
+    heads = F.array(*map(F.lit, _HEADS))
+    rows = b.read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), "turn", F.concat(F.lit("\n\n\n"), F.element_at(heads, (F.col("turn") % 5 + 1).cast("int")), F.lit("\n"), F.col("text")).alias("piece"))
+    return rows.groupBy("doc").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, piece))), x -> x.piece), '')").alias("text"))
+
+
+@query("t_sections", b.sql(_TURNS, "select doc, sec, count(*) parts from sec group by all"))
+def t_sections(spark, d):
+    """Headings as sections, an unknown one as part of the current section."""
+    rows = _pages_of_turns(spark, d).select("doc", F.posexplode(tx.parts(F.col("text"))).alias("part", "p")).filter("part > 0")
+    current = F.last(tx.section(F.col("p.head")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("part"))
+    return rows.select("doc", F.coalesce(current, F.lit(fx.LEAD)).alias("sec")).groupBy("doc", "sec").agg(F.count("*").alias("parts"))
+
+
+@query("jn_heading", b.sql(_TURNS, "select doc, turn + 1 part, head, sec from sec"))
+def jn_heading(spark, d):
+    rows = _pages_of_turns(spark, d).select("doc", F.posexplode(tx.parts(F.col("text"))).alias("part", "p")).filter("part > 0")
+    current = F.last(tx.section(F.col("p.head")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("part"))
+    return rows.select("doc", F.col("part").cast("long").alias("part"), "p.head", F.coalesce(current, F.lit(fx.LEAD)).alias("sec"))
+
+
+@query("jn_prefix", "select head, case when head = 'Biography' then 'Fictional character biography' when head = 'In other media' then 'In other media' when starts_with(head, 'Reception') then 'Reception' when starts_with(head, 'Powers') then 'Powers and abilities' end section, count(*) n from (select ['" + "', '".join(_HEADS) + "'][1 + turn % 5] head from conversations) group by all")
+def jn_prefix(spark, d):
+    heads = F.array(*map(F.lit, _HEADS))
+    rows = b.read(spark, d, "conversations").select(F.element_at(heads, (F.col("turn") % 5 + 1).cast("int")).alias("head"))
+    return rows.select("head", tx.section(F.col("head")).alias("section")).groupBy("head", "section").agg(F.count("*").alias("n"))
+
+
+@query("m_walk", b.sql(_TURNS, _WALK, "select doc, par, any_value(sec) sec, count(*) n, min(text) first_text from un group by doc, par"))
+def m_walk(spark, d):
+    """Page, section, paragraph, sentence."""
+    return nm.sentences(_pages_of_turns(spark, d)).groupBy("doc", "par").agg(F.max("sec").alias("sec"), F.count("*").alias("n"), F.min("text").alias("first_text"))
+
+
+@query("flt_section", b.sql(_TURNS, _WALK, "select doc, par, count(*) n from un where sec <> 'In other media' group by all"))
+def flt_section(spark, d):
+    """Paragraphs keep their numbers when a section is left out."""
+    return nm.sentences(_pages_of_turns(spark, d), fx.SKIPPED).groupBy("doc", "par").agg(F.count("*").alias("n"))
+
+
+@query("flt_mantle", f"select p_partkey from (select p_partkey, case when p_size % 2 = 0 then 'The name of' else 'An alias used by' end || ' ' || case when p_size > 25 then 'several' else 'one' end || ' ' || p_name description from part) where regexp_matches(description, '{fx.MANTLE}')")
+def flt_mantle(spark, d):
+    text = F.concat(F.expr("if(p_size % 2 = 0, 'The name of ', 'An alias used by ')"), F.expr("if(p_size > 25, 'several ', 'one ')"), F.col("p_name"))
+    return nm.mantles(b.read(spark, d, "part").select(F.col("p_partkey").alias("node"), text.alias("description"))).select(F.col("node").alias("p_partkey"))
+
+
 def _mentions(spark, d):
-    return written(nm.mentions(_units(spark, d), _resolved(spark, d)[1]), "mentions")
+    cands, resolved = _resolved(spark, d)
+    return written(nm.mentions(_units(spark, d), resolved, _own(spark, d, cands, resolved), _stats(spark, d)), "mentions")
 
 
 @query("m_extract")
@@ -77,7 +199,32 @@ def m_extract(spark, d):
 
 @query("agg_mentions")
 def agg_mentions(spark, d):
-    return nm.mention_pairs(_mentions(spark, d))
+    return nm.mention_pairs(_mentions(spark, d)).select("a", "b", "named")
+
+
+@query("g_mention")
+def g_mention(spark, d):
+    """Degrees of the network of who names whom."""
+    pairs = nm.mention_pairs(_mentions(spark, d)).selectExpr("a src", "b dst")
+    return pairs.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(pairs.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("o").alias("names"), F.sum("i").alias("named_by"))
+
+
+@query("g_comention")
+def g_comention(spark, d):
+    """Who is named in one sentence, and in how many."""
+    return nm.comentions(_mentions(spark, d), ["doc", "sid"])
+
+
+@query("agg_sections_pair", b.sql(_TURNS, _WALK, f"select doc a, count(*) named, count(*) filter (sec in ('{"', '".join(fx.STORY)}')) story from un group by doc"))
+def agg_sections_pair(spark, d):
+    """Sentences of each page, and those of them in story sections."""
+    return nm.sentences(_pages_of_turns(spark, d)).groupBy(F.col("doc").alias("a")).agg(F.count("*").alias("named"), F.count_if(F.col("sec").isin(fx.STORY)).alias("story"))
+
+
+@query("l_evidence")
+def l_evidence(spark, d):
+    units = written(_units(spark, d), "units")
+    return nm.evidence(units, nm.mentions(units, _resolved(spark, d)[1]))
 
 
 @query("agg_use")
@@ -92,7 +239,10 @@ def n_shared(spark, d):
     return nm.share_out(resolved, cands, uses)
 
 
-@query("t_kwic", None)
+_KWIC = "h as (select doc_id doc, text, list_filter(range(1, length(text) - 5), lambda i: lower(substr(text, i, 7)) = 'license' and not regexp_matches(substr(text, i + 7, 1), '[A-Za-z]') and (i = 1 or not regexp_matches(substr(text, i - 1, 1), '[A-Za-z]'))) places from documents where contains(lower(text), 'license')), k as (select doc, text, unnest(list_filter([places[1], case when len(places) > 1 then places[1 + len(places) // 2] end], lambda x: x is not null)) i from h where len(places) > 0)"
+
+
+@query("t_kwic", b.sql(_KWIC, "select doc, case when i > 76 then '…' else '' end || regexp_replace(substr(text, greatest(i - 75, 1), least(75, i - 1)), '\\s+', ' ', 'g') as \"left\", substr(text, i, 7) hit, regexp_replace(substr(text, i + 7, 75), '\\s+', ' ', 'g') || case when length(text) > i + 6 + 75 then '…' else '' end as \"right\" from k"))
 def t_kwic(spark, d):
     return nm.kwic(b.read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "license")
 
@@ -155,7 +305,7 @@ def jn_title(spark, d):
 @query("flt_namespace", b.sql(LINKS, "select target, count(*) n from al where split_part(target, ':', 1) not in ('File', 'Image', 'Category', 'Wikipedia', 'Help', 'Template') group by 1"))
 def flt_namespace(spark, d):
     rows = lk.anchors(b.read(spark, d, "pages"))
-    return rows.filter(~F.split("target", ":")[0].isin(lk.NAMESPACES)).groupBy("target").agg(F.count("*").alias("n"))
+    return rows.filter(~F.split("target", ":")[0].isin(fx.NAMESPACES)).groupBy("target").agg(F.count("*").alias("n"))
 
 
 _SPARSE2 = f"m0 as ({b._HANDED.format(f"event_type = 'error' and value >= {b.SEVERE}")}), men as (select src a, dst b, count(*) named from m0 where dst is not null and src <> dst group by all)"
@@ -190,6 +340,83 @@ def js_named_linked(spark, d):
     return l_ledger(spark, d).groupBy("b").agg(F.count_if(F.col("named") > 0).alias("naming"), F.count_if("linked").alias("linking"))
 
 
+_SOURCE_PAGES = """ph as (select page_id, regexp_extract_all(html, '(<li>)?<a href="([^"]*)">([^<]*)</a>') h, string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') w from pages),
+  ah as (select page_id, unnest(h) hit, unnest(range(len(h))) pos from ph),
+  cand as (select distinct w[1] as "name", page_id node from ph where w[1] <> ''), pk as (select "name", case when count(*) = 1 then min(node) end pick, min(node) node from cand group by 1),
+  ow as (select distinct page_id node, w[2] as "name" from ph where len(w) > 1),
+  lk as (select page_id page, pos, regexp_extract(hit, 'href="([^"]*)"', 1) target, regexp_extract(hit, '">([^<]*)</a>', 1) shown, case when hit like '<li>%' then 'list' else 'prose' end place, case when pos % 4 = 3 then 'In other media' else 'Lead' end as section from ah),
+  ln as (select lk.*, pk.node "to", case when place = 'prose' then 0 else 1 end rk from lk left join pk on pk."name" = shown),
+  lp as (select distinct page a, "to" b from ln where "to" is not null and page <> "to" union select x.page_id, y.page_id from pages x join pages y on y.page_id = x.page_id + 1),
+  tw as (select page_id a, unnest(w) word from ph), me as (select a, pick b, count(*) named, word from tw join pk on word = "name" where pick is not null and pick <> a group by a, pick, word), mp as (select a, b, cast(sum(named) as bigint) named from me group by a, b),
+  fl as (select lp.a, lp.b, ln.pos, ln.section <> 'In other media' is_read, ln.rk, ln.shown, pk.pick, exists (select 1 from ow where node = lp.a and "name" = ln.shown) is_own, exists (select 1 from ow where node = lp.b and "name" = ln.shown) is_theirs, exists (select 1 from cand where node = lp.b and "name" = ln.shown) claimed from lp left join ln on ln.page = lp.a and ln."to" = lp.b left join pk on pk."name" = ln.shown),
+  why1 as (select a, b, case when count(pos) = 0 then 'missing from the snapshot source' when count(*) filter (is_read) = 0 then 'only in In other media, which we leave out' when bool_or(is_read and coalesce(pick <> b, false)) then 'a shared codename we give to another page' when bool_or(is_read and is_own) then 'the page''s own codename, which we read as the page itself' when bool_or(is_read and claimed and pick is null) then 'a shared codename we leave unresolved' when bool_or(is_read and (coalesce(pick = b, false) or is_theirs)) then 'named, but our matcher missed it' else 'linked from other words' end reason from fl where not exists (select 1 from mp where mp.a = fl.a and mp.b = fl.b) group by a, b),
+  sf as (select mp.a, mp.b, ln.pos, ln.rk, ln.target, ln."to" tt, ln.shown, count(ln.pos) over (partition by mp.a, mp.b, ln.target) n from mp join me using (a, b) left join ln on ln.page = mp.a and ln.shown = me.word and ln.section <> 'In other media' where not exists (select 1 from lp where lp.a = mp.a and lp.b = mp.b)),
+  bs as (select *, row_number() over (partition by a, b order by pos is null, rk, n desc, pos) r from sf),
+  why2 as (select a, b, case when pos is null then 'never linked on this page' when tt is not null then 'the name is linked to another of our pages' else 'the name is linked to a page outside the 303' end reason, target from bs where r = 1),
+  led as (select coalesce(lp.a, mp.a) a, coalesce(lp.b, mp.b) b, lp.a is not null linked, coalesce(mp.named, 0) named, exists (select 1 from lp z where z.a = coalesce(lp.b, mp.b) and z.b = coalesce(lp.a, mp.a)) back, case when lp.a is not null and mp.a is not null then 'both' else coalesce(why1.reason, why2.reason) end why from lp full join mp on mp.a = lp.a and mp.b = lp.b left join why1 on why1.a = lp.a and why1.b = lp.b left join why2 on why2.a = mp.a and why2.b = mp.b)"""
+
+
+def _page_tables(spark, d):
+    """Pages named by the first word of their titles, their anchors as links, and the title's words as mentions."""
+    pages = b.read(spark, d, "pages")
+    words = pages.select("page_id", F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " ").alias("w"))
+    cands = words.select(F.col("w")[0].alias("name"), F.col("page_id").alias("node")).filter("name <> ''").distinct()
+    picks = cands.groupBy("name").agg(F.expr("if(count(*) = 1, min(node), null)").alias("pick"), F.min("node").alias("node"))
+    own = words.filter("size(w) > 1").select(F.col("page_id").alias("node"), F.col("w")[1].alias("name")).distinct()
+    links = lk.anchors(pages).withColumnRenamed("page_id", "page").withColumn("section", F.expr("if(pos % 4 = 3, 'In other media', 'Lead')")).withColumn("line", F.col("shown"))
+    links = written(links.join(picks.select(F.col("name").alias("shown"), F.col("node").alias("to")), "shown", "left"), "links")
+    ids = pages.select("page_id")
+    pairs = links.filter("to is not null and page <> to").selectExpr("page a", "to b").union(ids.join(ids.selectExpr("page_id + 1 other", "page_id prev"), F.col("page_id") == F.col("other")).selectExpr("prev", "page_id")).distinct()
+    said = words.select(F.col("page_id").alias("a"), F.explode("w").alias("name")).join(picks, "name").filter("pick is not null and pick <> a").select("a", F.col("pick").alias("b"), F.col("name").alias("shown"))
+    return cands, picks.select("name", "pick"), own, links, written(pairs, "pairs"), written(said, "said")
+
+
+def _full_ledger(spark, d):
+    cands, picks, own, links, pairs, said = _page_tables(spark, d)
+    named = said.groupBy("a", "b").agg(F.count("*").alias("named"), F.lit(0).cast("long").alias("story"))
+    one = lk.why_unnamed(pairs.join(named, ["a", "b"], "left_anti"), links, picks, own, cands)
+    two = lk.why_unlinked(named.join(pairs, ["a", "b"], "left_anti"), links, said.distinct())
+    return one, two, lk.full_ledger(pairs, named, one, two)
+
+
+@query("l_why_unnamed", b.sql(_SOURCE_PAGES, "select * from why1"))
+def l_why_unnamed(spark, d):
+    return _full_ledger(spark, d)[0].select("a", "b", "reason")
+
+
+@query("l_why_unlinked", b.sql(_SOURCE_PAGES, "select * from why2"))
+def l_why_unlinked(spark, d):
+    return _full_ledger(spark, d)[1].select("a", "b", "reason", F.col("src.target").alias("target"))
+
+
+_CODES = "codes(why, code, family) as (values " + ", ".join("('" + "', '".join(v.replace("'", "''") for v in row) + "')" for row in fx.REASONS) + ")"
+
+
+@query("l_code_family", b.sql(_SOURCE_PAGES, _CODES, "select a, b, linked, named, back, why, code, family from led left join codes using (why)"))
+def l_code_family(spark, d):
+    return _full_ledger(spark, d)[2].select("a", "b", "linked", "named", "back", "why", "code", "family")
+
+
+@query("l_export", b.sql(_SOURCE_PAGES, _CODES, "select a, b, cast(linked as int) l, named n, code w, cast(back as int) bk from led left join codes using (why)"))
+def l_export(spark, d):
+    none = spark.createDataFrame([], "a long, b long, rank int, sec string, text string, marks array<array<long>>")
+    return lk.exported(_full_ledger(spark, d)[2], none).select("a", "b", "pair.l", "pair.n", "pair.w", "pair.bk")
+
+
+@query("l_redirect_titles", "with p as (select p_partkey node, p_name title_now, count(*) over (partition by p_name) n from part), a as (select * from p where n = 1), t as (select node, cast(node as varchar) title from p union select node, title_now from a union select a.node, s_name from a join supplier on s_suppkey % 200 = a.node % 200) select node, list_sort(list(title)) titles from t group by node")
+def l_redirect_titles(spark, d):
+    part, supplier = b.read(spark, d, "part"), b.read(spark, d, "supplier")
+    pages = part.select(F.col("p_partkey").cast("string").alias("node"), F.col("p_name").alias("title_now"))
+    redirects = part.join(supplier, F.col("s_suppkey") % 200 == F.col("p_partkey") % 200).select(F.col("p_name").alias("dest"), F.col("s_name").alias("title")).distinct()
+    return lk.redirect_titles(pages, redirects).select(F.col("node").cast("long").alias("node"), "titles")
+
+
+@query("l_show_label", f"select p_partkey, regexp_replace(p_name || case when p_size % 2 = 0 then ' (comics)' else ' (' || p_brand || ')' end, '{fx.GENERIC_SUFFIX}', '') as \"label\" from part")
+def l_show_label(spark, d):
+    full = F.concat("p_name", F.expr("if(p_size % 2 = 0, ' (comics)', concat(' (', p_brand, ')'))"))
+    return b.read(spark, d, "part").select("p_partkey", tx.shown_label(full).alias("label"))
+
+
 @query("js_mode16", b.sql(b.DENSE, _SPARSE2, _LEDGER, "n as (select b, count(*) filter (named > 0) naming, count(*) filter (linked) linking from l2 group by b)", "select * from n order by naming - linking desc, naming desc, b limit 16"))
 def js_mode16(spark, d):
     return js_named_linked(spark, d).orderBy(F.desc(F.col("naming") - F.col("linking")), F.desc("naming"), "b").limit(16)

@@ -12,7 +12,7 @@ from ..storage import written
 from . import base as b
 from .registry import query
 
-WORDS = "ws as (select item_id doc, length(text) > 240 long, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)*'), lambda z: regexp_replace(z, '''s$', ''))) word from benchmark)"
+WORDS = "ws as (select item_id doc, length(text) > 240 long, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)*'), lambda z: regexp_replace(z, '[''’]s$', ''))) word from benchmark)"
 STATS = "stats as (select lower(word) term, count(*) seen, count(*) filter (regexp_matches(word, '^[A-Z]')) cap, count(*) filter (long) in_paper from ws group by 1)"
 CLS = "cls as (select term, case when cap > 0.5 * seen then 0 when in_paper / seen > 0.7 then 1 else 2 end cls from stats)"
 

@@ -43,8 +43,8 @@ class Plane:
         self.blocks, self.held = blocks, (-1, np.zeros(0, np.uint8))
 
     @staticmethod
-    def build(bits: np.ndarray) -> Plane:
-        packed, pack = np.packbits(bits, bitorder="little"), zstandard.ZstdCompressor(level=1)
+    def build(packed: np.ndarray) -> Plane:
+        pack = zstandard.ZstdCompressor(level=1)
         return Plane([pack.compress(packed[k : k + BLOCK].tobytes()) for k in range(0, len(packed), BLOCK)])
 
     def block(self, k: int) -> np.ndarray:
@@ -80,8 +80,10 @@ class WaveletMatrix:
         planes, counts = [], []
         for k in range(levels - 1, -1, -1):
             bit = (now & now.dtype.type(1 << k)).astype(bool)
-            planes.append(Plane.build(bit))
-            counts.append(np.add.reduceat(bit, np.arange(0, len(bit), STEP), dtype=np.int64) if len(bit) else np.zeros(0, np.int64))
+            packed = np.packbits(bit, bitorder="little")
+            planes.append(Plane.build(packed))
+            full = np.concatenate([packed, np.zeros(-len(packed) % (STEP // 8), np.uint8)]).view(np.uint64)
+            counts.append(np.bitwise_count(full).reshape(-1, STEP // 64).sum(axis=1, dtype=np.int64))
             now = np.concatenate([now[~bit], now[bit]])
         return WaveletMatrix(len(ids), planes, counts)
 

@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from weft.llm import exchange as ex
 from weft.llm import suffixes
 
 
@@ -61,3 +63,50 @@ def test_spans_and_text(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.digests(df).count() == 0 and suffixes.spans(df).count() == 0
+
+
+def in_packs(rows, packs, buckets, bounds):
+    """Masks of removed bytes by doc, with the packs' exchange done here."""
+
+    class Pack:
+        def __init__(self, own):
+            raw = [(t or "").encode() for _, t in own]
+            self.ids = np.array([ex.NO_ID if i is None else i for i, _ in own], np.int64)
+            self.data, self.offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+    work = [suffixes.Work(Pack(rows[k::packs]), 24, bounds, buckets) for k in range(packs)]
+    got = [{} for _ in work]
+    for ask in (lambda w, g: w.ask(), lambda w, g: w.ask_again(g)):
+        sent = {}
+        for k, w in enumerate(work):
+            for b, kind, payload in ask(w, got[k]):
+                sent.setdefault((kind, b), []).append((k, payload))
+        for (kind, b), own in sent.items():
+            for (k, _), answer in zip(own, suffixes.reply(kind, [p for _, p in own])):
+                got[k][kind, b] = answer
+    out = []
+    for k, w in enumerate(work):
+        mask = w.removed(got[k])
+        for (i, t), a, z in zip(rows[k::packs], w.pack.offs, w.pack.offs[1:]):
+            own = mask[a:z]
+            kept = w.pack.data[a:z][~own].tobytes()
+            out.append((i, int(z - a), int(own.sum()), int((np.diff(own.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_no_hash_decides(monkeypatch):
+    """With hashes of one and of two bits, and with bounds that all suffixes share, the same bytes go."""
+    rows = made(3)
+    want, lead = by_hand(rows), np.frombuffer(b"the the ", ">u8").astype(np.uint64)
+    assert in_packs(rows, 3, 4, np.repeat(lead, 3)) == want
+    full, full_rows = suffixes.hashes, suffixes.row_hashes
+    monkeypatch.setattr(suffixes, "hashes", lambda w, at, n: full(w, at, n) & np.uint64(1 << 63))
+    monkeypatch.setattr(suffixes, "row_hashes", lambda r: full_rows(r) & np.uint64(3))
+    assert in_packs(rows, 3, 4, np.sort(np.concatenate([lead, lead + np.uint64(1 << 50)]))) == want
+    assert in_packs(rows, 1, 1, lead[:0]) == want
+
+
+def test_other_columns(spark):
+    df = spark.createDataFrame([(1, "x" * 80, 5, "a"), (2, "x" * 80, None, "b"), (None, None, 7, None)], "doc_id long, text string, n_removed long, body string")
+    got = {r.doc_id: r for r in suffixes.kept_text(df).collect()}
+    assert got[1].text == "x" * 80 and got[2].text == "" and got[None].text == "" and (got[2].n_removed, got[2].body, got[None].n_removed) == (None, "b", 7)

@@ -1,13 +1,15 @@
 """Removal of byte strings that an earlier document has, by a difference-cover suffix sort cut off at the prefix length.
 
 Suffixes at the places of a difference cover modulo 21 are sampled: for any two places some shift below 21 takes both into the
-sample. The samples' first 30 bytes are sorted and named across all packs, and names that occur once are discarded, as in the
-sort's recursion; since prefixes of 50 bytes are to be compared, the recursion ends there. The remaining suffixes are those that
-a repeated name follows within the shift. They are merged into one order by their 50-byte prefixes and neighbours are compared
-for the smallest doc_id. To send each repeated passage once, suffixes are taken by blocks first (cut where the content says so):
-a block that an earlier document has whole is settled without its single suffixes.
-
-Strings are compared by 64-bit hashes of all their bytes. Defined results: a null text is empty; a null doc_id comes after all
+sample, and the 30 bytes that follow are the sample's tuple. Samples whose tuple occurs once are discarded first, as the algorithm
+discards unique names: packs exchange hashes of their tuples, and one that nobody else has cannot matter. The others are sorted by
+their bytes over range partitions; samples with one tuple have one name, and where names repeat the sort goes on. The full algorithm
+recurses on the string of names for that; prefixes of 50 bytes end in the second tuple, so the recursion ends in the 20 bytes after
+the first. The remaining suffixes are merged by the samples: a suffix s bytes before a sample stands where (those s bytes, the
+sample's first 50 - s) stand. Neighbours in that order are compared byte by byte, and of equal ones the smallest doc_id counts.
+
+Only bytes decide what is removed; a hash never does. Partitions are cut at the leading bytes of sampled places; leading bytes that
+hold more than a partition's share are dealt over several. Defined results: a null text is empty; a null doc_id comes after all
 others; rows with one doc_id remove nothing from each other; texts under the length keep all bytes.
 """
 
@@ -17,20 +19,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .common import padded, partitions, runs, slice_hash, words64
+from .common import padded, partitions, row_chunks, runs, text_bytes, words64
 
-COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 occurs
+COVER = np.array([0, 1, 4, 14, 16])  # every difference modulo 21 occurs
 PERIOD = 21
 LENGTH = 50
 TUPLE = LENGTH - PERIOD + 1
-NAMES, WHOLE = 0, 1
-FRAGMENT = 30
+#: the most bytes between a suffix and the sample that places it
+SHIFT = PERIOD - 1
+#: of a sample: the 50 bytes from it on, the 20 bytes before it (nearest first), and how many of either the text has; whole words
+ROW = LENGTH + SHIFT + 2
+ONCE, SAMPLES, NOTE = 0, 1, 2
+ALL = np.uint32((1 << PERIOD) - 1)
+#: places per partition that the partitions' bounds are taken from
+BOUNDS = 64
 
 
-def fixed_hash(w: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def hashes(w: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit hashes of the strings of one length at these places; w: the words at every place."""
     h = np.full(len(at), 0x9E3779B97F4A7C15 ^ length, np.uint64)
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
@@ -41,144 +51,239 @@ def fixed_hash(w: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the smallest doc of each, and each row's place among them."""
-    order, first = ex.groups(keys)
-    low = np.minimum.reduceat(docs[order], first) if len(first) else docs[:0]
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-    return keys[order][first], low, inverse
+def big_endian(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as columns of words that compare as the bytes do; the last word is filled up with zeros."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(">u8").astype(np.uint64).T
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """Of rows of ROW bytes."""
+    h = np.zeros(len(rows), np.uint64)
+    for word in np.ascontiguousarray(rows).view("<u8").T:
+        h ^= word
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows of bytes, and where new ones begin in it. Equal rows are next to each other (they share a hash); rows next to each
+    other that differ count as different, whatever their hashes."""
+    order = np.argsort(row_hashes(rows))
+    new = np.ones(len(rows), bool)
+    sorted_rows = rows[order]
+    new[1:] = (sorted_rows[1:] != sorted_rows[:-1]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+def places_of(order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each row's group, from an order and where groups begin in it."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return out
 
 
 class Work:
     """What a pack derives from its own bytes, and from its answers."""
 
-    def __init__(self, pack: ex.Pack, buckets: int):
-        self.pack, self.buckets = pack, buckets
-        self.data = padded(pack.data, 128)
-        self.w = words64(self.data)
-        n, size = len(pack.data), np.diff(pack.offs)
-        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        samples = []
-        for c in COVER:  # places c, c + 21, ... of each text, as far as a tuple fits
-            many = np.maximum(0, (size - TUPLE - c) // PERIOD + 1)
-            first = np.cumsum(many) - many
-            samples.append(np.arange(many.sum()) * PERIOD + np.repeat(pack.offs[:-1] + c - first * PERIOD, many))
-        self.samples = np.concatenate(samples)
-        short = np.zeros(n + 1, np.int32)  # fewer than 50 bytes follow within the text
-        np.add.at(short, np.maximum(pack.offs[:-1], pack.offs[1:] - LENGTH + 1), 1)
-        np.subtract.at(short, pack.offs[1:], 1)
-        self.fits = np.cumsum(short[:-1]) == 0
-        # blocks: cut at the starts of documents and where the next 8 bytes hash to a multiple of 32
-        cut = ((self.w[:n] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(59)) == 0
-        cut[pack.offs[:-1][size > 0]] = True
-        self.start = np.flatnonzero(cut)
-        end = np.append(self.start[1:], n)
-        stop = pack.offs[1:][self.doc[self.start]] if n else end
-        self.reach = np.minimum(end + LENGTH - 1, stop)  # bytes that the suffixes starting in the block need
-        ok = self.reach - self.start >= LENGTH
-        self.start, self.reach, self.end = self.start[ok], self.reach[ok], np.minimum(end[ok], self.reach[ok] - LENGTH + 1)
-
-    def names(self):
-        h = fixed_hash(self.w, self.samples, TUPLE)
+    def __init__(self, pack: ex.Pack, bits: int, bounds: np.ndarray, buckets: int):
+        self.pack, self.bits, self.bounds, self.buckets = pack, bits, bounds, buckets
+        self.n = len(pack.data)
+        self.doc = np.repeat(np.arange(len(pack.offs) - 1, dtype=np.int32), np.diff(pack.offs))
+
+    def covered(self) -> np.ndarray:
+        """Sampled places of the pack at which a tuple fits into its text."""
+        place = (np.arange(0, self.n, PERIOD)[:, None] + COVER).ravel()
+        place = place[place < self.n]
+        return place[self.pack.offs[1:][self.doc[place]] - place >= TUPLE]
+
+    def tuples(self) -> tuple[np.ndarray, ...]:
+        """Sampled places, distinct hashes of their tuples, each place's among them, and how many places have it."""
+        place = self.covered()
+        h = hashes(words64(padded(self.pack.data, 64)), place, TUPLE)
         order, first = ex.groups(h)
-        return h[order][first], order, np.diff(np.append(first, len(h)))
+        return place, h[order[first]], places_of(order, first), np.diff(np.append(first, len(h)))
 
     def ask(self):
-        distinct = self.names()[0]
+        distinct = self.tuples()[1]
         for b, at in ex.deal(distinct, self.buckets):
-            yield b, NAMES, ex.squeeze_sorted(fragment(distinct[at]))
-        keys, low, _ = self.blocks()
-        for b, at in ex.deal(keys, self.buckets):
-            yield b, WHOLE, ex.join_parts(ex.squeeze_sorted(keys[at] // np.uint64(self.buckets)), ex.squeeze(low[at].view(np.uint64)))
-
-    def blocks(self):
-        return smallest(slice_hash(self.data, self.start, self.reach), self.pack.ids[self.doc[self.start]])
-
-    def answered(self, kind: int, got: dict, keys: np.ndarray) -> np.ndarray:
-        """The bit of each distinct key; keys are sorted, and so were those of each bucket that were sent."""
-        bits = np.zeros(len(keys), bool)
-        for b, at in ex.deal(keys, self.buckets):
             if len(at):
-                bits[at] = np.unpackbits(np.frombuffer(got[kind, b], np.uint8), count=len(at)).astype(bool)
-        return bits
-
-    def settle(self, got: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose string an earlier document is known to have, and those still to be compared."""
-        distinct, order, count = self.names()
-        repeated = self.answered(NAMES, got, distinct) | (count > 1)
-        n = len(self.pack.data)
-        flags = np.zeros(n + PERIOD + 1, np.int32)
-        flags[self.samples[order[np.repeat(repeated, count)]] + 1] = 1
-        flags = np.cumsum(flags, dtype=np.int32)
-        near = flags[PERIOD : n + PERIOD] > flags[:n]
-        near &= self.fits
-        keys, low, inverse = self.blocks()
-        gone = self.answered(WHOLE, got, keys)[inverse] | (low[inverse] < self.pack.ids[self.doc[self.start]])
-        whole = np.zeros(n + 1, np.int32)
-        whole[self.start[gone]] += 1
-        np.subtract.at(whole, self.end[gone], 1)
-        settled = np.cumsum(whole[:-1]) > 0
-        return settled, np.flatnonzero(near & ~settled)
-
-    def suffixes(self, places: np.ndarray):
-        return smallest(fixed_hash(self.w, places, LENGTH), self.pack.ids[self.doc[places]])
-
-    def ask_again(self, got: dict):
-        _, places = self.settle(got)
-        keys, low, _ = self.suffixes(places)
-        for b, at in ex.deal(keys, self.buckets):
-            yield b, WHOLE, ex.join_parts(ex.squeeze_sorted(keys[at] // np.uint64(self.buckets)), ex.squeeze(low[at].view(np.uint64)))
-
-    def removed(self, first: dict, second: dict) -> np.ndarray:
-        settled, places = self.settle(first)
-        keys, low, inverse = self.suffixes(places)
-        gone = self.answered(WHOLE, second, keys)[inverse] | (low[inverse] < self.pack.ids[self.doc[places]])
-        n = len(self.pack.data)
-        cover = np.zeros(n + LENGTH + 1, np.int32)
-        starts = np.concatenate([np.flatnonzero(settled), places[gone]])
-        cover[starts] = 1
-        cover[LENGTH:] -= cover[: n + 1].copy()
-        return np.cumsum(cover)[:n] > 0
+                yield b, ONCE, ex.squeeze_sorted(distinct[at] >> np.uint64(64 - self.bits))
 
+    def repeated(self, got: dict) -> np.ndarray:
+        """Of the sampled places: those whose tuple may be there again."""
+        place, distinct, own, count = self.tuples()
+        many = count > 1
+        for b, at in ex.deal(distinct, self.buckets):
+            if len(at):
+                many[at] |= np.unpackbits(np.frombuffer(got[ONCE, b], np.uint8), count=len(at)).astype(bool)
+        return many[own]
+
+    def samples(self, kept: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places of the samples that are kept and that some 50 bytes hold, what the text has before and after each (up to what counts),
+        and their rows."""
+        place = self.covered()[kept]
+        doc = self.doc[place]
+        before = np.minimum(SHIFT, place - self.pack.offs[doc])
+        after = np.minimum(LENGTH, self.pack.offs[doc + 1] - place)
+        whole = before + after >= LENGTH
+        place, before, after = place[whole], before[whole], after[whole]
+        wide = np.concatenate([np.zeros(SHIFT, np.uint8), self.pack.data, np.zeros(LENGTH, np.uint8)])
+        context = np.lib.stride_tricks.sliding_window_view(wide, SHIFT + LENGTH)[place] if len(place) else np.zeros((0, SHIFT + LENGTH), np.uint8)
+        rows = np.empty((len(place), ROW), np.uint8)
+        rows[:, :LENGTH] = context[:, SHIFT:]
+        rows[:, LENGTH : LENGTH + SHIFT] = context[:, :SHIFT][:, ::-1]
+        rows[:, -2], rows[:, -1] = before, after
+        edge = np.flatnonzero((before < SHIFT) | (after < LENGTH))  # other texts' bytes
+        column = np.arange(LENGTH + SHIFT)
+        rows[edge, : LENGTH + SHIFT] *= np.where(column < LENGTH, column < after[edge, None], column - LENGTH < before[edge, None])
+        return place, before, after, rows
+
+    def sent(self, rows: np.ndarray, place: np.ndarray):
+        """Distinct rows in the order of their leading bytes, the smallest doc_id of each, each row's place among them, and the ranges of
+        the buckets in them."""
+        order, first = alike(rows)
+        ids = self.pack.ids[self.doc[place]]
+        low = np.minimum.reduceat(ids[order], first) if len(first) else ids
+        own, distinct = places_of(order, first), rows[order[first]]
+        lead, rest = big_endian(distinct[:, :TUPLE])[:2] if len(distinct) else (np.zeros(0, np.uint64),) * 2
+        a, z = (np.searchsorted(self.bounds, lead, side=side) for side in ("left", "right"))
+        bucket = a + ((rest * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % (z - a + 1).astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((rest, lead, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return distinct[order], low[order], rank[own], np.searchsorted(bucket[order], np.arange(self.buckets + 1))
 
-def fragment(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - FRAGMENT)
+    def ask_again(self, got: dict):
+        kept = self.repeated(got)
+        yield 0, NOTE, zstandard.ZstdCompressor(level=1).compress(np.packbits(kept).tobytes())  # for itself
+        place, _, _, rows = self.samples(kept)
+        distinct, low, _, edge = self.sent(rows, place)
+        pack = zstandard.ZstdCompressor(level=3)
+        for b, (i, j) in enumerate(zip(edge, edge[1:])):
+            if j > i:
+                yield b, SAMPLES, ex.join_parts(pack.compress(distinct[i:j].tobytes()), ex.squeeze(low[i:j].view(np.uint64)))
+
+    def removed(self, got: dict) -> np.ndarray:
+        """Mask of removed bytes, from the answers to ask_again."""
+        kept = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(got[NOTE, 0]), np.uint8), count=len(self.covered())).astype(bool)
+        place, before, after, rows = self.samples(kept)
+        _, low, own, edge = self.sent(rows, place)
+        hit = np.zeros(len(low), np.uint32)
+        for b, (i, j) in enumerate(zip(edge, edge[1:])):
+            if j > i:
+                hit[i:j] = ex.expand(got[SAMPLES, b])
+        earlier = self.pack.ids[self.doc[place]] > low[own]  # the same row in the pack
+        hit = np.where(earlier, ALL, hit[own])
+        gone = np.zeros(self.n + 1, np.int32)
+        for s in range(PERIOD):
+            gone[place[(hit >> np.uint32(s) & 1).astype(bool) & (before >= s) & (after >= LENGTH - s)] - s] = 1
+        cover = np.zeros(self.n + LENGTH + 1, np.int32)
+        cover[: self.n + 1] = gone
+        cover[LENGTH:] -= gone
+        return np.cumsum(cover)[: self.n] > 0
+
+
+def shared(rows: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = rows[1:] != rows[:-1]
+        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
+
+
+def merge(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each sample: bit s tells whether the suffix s bytes before it begins with 50 bytes that an earlier document has with a sample
+    at the same place."""
+    order, first = alike(rows)
+    own = places_of(order, first)
+    low = np.minimum.reduceat(docs[order], first) if len(first) else docs
+    distinct = rows[order[first]]
+    order = np.lexsort(big_endian(distinct[:, :LENGTH])[::-1]) if len(distinct) else np.zeros(0, np.int64)
+    distinct, low = distinct[order], low[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = rank[own]
+    common = shared(distinct[:, :LENGTH])
+    named = np.append(np.flatnonzero(common < TUPLE), len(distinct))  # where a name begins
+    alone = np.repeat(np.diff(named) == 1, np.diff(named))
+    hit = np.where(low[own] < docs, ALL, np.uint32(0))  # right where a name has one row
+    rows, docs, own, at = distinct[~alone], docs[~alone[own]], own[~alone[own]], np.flatnonzero(~alone[own])
+    if not len(rows):
+        return hit
+    own = (np.cumsum(~alone) - 1)[own]
+    low, common = low[~alone], common[~alone]
+    left = np.lexsort(big_endian(rows[:, LENGTH : LENGTH + SHIFT])[::-1])
+    before, after = rows[:, -2], rows[:, -1]
+    shared_left = shared(rows[left, LENGTH : LENGTH + SHIFT])
+    found = np.zeros(len(at), np.uint32)
+    for s in range(PERIOD):
+        prefix = np.empty(len(rows), np.int64)
+        prefix[left] = np.cumsum(shared_left < s)
+        key = prefix << 32 | np.cumsum(common < LENGTH - s)
+        order, first = ex.groups(key)
+        valid = np.where((before >= s) & (after >= LENGTH - s), low, ex.NO_ID)[order]
+        least = np.empty(len(rows), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(valid, first), np.diff(np.append(first, len(rows))))
+        found |= (least[own] < docs).astype(np.uint32) << np.uint32(s)
+    hit[at] = found
+    return hit
 
 
 def reply(kind: int, payloads: list[bytes]) -> list[bytes]:
-    """For names: does another pack have it? For blocks and suffixes: does one have it with a smaller doc_id?"""
-    if kind == NAMES:
+    """For hashes of tuples: does another pack have it? For samples: what merge tells of them."""
+    if kind == NOTE:
+        return payloads
+    if kind == ONCE:
         values = [ex.expand_sorted(p) for p in payloads]
         every = np.concatenate(values)
-        # a pack may have one fragment for several names; that counts as repeated as well
+        # a pack may have one fragment for several hashes; that counts as repeated as well
         order, first = ex.groups(every)
         many = np.empty(len(every), bool)
         size = np.diff(np.append(first, len(every)))
         many[order] = np.repeat(size > 1, size)
-    else:
-        parts = [ex.split_parts(p) for p in payloads]
-        values = [ex.expand_sorted(p[0]) for p in parts]
-        every, docs = np.concatenate(values), np.concatenate([ex.expand(p[1]).view(np.int64) for p in parts])
-        _, low, inverse = smallest(every, docs)
-        many = low[inverse] < docs
-    ends = np.cumsum([len(v) for v in values])
-    return [np.packbits(many[e - len(v) : e]).tobytes() for e, v in zip(ends, values)]
+        ends = np.cumsum([len(v) for v in values])
+        return [np.packbits(many[e - len(v) : e]).tobytes() for e, v in zip(ends, values)]
+    parts = [ex.split_parts(p) for p in payloads]
+    unpack = zstandard.ZstdDecompressor()
+    rows = np.frombuffer(b"".join(unpack.decompress(p[0]) for p in parts), np.uint8).reshape(-1, ROW)
+    docs = [ex.expand(p[1]).view(np.int64) for p in parts]
+    hit = merge(rows, np.concatenate(docs))
+    ends = np.cumsum([len(d) for d in docs])
+    return [ex.squeeze(hit[e - len(d) : e]) for e, d in zip(ends, docs)]
+
+
+def bounds_of(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Leading bytes (as numbers) that part the suffixes into so many ranges, from BOUNDS places for each, spread by a hash."""
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_bytes(batch.column("text"))
+            for i, j in row_chunks(offs):
+                own = padded(data[offs[i] : offs[j]])
+                at = np.random.default_rng(int(offs[j] - offs[i])).integers(0, max(1, len(own) - 64), BOUNDS)
+                lead = big_endian(own[at[:, None] + np.arange(8)])[0]
+                yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64))], names=["lead"])
+
+    rows = docs.select("text").mapInArrow(run, "lead long").orderBy(F.xxhash64("lead"), "lead").limit(BOUNDS * buckets).collect()
+    lead = np.sort(np.array([r.lead for r in rows], np.int64).view(np.uint64))
+    return lead[(np.arange(1, buckets) * len(lead)) // buckets] if len(lead) else lead
 
 
 def removed_spans(docs: DataFrame, finish, schema: str) -> DataFrame:
     """Of each pack: finish(pack, mask of removed bytes). docs: doc_id long, text, and what else finish takes from pack.rest()."""
     packs = ex.packed(docs)
     buckets = partitions(docs.sparkSession)
-    first = ex.answer(ex.ask(packs, lambda p: Work(p, buckets).ask()), reply)
-    second = ex.answer(ex.ask_again(packs, first, lambda p, got: Work(p, buckets).ask_again(got)), lambda kind, p: reply(WHOLE, p))
-    both = first.union(second.selectExpr("bucket", "pack", "kind + 10 kind", "payload"))
-
-    def end(pack, got):
-        late = {(k - 10, b): v for (k, b), v in got.items() if k >= 10}
-        return finish(pack, Work(pack, buckets).removed(got, late))
-
-    return ex.meet(packs, both, end, schema)
+    # so many bits that few of the tuples' hashes agree by chance; one that does is sent in vain and does no harm
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, bounds = min(64, max(24, int(total).bit_length() + 3)), bounds_of(docs, buckets)
+    work = lambda pack: Work(pack, bits, bounds, buckets)
+    first = ex.answer(ex.ask(packs, lambda p: work(p).ask()), reply)
+    second = ex.answer(ex.ask_again(packs, first, lambda p, got: work(p).ask_again(got)), reply)
+    return ex.meet(packs, second, lambda pack, got: finish(pack, work(pack).removed(got)), schema)
 
 
 def ids_column(pack: ex.Pack) -> pa.Array:

@@ -293,3 +293,21 @@ def test_leftmost_longest_by_brute_force():
             if all(p[1] <= a or z <= p[0] for a, z, _ in want):
                 want.append(p)
         assert nm.longest(some) == sorted(want)
+
+
+def test_components_of_paths_and_stars_take_few_rounds(spark, monkeypatch):
+    n, rounds = 10_000, []
+    keep = cc.written
+    monkeypatch.setattr(cc, "written", lambda df, name: (rounds.append(name), keep(df, name))[1])
+    path = spark.range(n).selectExpr("id a", "id + 1 b")
+    star = spark.range(2000).selectExpr("20000 a", "20001 + id b")
+    got = cc.components(path.union(star)).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(0, n + 1), (20_000, 2001)}
+    assert rounds.count("parents") <= 2 * n.bit_length()
+
+
+def test_ranks_over_ranges(spark):
+    rows = spark.range(500).selectExpr("id", "id % 7 k").repartition(5)
+    got = graph.ranked(rows, [F.desc("k"), F.asc("id")]).collect()
+    want = {r[1]: i + 1 for i, r in enumerate(sorted((-(i % 7), i) for i in range(500)))}
+    assert {r.id: r.rank for r in got} == want

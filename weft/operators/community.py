@@ -125,6 +125,29 @@ def loyalty(labels: DataFrame, agreed: DataFrame) -> DataFrame:
     return agreed.join(share, ["node", "community"], "left").select("node", "community", F.coalesce("share", F.lit(0.0)).alias("loyalty"))
 
 
+def collapsed(shares: DataFrame, traditions: DataFrame) -> DataFrame:
+    """node, tradition, share: shares (node, community, share) summed by the tradition of the community; -1 for all others.
+    traditions: community, tradition."""
+    rows = shares.join(traditions.select("community", "tradition"), "community", "left")
+    return rows.groupBy("node", F.coalesce("tradition", F.lit(-1)).cast("long").alias("tradition")).agg(F.sum("share").alias("share"))
+
+
+def hosts(labels: DataFrame, focus: int, anchors: dict[int, str], none: str = "none of the anchors") -> DataFrame:
+    """hosts, runs: which of the anchors (node to name, in their order) share the community of focus, and in how many runs."""
+    rows = labels.sparkSession.createDataFrame([(n, i, name) for i, (n, name) in enumerate(anchors.items())], "node long, ord long, name string")
+    own = labels.filter(F.col("node") == focus).select("run", "community")
+    found = labels.join(F.broadcast(rows), "node").select("run", "community", "ord", "name")  # a row for each anchor
+    per = own.join(found, ["run", "community"], "left").groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ord").isNotNull(), F.struct("ord", "name")))), lambda x: x["name"]), " + ").alias("hosts"))
+    return per.groupBy(F.when(F.col("hosts") == "", none).otherwise(F.col("hosts")).alias("hosts")).agg(F.count("*").alias("runs"))
+
+
+def bloc_mean(pairs: DataFrame, bloc: DataFrame) -> DataFrame:
+    """pairs, mean: of all pairs of nodes of the bloc (node), those never together (not in pairs: i, j, p) with 0."""
+    rows = pairs.join(bloc.select(F.col("node").alias("i")), "i", "left_semi").join(bloc.select(F.col("node").alias("j")), "j", "left_semi")
+    n = bloc.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs"))
+    return rows.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("s")).join(n).select("pairs", F.expr("if(pairs > 0, s / pairs, null)").alias("mean"))
+
+
 def anchored(agreed: DataFrame, anchors: dict[int, int]) -> DataFrame:
     """node, tradition: the anchor's index for all nodes of an anchor's community, -1 for the rest."""
     rows = agreed.sparkSession.createDataFrame(list(anchors.items()) or [(None, None)], "node long, tradition long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def build(edges: DataFrame) -> DataFrame:
     """Distinct edges; a self loop stays one."""
@@ -83,7 +85,16 @@ def neighbors(edges: DataFrame, node) -> DataFrame:
 def component_sizes(components: DataFrame) -> DataFrame:
     """component, size, rank by size (ties: the smaller component id)."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
+    return ranked(sizes, [F.desc("size"), F.asc("component")])
+
+
+def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """rows with their rank (from 1) by order, which has no ties: ranges are sorted, each in a task of its own, and the rows of the ranges
+    before are added."""
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = parts.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_place", place).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def component_labels(components: DataFrame) -> DataFrame:

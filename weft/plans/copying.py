@@ -38,7 +38,8 @@ def _docs(spark, d):
 
 
 def _shared(spark, d):
-    return cp.postings(cp.shingles(_docs(spark, d)))
+    """Texts are split once, and the postings are made once, whatever uses them."""
+    return written(cp.postings(written(cp.hashed_shingles(_docs(spark, d)), "grams")), "postings")
 
 
 def _runs(spark, d):
@@ -56,8 +57,8 @@ def t_body(spark, d):
     return _docs(spark, d).select("doc_id", F.length(tx.body(F.col("text"))).cast("long").alias("n"))
 
 
-@query("t_sections", "with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 block from documents) select doc_id, cast(block as bigint) block, cast(len(regexp_extract_all(lower(line), '[a-z0-9]+(?:''[a-z]+)?')) as bigint) n from l where len(regexp_extract_all(lower(line), '[a-z0-9]+(?:''[a-z]+)?')) > 0")
-def t_sections(spark, d):
+@query("t_line_tokens", "with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 block from documents) select doc_id, cast(block as bigint) block, cast(len(regexp_extract_all(lower(line), '[a-z0-9]+(?:''[a-z]+)?')) as bigint) n from l where len(regexp_extract_all(lower(line), '[a-z0-9]+(?:''[a-z]+)?')) > 0")
+def t_line_tokens(spark, d):
     return cp.line_tokens(_docs(spark, d)).groupBy("doc_id", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n"))
 
 
@@ -104,7 +105,7 @@ def win_first_longest(spark, d):
 
 @query("t_copy_pairs", b.sql(TOK, GRAMS, DF, SHARED, runs_sql(), pairs_sql(), "select * from pr"))
 def t_copy_pairs(spark, d):
-    return cp.copy_pairs(cp.shared_runs(_shared(spark, d)))
+    return cp.copy_pairs(_runs(spark, d))
 
 
 @query("top_copy_pairs", b.sql(TOK, GRAMS, DF, SHARED, runs_sql(), pairs_sql(), "select a, b, shared from pr order by shared desc, a, b limit 20"))
@@ -167,7 +168,7 @@ _GRID = [(p, m) for p in (3, 5, 10) for m in (8, 12, 20)]
 @query("sens_grid", b.sql(TOK, GRAMS, DF, SHARED, *(x for p, m in _GRID for x in (runs_sql(f"r{p}_{m}", p, m), pairs_sql(f"p{p}_{m}", f"r{p}_{m}"))), " union all ".join(f"select cast({p} as bigint) max_pages, cast({m} as bigint) min_passage, count(*) edges, count(*) filter (kind = 'paragraph') paragraphs from p{p}_{m}" for p, m in _GRID)))
 def sens_grid(spark, d):
     """The postings are made once and used by all cells."""
-    shared, out = written(_shared(spark, d), "postings"), None
+    shared, out = _shared(spark, d), None
     for pages, passage in _GRID:
         pairs = cp.copy_pairs(cp.shared_runs(shared, max_pages=pages, min_passage=passage))
         row = pairs.agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs")).select(F.lit(pages).cast("long").alias("max_pages"), F.lit(passage).cast("long").alias("min_passage"), "edges", "paragraphs")

@@ -179,6 +179,72 @@ def set_pairs_union(spark, d):
     return tf.nearest(pairs, 5).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).union(top).distinct()
 
 
+@query("js_twins", b.sql(WORDS, STATS, CLS, W, _OWN.format(2), "c3 as (select x.doc i, y.doc j, round(sum(x.w * y.w), 6) cos from re x join re y on x.term = y.term and x.doc < y.doc group by all)", "select i, j, cos from c3 where j <> i + 1 order by cos desc, i, j limit 20"))
+def js_twins(spark, d):
+    """The most alike by their story of those that aren't linked; an item is linked to the next one."""
+    c = _rounded(tf.cosines(tf.renormalised(_weights(spark, d), _classes(spark, d), tf.STORY)), "cos")
+    linked = b.read(spark, d, "benchmark").select(F.col("item_id").alias("i"), (F.col("item_id") + 1).alias("j"))
+    return c.join(linked, ["i", "j"], "left_anti").select("i", "j", "cos").orderBy(F.desc("cos"), "i", "j").limit(20)
+
+
+@query("t_stop", b.sql(WORDS.replace("ws as (", "w0 as ("), "ws as (select * from w0 where lower(word) not in ('the', 'and', 'of', 'to'))", W, "select doc, count(*) terms, round(max(w), 6) top from w group by doc"))
+def t_stop(spark, d):
+    stop = spark.createDataFrame([("the",), ("and",), ("of",), ("to",)], "term string")
+    return tf.weights(_words(spark, d), stop).groupBy("doc").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("top"))
+
+
+_GENDERED = ["that", "is", "in"]
+_STORY = "sw as (select w.* from w join cls using (term) where cls = 2), sq as (select doc, greatest(sqrt(sum(w * w)), 1e-12) n from sw group by doc), st as (select doc, term, w / n w from sw join sq using (doc)), gw as (select * from st where term not in ('that', 'is', 'in')), gq as (select doc, sqrt(sum(w * w)) n from gw group by doc), g3 as (select doc, term, w / n w from gw join gq using (doc))"
+_SEX = "sx as (select item_id doc, case when f > 2 * m then 'F' when m > 2 * f then 'M' else '?' end sex from (select item_id, len(list_filter(t, lambda z: z in ('the', 'that', 'in'))) f, len(list_filter(t, lambda z: z in ('of', 'and'))) m from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') t from benchmark)))"
+_NEAR = "{0}c as (select x.doc i, y.doc j, sum(x.w * y.w) cos from {1} x join {1} y on x.term = y.term and x.doc <> y.doc group by all), {0}n as (select i, j from (select *, row_number() over (partition by i order by round(cos, 9) desc, j) r from {0}c) where r = 1)"
+
+
+def _sexes(spark, d):
+    rows = b.read(spark, d, "benchmark").select(F.col("item_id").alias("doc"), tx.words(F.col("text")).alias("t"))
+    count = lambda words: F.size(F.filter("t", lambda z: z.isin(words)))
+    f, m = count(["the", "that", "in"]), count(["of", "and"])
+    return rows.select("doc", F.when(f > 2 * m, "F").when(m > 2 * f, "M").otherwise("?").alias("sex"))
+
+
+def _without(w, terms):
+    left = w.filter(~F.col("term").isin(terms))
+    norm = left.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return left.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+_RATE = "(select round(count(*) filter (y.sex = 'F') / (select count(*) from sx where sex = 'F'), 6) from {0}n join sx x on x.doc = i join sx y on y.doc = j where x.sex = 'F') {1}"
+
+
+@query("t_gender_nn", b.sql(WORDS, STATS, CLS, W, _STORY, _SEX, _NEAR.format("r", "w"), _NEAR.format("s", "st"), _NEAR.format("g", "g3"), "select round((count(*) filter (sex = 'F') - 1) / (count(*) - 1), 6) chance, " + ", ".join(_RATE.format(k, n) for k, n in (("r", "raw"), ("s", "story"), ("g", "without_words"))) + " from sx"))
+def t_gender_nn(spark, d):
+    """Of the documents of one side: how many have their nearest on it too, by all terms, by story, and without some words."""
+    w, cls, sex = _weights(spark, d), _classes(spark, d), _sexes(spark, d)
+    story = written(tf.renormalised(w, cls, tf.STORY), "story")
+    out = sex.agg(F.round((F.count_if(F.col("sex") == "F") - 1) / (F.count("*") - 1), 6).alias("chance"), F.count_if(F.col("sex") == "F").alias("n"))
+    for name, own in (("raw", w), ("story", story), ("without_words", _without(story, _GENDERED))):
+        near = tf.nearest(tf.cosines(own)).select("i", "j")
+        hit = near.join(sex.filter("sex = 'F'").select(F.col("doc").alias("i")), "i", "left_semi").join(sex.filter("sex = 'F'").select(F.col("doc").alias("j")), "j", "left_semi")
+        out = out.join(hit.agg(F.count("*").alias("hits"))).withColumn(name, F.round(F.col("hits") / F.col("n"), 6)).drop("hits")
+    return out.drop("n")
+
+
+@query("agg_ff_terms", b.sql(WORDS, STATS, CLS, W, _STORY, _SEX, _NEAR.format("s", "st"), "ff as (select i, j from sn join sx x on x.doc = i join sx y on y.doc = j where x.sex = 'F' and y.sex = 'F')", "pr as (select i, term, a.w * c.w p from ff join st a on a.doc = i join st c using (term) where c.doc = j), tp as (select *, row_number() over (partition by i order by round(p, 9) desc, term) r from pr)", "select term, round(sum(p), 6) mass from tp where r <= 10 group by term order by round(sum(p), 6) desc, term limit 16"))
+def agg_ff_terms(spark, d):
+    """The terms that bring documents of one side together: of each nearest pair the ten largest products, then sixteen by their sum."""
+    sex = _sexes(spark, d).filter("sex = 'F'")
+    story = written(tf.renormalised(_weights(spark, d), _classes(spark, d), tf.STORY), "story")
+    near = tf.nearest(tf.cosines(story)).select("i", "j").join(sex.select(F.col("doc").alias("i")), "i", "left_semi").join(sex.select(F.col("doc").alias("j")), "j", "left_semi")
+    return tf.term_products(story, near, 10).groupBy("term").agg(F.round(F.sum("p"), 6).alias("mass")).orderBy(F.desc("mass"), "term").limit(16)
+
+
+@query("t_pair_export", b.sql(WORDS, STATS, CLS, W, COS, BOTH, NN.format(1), _PRODUCTS, "select i, j, any_value(round(cos, 6)) cos, list(term order by r) terms from topt join nn using (i, j) group by i, j"))
+def t_pair_export(spark, d):
+    """Each document's nearest, with the terms that make it so, as one row."""
+    w, near = _weights(spark, d), written(tf.nearest(_pairs(spark, d)).select("i", "j", F.round("cos", 6).alias("cos")), "near")
+    terms = tf.term_products(w, near).groupBy("i", "j").agg(F.expr("transform(array_sort(collect_list(struct(rank, term))), x -> x.term)").alias("terms"))
+    return near.join(terms, ["i", "j"])
+
+
 @query("js_scatter", b.sql(WORDS, STATS, CLS, W, COS, "select i, j, round(cos, 6) cos from co where round(cos, 6) >= 0.08"))
 def js_scatter(spark, d):
     return _rounded(_pairs(spark, d).select("i", "j", "cos"), "cos").filter("cos >= 0.08")
@@ -189,16 +255,33 @@ def t_self_name(spark, d):
     return _weights(spark, d).join(_classes(spark, d), "term").groupBy("doc").agg(F.round(F.sum(F.expr("if(cls = 0, w * w, 0d)")), 6).alias("self_name"))
 
 
-_VARIANTS = [("reported", {}, {}), ("names30", {"name_cap": 0.3}, {}), ("names70", {"name_cap": 0.7}, {}), ("paper60", {"paper_share": 0.6}, {}), ("sublinear", {}, {"sublinear": True})]
+_VARIANTS = [("reported", {}, {}), ("names30", {"name_cap": 0.3}, {}), ("names70", {"name_cap": 0.7}, {}), ("titles", {"titles": True}, {}), ("paper60", {"paper_share": 0.6}, {}), ("sublinear", {}, {"sublinear": True})]
+
+
+def _variant_sql(label, cls, how):
+    """Names of the CTEs end in the variant's label."""
+    k = f"_{label}"
+    words = "case when term in (select term from ttl) then 0 when" if "titles" in cls else "case when"
+    c = f"cls{k} as (select term, {words} cap > {cls.get('name_cap', 0.5)} * seen then 0 when in_paper / seen > {cls.get('paper_share', 0.7)} then 1 else 2 end cls from stats)"
+    value = "(1 + ln(tf))" if how else "tf"
+    w = f"raw{k} as (select doc, term, {value} * (ln((1 + n) / (1 + df)) + 1) v from tfs join dfs using (term), nd), nrm{k} as (select doc, sqrt(sum(v * v)) nv from raw{k} group by doc), w{k} as (select doc, term, v / nv w from raw{k} join nrm{k} using (doc))"
+    part = lambda n: f"round(sum(case when cls = {n} then x.w * y.w else 0 end) / sum(x.w * y.w), 6)"
+    row = f"select '{label}' variant, {part(0)} \"name\", {part(1)} paper, {part(2)} story from w{k} x join w{k} y on x.term = y.term and x.doc < y.doc join cls{k} c on c.term = x.term"
+    return f"{c},\n{w}", row
+
+
+_TITLED = "ttl as (select distinct lower(word) term from (select item_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)*')[1:2], lambda z: regexp_replace(z, '[''’]s$', ''))) word from benchmark))"
+_SIX = [_variant_sql(*v) for v in _VARIANTS]
 
 
-@query("t_variants")
+@query("t_variants", b.sql(WORDS, STATS, W, _TITLED, *(c for c, _ in _SIX), " union all ".join(f"({r})" for _, r in _SIX)))
 def t_variants(spark, d):
-    """Share of each class in the mass of all cosines, by variant."""
+    """Share of each class in the mass of all cosines, by variant; an item's first two words stand for its title."""
+    titles = _items(spark, d).select(F.explode(F.slice(tx.letters(F.col("text")), 1, 2)).alias("word")).select(F.lower("word").alias("term")).distinct()
     made, out = {}, None
     for label, cls, how in _VARIANTS:
         w = made.setdefault(str(how), _weights(spark, d, **how))
-        row = tf.cosines(w, _classes(spark, d, **cls)).agg(*[F.round(F.sum(f"{c}_part") / F.sum("cos"), 6).alias(c) for c in ("name", "paper", "story")]).select(F.lit(label).alias("variant"), "*")
+        row = tf.cosines(w, _classes(spark, d, **(cls | {"titles": titles} if "titles" in cls else cls))).agg(*[F.round(F.sum(f"{c}_part") / F.sum("cos"), 6).alias(c) for c in ("name", "paper", "story")]).select(F.lit(label).alias("variant"), "*")
         out = row if out is None else out.union(row)
     return out
 

@@ -16,9 +16,9 @@ ERA_NODES = "node_id string, name string, era string, description string, url st
 ALIASES = "map<string, struct<label: string, aliases: array<string>>>"
 
 
-def nodes_tsv(spark: SparkSession, path: str, schema: str = NODES, quoted: bool = True) -> DataFrame:
+def nodes_tsv(spark: SparkSession, path: str, schema: str = NODES, quoted: bool = True, escape: str = "\\") -> DataFrame:
     """A roster with a header; lines that start with # are comments."""
-    return spark.read.option("sep", "\t").option("comment", "#").option("header", True).option("quote", '"' if quoted else "").schema(schema).csv(path)
+    return spark.read.option("sep", "\t").option("escape", escape).option("comment", "#").option("header", True).option("quote", '"' if quoted else "").schema(schema).csv(path)
 
 
 def edges_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +30,8 @@ def weighted_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("comment", "#").option("header", True).schema("src string, dst string, weight long").csv(path)
 
 
-def zip_text(spark: SparkSession, path: str) -> DataFrame:
-    """page, text of the .txt files in zip archives, READMEs left out; a page's name is its URL-decoded file name."""
+def unzipped(archives: DataFrame) -> DataFrame:
+    """page, text of the .txt files in zip archives (content), READMEs left out; a page's name is its URL-decoded file name."""
 
     def run(batches):
         for pdf in batches:
@@ -43,7 +43,11 @@ def zip_text(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((unquote(name.rsplit("/", 1)[-1][:-4]), z.read(name).decode("utf-8")))
             yield pd.DataFrame(rows, columns=["page", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "page string, text string")
+    return archives.select("content").mapInPandas(run, "page string, text string")
+
+
+def zip_text(spark: SparkSession, path: str) -> DataFrame:
+    return unzipped(spark.read.format("binaryFile").load(path))
 
 
 def json_map(spark: SparkSession, path: str, schema: str = ALIASES) -> DataFrame:

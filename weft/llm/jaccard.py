@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, salted
 from . import exchange as ex
 from .common import lower_ascii, mix64, padded, partitions, runs, slice_hash, written
-from .graph import components
 
 #: documents of a block of a tile
 BLOCK = 1024
@@ -310,7 +310,9 @@ def dealt_out(heads: DataFrame, block: int) -> DataFrame:
     block k. A tile is a band that the family has, with the one below; a set of block k goes to all pairs that have k."""
     per = heads.groupBy("family", "band").agg(F.count("*").alias("c")).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     tiles = per.groupBy("family", "tile").agg(F.sum("c").alias("c"), F.max("band").alias("top")).filter("c > 1 and top = tile").selectExpr("family", "tile", f"cast(ceil(c / {block}) as int) blocks")
-    rows = heads.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(tiles, ["family", "tile"]).withColumn("k", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    tiles = tiles.withColumn("key", F.struct("family", "tile")).select("key", "blocks")
+    rows = heads.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("key", F.struct("family", "tile"))
+    rows = salted(rows, tiles, "key", "node").drop("key").withColumn("k", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("x", F.least("k", "other")).withColumn("y", F.greatest("k", "other")).drop("blocks", "other", "band")
 
@@ -367,11 +369,14 @@ def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
             size = np.diff(shingles(data, offs, words)[1])
             yield pa.RecordBatch.from_arrays([pa.array(row_key(key, np.arange(len(ids)))), pa.array(ids, pa.int64(), mask=ids == ex.NO_ID), pa.array(size)], names=["node", "doc_id", "n_shingles"])
 
-    every = docs.mapInArrow(sizes, "node long, doc_id long, n_shingles long")
-    every = every.join(twins.withColumnRenamed("a", "node"), "node", "left").withColumn("head", F.coalesce("head", "node"))
-    every = every.join(group.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component"))
-    names = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return every.join(names, "component").select("doc_id", "n_shingles", "component_id")
+    # a set's own name where it has a twin or a link; others are groups of their own
+    names = twins.selectExpr("a node", "head name").union(twins.selectExpr("head", "head").distinct()).union(group.selectExpr("node", "node"))
+    names = salted(names.distinct(), group.withColumnRenamed("node", "name"), "name", "node", "left").select("node", F.coalesce("component", "name").alias("component"))
+    every = docs.mapInArrow(sizes, "node long, doc_id long, n_shingles long").join(names, "node", "left")
+    every = written(every, "sized")
+    grouped = every.filter("component is not null")
+    named = salted(grouped, grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component", "node")
+    return every.filter("component is null").selectExpr("doc_id", "n_shingles", "doc_id component_id").union(named.select("doc_id", "n_shingles", "component_id"))
 
 
 def bands_column(percent: int):

@@ -21,4 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from weft.storage import clear
+
+    clear(session)
     session.stop()

@@ -30,16 +30,26 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, seed: int)
         while moving:
             moving = False
             for v in rng.permutation(size).tolist():
-                own, links = label[v], {}
-                for u, x in zip(b[at[v] : at[v + 1]].tolist(), ww[at[v] : at[v + 1]].tolist()):
-                    if u != v:
-                        links[label[u]] = links.get(label[u], 0.0) + x
+                own, i, j = label[v], at[v], at[v + 1]
                 mass[own] -= degree[v]
-                best, gain = own, links.get(own, 0.0) - mass[own] * degree[v] / total
-                for c, x in links.items():
-                    g = x - mass[c] * degree[v] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
+                near, first = label[b[i:j]], ww[i:j]
+                if size <= 64 * (j - i):  # dense: all communities at once
+                    links = np.bincount(near, np.where(b[i:j] == v, 0.0, first), size)
+                    gain = np.where(links > 0, links - mass * (degree[v] / total), -np.inf)
+                    gain[own] = links[own] - mass[own] * degree[v] / total
+                    best = int(gain.argmax())
+                    if gain[best] <= gain[own] + 1e-12:
+                        best = own
+                else:
+                    links = {}
+                    for u, c, x in zip(b[i:j].tolist(), near.tolist(), first.tolist()):
+                        if u != v:
+                            links[c] = links.get(c, 0.0) + x
+                    best, most = own, links.get(own, 0.0) - mass[own] * degree[v] / total
+                    for c, x in links.items():
+                        g = x - mass[c] * degree[v] / total
+                        if g > most + 1e-12:
+                            best, most = c, g
                 mass[best] += degree[v]
                 if best != own:
                     label[v], moving, moved_any = best, True, True
@@ -182,6 +192,20 @@ def rewired(nodes: DataFrame, edges: DataFrame, count: int = 20, swaps: int = 5)
     return spark.range(count).repartition(min(count, 64)).mapInPandas(run, "graph long, src long, dst long")
 
 
+def null_modularity(graphs: DataFrame, seed: int = 0) -> DataFrame:
+    """graph, q: modularity of the communities that one run finds in each of the graphs (graph, src, dst). A graph is a task's work; the
+    graphs are copies of one whose size is checked where they are made."""
+
+    def run(key, pdf):
+        ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
+        a, b = at[: len(pdf)], at[len(pdf) :]
+        label = louvain(len(ids), a, b, np.ones(len(a)), seed)
+        mass = np.bincount(label[np.concatenate([a, b])])
+        return pd.DataFrame({"graph": [int(key[0])], "q": [float((label[a] == label[b]).mean() - ((mass / (2 * len(a))) ** 2).sum())]})
+
+    return graphs.groupBy("graph").applyInPandas(run, "graph long, q double")
+
+
 def permutation_test(values: DataFrame, value: str, group: str, trials: int = 10_000, seed: int = 42) -> DataFrame:
     """observed, p: mean of the rows of a group (boolean column), and how many random groups of its size have a mean as low. The
     values (a number of each node) go to every task."""

@@ -12,14 +12,16 @@ SALTS = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of edges (a, b). Each round orders the nodes by a hash of its own, maps every
-    node to the first of itself and its neighbours, and keeps the distinct edges between different images. By a random order a path
-    or a star loses a share of its nodes, whatever their numbers are, so rounds grow with the logarithm of the number of nodes. Nothing
-    of it goes through the driver."""
+    """node, component (its smallest node) of every node of edges (a, b). Each round orders the nodes, maps every node to the first of
+    itself and its neighbours, and keeps the distinct edges between different images. The first two rounds take the nodes' own order, in
+    which a graph of links to smallest nodes is settled at once; the others order them by a hash of their own. By a random order a path
+    or a star loses a share of its nodes, whatever their numbers are, so rounds grow with the logarithm of the number of nodes. Nothing of
+    it goes through the driver."""
     left = written(edges.selectExpr("least(a, b) a", "greatest(a, b) b").filter("a < b").distinct(), "edges")
     steps = []
     while left.limit(1).count():
-        order = lambda c: f"struct(xxhash64({c}, {len(steps)}) h, {c} node)"
+        first = f"xxhash64({{0}}, {len(steps)})" if len(steps) > 1 else "0L"
+        order = lambda c: f"struct({first.format(c)} h, {c} node)"
         both = left.selectExpr("a node", f"{order('b')} other").union(left.selectExpr("b", order("a")))
         low = both.groupBy("node").agg(F.min("other").alias("m")).selectExpr("node", f"least(m, {order('node')}).node parent")
         low = written(low, "parents")

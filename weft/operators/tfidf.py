@@ -122,9 +122,11 @@ def term_mass(w: DataFrame) -> DataFrame:
     return w.groupBy("term").agg(((F.pow(F.sum("w"), 2) - F.sum(F.col("w") * F.col("w"))) / 2).alias("mass"))
 
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve, by average ranks of the distinct scores."""
+def auc(rows: DataFrame, score: str, label: str, zeros: DataFrame | None = None) -> DataFrame:
+    """Area under the ROC curve, by average ranks of the distinct scores. zeros: s, n, pos of rows that are not there."""
     c = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.expr(f"if({label}, 1L, 0L)")).alias("pos"))
+    if zeros is not None:
+        c = c.unionByName(zeros).groupBy("s").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ranked = c.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
     t = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))

@@ -417,6 +417,44 @@ def l_show_label(spark, d):
     return b.read(spark, d, "part").select("p_partkey", tx.shown_label(full).alias("label"))
 
 
+@query("agg_why_full", b.sql(_SOURCE_PAGES, "select linked, why, count(*) n from led group by all"))
+def agg_why_full(spark, d):
+    return _full_ledger(spark, d)[2].groupBy("linked", "why").agg(F.count("*").alias("n"))
+
+
+@query("js_two_ledgers_full", b.sql(_SOURCE_PAGES, _CODES, "select family, count(*) filter (linked) linked, count(*) filter (named > 0) named from led left join codes using (why) group by family"))
+def js_two_ledgers_full(spark, d):
+    """Both sides by family of reasons."""
+    return _full_ledger(spark, d)[2].groupBy("family").agg(F.count_if("linked").alias("linked"), F.count_if(F.col("named") > 0).alias("named"))
+
+
+_PLACED = [("infobox", "I"), ("prose", "P"), ("list", "L"), ("reference", "R"), ("table", "T"), ("italic title", "S"), ("template", "Q"), ("gallery", "G"), ("image caption", "C")]
+
+
+@query("l_place", "select p_partkey page, place, letter || p_partkey target, case when letter in ('T', 'S', 'Q', 'G', 'C') then 'Life' else 'Lead' end as section from part, (values " + ", ".join(f"('{p}', '{c}')" for p, c in _PLACED) + ") v(place, letter)")
+def l_place(spark, d):
+    """A page of wikitext for each part, with a link in every kind of place."""
+    text = "{{Infobox x|a=[[I#]]}}\n[[P#|shown]] and\n* [[L#]]\n<ref>[[R#]]</ref>\n== Life ==\n{|\n|[[T#]]\n|}\n''[[S#]]'' {{quote|[[Q#]]}}\n<gallery>\n[[G#]]\n</gallery>\n[[File:x.png|of [[C#]]]]\n"
+    pages = b.read(spark, d, "part").select(F.col("p_partkey").alias("page"), F.replace(F.lit(text), F.lit("#"), F.col("p_partkey").cast("string")).alias("wikitext"))
+    return lk.wikilinks(pages).select("page", "place", "target", "section")
+
+
+@query("prj_qual", "select p_partkey, nullif(regexp_extract(p_name || case when p_size % 2 = 0 then ' (' || p_brand || ')' else '' end, '\\(([^()]+)\\)$', 1), '') qual from part")
+def prj_qual(spark, d):
+    full = F.concat("p_name", F.expr("if(p_size % 2 = 0, concat(' (', p_brand, ')'), '')"))
+    return b.read(spark, d, "part").select("p_partkey", tx.qualifier(full).alias("qual"))
+
+
+_BY_CUSTOMER = _ORDERS.replace("l_orderkey o, l_suppkey who from lineitem", "o_custkey o, l_suppkey who from lineitem join orders on o_orderkey = l_orderkey")
+
+
+@query("agg_dial_wide", b.sql(_BY_CUSTOMER, "f as (select co.*, lnk.a is not null hit from co left join lnk using (a, b)), k as (select unnest([1,2,3,4,5,6]) k), e as (select cast(k as bigint) k, count(*) filter (n >= k) edges, count(*) filter (n >= k and hit) linked from k left join f on true group by k)", "select k, edges, linked, round(linked / greatest(1, edges), 3) as \"precision\", round(linked / greatest(1, (select count(*) from lnk)), 3) recall from e"))
+def agg_dial_wide(spark, d):
+    """The same dial over a wider unit: a customer's orders together."""
+    rows = b.read(spark, d, "lineitem").join(b.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("unit"), F.col("l_suppkey").alias("who"))
+    return nm.dial(nm.comentions(rows, ["unit"]), _same_nation(spark, d))
+
+
 @query("js_mode16", b.sql(b.DENSE, _SPARSE2, _LEDGER, "n as (select b, count(*) filter (named > 0) naming, count(*) filter (linked) linking from l2 group by b)", "select * from n order by naming - linking desc, naming desc, b limit 16"))
 def js_mode16(spark, d):
     return js_named_linked(spark, d).orderBy(F.desc(F.col("naming") - F.col("linking")), F.desc("naming"), "b").limit(16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import community as cm
+from ..operators import components as cc
 from ..operators import graph, paths
 from ..operators import robustness as rb
 from ..storage import written
@@ -27,19 +28,54 @@ def g_bfs_all(spark, d):
     return paths.distances(edges, nodes)
 
 
-@query("g_betweenness")
+_PATHS = """dist as (select source, node, dist d from best), sp(source, node, d) as (select node, node, cast(0 as bigint) from nodes union all select sp.source, e.b, sp.d + 1 from sp join two e on e.a = sp.node join dist on dist.source = sp.source and dist.node = e.b and dist.d = sp.d + 1),
+  sig as (select source, node, any_value(d) d, cast(count(*) as double) c from sp group by all),
+  btw as (select n.node, coalesce(sum(a.c * z.c / s.c), 0) / greatest(1, ((select count(*) from nodes) - 1) * ((select count(*) from nodes) - 2)) bc from nodes n left join sig a on a.node = n.node and a.source <> n.node left join sig z on z.source = n.node and z.node <> n.node and z.node <> a.source left join sig s on s.source = a.source and s.node = z.node and s.d = a.d + z.d where a.c is null or z.c is null or s.c is not null group by n.node)"""
+_BTW = (b.NODES, b.SPARSE, b.SIMPLE, _BFS, _PATHS)
+
+
+_BFS_SOME = """two as (select src a, dst b from simple union all select dst, src from simple), walk(source, node, dist) as
+  (select node, node, cast(0 as bigint) from nodes where node % 50 = 0 union select w.source, e.b, w.dist + 1 from walk w join two e on e.a = w.node where w.dist < 14),
+  best as (select source, node, min(dist) dist from walk group by all)"""
+
+
+@query("g_cc_purchases", b.sql(b.NODES, b.DENSE, b.SIMPLE, b.COMPONENTS, "select node, component from comp", recursive=True))
+def g_cc_purchases(spark, d):
+    """Components of the whole graph of purchases."""
+    return cc.all_components(b.nodes(spark, d), graph.undirect(b.dense(spark, d)))
+
+
+@query("g_bfs_purchases", b.sql(b.NODES, b.DENSE, b.SIMPLE, _BFS_SOME, "select source, node, dist from best", recursive=True))
+def g_bfs_purchases(spark, d):
+    """Distances in the whole graph of purchases from each node whose id is divisible by 50 to all."""
+    nodes, edges = written(b.nodes(spark, d), "nodes"), written(graph.undirect(b.dense(spark, d)), "edges")
+    return paths.distances(edges, nodes.filter("node % 50 = 0"))
+
+
+@query("g_betweenness", b.sql(*_BTW, "select n.node, round(coalesce(btw.bc, 0), 6) betweenness from nodes n left join btw using (node)", recursive=True))
 def g_betweenness(spark, d):
     nodes, edges = _sparse(spark, d)
     return paths.betweenness(edges, nodes).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("g_attack")
+_ORDERS = """dg as (select n.node, count(two.a) degree from nodes n left join two on two.a = n.node group by n.node),
+  ord as (select 'degree' order_id, node, row_number() over (order by degree desc, node) pos from dg union all select 'betweenness', n.node, row_number() over (order by round(coalesce(bc, 0), 9) desc, n.node) from nodes n left join btw using (node))"""
+#: steps after which the removed nodes leave the pairs of a component apart; the largest of what is left, by step
+_CURVE = """linked as (select node from dg where degree > 0), st as (select unnest(range(0, (select count(*) + 1 from nodes))) step),
+  wk(order_id, step, node, other) as (select o.order_id, st.step, o.node, o.node from ord o join linked using (node) join st on o.pos > st.step where st.step <= (select max(pos) from ord join linked using (node)) union select w.order_id, w.step, w.node, e.b from wk w join two e on e.a = w.other join ord o on o.order_id = w.order_id and o.node = e.b where o.pos > w.step),
+  sz as (select order_id, step, node, count(*) s from wk group by all), mx as (select order_id, step, max(s) s from sz group by all),
+  cur as (select k.order_id, st.step, greatest(coalesce(mx.s, 0), case when st.step < (select count(*) from nodes) then 1 else 0 end) / (select count(*) from nodes) fraction from st cross join (select distinct order_id from ord) k left join mx on mx.order_id = k.order_id and mx.step = st.step)"""
+_ATTACK = (*_BTW, _ORDERS, _CURVE)
+
+
+@query("g_attack", b.sql(*_ATTACK, "select order_id, cast(step as bigint) step, round(fraction, 9) fraction from cur", recursive=True))
 def g_attack(spark, d):
     nodes, edges = _sparse(spark, d)
     deg = graph.degrees(nodes, edges.union(edges.select("dst", "src"))).select("node", F.col("degree").cast("double").alias("score"))
     central = paths.betweenness(edges, nodes)
+    central = central.withColumn("betweenness", F.round("betweenness", 9))
     orders = rb.attack_order(deg, "score", "degree").union(rb.attack_order(central, "betweenness", "betweenness"))
-    return rb.curves(nodes, edges, orders)
+    return rb.curves(nodes, edges, orders).withColumn("fraction", F.round("fraction", 9))
 
 
 @query("g_random_failure")
@@ -63,7 +99,10 @@ def g_node_impact(spark, d):
     return rb.node_impact(nodes, edges).withColumn("impact", F.round("impact", 6))
 
 
-@query("top_fragment")
+_IMPACT = "walk(gone, node, other) as (select g.node, n.node, n.node from nodes g join nodes n on n.node <> g.node union select w.gone, w.node, e.b from walk w join two e on e.a = w.other where e.b <> w.gone), sz0 as (select gone, node, count(*) s from walk group by all), imp as (select gone node, round(1 - max(s) / (select count(*) from nodes), 6) impact from sz0 group by gone)"
+
+
+@query("top_fragment", b.sql(b.NODES, b.SPARSE, b.SIMPLE, "two as (select src a, dst b from simple union all select dst, src from simple)", _IMPACT, "select node, impact from imp order by impact desc, node limit 10", recursive=True))
 def top_fragment(spark, d):
     return g_node_impact(spark, d).orderBy(F.desc("impact"), "node").limit(10)
 
@@ -76,7 +115,7 @@ def agg_attack_meta(spark, d):
     return one.join(two).withColumn("same", F.expr("top_fragmenter = top_betweenness"))
 
 
-@query("g_half_life")
+@query("g_half_life", b.sql(*_ATTACK, "select order_id, cast(min(step) as bigint) step from cur where fraction <= 0.5 group by order_id", recursive=True))
 def g_half_life(spark, d):
     return rb.half_life(g_attack(spark, d))
 
@@ -210,6 +249,15 @@ def c_null_rewire(spark, d):
     return made.groupBy("graph").agg(F.count_distinct("src", "dst").alias("edges"), F.sum(F.expr("if(src = dst, 1L, 0L)")).alias("loops")).join(changed, "graph")
 
 
+@query("c_null_q")
+def c_null_q(spark, d):
+    """Modularity of the purchases' communities against that of 20 rewired copies: mean, deviation and z-score."""
+    nodes, edges = b.nodes(spark, d), written(graph.undirect(b.dense(spark, d)), "edges")
+    real = cm.null_modularity(edges.select(F.lit(0).cast("long").alias("graph"), "src", "dst")).select(F.col("q").alias("real"))
+    null = cm.null_modularity(written(cm.rewired(nodes, edges), "rewired")).agg(F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"))
+    return real.join(null).select("real", "mean", "std", F.expr("if(std > 0, (real - mean) / std, null)").alias("z"))
+
+
 @query("st_gnm", b.sql(b.NODES, b.DENSE, b.SIMPLE, "select cast(graph as bigint) graph, (select count(*) from nodes) nodes, 2 * (select count(*) from simple) degree_sum from generate_series(0, 199) g(graph)"))
 def st_gnm(spark, d):
     n, m = b.nodes(spark, d).count(), graph.undirect(b.dense(spark, d)).count()

@@ -245,6 +245,32 @@ def t_pair_export(spark, d):
     return near.join(terms, ["i", "j"])
 
 
+_NAMES_STORY = "sw as (select w.* from w join cls using (term) where cls = 2), sq as (select doc, greatest(sqrt(sum(w * w)), 1e-12) n from sw group by doc), st as (select doc, term, w / n w from sw join sq using (doc)), nw as (select w.* from w join cls using (term) where cls = 0), nq as (select doc, greatest(sqrt(sum(w * w)), 1e-12) n from nw group by doc), na as (select doc, term, w / n w from nw join nq using (doc))"
+_LINKED = "(select round(avg(case when abs(i - j) = 1 then 1.0 else 0.0 end), 6) from {0}n) linked_{1}"
+_AUC = "{0}a as (select round(coalesce(c.cos, 0), 9) s, y.item_id = x.item_id + 1 hit from benchmark x join benchmark y on x.item_id < y.item_id left join {0}c c on c.i = x.item_id and c.j = y.item_id), {0}k as (select rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 rk, hit from {0}a)"
+_AUC_OF = "(select round((sum(case when hit then rk end) - count(*) filter (hit) * (count(*) filter (hit) + 1) / 2) / (count(*) filter (hit) * count(*) filter (not hit)), 6) from {0}k) auc_{1}"
+_KINDS = (("r", "raw"), ("s", "story"), ("m", "names"))
+
+
+@query("t_nn_rates", b.sql(WORDS, STATS, CLS, W, _NAMES_STORY, *(_NEAR.format(k, t) for k, t in (("r", "w"), ("s", "st"), ("m", "na"))), *(_AUC.format(k) for k, _ in _KINDS), "select (select round(avg(case when rn.j = sn.j then 1.0 else 0.0 end), 6) from rn join sn using (i)) same, " + ", ".join(f.format(k, n) for k, n in _KINDS for f in (_LINKED, _AUC_OF))))
+def t_nn_rates(spark, d):
+    """How often the nearest by all terms is the nearest by story; how often the nearest is linked, and the area under the curve of links
+    against cosines of all pairs (those without a common term count as 0), by all terms, by story and by names. Items are linked to
+    the next one."""
+    w, cls = _weights(spark, d), _classes(spark, d)
+    items = b.read(spark, d, "benchmark").select("item_id")
+    linked = items.select(F.col("item_id").alias("i")).join(items.select((F.col("item_id") - 1).alias("i")), "i").agg(F.count("*").alias("links")).join(items.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("all")))
+    near, out = {}, None
+    for name, own in (("raw", w), ("story", tf.renormalised(w, cls, tf.STORY)), ("names", tf.renormalised(w, cls, tf.NAME))):
+        pairs = written(tf.cosines(own).select("i", "j", F.round("cos", 9).alias("cos"), (F.col("j") == F.col("i") + 1).alias("hit")), "pairs")
+        near[name] = tf.nearest(pairs.select("i", "j", "cos")).select("i", "j")
+        zeros = pairs.agg(F.count("*").alias("n"), F.count_if("hit").alias("p")).join(linked).select(F.lit(0.0).alias("s"), (F.col("all") - F.col("n")).alias("n"), (F.col("links") - F.col("p")).alias("pos"))
+        row = near[name].agg(F.round(F.avg((F.abs(F.col("i") - F.col("j")) == 1).cast("double")), 6).alias(f"linked_{name}")).join(tf.auc(pairs, "cos", "hit", zeros).select(F.round("auc", 6).alias(f"auc_{name}")))
+        out = row if out is None else out.join(row)
+    same = near["raw"].join(near["story"].withColumnRenamed("j", "k"), "i").agg(F.round(F.avg((F.col("j") == F.col("k")).cast("double")), 6).alias("same"))
+    return same.join(out)
+
+
 @query("js_scatter", b.sql(WORDS, STATS, CLS, W, COS, "select i, j, round(cos, 6) cos from co where round(cos, 6) >= 0.08"))
 def js_scatter(spark, d):
     return _rounded(_pairs(spark, d).select("i", "j", "cos"), "cos").filter("cos >= 0.08")

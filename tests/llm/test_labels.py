@@ -71,6 +71,103 @@ def test_machine_learns_a_pair():
     assert np.mean((raw > 0) == y) > 0.99
 
 
+def test_toxic_by_a_pair_only(spark):
+    """Insults and groups are as common in either label; only together they are toxic. Some insults stand alone and are toxic too."""
+    rng = random.Random(9)
+    fill = ["bread", "river", "stone", "cloud", "green", "seven", "walk", "house"]
+    insults, groups = ["dolt", "swine"], ["northerners", "weavers"]
+    rows = []
+    for i in range(3000):
+        kind = rng.random()
+        words = rng.choices(fill, k=8)
+        toxic = kind < 0.25
+        if kind < 0.25:
+            words += [rng.choice(insults), rng.choice(groups)]
+        elif kind < 0.5:
+            words += [rng.choice(insults)]
+        elif kind < 0.62:
+            words += [rng.choice(groups)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(df.filter("doc_id < 2000"), df.select("doc_id", "toxic").filter("doc_id < 2000"))
+    got = toxicity.score(df.filter("doc_id >= 2000"), machine).collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.97
+    linear = toxicity.Machine(machine.slots)
+    assert np.abs(machine.v).max() > 0.1 and len(linear.slots) >= 4
+
+
+def test_inputs_beside_others(spark):
+    """A term that both labels use equally often becomes an input if it decides beside a telling one."""
+    rows = [(1, "dolt weavers bread")] * 40 + [(1, "river stone")] * 60 + [(0, "dolt bread")] * 10 + [(0, "weavers river")] * 40 + [(0, "stone bread")] * 50
+    df = spark.createDataFrame([(i, t, y) for i, (y, t) in enumerate(rows)], "doc_id long, text string, y int")
+    feats = toxicity.features(df)
+    by_word = lambda w: set(toxicity.terms(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].tolist())
+    alone = set(toxicity.telling(toxicity.slot_counts(feats)).tolist())
+    beside = set(toxicity.telling(toxicity.slot_counts(feats, np.array(sorted(by_word("dolt"))))).tolist())
+    assert by_word("dolt") <= alone and not by_word("weavers") & alone and by_word("weavers") & beside
+
+
+def brute_scores(machine, text):
+    """A text's score by single pairs of inputs."""
+    low = "".join(c.lower() if c.isascii() else c for c in text or "").encode()
+    words = set(re.findall(rb"[0-9a-z\x80-\xff]+", low))
+    place = {int(slot): k for k, slot in enumerate(machine.slots)}
+    slots = {s for w in words for s in toxicity.terms(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].tolist()}
+    own = sorted(place[s] for s in slots if s in place)
+    raw = machine.bias + sum(machine.w[k] for k in own) + sum(float(machine.v[a] @ machine.v[b]) for n, a in enumerate(own) for b in own[n + 1 :])
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_toxicity_by_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    machine = toxicity.fit(docs, labels.filter(~held_out(4, 2)))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(EDGE, "doc_id long, text string"))
+    for r in toxicity.score(df, machine).collect():
+        want = brute_scores(machine, r.text)
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(want >= 0.3)
+
+
+def test_language_by_brute_force(spark, docs):
+    """Scores by a dictionary of counts, letter by letter, with the same hashing of n-grams."""
+    learned = docs.filter("doc_id < 300").select("text", "lang").collect()
+    model = langid.fit(docs.filter("doc_id < 300"))
+    counts, langs = {}, sorted({r.lang for r in learned if r.lang and r.text})
+
+    def grams_of(text):
+        points, out = [], []
+        for c in text or "":
+            if c.isalpha():
+                low = c.lower()
+                points.append(ord(low) if len(low) == 1 else ord(c))
+            elif not points or points[-1]:
+                points.append(0)  # a run of other characters
+        for i in range(len(points)):
+            key = 0
+            for n in (1, 2, 3):
+                if i + n <= len(points):
+                    key = (key * 0x9E3779B97F4A7C15 + points[i + n - 1] + n) % 2**64
+                    out.append(((key ^ key >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 49)
+        return out, any(points)
+
+    docs_of = dict.fromkeys(langs, 0)
+    for r in learned:
+        if r.lang and r.text:
+            own, has = grams_of(r.text)
+            docs_of[r.lang] += has
+            for b in own if has else ():
+                counts[r.lang, b] = counts.get((r.lang, b), 0) + 1
+    total = {g: sum(n for (x, _), n in counts.items() if x == g) for g in langs}
+    for r in langid.predict(docs.filter("doc_id between 300 and 360").select("doc_id", "text"), model).collect():
+        own, has = grams_of(r.text)
+        if not has:
+            assert r.lang_pred == "und"
+            continue
+        score = {g: np.log(docs_of[g] / sum(docs_of.values())) + sum(np.log((counts.get((g, b), 0) + 0.1) / (total[g] + 0.1 * langid.BUCKETS)) for b in own) for g in langs}
+        best = max(score.values())
+        assert score[r.lang_pred] == pytest.approx(best, rel=1e-4)
+
+
 def by_hand(text):
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
     words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)

@@ -2,8 +2,10 @@
 
 Terms are a text's distinct lower-cased words and the words' first 4, 5 and 6 bytes (inflected or compounded insults share
 them), hashed into SLOTS slots. A bounded sample of labelled rows (SAMPLE, a parameter) is joined to the documents by a
-broadcast; slots that tell the labels apart in that sample (a G-test) become the machine's inputs, and a linear weight and RANK
-factors are learned for each, so that pairs of terms count beyond the sum of their weights.
+broadcast. The machine's inputs are slots that tell the labels apart by themselves (a G-test over the sample) and slots that tell them
+apart beside one of those (the same over the rows that have one): a term that both labels use alike, such as the mention of a group,
+matters where an insult stands with it. A linear weight and RANK factors are learned for each input, so that pairs of terms count beyond
+the sum of their weights.
 
 Defined results: a null or empty text has no term and gets the bias alone; without labelled rows every score is 0; a label that
 is null is left out; rows of a document repeated in labels count by the largest label; repeated documents are scored each for itself.
@@ -21,6 +23,7 @@ from .common import lower_ascii, mix64, padded, row_chunks, runs, slice_hash, te
 
 SLOTS = 1 << 20
 SAMPLE = 20_000
+#: slots that either test may choose; the width of the machine is twice that at most
 INPUTS = 4096
 RANK = 8
 PREFIXES = (4, 5, 6)
@@ -59,30 +62,38 @@ def chunks(batch):
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """y and slots (the distinct ones, 32-bit little-endian) of rows with text and y."""
+    """doc_id, y and slots (the distinct ones, 32-bit little-endian) of rows with text and y; of rows with one doc_id one, that with the
+    smallest slots."""
 
     def run(batches):
         for batch in batches:
-            y = batch.column("y")
+            ids, y = batch.column("doc_id"), batch.column("y")
             for i, j, slot, owner in chunks(batch):
                 key = np.unique(owner * SLOTS + slot)
                 at = np.searchsorted(key, np.arange(j - i + 1) * SLOTS)
                 own = (key % SLOTS).astype("<u4")
-                yield pa.RecordBatch.from_arrays([y.slice(i, j - i), pa.array([own[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["y", "slots"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), y.slice(i, j - i), pa.array([own[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["doc_id", "y", "slots"])
 
-    return docs.select("y", "text").mapInArrow(run, "y int, slots binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id long, y int, slots binary")
+    return rows.groupBy("doc_id", "y").agg(F.min("slots").alias("slots"))
 
 
-def slot_counts(rows: DataFrame) -> DataFrame:
-    """slot, pos, neg: documents of either label that have it; slot -1: all documents."""
+def slot_counts(rows: DataFrame, beside: np.ndarray | None = None) -> DataFrame:
+    """slot, pos, neg: documents of either label that have it; slot -1: all documents. beside: of those only that have one of these slots."""
 
     def run(batches):
+        near = None
+        if beside is not None:
+            near = np.zeros(SLOTS, bool)
+            near[beside] = True
         total = np.zeros((2, SLOTS), np.int32)
         docs = [0, 0]
         for batch in batches:
             for y, raw in zip(batch.column("y").to_pylist(), batch.column("slots").to_pylist()):
-                total[y, np.frombuffer(raw, "<u4")] += 1
-                docs[y] += 1
+                own = np.frombuffer(raw, "<u4")
+                if near is None or near[own].any():
+                    total[y, own] += 1
+                    docs[y] += 1
         full = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1).astype(np.int64)), pa.array(np.append(total[1, full], docs[1]).astype(np.int64)), pa.array(np.append(total[0, full], docs[0]).astype(np.int64))], names=["slot", "pos", "neg"])
 
@@ -159,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).drop("h")
     rows = written(features(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")), "features")
     slots = telling(slot_counts(rows))
+    if len(slots):
+        slots = np.union1d(slots, telling(slot_counts(rows, slots)))
     if not rows.limit(1).count():
         return None
 
@@ -186,8 +199,8 @@ def score(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -> D
             for i, j, slot, owner in chunks(batch) if m is not None else ():
                 index = place[slot]
                 hit = index >= 0
-                key = np.unique(owner[hit] * INPUTS + index[hit])
-                out[i:j] = 1 / (1 + np.exp(-np.clip(m.raw(key // INPUTS, key % INPUTS, j - i), -500, 500)))
+                key = np.unique(owner[hit] * (2 * INPUTS) + index[hit])
+                out[i:j] = 1 / (1 + np.exp(-np.clip(m.raw(key // (2 * INPUTS), key % (2 * INPUTS), j - i), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 from weft.llm import jaccard
-from weft.llm.graph import components
+from weft.operators.components import components
 
 
 def by_hand(rows, words, percent):

@@ -109,16 +109,19 @@ def row_key(pack: int, place: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """What a pack derives from its texts: sets of shingles, a hash of each set, and hashes of their parts."""
+    """What a pack derives from its texts: sets of shingles, two hashes of each set (node is the one that is dealt by), and hashes of
+    their parts."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, words: int):
         self.keys, self.offs = shingles(data, offs, words)
         self.size = np.diff(self.offs)
-        self.node = np.zeros(len(self.size), np.uint64)
+        self.node, self.check = np.zeros(len(self.size), np.uint64), np.zeros(len(self.size), np.uint64)
         full = self.size > 0
         if full.any():
-            sums = np.add.reduceat(mix64(self.keys + np.uint64(0x51ED270B)), self.offs[:-1][full])
+            one = mix64(self.keys + np.uint64(0x51ED270B))
+            sums = np.add.reduceat(one, self.offs[:-1][full])
             self.node[full] = mix64(sums * np.uint64(3) + mix64(self.size[full].astype(np.uint64)))
+            self.check[full] = np.add.reduceat((one ^ (one >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25), self.offs[:-1][full])
 
     def sketches(self, own: np.ndarray) -> list[bytes]:
         """Of each set: how many shingles fall in each class of hashes, 255 at most; about one class for eight shingles. Two sets differ
@@ -146,7 +149,8 @@ def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def question(pack):
         asked = asked_of(pack)[3]
         for b, at in ex.deal(asked, buckets):
-            yield b, 0, ex.squeeze_sorted(asked[at] >> np.uint64(64 - FRAGMENT))
+            if len(at):
+                yield b, 0, ex.squeeze_sorted(asked[at] >> np.uint64(64 - FRAGMENT))
 
     def reply(kind, payloads):
         """Is it there more than once? Fragments say so for a few that are not; these find no partner later."""
@@ -174,7 +178,7 @@ def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
             h, own = h[order], own[order]
             for b, at in ex.deal(h, few):
                 if len(at):
-                    yield b, kind, ex.join_parts(ex.squeeze_sorted(h[at] // np.uint64(few)), ex.squeeze(own[at]))
+                    yield b, kind, ex.join_parts(ex.squeeze_sorted(h[at] // np.uint64(few)), ex.squeeze(own[at]), *([ex.squeeze(sets.check[own[at]])] if kind == 2 else []))
         own = np.flatnonzero(known)
         yield (int(pack.ids[0] % few) if len(pack.ids) else 0), 3, ex.join_parts(ex.squeeze(own), ex.squeeze(sets.size[own]), ex.join_parts(*sets.sketches(own)))
 
@@ -185,16 +189,16 @@ def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if kind == 3:
                 sizes.append((row_key(pack, ex.expand(x)), ex.expand(y).astype(np.int64), ex.split_parts(sketch[0])))
             else:
-                rows[kind].append((ex.expand_sorted(x), row_key(pack, ex.expand(y))))
+                rows[kind].append((ex.expand_sorted(x), row_key(pack, ex.expand(y)), *map(ex.expand, sketch)))
         out = []
         for kind in (1, 2):
             if rows[kind]:
-                h, row = (np.concatenate(c) for c in zip(*rows.pop(kind)))
+                h, row, *check = (np.concatenate(c) for c in zip(*rows.pop(kind)))
                 found = []
                 for some in range(8):  # an eighth of the hashes at a time, for memory
                     mine = (h & np.uint64(7)) == np.uint64(some)
                     x, y = h[mine], row[mine]
-                    order, first = ex.groups(x)
+                    order, first = ex.groups(x) if kind == 1 else same(x, check[0][mine])
                     y = y[order]
                     low = np.repeat(np.minimum.reduceat(y, first), np.diff(np.append(first, len(x)))) if len(x) else y
                     found.append((y[y != low], low[y != low]))
@@ -212,6 +216,13 @@ def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return ex.ask_again(packs, first, question_again).groupBy("bucket").applyInArrow(edges, "a long, b long, kind int, sketch binary")
 
 
+def same(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As exchange.groups, of pairs of numbers."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    return order, np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)])
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of the edges with the smallest that it is connected to, where that is another."""
     node, at = np.unique(np.concatenate([a, b]), return_inverse=True)

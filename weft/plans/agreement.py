@@ -77,7 +77,7 @@ def agg_hosts(spark, d):
     return cm.hosts(labels(spark, d), 1, {2: "Second", 3: "Third", 5: "Fifth"})
 
 
-@query("agg_bloc_mean", b.sql(LABELS, PAIRS, "bl as (select s_suppkey node from supplier where s_nationkey < 8), t as (select count(*) * (count(*) - 1) // 2 pairs from bl)", "select any_value(pairs) pairs, round(coalesce(sum(p), 0) / any_value(pairs), 6) \"mean\" from t left join co on i in (select node from bl) and j in (select node from bl)"))
+@query("agg_bloc_mean", b.sql(LABELS, PAIRS, "bl as (select s_suppkey node from supplier where s_nationkey < 8), t as (select count(*) * (count(*) - 1) // 2 pairs from bl)", "select any_value(pairs) pairs, round(coalesce(sum(p), 0) / nullif(any_value(pairs), 0), 6) \"mean\" from t left join co on i in (select node from bl) and j in (select node from bl)"))
 def agg_bloc_mean(spark, d):
     bloc = b.read(spark, d, "supplier").filter("s_nationkey < 8").select(F.col("s_suppkey").cast("long").alias("node"))
     return _six(cm.bloc_mean(cm.coassignment(labels(spark, d)), bloc), "mean")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, jaccard, langid, licenses, merkle, neighbors, suffixes, toxicity, warc, wavelet
+from . import bpe, ctw, decontaminate, jaccard, langid, licenses, merkle, neighbors, suffixes, toxicity, turns, warc, wavelet
 from .common import held_out, read, shared_dir, with_text
 
 
@@ -65,6 +65,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, path)
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(read(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
     "op11_warc": op11_warc,
+    "op12_turns": op12_turns,
     "op13_merkle": op13_merkle,
 }
 #: bytes as pairs of hexadecimal digits; a byte is removed if one of the 50 strings over it starts in an earlier document too

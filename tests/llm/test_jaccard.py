@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from weft.llm import exchange as ex
 from weft.llm import jaccard
 from weft.operators.components import components
 
@@ -78,3 +80,30 @@ def test_components(spark):
 
 def test_empty(spark):
     assert jaccard.linked_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("task", [0, 524_287, 524_288, 1 << 20, (1 << 28) - 1])
+def test_numbers_of_rows_of_many_tasks(task):
+    pack = ex.pack_number(task, 65_535)
+    keys = jaccard.row_key(pack, np.array([0, 5, (1 << jaccard.PLACE) - 1]))
+    assert (keys >= 0).all() and (keys >> jaccard.PLACE == pack).all() and (keys & (1 << jaccard.PLACE) - 1).tolist() == [0, 5, (1 << jaccard.PLACE) - 1]
+
+
+def test_numbers_that_do_not_fit():
+    for bad in (lambda: ex.pack_number(1 << 28, 0), lambda: ex.pack_number(0, 1 << 16), lambda: jaccard.row_key(0, np.array([1 << jaccard.PLACE]))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_links_of_late_tasks(spark):
+    """Tasks numbered from a million on, as a hundred terabytes have: the number is taken where packs are cut, and nowhere else."""
+    rows = made(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def late(docs, cut=ex.packs_of):
+        return cut(docs).withColumn("pack", F.col("pack") + (1 << 20 << 16))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ex, "packs_of", late)
+        got = jaccard.linked_groups(df)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == by_hand(rows, 3, 90)

@@ -68,6 +68,13 @@ class Pack:
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
 
 
+def pack_number(task: int, n: int) -> int:
+    """The n-th pack of a task. Numbers have 44 bits: 2**28 tasks, and 2**16 packs (128 GB) in each."""
+    if task >> 28 or n >> 16:
+        raise ValueError(f"pack {n} of task {task}")
+    return task << 16 | n
+
+
 def numbered(batches):
     """Pack number, batch, range of its rows, and their ids, bytes and offsets, of each pack of a task's batches."""
     task, n = TaskContext.get().partitionId(), 0
@@ -75,13 +82,13 @@ def numbered(batches):
         ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
         data, offs = text_bytes(batch.column("text"))
         for i, j in row_chunks(offs, PACK):
-            yield task << 32 | n, batch, i, j, ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            yield pack_number(task, n), batch, i, j, ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             n += 1
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """pack, body: docs (doc_id, text, and any other columns) in packs, dealt out by pack. Every use of the result reuses one
-    shuffle. docs must give the same rows in the same order when a task runs again, as a table does."""
+def packs_of(docs: DataFrame) -> DataFrame:
+    """pack, body: docs (doc_id, text, and any other columns) in packs. docs must give the same rows in the same order when a task runs
+    again, as a table does."""
 
     def run(batches):
         for key, batch, i, j, ids, data, offs in numbered(batches):
@@ -92,7 +99,12 @@ def packed(docs: DataFrame) -> DataFrame:
             body = join_parts(squeeze(ids.view(np.uint64)), squeeze(np.diff(offs, prepend=0)), zstandard.ZstdCompressor(level=3).compress(data.tobytes()), zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([body], pa.binary())], names=["pack", "body"])
 
-    return docs.mapInArrow(run, "pack long, body binary").repartition(partitions(docs.sparkSession), "pack")
+    return docs.mapInArrow(run, "pack long, body binary")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """packs_of(docs), dealt out by pack. Every use of the result reuses one shuffle."""
+    return packs_of(docs).repartition(partitions(docs.sparkSession), "pack")
 
 
 def ask(packs: DataFrame, question: Callable[[Pack], Iterator[tuple[int, int, bytes]]]) -> DataFrame:

@@ -32,6 +32,8 @@ SKETCHED = 4096
 CONNECTED = 1 << 27
 #: bits of a part's hash that are sent to find out whether any other set has it
 FRAGMENT = 36
+#: bits of a row's place in its pack
+PLACE = 19
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -104,8 +106,10 @@ def parts_of(keys: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def row_key(pack: int, place: np.ndarray) -> np.ndarray:
-    """One number for a row of a pack; a batch, and so a pack, has fewer than 2**20 rows."""
-    return (np.int64(pack >> 32) << np.int64(44)) | (np.int64(pack & 0xFFFFFFFF) << np.int64(20)) | place.astype(np.int64)
+    """One number for a row of a pack: the pack's has 44 bits, and 19 are left for the place."""
+    if pack >> 44 or len(place) and int(place.max()) >> PLACE:
+        raise ValueError(f"pack {pack} with {len(place)} rows")
+    return np.int64(pack << PLACE) | place.astype(np.int64)
 
 
 class Sets:
@@ -134,12 +138,12 @@ class Sets:
         return out
 
 
-def neighbours(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def neighbours(packs: DataFrame, size: int, words: int, percent: int) -> DataFrame:
     """a, b, kind, sketch of rows (row_key). Kind 1: b has a part of a's, or others between them do. Kind 2: b has an equal set and is the
-    smallest such. Kind 3: b is a's number of shingles, and sketch its sketch; of every row with a common part."""
-    packs, buckets = ex.packed(docs), partitions(docs.sparkSession)
+    smallest such. Kind 3: b is a's number of shingles, and sketch its sketch; of every row with a common part. size: bytes of text."""
+    buckets = partitions(packs.sparkSession)
     # a bucket names a row's neighbour again, so there are as many as the text needs and no more
-    few = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CONNECTED)
+    few = max(1, size // CONNECTED)
 
     def asked_of(pack):
         sets = Sets(pack.data, pack.offs, words)
@@ -338,10 +342,12 @@ def pairs_table(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
 
 
 def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of docs (doc_id long, text). docs must give the same rows in the same order when it is read
-    again, as a table does."""
+    """doc_id, n_shingles, component_id of docs (doc_id long, text). Packs are cut and numbered once and written: whatever a later step
+    asks of a row by its number, it asks of these."""
     docs = docs.select("doc_id", "text")
-    found = written(neighbours(docs, words, percent), "neighbours")
+    packs = written(ex.packs_of(docs), "packs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = written(neighbours(packs, size, words, percent), "neighbours")
     twins = found.filter("kind = 2").select("a", F.col("b").alias("head"))
     family = components(found.filter("kind < 3").select("a", "b"))
     heads = family.join(found.filter("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("n"), "sketch"), "node").join(twins, F.col("node") == F.col("a"), "left_anti")
@@ -355,7 +361,7 @@ def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
     # sketches alone part most families; what is left of them is compared by its shingles
     close = components(dealt_out(heads, SKETCHED).groupBy("family", "tile", "x", "y").applyInArrow(near, "a long, b long"))
     kept = written(heads.select("node", "band").join(close, "node").withColumnRenamed("component", "family"), "kept")
-    place = [F.expr("(shiftright(node, 44) << 32) | (shiftright(node, 20) & 16777215)").alias("pack"), F.expr("node & 1048575").alias("place")]
+    place = [F.shiftright("node", PLACE).alias("pack"), F.expr(f"node & {(1 << PLACE) - 1}").alias("place")]
     wanted = dealt_out(kept, BLOCK).select(*place, "node", "family", "tile", "x", "y", "k")
 
     def fetch(own: pa.Table, want: pa.Table) -> pa.Table:
@@ -372,18 +378,20 @@ def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
         sets = [ex.expand_sorted(s) for s in table.column("shingles").to_pylist()]
         return pairs_table(table.column("node").to_numpy(), tile_links(sets, sides(table), percent))
 
-    rows = ex.packed(docs).groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(fetch, "family long, tile int, x int, y int, k int, node long, shingles binary")
+    rows = packs.groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(fetch, "family long, tile int, x int, y int, k int, node long, shingles binary")
     group = components(rows.groupBy("family", "tile", "x", "y").applyInArrow(compare, "a long, b long"))
 
     def sizes(batches):
-        for key, _, _, _, ids, data, offs in ex.numbered(batches):
-            size = np.diff(shingles(data, offs, words)[1])
-            yield pa.RecordBatch.from_arrays([pa.array(row_key(key, np.arange(len(ids)))), pa.array(ids, pa.int64(), mask=ids == ex.NO_ID), pa.array(size)], names=["node", "doc_id", "n_shingles"])
+        for batch in batches:
+            for key, body in zip(batch.column("pack").to_pylist(), batch.column("body")):
+                pack = ex.Pack(body.as_py())
+                many = np.diff(shingles(pack.data, pack.offs, words)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(row_key(key, np.arange(len(many)))), pa.array(pack.ids, pa.int64(), mask=pack.ids == ex.NO_ID), pa.array(many)], names=["node", "doc_id", "n_shingles"])
 
     # a set's own name where it has a twin or a link; others are groups of their own
     names = twins.selectExpr("a node", "head name").union(twins.selectExpr("head", "head").distinct()).union(group.selectExpr("node", "node"))
     names = salted(names.distinct(), group.withColumnRenamed("node", "name"), "name", "node", "left").select("node", F.coalesce("component", "name").alias("component"))
-    every = docs.mapInArrow(sizes, "node long, doc_id long, n_shingles long").join(names, "node", "left")
+    every = packs.mapInArrow(sizes, "node long, doc_id long, n_shingles long").join(names, "node", "left")
     every = written(every, "sized")
     grouped = every.filter("component is not null")
     named = salted(grouped, grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component", "node")

@@ -110,3 +110,19 @@ def test_other_columns(spark):
     df = spark.createDataFrame([(1, "x" * 80, 5, "a"), (2, "x" * 80, None, "b"), (None, None, 7, None)], "doc_id long, text string, n_removed long, body string")
     got = {r.doc_id: r for r in suffixes.kept_text(df).collect()}
     assert got[1].text == "x" * 80 and got[2].text == "" and got[None].text == "" and (got[2].n_removed, got[2].body, got[None].n_removed) == (None, "b", 7)
+
+
+def test_no_bucket_holds_the_notes_of_all_packs():
+    rows = made(3) * 40
+    work = []
+
+    class Pack:
+        def __init__(self, k):
+            own = rows[k::64]
+            raw = [(t or "").encode() for _, t in own]
+            self.ids = np.array([1000 * k + i for i in range(len(own))], np.int64)
+            self.data, self.offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+    work = [suffixes.Work(Pack(k), 24, np.zeros(0, np.uint64), 16) for k in range(64)]
+    notes = np.bincount([w.home for w in work], minlength=16)
+    assert notes.sum() == 64 and notes.max() <= 12

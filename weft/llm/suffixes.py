@@ -16,6 +16,7 @@ others; rows with one doc_id remove nothing from each other; texts under the len
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .common import padded, partitions, row_chunks, runs, text_bytes, words64
+from .common import mix64, padded, partitions, row_chunks, runs, text_bytes, words64
 
 COVER = np.array([0, 1, 4, 14, 16])  # every difference modulo 21 occurs
 PERIOD = 21
@@ -91,6 +92,7 @@ class Work:
     def __init__(self, pack: ex.Pack, bits: int, bounds: np.ndarray, buckets: int):
         self.pack, self.bits, self.bounds, self.buckets = pack, bits, bounds, buckets
         self.n = len(pack.data)
+        self.home = zlib.crc32(pack.ids.tobytes()) % buckets  # where a pack leaves a note for itself: no bucket gets all of them
         self.doc = np.repeat(np.arange(len(pack.offs) - 1, dtype=np.int32), np.diff(pack.offs))
 
     def covered(self) -> np.ndarray:
@@ -148,17 +150,18 @@ class Work:
         ids = self.pack.ids[self.doc[place]]
         low = np.minimum.reduceat(ids[order], first) if len(first) else ids
         own, distinct = places_of(order, first), rows[order[first]]
-        lead, rest = big_endian(distinct[:, :TUPLE])[:2] if len(distinct) else (np.zeros(0, np.uint64),) * 2
+        words = big_endian(distinct[:, :TUPLE]) if len(distinct) else np.zeros((4, 0), np.uint64)
+        lead, rest = words[0], mix64(words[1] ^ mix64(words[2] ^ mix64(words[3])))  # a name is one group, by all of its bytes
         a, z = (np.searchsorted(self.bounds, lead, side=side) for side in ("left", "right"))
-        bucket = a + ((rest * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % (z - a + 1).astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((rest, lead, bucket))
+        bucket = a + ((rest >> np.uint64(20)) % (z - a + 1).astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((words[1], lead, bucket))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         return distinct[order], low[order], rank[own], np.searchsorted(bucket[order], np.arange(self.buckets + 1))
 
     def ask_again(self, got: dict):
         kept = self.repeated(got)
-        yield 0, NOTE, zstandard.ZstdCompressor(level=1).compress(np.packbits(kept).tobytes())  # for itself
+        yield self.home, NOTE, zstandard.ZstdCompressor(level=1).compress(np.packbits(kept).tobytes())  # for itself
         place, _, _, rows = self.samples(kept)
         distinct, low, _, edge = self.sent(rows, place)
         pack = zstandard.ZstdCompressor(level=3)
@@ -168,7 +171,7 @@ class Work:
 
     def removed(self, got: dict) -> np.ndarray:
         """Mask of removed bytes, from the answers to ask_again."""
-        kept = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(got[NOTE, 0]), np.uint8), count=len(self.covered())).astype(bool)
+        kept = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(got[NOTE, self.home]), np.uint8), count=len(self.covered())).astype(bool)
         place, before, after, rows = self.samples(kept)
         _, low, own, edge = self.sent(rows, place)
         hit = np.zeros(len(low), np.uint32)

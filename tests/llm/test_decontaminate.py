@@ -1,6 +1,7 @@
 """Passages against an alignment of every segment with every text."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from weft.llm import decontaminate as dc
@@ -83,6 +84,10 @@ def test_common_grams_in_stretches(monkeypatch):
     for hits in (1, 1000, 50_000):
         monkeypatch.setattr(dc, "HITS", hits)
         assert sorted(zip(*(x.tolist() for x in index.candidates(points, offs)))) == want
+    monkeypatch.setattr(dc, "HITS", 50_000)
+    for most in (5_000, 60_000):
+        monkeypatch.setattr(dc, "MOST", most)
+        assert sorted(zip(*(x.tolist() for x in index.candidates(points, offs)))) == want
     counts = {}
     for t in range(len(texts)):
         own = points[offs[t] : offs[t + 1]]
@@ -95,3 +100,25 @@ def test_common_grams_in_stretches(monkeypatch):
                     counts[t, s, (i - j) >> index.shift] = counts.get((t, s, (i - j) >> index.shift), 0) + 1
     by_hand = sorted((t, s, b << index.shift) for (t, s, b), n in counts.items() if n + counts.get((t, s, b + 1), 0) >= index.need[s])
     assert want == by_hand and len(want) > 100
+
+
+def test_repeated_and_repetitive_items(spark):
+    """Equal segments are one; items that share one are all reported, with all their segments."""
+    rng = random.Random(9)
+    once = "".join(rng.choice("abcdefgh ") for _ in range(80)).strip()
+    items = [(1, once), (2, once), (2, once), (3, "a" * 400), (4, "a" * 120), (5, "x" * 60)]
+    docs = [(1, f"so {once} it is"), (2, "a" * 3_000), (3, "nothing")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.segments, r.edits) for r in dc.passages(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): (1, 0), (1, 2): (2, 0), (2, 3): (7, 0), (2, 4): (1, 0)}
+
+
+def test_repetitive_items_and_a_long_text_in_bounded_memory():
+    index = dc.Index([(k, "a" * (60 + k % 60)) for k in range(2_000)])
+    assert len(index.text) == 60
+    points, offs, _ = dc.folded(b"a" * 20_000, np.array([0, 20_000]))
+    tracemalloc.start()
+    text, _, _ = index.candidates(points, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) and peak < 1 << 30

@@ -28,6 +28,8 @@ SLICE = 8_000_000
 BITS = 22
 #: hits of a stretch of places; bounds the memory of a task whatever grams a text and the benchmark have in common
 HITS = 1 << 22
+#: hits that are held at once: a stretch with more, since it has the places in reach too, is settled by ranges of segments
+MOST = 1 << 23
 #: bits of a key for the half bands of a text and a segment; they are counted from MIDDLE on, since the first ones are negative
 WIDE = 32
 MIDDLE = 1 << 20
@@ -74,7 +76,9 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
 
 class Index:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, segment: int = SEGMENT):
-        self.item, self.text = [], []
+        self.item: list[list[int]] = []  # items that have a segment; equal segments are one
+        self.text: list[np.ndarray] = []
+        known: dict[bytes, int] = {}
         for item, text in items:
             raw = (text or "").encode()
             points = folded(raw, np.array([0, len(raw)]))[0]
@@ -86,8 +90,11 @@ class Index:
             for a in starts:
                 part = points if len(starts) == 1 else points[a : a + segment]
                 if len(part) >= Q:
-                    self.item.append(item)
-                    self.text.append(part)
+                    k = known.setdefault(part.tobytes(), len(self.text))
+                    if k == len(self.text):
+                        self.item.append([])
+                        self.text.append(part)
+                    self.item[k].append(item)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.minimum((self.size * rate).astype(np.int64), (self.size + 1 - Q - 1) // Q)
         self.need = self.size + 1 - Q - Q * self.edits
@@ -98,12 +105,16 @@ class Index:
         self.hash = h[order]
         self.segment = np.repeat(np.arange(len(self.text)), [len(x) for x in hashes] if self.text else [])[order].astype(np.int64)
         self.offset = np.concatenate([np.arange(len(x)) for x in hashes])[order]
+        # entries of one hash are in the order of their segments: a range of segments is a range of them
+        self.name = np.cumsum(np.concatenate([[0], (self.hash[1:] != self.hash[:-1]).astype(np.int64)])[: len(h)])
+        self.key = self.name * len(self.text) + self.segment
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[(self.hash >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def candidates(self, points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, segment and first diagonal (relative to the text) of each band that reaches its number. The hits of a band lie within
-        reach places of where it begins, so places are taken in stretches of about HITS hits; each settles the bands that begin in it."""
+        reach places of where it begins, so places are taken in stretches of about HITS hits; each settles the bands that begin in it. With
+        the places in reach a stretch may have over MOST hits, and is settled for one range of segments after the other."""
         h = gram_hashes(points)
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         text = np.searchsorted(offs, at, side="right") - 1
@@ -121,7 +132,17 @@ class Index:
         out = []
         for a, z in zip(edge[:-1], edge[1:]):
             own = slice(np.searchsorted(at, a), np.searchsorted(at, z + reach))
-            out.append(self._bands(at[own], text[own], lo[own], many[own], offs, a, z))
+            name = self.name[lo[own]] * len(self.text)
+            todo = [(0, len(self.text))]
+            while todo:
+                s, e = todo.pop()
+                first = np.searchsorted(self.key, name + s)
+                count = np.searchsorted(self.key, name + e) - first
+                if count.sum() > MOST and e - s > 1:
+                    todo += [((s + e) // 2, e), (s, (s + e) // 2)]
+                    continue
+                live = count > 0
+                out.append(self._bands(at[own][live], text[own][live], first[live], count[live], offs, a, z))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def _bands(self, at, text, lo, many, offs, a, z):
@@ -186,9 +207,10 @@ class Index:
             for t, s, e, a, b in zip(text.tolist(), seg.tolist(), edits.tolist(), start.tolist(), end.tolist()):
                 if e <= self.edits[s] and a < b:
                     a, b = int(place[mine[t] + a]), int(place[mine[t] + b - 1]) + 1
-                    one = found.setdefault((i + t, self.item[s]), [a, b, set(), e])
-                    one[0], one[1], one[3] = min(one[0], a), max(one[1], b), min(one[3], e)
-                    one[2].add(s)
+                    for item in set(self.item[s]):
+                        one = found.setdefault((i + t, item), [a, b, {}, e])
+                        one[0], one[1], one[3] = min(one[0], a), max(one[1], b), min(one[3], e)
+                        one[2][s] = self.item[s].count(item)
             yield found
 
 
@@ -210,7 +232,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, segment:
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for found in held.value.matches(batch.column("text")):
-                    rows = [(ids[t], item, a, b, len(s), e) for (t, item), (a, b, s, e) in sorted(found.items(), key=lambda x: x[0])]
+                    rows = [(ids[t], item, a, b, sum(s.values()), e) for (t, item), (a, b, s, e) in sorted(found.items(), key=lambda x: x[0])]
                     columns = list(zip(*rows)) or [[]] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "segments", "edits"])
 

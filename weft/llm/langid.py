@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of one to three letters of every learning document in each task and adds them up by a shuffle of
-(lang, bucket) sums; the log-probability matrix is at most LANGS x (BUCKETS + 1) numbers, whatever the corpus, and is broadcast.
-Scoring gathers the matrix rows of a batch's n-grams and sums them by document.
+(lang, bucket) sums. The log-probability matrix is broadcast, at most LANGS x (BUCKETS + 1) numbers at a time: more languages are
+scored in as many passes, each of which hands on the best so far. Scoring gathers the matrix rows of a batch's n-grams, CELLS
+numbers at a time, and sums them by document.
 
 Defined results: a null or empty text, one without a letter, or any text where nothing could be learned, is `und` with score 0;
 ties go to the smallest lang; learning rows with a null lang or no letters count for nothing; repeated rows count each time.
@@ -16,14 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import LETTER, classes
+from ..storage import written
 from .common import row_chunks, text_bytes
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: a broadcast of LANGS x BUCKETS numbers of 4 bytes is the bound of the model
-LANGS = 1000
+#: languages of a pass: its broadcast has LANGS x BUCKETS numbers of 4 bytes
+LANGS = 256
+#: numbers that are gathered at a time, whatever the languages and the text are
+CELLS = 1 << 22
 _LOWER: list[np.ndarray] = []
 
 
@@ -94,55 +99,84 @@ def count(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
-    """Learned langs in ascending order, and log probabilities of their buckets with the log prior in the last column."""
-    rows = count(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")).toPandas()
-    prior = rows[(rows.bucket < 0) & (rows.n > 0)].sort_values("lang")
-    langs = prior.lang.tolist()
-    if len(langs) > LANGS:
-        raise ValueError(f"{len(langs)} languages; the model's bound is {LANGS}")
-    counts = np.zeros((len(langs), BUCKETS))
-    index = {name: k for k, name in enumerate(langs)}
-    rows = rows[(rows.bucket >= 0) & rows.lang.isin(langs)]
-    counts[rows.lang.map(index).to_numpy(dtype=np.int64), rows.bucket.to_numpy()] = rows.n
-    counts += alpha
-    table = np.log(counts / counts.sum(1, keepdims=True)) if len(langs) else counts
-    last = np.log(prior.n.to_numpy(dtype=float) / max(1, prior.n.sum()))
-    return langs, np.concatenate([table, last[:, None]], axis=1).astype(np.float32)
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs with lang_pred and score, the posterior of a text's n-grams tempered by their number's square root."""
-    langs, table = model
-    docs = docs.drop("lang_pred", "score")
-    held = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
+class Model:
+    """Learned langs in ascending order, each with its documents, and the counts of their buckets as a table."""
 
-    def run(batches):
-        matrix = held.value
-        logp = np.concatenate([matrix[:BUCKETS], np.zeros((1, len(langs)), np.float32)])
-        prior = matrix[BUCKETS]
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            pred, score = [], []
-            for i, j in row_chunks(offs):
-                found, at, has = grams(data[offs[i] : offs[j]].tobytes(), offs[i : j + 1] - offs[i])
-                if not langs:
-                    pred += ["und"] * (j - i)
-                    score += [0.0] * (j - i)
-                    continue
-                total = np.zeros((j - i, len(langs)))
-                full = np.diff(at) > 0
-                if full.any():
-                    part = sum(np.add.reduceat(logp[b], at[:-1][full], axis=0, dtype=np.float64) for b in found)
-                    total[full] = part
-                best = np.argmax(total + prior, axis=1)
-                soft = total / np.sqrt(np.maximum(1, np.diff(at)))[:, None] + prior
-                soft = np.exp(soft - soft.max(axis=1, keepdims=True))
-                chance = soft[np.arange(j - i), best] / soft.sum(axis=1)
-                pred += [langs[b] if h else "und" for b, h in zip(best, has)]
-                score += np.where(has, chance, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def __init__(self, counts: DataFrame, alpha: float):
+        self.counts, self.alpha = counts, alpha
+        rows = counts.filter("bucket < 0 and n > 0").orderBy("lang").collect()  # a row for each language
+        self.langs, self.docs = [r.lang for r in rows], np.array([r.n for r in rows], np.float64)
+
+    def block(self, first: int) -> np.ndarray:
+        """Log probabilities of LANGS languages from this one on: a row for each bucket, a row of zeros, and the log priors."""
+        names = self.langs[first : first + LANGS]
+        index = self.counts.sparkSession.createDataFrame(list(enumerate(names)), "k int, lang string")
+        rows = self.counts.filter("bucket >= 0").join(F.broadcast(index), "lang").select("k", "bucket", "n").toArrow()  # LANGS x BUCKETS at most
+        table = np.full((len(names), BUCKETS), self.alpha)
+        table[rows.column("k").to_numpy(), rows.column("bucket").to_numpy()] += rows.column("n").to_numpy()
+        table = np.log(table / table.sum(1, keepdims=True))
+        prior = np.log(self.docs[first : first + LANGS] / self.docs.sum())
+        return np.concatenate([table, np.zeros((len(names), 1)), prior[:, None]], axis=1).T.astype(np.float32, order="C")
+
+
+def fit(docs: DataFrame, alpha: float = 0.1) -> Model:
+    """Of docs (lang, text)."""
+    return Model(written(count(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")), "counts"), alpha)
+
+
+def sums(found: list[np.ndarray], at: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The matrix rows of each text's n-grams added up, over stretches of places."""
+    total, places, step = np.zeros((len(at) - 1, matrix.shape[1])), int(at[-1]), max(1, CELLS // matrix.shape[1])
+    for a in range(0, places, step):
+        z = min(places, a + step)
+        first = np.searchsorted(at, a, side="right") - 1
+        begins = np.unique(np.concatenate([[a], at[first + 1 : np.searchsorted(at, z)]]))
+        own = np.searchsorted(at, begins, side="right") - 1
+        for b in found:
+            total[own] += np.add.reduceat(matrix[b[a:z]], begins - a, axis=0, dtype=np.float64)
+    return total
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score, the posterior of a text's n-grams tempered by their number's square root. Passes hand on the best
+    total with its language and its tempered value, the largest tempered value, and the sum of all others' shares of it."""
+    docs = docs.drop("lang_pred", "score")
+    passed = ["best", "pred", "own", "top", "mass"]
+    names = {c: f"{c} so far" for c in passed}
+
+    def scorer(held, langs, first):
+        def run(batches):
+            matrix = held.value
+            table, prior = matrix[:-1], matrix[-1]
+            for batch in batches:
+                n = batch.num_rows
+                state = {c: np.full(n, -np.inf) for c in ("best", "own", "top")} | {"mass": np.zeros(n), "pred": np.full(n, None, object)}
+                if not first:
+                    state = {c: batch.column(names[c]).to_numpy(zero_copy_only=False).copy() for c in passed}
+                data, offs = text_bytes(batch.column("text"))
+                for i, j in row_chunks(offs):
+                    found, at, has = grams(data[offs[i] : offs[j]].tobytes(), offs[i : j + 1] - offs[i])
+                    total = sums(found, at, table)
+                    soft = total / np.sqrt(np.maximum(1, np.diff(at)))[:, None] + prior
+                    total += prior
+                    k, rows = total.argmax(axis=1), np.arange(j - i)
+                    better = has & (total[rows, k] > state["best"][i:j])  # an earlier language wins ties
+                    for c, new in (("best", total[rows, k]), ("own", soft[rows, k]), ("pred", np.array(langs, object)[k])):
+                        state[c][i:j] = np.where(better, new, state[c][i:j])
+                    top = np.maximum(state["top"][i:j], soft.max(axis=1))
+                    state["mass"][i:j] = state["mass"][i:j] * np.exp(state["top"][i:j] - top) + np.exp(soft - top[:, None]).sum(axis=1)
+                    state["top"][i:j] = top
+                kept = [c for c in batch.schema.names if c not in names.values()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(state[c], pa.string() if c == "pred" else pa.float64()) for c in passed)], names=[*kept, *names.values()])
+
+        return run
+
+    fields = [T.StructField(names[c], T.StringType() if c == "pred" else T.DoubleType()) for c in passed]
+    rows, sc = docs, docs.sparkSession.sparkContext
+    for first in range(0, len(model.langs), LANGS):
+        rows = rows.mapInArrow(scorer(sc.broadcast(model.block(first)), model.langs[first : first + LANGS], first == 0), T.StructType([*docs.schema.fields, *fields]))
+    if not model.langs:
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    known = F.col(names["pred"]).isNotNull()
+    chance = F.exp(F.col(names["own"]) - F.col(names["top"])) / F.col(names["mass"])
+    return rows.withColumns({"lang_pred": F.coalesce(F.col(names["pred"]), F.lit("und")), "score": F.when(known, chance).otherwise(0.0)}).drop(*names.values())

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from weft.llm import langid, licenses, toxicity
 from weft.llm.common import held_out
 
@@ -196,3 +198,47 @@ def test_fuzzy_notices(spark):
     assert got[0].labels == "gpl" and rows[0][1].encode()[got[0].spans[0].start : got[0].spans[0].end] == b"Genral Public  Licence"
     assert got[1].labels == "reserved" and got[2].labels == "mit" and got[2].score == pytest.approx(1 - 0 / 44) and got[3].labels == ""
     assert 0 < got[0].score < 1 and licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_language_in_passes_and_stretches(spark, docs, monkeypatch):
+    """Many languages and small stretches: the same as at once."""
+    made = docs.select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 5).cast("string")).alias("lang"))
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["", "a", "?", None, "été " * 3])], "doc_id long, text string")
+    asked = made.select("doc_id", "text").union(extra)
+    whole = {r.doc_id: r for r in langid.predict(asked, langid.fit(made)).collect()}
+    monkeypatch.setattr(langid, "LANGS", 3)
+    monkeypatch.setattr(langid, "CELLS", 100)
+    for r in langid.predict(asked, langid.fit(made)).collect():
+        assert r.lang_pred == whole[r.doc_id].lang_pred and r.score == pytest.approx(whole[r.doc_id].score, abs=1e-6)
+
+
+def test_many_matches_in_a_very_long_text():
+    notice = licenses.Notice("all rights reserved", "reserved", 2)
+    began = time.time()
+    assert len(notice.find(b"all rights reserved " * 250_000)) == 250_000  # 5 MB
+    assert len(notice.find(b"all rihts reserved x " * 20_000)) == 20_000
+    assert time.time() - began < 20
+
+
+def test_fuzzy_spans_against_all_windows():
+    """By the pigeonhole principle nothing within the bound is missed: every window is aligned in full."""
+    rng, notice = random.Random(5), licenses.Notice("all rights reserved", "reserved", 2)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for _ in range(60):
+        word = list("all rights reserved")
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(word))
+            word[k : k + 1] = rng.choice([[], ["x"], [word[k], "e"]])
+        text = ("some words " * rng.randint(0, 2) + "".join(word) + " and more" * rng.randint(0, 2)).encode()
+        near = any(edits(text[a:z], notice.text) <= 2 for a in range(len(text)) for z in range(a + 17, min(len(text), a + 21) + 1))
+        found = notice.find(text)
+        assert bool(found) == near
+        assert all(edits(text[a:z], notice.text) <= 2 for a, z, _ in found)

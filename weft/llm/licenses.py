@@ -10,6 +10,7 @@ Defined results: a null or empty text has no words, places or labels and score 0
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,12 @@ class Notice:
         while at >= 0:  # whole notices need no verifying
             found[at, at + self.size] = 0
             at = text.find(self.text, at + 1)
-        exact = list(found)
+        exact = list(found)  # from left to right; all have one length, so the last that begins before a place covers most after it
         for seed, offset in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                if not any(a <= at and at + len(seed) <= b for a, b in exact):
+                k = bisect(exact, (at, len(text))) - 1
+                if k < 0 or at + len(seed) > exact[k][1]:
                     low = max(0, at - offset - self.edits)
                     m = self.fuzzy.search(text[low : at - offset + self.size + self.edits])
                     if m:
@@ -66,9 +68,10 @@ class Notice:
                 a += 1
             while b > a and text[b - 1] == 32:
                 b -= 1
-            if a < b and all(b <= c or a >= d for c, d, _ in out):
-                out.append((a, b, e))
-        return sorted(out)
+            k = bisect(out, (a, b, e))  # spans taken so far, which don't overlap, in order: the neighbours decide
+            if a < b and (k == 0 or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0]):
+                out.insert(k, (a, b, e))
+        return out
 
 
 def word_pattern(phrase: str) -> re.Pattern:

@@ -73,7 +73,7 @@ def test_paths_and_betweenness(spark, cliques):
 
 def test_removals(spark, cliques):
     nodes, edges = cliques
-    order = spark.createDataFrame([("x", [3, 4, 0, 1, 2, 5, 6, 7])], "order_id string, sequence array<long>")
+    order = spark.createDataFrame([("x", v, k) for k, v in enumerate([3, 4, 0, 1, 2, 5, 6, 7])], "order_id string, node long, pos long")
     curve = rb.curves(nodes, edges, order)
     got = [r.fraction * 8 for r in curve.orderBy("step").collect()]
     assert got == [8, 4, 3, 3, 3, 3, 2, 1, 0]

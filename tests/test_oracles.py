@@ -63,7 +63,6 @@ def faithful(rows):
 
 #: what must hold of the rows of queries that SQL has no expression for
 HOLDS = {
-    "agg_attack_meta": lambda rows: len(rows) == 1 and rows[0].same == (rows[0].top_fragmenter == rows[0].top_betweenness),
     "agg_coassign": paired,
     "agg_coassign_unweighted": paired,
     "agg_era_rows": lambda rows: all(0 <= r.mean_loyalty <= 1 and 0 <= r.below_half <= 1 and 0 < r.top_share <= 1 and r.entropy_bits >= -1e-9 for r in rows),
@@ -79,7 +78,6 @@ HOLDS = {
     "c_pair_nmi": lambda rows: 0 <= rows[0].min <= rows[0].mean <= rows[0].max <= 1 + 1e-9,
     "g_comention": lambda rows: all(r.a < r.b and r.n > 0 for r in rows),
     "g_mention": lambda rows: sum(r.names for r in rows) == sum(r.named_by for r in rows),
-    "g_random_failure": falling,
     "jn_run_mapping": lambda rows: len({(r.run, r.community) for r in rows}) == len(rows) and all(r.overlap > 0 for r in rows),
     "l_evidence": lambda rows: all(r.rank in (1, 2) and 0 <= a < z <= len(r.text) for r in rows for a, z in r.marks),
     "m_extract": lambda rows: len({r.who for r in rows}) == len(rows) and all(r.mentions > 0 for r in rows),

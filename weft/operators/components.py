@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,40 @@ from ..storage import written
 
 #: parts that the rows of one key are dealt over where many may share it
 SALTS = 16
+#: edges that may be settled at once by one task; the bound chooses the way and not the result
+SMALL = 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _settled(pdfs):
+    """node, parent: the smallest node of each node's component, of few edges (a, b)."""
+    rows = pd.concat([pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), *pdfs])
+    node, at = np.unique(np.concatenate([rows["a"], rows["b"]]), return_inverse=True)
+    label = list(range(len(node)))
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in zip(at[: len(rows)].tolist(), at[len(rows) :].tolist()):
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": node, "parent": node[[root(x) for x in label]] if len(node) else node})
+
+
+def components(edges: DataFrame, small: int = 0) -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b). Each round orders the nodes, maps every node to the first of
     itself and its neighbours, and keeps the distinct edges between different images. The first two rounds take the nodes' own order, in
     which a graph of links to smallest nodes is settled at once; the others order them by a hash of their own. By a random order a path
     or a star loses a share of its nodes, whatever their numbers are, so rounds grow with the logarithm of the number of nodes. Nothing of
-    it goes through the driver."""
+    it goes through the driver. Once no more than small edges (of long ids) are left, one task settles them."""
     left = written(edges.selectExpr("least(a, b) a", "greatest(a, b) b").filter("a < b").distinct(), "edges")
     steps = []
-    while left.limit(1).count():
+    while many := left.limit(small + 1).count():
+        if many <= small:
+            steps.append(written(left.coalesce(1).mapInPandas(_settled, "node long, parent long"), "parents"))
+            break
         first = f"xxhash64({{0}}, {len(steps)})" if len(steps) > 1 else "0L"
         order = lambda c: f"struct({first.format(c)} h, {c} node)"
         both = left.selectExpr("a node", f"{order('b')} other").union(left.selectExpr("b", order("a")))
@@ -46,5 +71,5 @@ def salted(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "i
 
 def all_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component of every node of nodes (node), those without edges included."""
-    found = components(edges.selectExpr("src a", "dst b"))
+    found = components(edges.selectExpr("src a", "dst b"), SMALL)
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -1,122 +1,126 @@
-"""Largest component under removal of nodes. Each removal order is replayed backwards by union-find, so a curve takes one pass;
-orders are spread over tasks. The graph that every task needs is broadcast after a check of its size."""
+"""Largest component under removal of nodes. A removal order is rows (order_id, node, pos). Seen backwards, an edge is there as soon as
+its end that is removed first comes back, so a curve is what the edges merge in the order of that time.
+
+The edges of an order are cut into blocks of BLOCK by time. What lies before a block is contracted: halves of the time line are taken
+in turn, for all orders at once, and the later half's ends become the components of the earlier half's edges, with their sizes. So
+after a number of rounds that grows with the logarithm of the number of blocks each block is replayed by itself, and no task
+holds more of a graph than a block."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: edges that a task may hold; a larger graph is refused, since a curve is a sequence of as many steps as it has nodes
-MOST_EDGES = 20_000_000
-
-
-class Graph:
-    """Simple undirected edges over 0..n-1 as neighbour lists."""
-
-    def __init__(self, nodes: list, pairs: np.ndarray):
-        self.nodes = np.array(sorted(nodes))
-        at = np.searchsorted(self.nodes, pairs) if len(pairs) else np.zeros((0, 2), np.int64)
-        both = np.concatenate([at, at[:, ::-1]])
-        both = both[np.argsort(both[:, 0], kind="stable")]
-        self.starts = np.searchsorted(both[:, 0], np.arange(len(self.nodes) + 1))
-        self.ends = both[:, 1]
-
-    def largest(self, order: np.ndarray) -> np.ndarray:
-        """Size of the largest component after 0, 1, ... removals in this order."""
-        n = len(self.nodes)
-        parent, size, alive = np.arange(n), np.ones(n, np.int64), np.zeros(n, bool)
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out, most = np.zeros(n + 1, np.int64), 0
-        for step in range(n - 1, -1, -1):
-            v = order[step]
-            alive[v] = True
-            most = max(most, 1)
-            for u in self.ends[self.starts[v] : self.starts[v + 1]]:
-                if alive[u]:
-                    a, b = root(v), root(u)
-                    if a != b:
-                        if size[a] < size[b]:
-                            a, b = b, a
-                        parent[b] = a
-                        size[a] += size[b]
-                        most = max(most, size[a])
-            out[step] = most
-        return out
-
-
-def load(nodes: DataFrame, edges: DataFrame) -> Graph:
-    m = edges.count()
-    if m > MOST_EDGES:
-        raise ValueError(f"{m} edges; a removal curve is worked out for {MOST_EDGES} at most")
-    pairs = edges.select("src", "dst").toPandas().to_numpy(dtype=np.int64)
-    return Graph([r.node for r in nodes.collect()], pairs)
-
-
-def curves(nodes: DataFrame, edges: DataFrame, orders: DataFrame) -> DataFrame:
-    """order_id, step, fraction of the nodes in the largest component; orders: order_id, sequence (array of all nodes)."""
-    held = nodes.sparkSession.sparkContext.broadcast(load(nodes, edges))
-
-    def run(batches):
-        g = held.value
-        for pdf in batches:
-            for key, sequence in zip(pdf["order_id"], pdf["sequence"]):
-                size = g.largest(np.searchsorted(g.nodes, np.asarray(sequence)))
-                yield pd.DataFrame({"order_id": key, "step": np.arange(len(size)), "fraction": size / max(1, len(g.nodes))})
-
-    return orders.repartition("order_id").mapInPandas(run, "order_id string, step long, fraction double")
+from ..storage import written
+from .biconnected import pieces
+from .components import components, salted
+from .graph import ranked
+
+BLOCK = 1 << 18
 
 
 def attack_order(scores: DataFrame, score: str, name: str) -> DataFrame:
-    """order_id, sequence: nodes by falling score, ties by node."""
-    return scores.agg(F.expr(f"transform(array_sort(collect_list(struct(-{score} as s, node))), x -> x.node)").alias("sequence")).select(F.lit(name).alias("order_id"), "sequence")
+    """order_id, node, pos: nodes by falling score, ties by node."""
+    rows = ranked(scores.select("node", F.col(score).alias("s")), [F.desc("s"), F.col("node")], "pos")
+    return rows.select(F.lit(name).alias("order_id"), "node", (F.col("pos") - 1).cast("long").alias("pos"))
 
 
 def random_orders(nodes: DataFrame, trials: int = 200, seed: int = 42) -> DataFrame:
-    rows = nodes.agg(F.sort_array(F.collect_list("node")).alias("all"))
-
-    def run(batches):
-        for pdf in batches:
-            made = [np.random.default_rng([seed, int(t)]).permutation(np.asarray(a)) for t, a in zip(pdf["t"], pdf["all"])]
-            yield pd.DataFrame({"order_id": [f"random{t}" for t in pdf["t"]], "sequence": made})
-
-    return rows.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("t"), "all").repartition("t").mapInPandas(run, "order_id string, sequence array<long>")
+    """order_id, node, pos: in trial t nodes go by the digest of seed, t and node."""
+    key = F.md5(F.concat_ws("-", F.lit(seed), "t", "node"))
+    rows = nodes.select("node").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("h", key)
+    many = nodes.agg(F.count("*").alias("many"))
+    return ranked(rows, [F.col("t"), F.col("h"), F.col("node")], "pos").join(many).selectExpr("concat('random', t) order_id", "node", "pmod(pos - 1L, many) pos")
+
+
+def _timed(edges: DataFrame, orders: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """order_id, leaf, g, t, a, b, sa, sb: edges by the time t at which they come, each with its block, its ends and their sizes (1); and the
+    number of the last block."""
+    rows = edges.select("src", "dst")
+    rows = salted(rows, orders.selectExpr("node src", "order_id", "pos pa"), "src", "dst").withColumn("k", F.struct("order_id", "dst"))
+    rows = salted(rows, orders.selectExpr("struct(order_id, node dst) k", "pos pb"), "k", "src").selectExpr("order_id", "src a", "dst b", "least(pa, pb) t")
+    rows = written(ranked(rows, [F.col("order_id"), F.desc("t"), F.col("a"), F.col("b")], "g"), "timed")
+    firsts = rows.groupBy("order_id").agg(F.min("g").alias("first"))  # a row for each order
+    rows = rows.join(F.broadcast(firsts), "order_id").selectExpr("order_id", f"(g - first) div {block} leaf", "g", "t", "a", "b", "1L sa", "1L sb")
+    return rows, rows.agg(F.max("leaf")).first()[0] or 0
+
+
+def _contracted(rows: DataFrame, last: int) -> DataFrame:
+    """rows whose ends are the components, with their sizes, of all edges of the blocks before their own."""
+    for k in reversed(range(int(last).bit_length())):
+        rows = written(rows.withColumn("seg", F.shiftright("leaf", k + 1)).withColumn("late", F.expr(f"shiftright(leaf, {k}) & 1 = 1")), "halves")
+        key = lambda c: f"struct(order_id, seg, {c} node)"
+        early = rows.filter("not late")
+        part = components(early.selectExpr(f"{key('a')} a", f"{key('b')} b"))
+        size = early.selectExpr(f"{key('a')} node", "sa s").union(early.selectExpr(key("b"), "sb")).groupBy("node").agg(F.first("s").alias("s"))
+        whole = part.join(size, "node").groupBy("component").agg(F.sum("s").alias("s"))
+        now = salted(part, whole, "component", "node").selectExpr("node", "component.node to", "s")
+        late = rows.filter("late")
+        for end, other in (("a", "b"), ("b", "a")):
+            late = salted(late.withColumn("k", F.expr(key(end))), now.withColumnRenamed("node", "k"), "k", other, "left")
+            late = late.withColumns({end: F.coalesce("to", end), f"s{end}": F.coalesce("s", f"s{end}")}).drop("k", "to", "s")
+        rows = early.unionByName(late).drop("seg", "late")
+    return rows
+
+
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """order_id, leaf, t, until, size: from step t down to, but without, until (null: the block's end) the largest component that an edge of
+    the block has made has this size."""
+    pdf = pdf.sort_values("g")
+    ids, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+    parent, size = list(range(len(ids))), np.zeros(len(ids), np.int64)
+    size[at] = np.concatenate([pdf["sa"], pdf["sb"]])
+    size, most, steps, sizes = size.tolist(), 0, [], []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for t, a, b in zip(pdf["t"].tolist(), at[: len(pdf)].tolist(), at[len(pdf) :].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            if size[a] < size[b]:
+                a, b = b, a
+            parent[b] = a
+            size[a] += size[b]
+        if size[a] > most:
+            most = size[a]
+            if steps and steps[-1] == t:
+                sizes[-1] = most
+            else:
+                steps.append(t)
+                sizes.append(most)
+    return pd.DataFrame({"order_id": pdf["order_id"].iloc[0], "leaf": pdf["leaf"].iloc[0], "t": steps, "until": pd.array([*steps[1:], None], "Int64"), "size": sizes})
+
+
+def curves(nodes: DataFrame, edges: DataFrame, orders: DataFrame, block: int = BLOCK) -> DataFrame:
+    """order_id, step, fraction of the nodes in the largest component after so many removals; edges: src < dst, distinct; orders: order_id,
+    node, pos (0, 1, ... for all nodes)."""
+    orders = written(orders, "orders")
+    rows, last = _timed(edges, orders, block)
+    rows = written(_contracted(rows, last), "contracted")
+    made = written(rows.groupBy("order_id", "leaf").applyInPandas(_replay, "order_id string, leaf long, t long, until long, size long"), "merges")
+    # a row for each block: the step that it begins with, the one that the next begins with, the largest component before it
+    line = Window.partitionBy("order_id").orderBy("leaf")
+    ranges = made.groupBy("order_id", "leaf").agg(F.max("t").alias("begin"), F.max("size").alias("most"))
+    ranges = ranges.select("order_id", "leaf", F.lead("begin", 1, -1).over(line).alias("below"), F.max("most").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    runs = made.join(ranges, ["order_id", "leaf"]).selectExpr("order_id", "t", "coalesce(until, below) until", "greatest(size, before) size").filter("until < t")
+    many = nodes.agg(F.count("*").alias("many"))
+    first = orders.select("order_id").distinct().join(made.groupBy("order_id").agg(F.max("t").alias("t")), "order_id", "left")
+    alone = first.join(many).selectExpr("order_id", "many - 1 t", "coalesce(t, -1L) until", "1L size").filter("until < t")
+    none = first.join(many).selectExpr("order_id", "many t", "many - 1 until", "0L size")
+    every = runs.union(alone).union(none).selectExpr("order_id", "explode(sequence(until + 1, t)) step", "size")
+    return every.join(many).selectExpr("order_id", "step", "if(many > 0, size / many, 0d) fraction")
 
 
 def node_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, impact: 1 less the share of the nodes that are in the largest component when that node alone is gone."""
-    held = nodes.sparkSession.sparkContext.broadcast(load(nodes, edges))
-
-    def run(batches):
-        g = held.value
-        n = len(g.nodes)
-        for pdf in batches:
-            out = []
-            for node in pdf["node"]:
-                gone = int(np.searchsorted(g.nodes, node))
-                label, most = np.full(n, -1), 0
-                for s in range(n):
-                    if s != gone and label[s] < 0:
-                        label[s], stack, size = s, [s], 0
-                        while stack:
-                            v = stack.pop()
-                            size += 1
-                            for u in g.ends[g.starts[v] : g.starts[v + 1]]:
-                                if u != gone and label[u] < 0:
-                                    label[u] = s
-                                    stack.append(u)
-                        most = max(most, size)
-                out.append(1 - most / n)
-            yield pd.DataFrame({"node": pdf["node"], "impact": out})
-
-    return nodes.select("node").repartition("node").mapInPandas(run, "node long, impact double")
+    many = nodes.agg(F.count("*").alias("many"))
+    return pieces(nodes, edges).join(many).selectExpr("node", "1 - largest / many impact")
 
 
 def half_life(curve: DataFrame, level: float = 0.5) -> DataFrame:

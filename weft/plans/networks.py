@@ -70,19 +70,80 @@ _ATTACK = (*_BTW, _ORDERS, _CURVE)
 
 @query("g_attack", b.sql(*_ATTACK, "select order_id, cast(step as bigint) step, round(fraction, 9) fraction from cur", recursive=True))
 def g_attack(spark, d):
-    nodes, edges = _sparse(spark, d)
+    return _attack(*_sparse(spark, d))
+
+
+#: curves by the nodes' return, last removed first: a list of all nodes' labels (0: gone), in which what a node links becomes its own
+_RETURNS = """ix as (select node, row_number() over (order by node) i from nodes), nn as (select count(*) n from nodes),
+  near as (select x.i, list(y.i) ns from two join ix x on x.node = two.a join ix y on y.node = two.b group by x.i),
+  come as (select order_id, pos, i, coalesce(ns, []) ns from ord join ix using (node) left join near using (i)),
+  back(order_id, step, labels, most) as (select distinct order_id, n, list_transform(range(n), lambda z: cast(0 as bigint)), cast(0 as bigint) from ord, nn
+    union all select order_id, pos, after, greatest(most, len(list_filter(after, lambda z: z = i))) from
+      (select b.order_id, c.pos, c.i, b.most, list_transform(b.labels, lambda z, k: case when k = c.i or (z > 0 and list_contains(list_transform(c.ns, lambda u: b.labels[u]), z)) then c.i else z end) after
+       from back b join come c on c.order_id = b.order_id and c.pos = b.step - 1)),
+  cur as (select order_id, cast(step as bigint) step, most / n fraction from back, nn)"""
+_TWO = "two as (select src a, dst b from simple union all select dst, src from simple)"
+_RANDOM = "ord as (select 'random' || t order_id, node, row_number() over (partition by t order by md5('42-' || t || '-' || node), node) - 1 pos from nodes, range(200) r(t))"
+
+
+def _purchases(spark, d):
+    return written(b.nodes(spark, d), "nodes"), written(graph.undirect(b.dense(spark, d)), "edges")
+
+
+def _failures(nodes, edges):
+    curve = rb.curves(nodes, edges, rb.random_orders(nodes))
+    return curve.groupBy("step").agg(F.round(F.avg("fraction"), 9).alias("fraction"))
+
+
+_FAILED = "select step, round(avg(fraction), 9) fraction from cur group by step"
+
+
+@query("g_random_failure", b.sql(b.NODES, b.SPARSE, b.SIMPLE, _TWO, _RANDOM, _RETURNS, _FAILED, recursive=True))
+def g_random_failure(spark, d):
+    return _failures(*_sparse(spark, d))
+
+
+@query("g_random_failure_purchases", b.sql(b.NODES, b.DENSE, b.SIMPLE, _TWO, _RANDOM, _RETURNS, _FAILED, recursive=True))
+def g_random_failure_purchases(spark, d):
+    """On the whole graph of purchases."""
+    return _failures(*_purchases(spark, d))
+
+
+_BFS_TEN = _BFS.replace("dist < 60", "dist < 10")
+_PLACES = """dg as (select n.node, count(two.a) degree from nodes n left join two on two.a = n.node group by n.node),
+  ord as (select 'degree' order_id, node, row_number() over (order by degree desc, node) - 1 pos from dg union all select 'betweenness', n.node, row_number() over (order by round(coalesce(bc, 0), 9) desc, n.node) - 1 from nodes n left join btw using (node))"""
+_ATTACK_ALL = (b.NODES, b.DENSE, b.SIMPLE, _BFS_TEN, _PATHS, _PLACES, _RETURNS)
+
+
+def _attack(nodes, edges):
     deg = graph.degrees(nodes, edges.union(edges.select("dst", "src"))).select("node", F.col("degree").cast("double").alias("score"))
-    central = paths.betweenness(edges, nodes)
-    central = central.withColumn("betweenness", F.round("betweenness", 9))
+    central = paths.betweenness(edges, nodes).withColumn("betweenness", F.round("betweenness", 9))
     orders = rb.attack_order(deg, "score", "degree").union(rb.attack_order(central, "betweenness", "betweenness"))
     return rb.curves(nodes, edges, orders).withColumn("fraction", F.round("fraction", 9))
 
 
-@query("g_random_failure")
-def g_random_failure(spark, d):
-    nodes, edges = _sparse(spark, d)
-    curve = rb.curves(nodes, edges, rb.random_orders(nodes))
-    return curve.groupBy("step").agg(F.avg("fraction").alias("fraction"))
+@query("g_attack_purchases", b.sql(*_ATTACK_ALL, "select order_id, step, round(fraction, 9) fraction from cur", recursive=True))
+def g_attack_purchases(spark, d):
+    return _attack(*_purchases(spark, d))
+
+
+@query("g_half_life_purchases", b.sql(*_ATTACK_ALL, "select order_id, min(step) step from cur where fraction <= 0.5 group by order_id", recursive=True))
+def g_half_life_purchases(spark, d):
+    return rb.half_life(g_attack_purchases(spark, d))
+
+
+#: each node in turn goes first; what is left then is its impact
+_GONE = (b.NODES, b.DENSE, b.SIMPLE, _TWO, "ord as (select cast(g.node as varchar) order_id, n.node, row_number() over (partition by g.node order by n.node <> g.node, n.node) - 1 pos from nodes g, nodes n)", _RETURNS, "imp as (select cast(order_id as bigint) node, round(1 - fraction, 6) impact from cur where step = 1)")
+
+
+@query("g_node_impact_purchases", b.sql(*_GONE, "select * from imp", recursive=True))
+def g_node_impact_purchases(spark, d):
+    return rb.node_impact(*_purchases(spark, d)).withColumn("impact", F.round("impact", 6))
+
+
+@query("top_fragment_purchases", b.sql(*_GONE, "select * from imp order by impact desc, node limit 10", recursive=True))
+def top_fragment_purchases(spark, d):
+    return g_node_impact_purchases(spark, d).orderBy(F.desc("impact"), "node").limit(10)
 
 
 @query(
@@ -107,7 +168,7 @@ def top_fragment(spark, d):
     return g_node_impact(spark, d).orderBy(F.desc("impact"), "node").limit(10)
 
 
-@query("agg_attack_meta")
+@query("agg_attack_meta", b.sql(b.NODES, b.SPARSE, b.SIMPLE, _BFS, _PATHS, _IMPACT.replace("walk", "walks"), "rb as (select n.node, round(coalesce(btw.bc, 0), 6) bc from nodes n left join btw using (node))", "select m.node top_fragmenter, t.node top_betweenness, m.node = t.node same from (select node from imp order by impact desc, node limit 1) m, (select node from rb order by bc desc, node limit 1) t", recursive=True))
 def agg_attack_meta(spark, d):
     impact, central = g_node_impact(spark, d), g_betweenness(spark, d)
     one = impact.agg(F.expr("max_by(node, struct(impact, -node))").alias("top_fragmenter"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.fixed import HEADING, LEAD, SECTIONS, WORDS
+from ..storage import written
 
 N = 8
 MAX_PAGES = 5
@@ -26,6 +28,35 @@ def line_tokens(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "block", F.posexplode(tx.words(F.col("line"))).alias("pos", "tok"))
 
 
+def _cuts(docs: DataFrame, text: Column, pattern: str) -> DataFrame:
+    """doc_id, pos, hit, start, stop of the pattern's matches in a text: the stretches between them, which the pattern cuts the text into,
+    and the matches add up to the places."""
+    rows = docs.select("doc_id", F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(F.expr("slice(gap, 1, size(hit))").alias("gap"), "hit")).alias("pos", "x")).select("doc_id", "pos", "x.gap", "x.hit")
+    stop = F.sum(F.length("gap") + F.length("hit")).over(Window.partitionBy("doc_id").orderBy("pos"))
+    return rows.select("doc_id", "pos", "hit", stop.alias("stop")).select("doc_id", "pos", "hit", (F.col("stop") - F.length("hit")).alias("start"), "stop")
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """doc_id, start, section: where the name of a heading that opens a section stands in the prose."""
+    rows = _cuts(docs, tx.body(F.col("text")), HEADING)
+    opens = F.lit(None).cast("string")
+    for name, section in SECTIONS.items():
+        opens = F.when(F.regexp_extract("hit", HEADING, 1) == name, section).otherwise(opens)
+    return rows.select("doc_id", (F.col("start") + F.instr("hit", "\n\n\n") + 2).alias("start"), opens.alias("section")).filter("section is not null")
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, tok, start, stop, section: tokens of the prose of docs (doc_id, text) with their places in it, each in the section of
+    the last heading that opens one before it or with it (an as-of join: both in one order)."""
+    toks = _cuts(docs, F.lower(tx.body(F.col("text"))), WORDS)
+    heads = headings(docs).select("doc_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("hit"), "start", F.lit(None).cast("long").alias("stop"), "section")
+    both = toks.withColumn("section", F.lit(None).cast("string")).unionByName(heads)
+    line = Window.partitionBy("doc_id").orderBy("start", F.col("pos").isNotNull())
+    rows = both.withColumn("section", F.coalesce(F.last("section", ignorenulls=True).over(line), F.lit(LEAD)))
+    return rows.filter("pos is not null").select("doc_id", "pos", F.col("hit").alias("tok"), "start", "stop", "section")
+
+
 def shingles(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, pos, gram of docs."""
     split = docs.select("doc_id", tx.words(tx.body(F.col("text"))).alias("t"))  # a step of its own: made once, not for each gram
@@ -79,6 +110,47 @@ def copy_pairs(runs: DataFrame, min_edge: int = MIN_EDGE) -> DataFrame:
     return both.select("a", "b", F.bround((F.col("copied_a") + F.col("copied_b")) / 2).cast("long").alias("shared"), "passages", "longest", "start_a", "copied_a", "copied_b", kind.alias("kind"))
 
 
+def evidence(docs: DataFrame, runs: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b, share_a, share_b, section_a, section_b, text, linked, a_links_b, b_links_a of pairs: copied shares of both documents' tokens, the
+    sections in which the longest runs begin (of equal ones the first), a's longest run as it stands in its prose with line feeds as
+    spaces, and what links (src, dst) there are. Only documents of pairs are cut into tokens."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    own = docs.join(ends, "doc_id", "left_semi")
+    toks = written(spans(own), "spans")
+    many = toks.groupBy("doc_id").agg(F.count("*").alias("tokens"))
+    first_b = runs.filter("a > b").groupBy(F.col("a").alias("b"), F.col("b").alias("a")).agg(F.expr("min_by(start, struct(start - stop, start))").alias("start_b"))
+    rows = pairs.join(first_b, ["a", "b"])
+    at = lambda side, pos, *cols: toks.select(F.col("doc_id").alias(side), F.col("pos").cast("long").alias(pos), *cols)
+    rows = rows.withColumn("last_a", F.expr("start_a + longest - 1")).join(at("a", "start_a", F.col("start").alias("low"), F.col("section").alias("section_a")), ["a", "start_a"])
+    rows = rows.join(at("a", "last_a", F.col("stop").alias("high")), ["a", "last_a"]).join(at("b", "start_b", F.col("section").alias("section_b")), ["b", "start_b"])
+    for side in ("a", "b"):
+        rows = rows.join(many.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    rows = rows.join(own.select(F.col("doc_id").alias("a"), tx.body(F.col("text")).alias("body")), "a")
+    one = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    rows = rows.join(one.withColumn("a_links_b", F.lit(True)), ["a", "b"], "left").join(one.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("b_links_a")), ["a", "b"], "left")
+    rows = rows.na.fill(False, ["a_links_b", "b_links_a"])
+    text = F.translate(F.expr("substr(body, cast(low as int) + 1, cast(high - low as int))"), "\n", " ")
+    return rows.select("a", "b", (F.col("copied_a") / F.col("tokens_a")).alias("share_a"), (F.col("copied_b") / F.col("tokens_b")).alias("share_b"), "section_a", "section_b", text.alias("text"), F.expr("a_links_b or b_links_a linked"), "a_links_b", "b_links_a")
+
+
+def section_shares(toks: DataFrame, cover: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """section, tokens, copied: tokens (spans) by section, of the documents of only (doc_id) if given, and copied ones of all documents."""
+    some = toks.join(only.select("doc_id"), "doc_id", "left_semi") if only is not None else toks
+    every = some.groupBy("section").agg(F.count("*").alias("tokens"))
+    copied = toks.join(cover.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").groupBy("section").agg(F.count("*").alias("copied"))
+    return every.join(copied, "section", "full").na.fill(0, ["tokens", "copied"])
+
+
+def graph_rates(pairs: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges, linked, both_ways, density of the graph of copying pairs (a < b): shares of its edges with a link (src, dst) in either direction
+    and in both, and its edges among all pairs of nodes."""
+    way = lambda src, dst: links.select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct()
+    rows = pairs.select("a", "b").join(way("a", "b").withColumn("ab", F.lit(1)), ["a", "b"], "left").join(way("b", "a").withColumn("ba", F.lit(1)), ["a", "b"], "left")
+    rows = rows.agg(F.count("*").alias("edges"), F.avg(F.expr("if(ab = 1 or ba = 1, 1d, 0d)")).alias("linked"), F.avg(F.expr("if(ab = 1 and ba = 1, 1d, 0d)")).alias("both_ways"))
+    n = nodes.agg(F.count("*").alias("n"))
+    return rows.join(n).select("edges", "linked", "both_ways", F.expr("if(n > 1, edges / (n * (n - 1) / 2), 0d) density"))
+
+
 def covered(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, pos: the union of copied positions of accepted pairs."""
     accepted = pairs.select("a", "b").union(pairs.select("b", "a"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -174,3 +175,87 @@ def sens_grid(spark, d):
         row = pairs.agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs")).select(F.lit(pages).cast("long").alias("max_pages"), F.lit(passage).cast("long").alias("min_passage"), "edges", "paragraphs")
         out = row if out is None else out.union(row)
     return out
+
+
+#: documents as pages: some lines under headings, of which one opens no section
+_HEADS = ["Biography", "1970s", "Powers and abilities", "In other media", "Reception"]
+_OPENS = "case h when 'Biography' then 'Fictional character biography' when 'Powers and abilities' then h when 'In other media' then h when 'Reception' then h end"
+_PAGES = f"""pages5 as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: case when k % 4 = 2 then chr(10) || chr(10) || chr(10) || ['{"', '".join(_HEADS)}'][cast(1 + (doc_id + k // 4) % 5 as int)] || chr(10) || x else x end), chr(10)) text from documents where text is not null)"""
+_SPANS = f"""tk as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') t from pages5),
+  cut as (select doc_id, unnest(t) tok, unnest(range(len(t))) pos, unnest(list_slice(string_split_regex(lower(text), '[a-z0-9]+(?:''[a-z]+)?'), 1, len(t))) gap from tk join pages5 using (doc_id)),
+  pl as (select doc_id, pos, tok, sum(length(gap) + length(tok)) over (partition by doc_id order by pos) stop from cut),
+  hx as (select doc_id, regexp_extract_all(text, '\n\n\n([^\n]{{1,70}})\n') full_h, regexp_extract_all(text, '\n\n\n([^\n]{{1,70}})\n', 1) names, string_split_regex(text, '\n\n\n([^\n]{{1,70}})\n') gaps from pages5),
+  hs as (select doc_id, unnest(names) h, unnest(full_h) f, unnest(list_slice(gaps, 1, len(names))) gap, unnest(range(len(names))) pos from hx),
+  hp as (select doc_id, {_OPENS} section, sum(length(f) + length(gap)) over (partition by doc_id order by pos) - length(f) + 3 start from hs),
+  ho as (select * from hp where section is not null),
+  sp as (select pl.doc_id, pos, tok, stop - length(tok) start, stop, coalesce(ho.section, 'Lead') section from pl asof left join ho on pl.doc_id = ho.doc_id and pl.stop - length(pl.tok) >= ho.start)"""
+#: a document links to the next one that begins alike, and is linked back if both have one length
+_LINKS = "nx as (select doc_id src, lead(doc_id) over w dst, n_chars, lead(n_chars) over w m from documents where text is not null window w as (partition by substr(text, 1, 12) order by doc_id)), edges as (select src, dst from nx where dst is not null union select dst, src from nx where dst is not null and n_chars = m)"
+_PAGED = (_LINKS, _PAGES, _SPANS, GRAMS, DF, SHARED, runs_sql(), pairs_sql())
+
+
+def _pages(spark, d):
+    heads = "array('" + "', '".join(_HEADS) + "')"
+    line = f"transform(split(text, '\n'), (x, k) -> if(k % 4 = 1, concat('\n\n\n', {heads}[cast((doc_id + (k + 1) div 4) % 5 as int)], '\n', x), x))"
+    return _docs(spark, d).filter("text is not null").withColumn("text", F.array_join(F.expr(line), "\n"))
+
+
+def _links(spark, d):
+    line = Window.partitionBy(F.substring("text", 1, 12)).orderBy("doc_id")
+    rows = b.read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("src"), F.lead("doc_id").over(line).alias("dst"), (F.col("n_chars") == F.lead("n_chars").over(line)).alias("alike")).filter("dst is not null")
+    return rows.select("src", "dst").union(rows.filter("alike").select("dst", "src"))
+
+
+def _paged(spark, d):
+    """Pages, runs and pairs, each made once."""
+    pages = written(_pages(spark, d), "pages")
+    shared = written(cp.postings(written(cp.hashed_shingles(pages), "grams")), "postings")
+    runs = written(cp.shared_runs(shared), "runs")
+    return pages, runs, written(cp.copy_pairs(runs), "pairs")
+
+
+@query("t_token_spans", b.sql(_PAGES, _SPANS, "select doc_id, section, count(*) n, cast(min(pos) as bigint) first_pos, cast(max(pos) as bigint) last_pos, cast(min(start) as bigint) first_start, cast(max(stop) as bigint) last_stop, cast(sum(start * (pos + 1)) as bigint) places from sp group by doc_id, section"))
+def t_token_spans(spark, d):
+    """Tokens with their places and sections, summed by document and section."""
+    rows = cp.spans(_pages(spark, d)).groupBy("doc_id", "section")
+    return rows.agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"), F.min("start").alias("first_start"), F.max("stop").alias("last_stop"), F.sum(F.col("start") * (F.col("pos") + 1)).alias("places"))
+
+
+_EVIDENCE = """fb as (select a b, b a, arg_min(start, (start - stop, start)) start_b from rn where a > b group by a, b),
+  nt as (select doc_id, count(*) n from sp group by doc_id),
+  ev as (select pr.a, pr.b, round(copied_a / na.n, 6) share_a, round(copied_b / nb.n, 6) share_b, x.section section_a, z.section section_b, replace(substr(g.text, cast(x.start + 1 as int), cast(y.stop - x.start as int)), chr(10), ' ') text,
+    exists (select 1 from edges e where e.src = pr.a and e.dst = pr.b) a_links_b, exists (select 1 from edges e where e.src = pr.b and e.dst = pr.a) b_links_a
+    from pr join fb using (a, b) join nt na on na.doc_id = pr.a join nt nb on nb.doc_id = pr.b join pages5 g on g.doc_id = pr.a
+    join sp x on x.doc_id = pr.a and x.pos = start_a join sp y on y.doc_id = pr.a and y.pos = start_a + longest - 1 join sp z on z.doc_id = pr.b and z.pos = start_b)"""
+
+
+@query("t_copy_evidence", b.sql(*_PAGED, _EVIDENCE, "select a, b, share_a, share_b, section_a, section_b, text, a_links_b or b_links_a linked, a_links_b, b_links_a from ev"))
+def t_copy_evidence(spark, d):
+    """Shares, sections, links and the longest passage of each copying pair."""
+    pages, runs, pairs = _paged(spark, d)
+    return cp.evidence(pages, runs, pairs, _links(spark, d)).withColumns({c: F.round(c, 6) for c in ("share_a", "share_b")})
+
+
+@query("agg_section_share_pages", b.sql(*_PAGED, COVER, "al as (select section, count(*) n from sp group by section), co as (select section, count(*) c from sp join cov using (doc_id, pos) group by section)", "select section, n tokens, coalesce(c, 0) copied, round(n / (select sum(n) from al), 6) all_share, round(coalesce(c, 0) / (select sum(c) from co), 6) copied_share from al left join co using (section)"))
+def agg_section_share_pages(spark, d):
+    """What share of all tokens and of all copied tokens each section has."""
+    pages, runs, pairs = _paged(spark, d)
+    rows = cp.section_shares(written(cp.spans(pages), "spans"), cp.covered(runs, pairs))
+    total = rows.agg(F.sum("tokens").alias("t"), F.sum("copied").alias("c"))
+    return rows.join(total).select("section", "tokens", "copied", F.round(F.col("tokens") / F.col("t"), 6).alias("all_share"), F.round(F.col("copied") / F.col("c"), 6).alias("copied_share"))
+
+
+@query("agg_section_share_some", b.sql(*_PAGED, COVER, "al as (select section, count(*) n from sp where doc_id in (select a from pr union select b from pr) group by section), co as (select section, count(*) c from sp join cov using (doc_id, pos) group by section)", "select section, n tokens, coalesce(c, 0) copied from al left join co using (section)"))
+def agg_section_share_some(spark, d):
+    """The same by numbers of tokens, for the documents of copying pairs alone."""
+    pages, runs, pairs = _paged(spark, d)
+    only = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return cp.section_shares(written(cp.spans(pages), "spans"), cp.covered(runs, pairs), only)
+
+
+@query("agg_copy_rates", b.sql(*_PAGED, _EVIDENCE, "select count(*) edges, round(avg(case when a_links_b or b_links_a then 1.0 else 0.0 end), 6) linked, round(avg(case when a_links_b and b_links_a then 1.0 else 0.0 end), 6) both_ways, round(count(*) / ((select count(*) from pages5) * ((select count(*) from pages5) - 1) / 2), 9) density from ev"))
+def agg_copy_rates(spark, d):
+    """Of the graph of copying pairs: linked pairs, those linked both ways, and density."""
+    pages, _, pairs = _paged(spark, d)
+    rows = cp.graph_rates(pairs, _links(spark, d), pages.select("doc_id"))
+    return rows.select("edges", F.round("linked", 6).alias("linked"), F.round("both_ways", 6).alias("both_ways"), F.round("density", 9).alias("density"))

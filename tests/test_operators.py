@@ -274,25 +274,31 @@ def test_mentions_with_guards_and_own_names(spark):
     assert {(r.a, r.b): (r.named, r.story) for r in nm.mention_pairs(found).collect()} == {(1, 4): (1, 1), (1, 6): (1, 1), (5, 1): (1, 1)}
 
 
-def test_leftmost_longest_by_brute_force():
-    import itertools
+def test_places_and_choices_by_brute_force(spark):
+    """Places of names, the longest from the left and the longest of all, against patterns and loops in Python."""
     import random
     import re
 
     rng = random.Random(2)
-    for _ in range(200):
-        names = list({"".join(rng.choice("ab -") for _ in range(rng.randrange(1, 5))).strip(" -") for _ in range(6)} - {""})
-        text = "".join(rng.choice("ab -A") for _ in range(30))
-        pattern = re.compile(r"(?<![\w-])(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?!\w|-[A-Z0-9])")
-        assert [p[:2] for p in nm.leftmost(list(nm.Finder(names).places(text)))] == [m.span() for m in pattern.finditer(text)]
-    spans = [(a, z, 0) for a, z in itertools.combinations(range(9), 2)]
-    for _ in range(50):
-        some = rng.sample(spans, 8)
-        want = []
-        for p in sorted(some, key=lambda p: (p[0] - p[1], p[0])):
-            if all(p[1] <= a or z <= p[0] for a, z, _ in want):
-                want.append(p)
-        assert nm.longest(some) == sorted(want)
+    names = sorted({"".join(rng.choice("ab -Aé.") for _ in range(rng.randrange(1, 7))).strip(" -") for _ in range(60)} - {"", ".", ".."})
+    texts = [(k, 1, "".join(rng.choice("ab -Aé.") for _ in range(40))) for k in range(150)]
+    units = spark.createDataFrame(texts, "doc long, sid long, text string")
+    resolved = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, pick long")
+    worded = [n for n in names if re.search(r"\w", n)]
+    edge = r"(?<![\w-]){}(?!\w|-[A-Z0-9])"
+    found = nm.places(units, resolved)
+    want = {(d, n, m.start()) for d, _, t in texts for n in worded for m in re.finditer("(?=" + edge.format(re.escape(n)) + ")", t)}
+    assert {(r.doc, r.name, r.start) for r in found.collect()} == want and len(want) > 300
+    first = nm.leftmost(nm.aliased(found, resolved), ["doc", "sid"])
+    pattern = re.compile(edge.format("(?:" + "|".join(re.escape(n) for n in sorted(worded, key=len, reverse=True)) + ")"))
+    assert {(r.doc, r.start, r.stop) for r in first.collect()} == {(d, *m.span()) for d, _, t in texts for m in pattern.finditer(t)}
+    spans = [(k, a, a + rng.randrange(1, 6), rng.randrange(2), 9) for k in range(40) for a in rng.sample(range(12), 8)]
+    chosen = {}
+    for k, a, z, p, _ in sorted(spans, key=lambda s: (s[1] - s[2], -s[3], s[1])):
+        if all(z <= x or y <= a for x, y in chosen.setdefault(k, [])):
+            chosen[k].append((a, z))
+    got = nm.longest(spark.createDataFrame(spans, "doc long, start long, stop long, prio int, who long"), ["doc"])
+    assert {(r.doc, r.start, r.stop) for r in got.collect()} == {(k, a, z) for k, s in chosen.items() for a, z in s}
 
 
 def test_components_of_paths_and_stars_take_few_rounds(spark, monkeypatch):

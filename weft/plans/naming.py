@@ -187,58 +187,247 @@ def flt_mantle(spark, d):
     return nm.mantles(b.read(spark, d, "part").select(F.col("p_partkey").alias("node"), text.alias("description"))).select(F.col("node").alias("p_partkey"))
 
 
+@query("agg_sections_pair", b.sql(_TURNS, _WALK, f"select doc a, count(*) named, count(*) filter (sec in ('{"', '".join(fx.STORY)}')) story from un group by doc"))
+def agg_sections_pair(spark, d):
+    """Sentences of each page, and those of them in story sections."""
+    return nm.sentences(_pages_of_turns(spark, d)).groupBy(F.col("doc").alias("a")).agg(F.count("*").alias("named"), F.count_if(F.col("sec").isin(fx.STORY)).alias("story"))
+
+
 def _mentions(spark, d):
     cands, resolved = _resolved(spark, d)
     return written(nm.mentions(_units(spark, d), resolved, _own(spark, d, cands, resolved), _stats(spark, d)), "mentions")
 
 
-@query("m_extract")
-def m_extract(spark, d):
+@query("m_extract_items")
+def m_extract_items(spark, d):
     return _mentions(spark, d).groupBy("who").agg(F.count("*").alias("mentions"))
 
 
-@query("agg_mentions")
-def agg_mentions(spark, d):
+@query("agg_mentions_items")
+def agg_mentions_items(spark, d):
     return nm.mention_pairs(_mentions(spark, d)).select("a", "b", "named")
 
 
-@query("g_mention")
-def g_mention(spark, d):
+@query("g_mention_items")
+def g_mention_items(spark, d):
     """Degrees of the network of who names whom."""
     pairs = nm.mention_pairs(_mentions(spark, d)).selectExpr("a src", "b dst")
     return pairs.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(pairs.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("o").alias("names"), F.sum("i").alias("named_by"))
 
 
-@query("g_comention")
-def g_comention(spark, d):
+@query("g_comention_items")
+def g_comention_items(spark, d):
     """Who is named in one sentence, and in how many."""
     return nm.comentions(_mentions(spark, d), ["doc", "sid"])
 
 
-@query("agg_sections_pair", b.sql(_TURNS, _WALK, f"select doc a, count(*) named, count(*) filter (sec in ('{"', '".join(fx.STORY)}')) story from un group by doc"))
-def agg_sections_pair(spark, d):
-    """Sentences of each page, and those of them in story sections."""
-    return nm.sentences(_pages_of_turns(spark, d)).groupBy(F.col("doc").alias("a")).agg(F.count("*").alias("named"), F.count_if(F.col("sec").isin(fx.STORY)).alias("story"))
-
-
-@query("l_evidence")
-def l_evidence(spark, d):
+@query("l_evidence_items")
+def l_evidence_items(spark, d):
     units = written(_units(spark, d), "units")
     return nm.evidence(units, nm.mentions(units, _resolved(spark, d)[1]))
 
 
-@query("agg_use")
-def agg_use(spark, d):
+@query("agg_use_items")
+def agg_use_items(spark, d):
     return _mentions(spark, d).filter("doc <> who").groupBy("who").agg(F.count("*").alias("used"))
 
 
-@query("n_shared")
-def n_shared(spark, d):
+@query("n_shared_items")
+def n_shared_items(spark, d):
     cands, resolved = _resolved(spark, d)
     uses = nm.mentions(_units(spark, d), resolved).groupBy(F.col("who").alias("node")).agg(F.count("*").alias("used"))
     return nm.share_out(resolved, cands, uses)
 
 
+
+#: names that conversations have three times or more: capitalised words, with or without the word that follows, and pairs of words; who has
+#: which is by their frequency, and on a page (a conversation of that number) its subject goes by the first word too
+_CAT = """cw as (select unnest(list_concat(list_concat(regexp_extract_all(text, '[A-Z][a-z]{3,}'), regexp_extract_all(text, '[A-Z][a-z]{2,} [a-z]{2,}')), regexp_extract_all(text, '[a-z]{2,} [a-z]{4,}'))) w from conversations),
+  cat as (select w as "name", row_number() over (order by count(*) desc, w) - 1 node from cw group by w having count(*) >= 3),
+  cst as (select lower(word) term, count(*) seen, count(*) filter (regexp_matches(word, '^[A-Z]')) cap from (select unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) word from conversations) group by 1),
+  own as (select distinct node, string_split("name", ' ')[1] as "name" from cat where contains("name", ' '))"""
+_STOP = ["the", "les", "die"]
+_WIDE = lambda p: p.replace(r"\w", r"\p{L}\p{N}_").replace("'", "''")
+_SIDE = "substr(text, start - least(start, {0}) + 1, least(start, {0}))"
+_AHEAD = "substr(text, stop + 1, {0})"
+
+
+def _joined(text, pattern):
+    word = f"regexp_extract({text}, '{_WIDE(pattern.replace('(?<![\\w-])', '(?:^|[^\\w-])'))}', 1)"
+    return f"({word} <> '' and trim(lower({word}), '.') not in ('{"', '".join([*fx.FUNCTION, *_STOP])}'))"
+
+
+_REFUSED = f"""(regexp_matches({_SIDE.format(40)}, '{_WIDE(fx.TITLE_BEFORE)}') or regexp_matches({_AHEAD.format(40)}, '{_WIDE(fx.TITLE_AFTER)}') or
+  (not contains("name", ' ') and ({_joined(_AHEAD.format(30), fx.GLUE_NEXT)} or (coalesce(seen - cap, 0) >= {fx.ORDINARY} and ({_joined(_AHEAD.format(30), fx.GLUE_AFTER)} or {_joined(_SIDE.format(30), fx.GLUE_BEFORE)})))))"""
+_PLACED = f"""uni as materialized (select * from (select doc, sec, par, text, row_number() over (partition by doc order by par, i) sid from (select doc, sec, par, unnest(ss) text, unnest(range(len(ss))) i from pr)) where sec <> 'In other media'),
+  every as (select "name" from cat union select "name" from own),
+  at0 as (select doc, sid, text, "name", unnest(list_filter(range(0, length(text) - length("name") + 1), lambda i: substr(text, i + 1, length("name")) = "name")) start from uni join every on contains(text, "name")),
+  found as materialized (select doc, sid, "name", start, start + length("name") stop from at0 where (start = 0 or not regexp_matches(substr(text, start, 1), '{_WIDE("[\\w-]")}')) and not regexp_matches(substr(text, start + length("name") + 1, 2), '{_WIDE("^(?:[\\w]|-[A-Z0-9])")}')),
+  sets as (select doc, sid, 0 prio, "name", start, stop, node who from found join cat using ("name") union all select doc, sid, 1, found."name", start, stop, doc from found join own on own.node = doc and own."name" = found."name"),
+  o1 as materialized (select *, row_number() over (partition by doc, sid, prio order by start, stop desc) r from sets),
+  lm(doc, sid, prio, r, free, taken) as (select doc, sid, prio, r, stop, true from o1 where r = 1 union all select o.doc, o.sid, o.prio, o.r, case when o.start >= lm.free then o.stop else lm.free end, o.start >= lm.free from lm join o1 o on o.doc = lm.doc and o.sid = lm.sid and o.prio = lm.prio and o.r = lm.r + 1),
+  k1 as (select o1.* from o1 join lm using (doc, sid, prio, r) where taken),
+  k2 as (select k1.* from k1 join uni using (doc, sid) left join cst on term = lower("name") where not {_REFUSED}),
+  o2 as materialized (select * exclude (r), row_number() over (partition by doc, sid order by stop - start desc, prio desc, start) r from k2),
+  lg(doc, sid, r, spans, taken) as (select doc, sid, r, [struct_pack(a := start, z := stop)], true from o2 where r = 1
+    union all select doc, sid, r, case when free then list_append(spans, struct_pack(a := start, z := stop)) else spans end, free from (select o.doc, o.sid, o.r, o.start, o.stop, lg.spans, len(list_filter(lg.spans, lambda q: o.start < q.z and q.a < o.stop)) = 0 free from lg join o2 o on o.doc = lg.doc and o.sid = lg.sid and o.r = lg.r + 1)),
+  men as materialized (select doc, sec, par, sid, who, start, stop, substr(text, start + 1, stop - start) surface from o2 join lg using (doc, sid, r) join uni using (doc, sid) where taken),
+  pairs as (select doc a, who b, count(distinct sid) named, count(distinct sid) filter (sec in ('{"', '".join(fx.STORY)}')) story from men where doc <> who group by all),
+  lnk as (select distinct least(a, b) a, greatest(a, b) b from pairs)"""
+_NAMED = (_TURNS, _WALK, _CAT, _PLACED)
+
+
+def _sql(*select):
+    return b.sql(*_NAMED, *select, recursive=True)
+
+
+def _catalogue(spark, d):
+    """names (name, pick), own names (node, name), statistics, and units of the pages that conversations make."""
+    texts = b.read(spark, d, "conversations").select("text")
+    found = texts.select(F.explode(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in ("[A-Z][a-z]{3,}", "[A-Z][a-z]{2,} [a-z]{2,}", "[a-z]{2,} [a-z]{4,}")))).alias("name"))
+    cat = graph.ranked(found.groupBy("name").agg(F.count("*").alias("n")).filter("n >= 3"), [F.desc("n"), F.col("name")], "pick")
+    cat = written(cat.select("name", (F.col("pick") - 1).cast("long").alias("pick")), "names")
+    own = cat.filter("name like '% %'").select(F.col("pick").alias("node"), F.substring_index("name", " ", 1).alias("name")).distinct()
+    stats = tf.word_stats(texts.select(F.explode(tx.capitals(F.col("text"))).alias("word")))
+    return cat, own, stats, written(nm.sentences(_pages_of_turns(spark, d), fx.SKIPPED), "units")
+
+
+def _named(spark, d):
+    cat, own, stats, units = _catalogue(spark, d)
+    return units, written(nm.mentions(units, cat, own, stats, _STOP), "mentions")
+
+
+def _linked(found):
+    return nm.mention_pairs(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+@query("jn_alias", _sql('select doc, sid, "name", start, stop, who from sets where prio = 0'))
+def jn_alias(spark, d):
+    """Places of names, with whom they resolve to."""
+    cat, _, _, units = _catalogue(spark, d)
+    return nm.aliased(nm.places(units, cat.select("name")), cat).select("doc", "sid", "name", "start", "stop", "who")
+
+
+@query("jn_noover", _sql("select doc, sid, start, stop, who, surface from men"))
+def jn_noover(spark, d):
+    """Mentions: places that stand in no title and no longer name, the longest first, none over another."""
+    return _named(spark, d)[1].select("doc", "sid", "start", "stop", "who", "surface")
+
+
+@query("m_extract", _sql("select doc, sec, par, who, count(*) mentions, min(surface) first_surface from men group by all"))
+def m_extract(spark, d):
+    return _named(spark, d)[1].groupBy("doc", "sec", "par", "who").agg(F.count("*").alias("mentions"), F.min("surface").alias("first_surface"))
+
+
+@query("agg_mentions", _sql("select * from pairs"))
+def agg_mentions(spark, d):
+    """Sentences of a page that name somebody, and those of them in story sections."""
+    return nm.mention_pairs(_named(spark, d)[1])
+
+
+@query("agg_surfaces", _sql("select doc a, who b, list_sort(list(distinct surface)) shown from men where doc <> who group by all"))
+def agg_surfaces(spark, d):
+    """The strings by which a page names somebody."""
+    return nm.surfaces(_named(spark, d)[1]).groupBy("a", "b").agg(F.sort_array(F.collect_set("shown")).alias("shown"))
+
+
+@query("g_mention", _sql("select node, cast(sum(o) as bigint) as \"names\", cast(sum(i) as bigint) named_by from (select a node, 1 o, 0 i from pairs union all select b, 0, 1 from pairs) group by node"))
+def g_mention(spark, d):
+    """Degrees of the network of who names whom."""
+    pairs = nm.mention_pairs(_named(spark, d)[1])
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*").groupBy("node").agg(F.sum("o").alias("names"), F.sum("i").alias("named_by"))
+
+
+_BY_UNIT = "tu as (select 'sentence' unit, doc, par, sid, who from men union select 'paragraph', doc, par, -1, who from men union select 'page', doc, -1, -1, who from men), co as (select unit, x.who a, y.who b, count(*) n from tu x join tu y using (unit, doc, par, sid) where x.who < y.who group by all)"
+
+
+@query("g_comention", _sql(_BY_UNIT, "select a, b, n from co where unit = 'sentence'"))
+def g_comention(spark, d):
+    """Who is named in one sentence, and in how many."""
+    return nm.comentions(_named(spark, d)[1], ["doc", "sid"])
+
+
+@query("agg_comention_units", _sql(_BY_UNIT, "select * from co"))
+def agg_comention_units(spark, d):
+    """Who is named in one sentence, paragraph or page, and in how many."""
+    return nm.comentions_by_unit(_named(spark, d)[1])
+
+
+@query("agg_dial_units", _sql(_BY_UNIT, "f as (select co.*, lnk.a is not null hit from co left join lnk using (a, b)), k as (select unnest([1, 2, 3, 4, 5, 6]) k), e as (select unit, cast(k as bigint) k, count(*) filter (n >= k) edges, count(*) filter (n >= k and hit) linked from k cross join f group by unit, k)", "select unit, k, edges, linked, round(linked / greatest(1, edges), 3) as \"precision\", round(linked / greatest(1, (select count(*) from lnk)), 3) recall from e"))
+def agg_dial_units(spark, d):
+    """Pairs named together k times or more in one unit, against pairs of which one names the other."""
+    found = _named(spark, d)[1]
+    return nm.dial(nm.comentions_by_unit(found), _linked(found), by=("unit",))
+
+
+@query("agg_roll_mentions", _sql("os as (select distinct doc, sid, who from men), sz as (select doc, sid, least(count(*), 6) n from os group by all)", "select n, count(*) pairs, round(avg(case when lnk.a is not null then 1.0 else 0.0 end), 6) linked from os x join os y on x.doc = y.doc and x.sid = y.sid and x.who < y.who join sz on sz.doc = x.doc and sz.sid = x.sid left join lnk on lnk.a = x.who and lnk.b = y.who group by n"))
+def agg_roll_mentions(spark, d):
+    found = _named(spark, d)[1]
+    return nm.roll_calls(found, ["doc", "sid"], _linked(found))
+
+
+@query("agg_third_mentions", _sql("os as (select distinct doc, sid, who from men)", "select x.doc in (x.who, y.who) own, count(*) pairs, round(avg(case when lnk.a is not null then 1.0 else 0.0 end), 6) linked from os x join os y on x.doc = y.doc and x.sid = y.sid and x.who < y.who left join lnk on lnk.a = x.who and lnk.b = y.who group by all"))
+def agg_third_mentions(spark, d):
+    found = _named(spark, d)[1]
+    return nm.third_party(found, _linked(found))
+
+
+@query("agg_use", _sql("select who, count(*) used from men where doc <> who group by who"))
+def agg_use(spark, d):
+    return _named(spark, d)[1].filter("doc <> who").groupBy("who").agg(F.count("*").alias("used"))
+
+
+@query("l_evidence", _sql(f"ss as (select doc, sid, who, list_sort(list(struct_pack(start := start, stop := stop))) spans from men where doc <> who group by all), rk as (select ss.*, sec, text, row_number() over (partition by doc, who order by sec not in ('{"', '".join(fx.STORY)}'), sid) rank from ss join uni using (doc, sid)), lo as (select *, greatest(0, spans[1].start - 150) low, least(length(text), spans[1].stop + 150) high from rk where rank <= 2)", "select doc a, who b, cast(rank as int) rank, sec, case when low > 0 then '…' else '' end || substr(text, low + 1, high - low) || case when high < length(text) then '…' else '' end text, list_transform(list_filter(spans, lambda s: s.start >= low and s.stop <= high), lambda s: [s.start - low + (low > 0)::int, s.stop - low + (low > 0)::int]) marks from lo"))
+def l_evidence(spark, d):
+    """Up to two sentences of a page that name somebody, those of the story first, and where they do."""
+    return nm.evidence(*_named(spark, d))
+
+
+#: who proposes what: the names themselves as titles, their first words, some names for the next page too, and some with capitals; where names lead, and what pages are qualified by, by rules
+_PROPOSE = """cc as (select "name", node, 'title' source from cat union all select distinct string_split("name", ' ')[1], node, 'label' from cat where contains("name", ' ')
+    union all select "name", node + 1, 'label' from cat where node % 5 = 3 union all select 'Justice', node, 'label' from cat where node = 0
+    union all select array_to_string(list_transform(string_split("name", ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' '), node, 'label' from cat where contains("name", ' ') and node % 7 = 0),
+  cands3 as (select "name", node, max(source) source from cc group by all),
+  tg as (select distinct "name", case length("name") % 5 when 0 then '(disambiguation)' when 1 then cast((select max(node) from cat) - length("name") as varchar) when 2 then 'Elsewhere' end target from cands3 where length("name") % 5 < 3),
+  pgs as (select node, case node % 5 when 0 then 'character' when 1 then 'film' when 2 then 'comics' when 3 then string_split("name", ' ')[1] end qual from cat),
+  us as (select "name", is_name and "name" not in ('{drop}') and not regexp_matches("name", '{title}') is_usable from (select c."name", contains(c."name", ' ') or coalesce(seen, 0) = 0 or cap > {cap} * seen is_name from (select distinct "name" from cands3) c left join cst on term = lower(c."name"))),
+  cl as (select cands3.*, qual from cands3 left join pgs using (node) where not regexp_matches(coalesce(qual, ''), '{variant}')),
+  pr3 as (select "name", count(*) n, min(node) "only", count(*) filter (source = 'title') titles, count(*) filter (source = 'title' and (qual is null or qual in ('{generic}'))) mains, min(node) filter (source = 'title' and (qual is null or qual in ('{generic}'))) main_node, bool_or(qual = "name") qualifies, list(cast(node as varchar)) nodes from cl group by 1),
+  j3 as (select us.*, coalesce(n, 0) n, "only", coalesce(titles, 0) titles, coalesce(mains, 0) mains, main_node, coalesce(qualifies, false) qualifies, coalesce(nodes, []) nodes, target, pgs.node target_node, target is null or target = '(disambiguation)' nowhere, target is null and contains("name", ' ') and len(list_filter(string_split("name", ' '), lambda w: not regexp_matches(w, '^[A-Z]'))) = 0 whole from us left join pr3 using ("name") left join tg using ("name") left join pgs on cast(pgs.node as varchar) = target),
+  res3 as (select "name", case when "name" in ('{drop}') then 'read in the text: means someone else' when not is_usable then 'common word or a title' when qualifies and not nowhere and not list_contains(nodes, target) then 'Wikipedia sends it elsewhere' when target_node is not null then 'Wikipedia redirect'
+    when mains = 1 then 'page title' when n = 1 and titles > 0 then 'page title' when n = 1 and whole then 'no page; unique full name' when n >= 2 and nowhere then 'shared codename' when nowhere then 'ambiguous' else 'Wikipedia sends it elsewhere' end reason,
+    case when "name" in ('{drop}') or not is_usable or (qualifies and not nowhere and not list_contains(nodes, target)) then null when target_node is not null then target_node when mains = 1 then main_node when n = 1 and (titles > 0 or whole) then "only" end pick from j3)""".replace("{drop}", "', '".join(fx.DROP)).replace("{title}", _TITLE_START).replace("{cap}", str(fx.NAME_CAP)).replace("{variant}", fx.VARIANT).replace("{generic}", "', '".join(fx.GENERIC_QUALIFIERS))
+
+
+def _claims(spark, d):
+    """Candidates, their targets, and the pages' qualifiers."""
+    cat, own, stats, units = _catalogue(spark, d)
+    cands = cat.select("name", F.col("pick").alias("node"), F.lit("title").alias("source")).union(own.select("name", "node", F.lit("label")))
+    cands = cands.union(cat.filter("pick % 5 = 3").selectExpr("name", "pick + 1", "'label'")).union(cat.filter("pick = 0").selectExpr("'Justice'", "pick", "'label'"))
+    cands = cands.union(cat.filter("name like '% %' and pick % 7 = 0").selectExpr("initcap(name)", "pick", "'label'"))
+    cands = written(cands.groupBy("name", "node").agg(F.max("source").alias("source")), "candidates")
+    top = cat.agg(F.max("pick").alias("top"))
+    targets = cands.select("name").distinct().join(top).select("name", F.expr("case length(name) % 5 when 0 then '(disambiguation)' when 1 then cast(top - length(name) as string) when 2 then 'Elsewhere' end").alias("target")).filter("target is not null")
+    pages = cat.select(F.col("pick").alias("node"), F.expr("case pick % 5 when 0 then 'character' when 1 then 'film' when 2 then 'comics' when 3 then substring_index(name, ' ', 1) end").alias("qual"))
+    return cands, targets, stats, pages, units
+
+
+@query("n_resolve_targets", b.sql(_CAT, _PROPOSE, 'select "name", pick, reason from res3'))
+def n_resolve_targets(spark, d):
+    """Resolution with targets and qualifiers."""
+    return nm.resolve(*_claims(spark, d)[:4])
+
+
+@query("n_shared", _sql(_PROPOSE.replace("cands3 as", "cands3 as materialized"), "rg as (select \"name\", pick node from res3 where pick is not null), s0 as (select doc, sid, found.\"name\", start, stop, node who from found join rg using (\"name\")), p1 as materialized (select *, row_number() over (partition by doc, sid order by start, stop desc) r from s0), lq(doc, sid, r, free, taken) as (select doc, sid, r, stop, true from p1 where r = 1 union all select o.doc, o.sid, o.r, case when o.start >= lq.free then o.stop else lq.free end, o.start >= lq.free from lq join p1 o on o.doc = lq.doc and o.sid = lq.sid and o.r = lq.r + 1), us3 as (select who node, count(*) used from p1 join lq using (doc, sid, r) where taken and doc <> who group by who), sh as (select res3.\"name\", c.node, coalesce(used, 0) used, row_number() over (partition by res3.\"name\" order by coalesce(used, 0) desc, c.node) rk from res3 join cands3 c using (\"name\") left join us3 on us3.node = c.node where reason = 'shared codename'), tp as (select \"name\", max(node) filter (rk = 1) won, max(used) filter (rk = 1) u1, coalesce(max(used) filter (rk = 2), 0) u2 from sh group by 1)", "select res3.\"name\", coalesce(pick, case when u1 >= 3 * greatest(1, u2) then won end) pick, case when u1 >= 3 * greatest(1, u2) then 'shared codename; ' || u1 || ' vs ' || u2 || ' unambiguous uses' else reason end reason from res3 left join tp using (\"name\")"))
+def n_shared(spark, d):
+    """A shared codename goes to the page whose unambiguous names other pages use most: uses are counted by what is resolved, once."""
+    cands, targets, stats, pages, units = _claims(spark, d)
+    resolved = written(nm.resolve(cands, targets, stats, pages), "resolved")
+    places = nm.leftmost(nm.aliased(nm.places(units, resolved.filter("pick is not null").select("name")), resolved), ["doc", "sid"])
+    uses = places.filter("doc <> who").groupBy(F.col("who").alias("node")).agg(F.count("*").alias("used"))
+    return nm.share_out(resolved, cands, uses)
+
+
 _KWIC = "h as (select doc_id doc, text, list_filter(range(1, length(text) - 5), lambda i: lower(substr(text, i, 7)) = 'license' and not regexp_matches(substr(text, i + 7, 1), '[A-Za-z]') and (i = 1 or not regexp_matches(substr(text, i - 1, 1), '[A-Za-z]'))) places from documents where contains(lower(text), 'license')), k as (select doc, text, unnest(list_filter([places[1], case when len(places) > 1 then places[1 + len(places) // 2] end], lambda x: x is not null)) i from h where len(places) > 0)"
 
 

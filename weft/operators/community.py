@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .graph import ranked
 
 MOST_EDGES = 20_000_000
 
@@ -207,23 +208,15 @@ def null_modularity(graphs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def permutation_test(values: DataFrame, value: str, group: str, trials: int = 10_000, seed: int = 42) -> DataFrame:
-    """observed, p: mean of the rows of a group (boolean column), and how many random groups of its size have a mean as low. The
-    values (a number of each node) go to every task."""
-    rows = values.agg(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(group).alias("g"), F.col("node"))).alias("all")).select(F.array_sort("all").alias("all"))
-
-    def run(batches):
-        for pdf in batches:
-            for block, every in zip(pdf["block"], pdf["all"]):
-                v, g = np.array([e["v"] for e in every], float), np.array([e["g"] for e in every], bool)
-                if not g.any():
-                    continue
-                rng, low = np.random.default_rng([seed, int(block)]), 0
-                for _ in range(trials // 10):
-                    low += rng.choice(v, int(g.sum()), replace=False).mean() <= v[g].mean() + 1e-12
-                yield pd.DataFrame({"observed": [float(v[g].mean())], "low": [int(low)]})
-
-    blocks = rows.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("block"), "all").repartition("block").mapInPandas(run, "observed double, low long")
-    return blocks.agg(F.first("observed").alias("observed"), (F.sum("low") / F.lit(trials // 10 * 10)).alias("p"))
+    """observed, p: mean of the rows (node and others) of a group (boolean column), and how many random groups of its size have a mean as low;
+    no row where the group is empty. In trial t the group is the first by the digests of seed, t and node: rows are values times trials,
+    ranked over ranges, and no task holds all values."""
+    rows = written(values.select("node", F.col(value).cast("double").alias("v"), F.col(group).alias("g")), "values")
+    total = rows.agg(F.count("*").alias("n"), F.count_if("g").alias("k"), F.avg(F.when(F.col("g"), F.col("v"))).alias("observed")).filter("k > 0")
+    drawn = rows.select("node", "v", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("t")).withColumn("h", F.md5(F.concat_ws("-", F.lit(seed), "t", "node")))
+    drawn = ranked(drawn, [F.col("t"), F.col("h"), F.col("node")]).join(total).filter("pmod(rank - 1L, n) < k")
+    means = drawn.groupBy("t").agg(F.avg("v").alias("m"), F.first("observed").alias("observed"))
+    return means.agg(F.first("observed").alias("observed"), F.count_if(F.col("m") <= F.col("observed") + 1e-9).alias("low"), F.count("*").alias("c")).filter("c > 0").select("observed", (F.col("low") / F.lit(trials)).alias("p"))
 
 
 def pooled_degrees(spark, kind: str, n: int, m: int, realizations: int = 200, seed: int = 42) -> DataFrame:

@@ -1,32 +1,58 @@
-"""Shortest paths and betweenness by frontier joins, for all sources at once."""
+"""Shortest paths and betweenness by frontier joins, for a block of sources at once. A block's state is at most its sources times the
+nodes they reach; what a block leaves (distances, or one sum for each node) is a table of its own, so a lost block is made again alone."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .graph import ranked
+
+#: sources of a block
+BLOCK = 1 << 12
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(edges.select("dst", "src"))
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def _blocks(sources: DataFrame, block: int) -> list[DataFrame]:
+    """sources (node) in blocks of so many."""
+    many = sources.count()
+    if many <= block:
+        return [sources.select("node")]
+    rows = written(ranked(sources.select("node"), [F.col("node")]).selectExpr("node", f"cast((rank - 1) div {block} as int) part"), "sources")
+    return [rows.filter(F.col("part") == k).select("node") for k in range(-(-many // block))]
+
+
+def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """source, node, dist over simple undirected edges (src, dst), for every source of sources (node); reachable nodes only."""
-    step = written(_both(edges), "steps")
-    seen = frontier = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("dist")), "frontier")
-    while frontier.limit(1).count():
-        new = frontier.join(step, "node").select("source", F.col("next").alias("node"), (F.col("dist") + 1).alias("dist")).distinct()
-        frontier = written(new.join(seen, ["source", "node"], "left_anti"), "frontier")
-        seen = seen.union(frontier)
-    return seen
+    step, out = written(_both(edges), "steps"), None
+    for some in _blocks(sources, block):
+        seen = frontier = written(some.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("dist")), "frontier")
+        while frontier.limit(1).count():
+            new = frontier.join(step, "node").select("source", F.col("next").alias("node"), (F.col("dist") + 1).alias("dist")).distinct()
+            frontier = written(new.join(seen, ["source", "node"], "left_anti"), "frontier")
+            seen = seen.union(frontier)
+        out = seen if out is None else out.union(seen)
+    return out
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, betweenness: normalised, unweighted, exact. Path counts go outwards by levels, dependencies back."""
+def betweenness(edges: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, betweenness: normalised, unweighted, exact."""
     step = written(_both(edges), "steps")
-    start = nodes.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
+    parts = [written(_dependencies(step, some), "sums") for some in _blocks(nodes, block)]
+    sums = functools.reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("s").alias("s"))
+    n = nodes.agg(F.count("*").alias("n"))
+    return nodes.join(sums, "node", "left").join(n).select("node", F.expr("if(n > 2, coalesce(s, 0d) / ((n - 1) * (n - 2)), 0d)").alias("betweenness"))
+
+
+def _dependencies(step: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, s: how much of the shortest paths from the sources pass each node. Path counts go outwards by levels, dependencies back."""
+    start = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
     levels = [written(start, "level")]
     seen = levels[0].select("source", "node")
     while True:
@@ -46,6 +72,4 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             here = level.join(gained, ["source", "node"], "left").withColumn("share", F.coalesce(F.col("paths") * F.col("sum"), F.lit(0.0))).drop("sum")
         later = written(here, "dependencies")
         total = later if total is None else total.unionByName(later)
-    sums = total.filter("source <> node").groupBy("node").agg(F.sum("share").alias("s"))
-    n = nodes.agg(F.count("*").alias("n"))
-    return nodes.join(sums, "node", "left").join(n).select("node", F.expr("if(n > 2, coalesce(s, 0d) / ((n - 1) * (n - 2)), 0d)").alias("betweenness"))
+    return total.filter("source <> node").groupBy("node").agg(F.sum("share").alias("s"))

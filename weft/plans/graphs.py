@@ -236,6 +236,14 @@ def flt_alpha(spark, d):
     return graph.disparity(b.weighted(spark, d)).filter("round(p, 5) < 0.05").select("src", "dst")
 
 
+@query("flt_alpha_grid", b.sql(b.WEIGHTED, b.STRENGTH, b.DISPARITY, "select cast(alpha as double) alpha, src, dst from disp join (select unnest([0.05, 0.1, 0.2, 0.3, 0.35, 0.4]) alpha) on round(p, 5) < alpha"))
+def flt_alpha_grid(spark, d):
+    """Edges that each of several bounds keeps, strictly below it."""
+    rows = graph.disparity(b.weighted(spark, d)).withColumn("p", F.round("p", 5))
+    alphas = F.array(*(F.lit(a) for a in (0.05, 0.1, 0.2, 0.3, 0.35, 0.4)))
+    return rows.select("src", "dst", "p", F.explode(alphas).alias("alpha")).filter("p < alpha").select("alpha", "src", "dst")
+
+
 _ALPHAS = (0.05, 0.1, 0.2, 0.3)
 
 

@@ -122,6 +122,19 @@ def _attack(nodes, edges):
     return rb.curves(nodes, edges, orders).withColumn("fraction", F.round("fraction", 9))
 
 
+@query("g_bfs_all_purchases", b.sql(b.NODES, b.DENSE, b.SIMPLE, _BFS_TEN, "select source, node, dist from best", recursive=True))
+def g_bfs_all_purchases(spark, d):
+    """All ordered pairs with a path in the whole graph of purchases."""
+    nodes, edges = _purchases(spark, d)
+    return paths.distances(edges, nodes)
+
+
+@query("g_betweenness_purchases", b.sql(b.NODES, b.DENSE, b.SIMPLE, _BFS_TEN, _PATHS, "select n.node, round(coalesce(btw.bc, 0), 6) betweenness from nodes n left join btw using (node)", recursive=True))
+def g_betweenness_purchases(spark, d):
+    nodes, edges = _purchases(spark, d)
+    return paths.betweenness(edges, nodes).withColumn("betweenness", F.round("betweenness", 6))
+
+
 @query("g_attack_purchases", b.sql(*_ATTACK_ALL, "select order_id, step, round(fraction, 9) fraction from cur", recursive=True))
 def g_attack_purchases(spark, d):
     return _attack(*_purchases(spark, d))
@@ -292,6 +305,19 @@ def agg_era_rows(spark, d):
     return per.join(p.groupBy("era").agg(F.round(F.max("p"), 3).alias("top_share"), F.round(-F.sum(F.col("p") * F.log2("p")), 3).alias("entropy_bits")), "era")
 
 
+#: balances of the suppliers of the first region against random groups of as many, drawn by digests
+_PERM = """v as (select s_suppkey node, s_acctbal v, coalesce(n_regionkey = 0, false) g from supplier left join nation on s_nationkey = n_nationkey), k as (select count(*) k, avg(v) m from v where g),
+  d as (select t, v, row_number() over (partition by t order by md5('42-' || t || '-' || node), node) r from v, range(10000) r(t)), e as (select t, avg(v) m from d, k where r <= k group by t)"""
+
+
+@query("st_perm_balances", b.sql(_PERM, "select round(k.m, 6) observed, round((select count(*) from e, k where e.m <= k.m + 1e-9) / 10000, 6) p from k where k > 0"))
+def st_perm_balances(spark, d):
+    """Whether the suppliers of one region have balances as low as random groups of as many suppliers."""
+    rows = b.read(spark, d, "supplier").join(b.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    rows = rows.select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("v"), F.coalesce(F.col("n_regionkey") == 0, F.lit(False)).alias("g"))
+    return cm.permutation_test(rows, "v", "g").select(F.round("observed", 6).alias("observed"), F.round("p", 6).alias("p"))
+
+
 @query("st_perm")
 def st_perm(spark, d):
     labels, agreed = _labels(spark, d)

@@ -39,8 +39,9 @@ def _timed(edges: DataFrame, orders: DataFrame, block: int) -> tuple[DataFrame,
     """order_id, leaf, g, t, a, b, sa, sb: edges by the time t at which they come, each with its block, its ends and their sizes (1); and the
     number of the last block."""
     rows = edges.select("src", "dst")
-    rows = salted(rows, orders.selectExpr("node src", "order_id", "pos pa"), "src", "dst").withColumn("k", F.struct("order_id", "dst"))
-    rows = salted(rows, orders.selectExpr("struct(order_id, node dst) k", "pos pb"), "k", "src").selectExpr("order_id", "src a", "dst b", "least(pa, pb) t")
+    # both sides have many rows of a node, so a hub is left to the splitting of skewed joins and neither is copied for salts
+    rows = rows.join(orders.selectExpr("node src", "order_id", "pos pa"), "src").join(orders.selectExpr("order_id", "node dst", "pos pb"), ["order_id", "dst"])
+    rows = rows.selectExpr("order_id", "src a", "dst b", "least(pa, pb) t")
     rows = written(ranked(rows, [F.col("order_id"), F.desc("t"), F.col("a"), F.col("b")], "g"), "timed")
     firsts = rows.groupBy("order_id").agg(F.min("g").alias("first"))  # a row for each order
     rows = rows.join(F.broadcast(firsts), "order_id").selectExpr("order_id", f"(g - first) div {block} leaf", "g", "t", "a", "b", "1L sa", "1L sb")

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import paths
 from ..operators import tfidf as tf
 from ..storage import written
 from . import base as b
@@ -245,6 +246,62 @@ def t_pair_export(spark, d):
     return near.join(terms, ["i", "j"])
 
 
+#: items are linked to the next one and to the fifth after them; how far apart they are
+_HOPS = """near1 as (select x.item_id a, y.item_id b from benchmark x join benchmark y on abs(x.item_id - y.item_id) in (1, 5)),
+  hop(i, j, d) as (select item_id, item_id, cast(0 as bigint) from benchmark union select h.i, e.b, h.d + 1 from hop h join near1 e on e.a = h.j where h.d < 14), far as (select i, j, min(d) d from hop group by all)"""
+_SPLIT = "co4 as (select i, j, cos, name_part, paper_part, story_part from co union all select j, i, cos, name_part, paper_part, story_part from co), rk4 as (select *, row_number() over (partition by i order by round(cos, 9) desc, j) rank from co4), sc4 as (select x.doc i, y.doc j, sum(x.w * y.w) cos from st x join st y on x.term = y.term and x.doc <> y.doc group by all), sk4 as (select *, row_number() over (partition by i order by round(cos, 9) desc, j) rank from sc4)"
+_SIMILAR = (WORDS, STATS, CLS, W, COS, _STORY, _SPLIT, _HOPS)
+
+
+def _distances(spark, d):
+    items = b.read(spark, d, "benchmark").select(F.col("item_id").alias("node")).distinct()
+    edges = items.select(F.col("node").alias("src"), F.explode(F.array(F.col("node") + 1, F.col("node") + 5)).alias("dst")).join(items.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return paths.distances(edges.select("src", "dst"), items).select(F.col("source").alias("i"), F.col("node").alias("j"), F.col("dist").alias("d"))
+
+
+def _partners_of(spark, d, k):
+    """The k nearest of each item by all terms, with the cosine's parts, and by its story, with ranks."""
+    w, cls = _weights(spark, d), written(_classes(spark, d), "classes")
+    raw = tf.nearest(written(tf.cosines(w, cls), "pairs"), k)
+    return w, cls, raw, tf.nearest(tf.cosines(tf.renormalised(w, cls, tf.STORY)), k)
+
+
+@query("t_hero", b.sql(*_SIMILAR, "select r.i, r.j, round(r.cos, 4) cos, [round(r.name_part, 4), round(r.paper_part, 4), round(r.story_part, 4)] parts, s.j js, round(s.cos, 4) scos, coalesce(f.d, -1) d, coalesce(g.d, -1) ds from rk4 r left join sk4 s on s.i = r.i and s.rank = 1 left join far f on f.i = r.i and f.j = r.j left join far g on g.i = r.i and g.j = s.j where r.rank = 1", recursive=True))
+def t_hero(spark, d):
+    """Each item's nearest with the parts of its cosine, its nearest by story, and how far both are in the network of links (-1: not at all)."""
+    _, _, raw, story = _partners_of(spark, d, 1)
+    far = written(_distances(spark, d), "distances")
+    rows = raw.join(story.select("i", F.col("j").alias("js"), F.round("cos", 4).alias("scos")), "i", "left")
+    rows = rows.join(far, ["i", "j"], "left").join(far.select("i", F.col("j").alias("js"), F.col("d").alias("ds")), ["i", "js"], "left")
+    parts = F.array(*(F.round(c, 4) for c in ("name_part", "paper_part", "story_part")))
+    return rows.select("i", "j", F.round("cos", 4).alias("cos"), parts.alias("parts"), "js", "scos", F.coalesce("d", F.lit(-1).cast("long")).alias("d"), F.coalesce("ds", F.lit(-1).cast("long")).alias("ds"))
+
+
+_LIST = "(select coalesce(list(struct_pack(j := k.j, cos := round(k.cos, 4), d := coalesce(f.d, -1)) order by k.rank), []) from {0} k left join far f on f.i = k.i and f.j = k.j where k.i = t.item_id and k.rank <= 8) {1}"
+
+
+@query("t_pages", b.sql(*_SIMILAR, "nm4 as (select w.doc, sum(case when cls = 0 then w * w else 0 end) s from w join cls using (term) group by w.doc), tk4 as (select doc, count(*) n, count(*) filter (length(word) > 1) big, count(*) filter (length(word) > 1 and lower(word) in (select term from cls join dfs using (term) where cls = 0)) own from ws group by doc)", "select t.item_id id, (select count(*) from near1 where a = t.item_id) deg, coalesce(tk4.n, 0) tokens, round(coalesce(nm4.s, 0), 3) self_name, round(coalesce(own, 0) / greatest(coalesce(big, 0), 1), 3) tok_name, " + _LIST.format("rk4", "raw") + ", " + _LIST.format("sk4", "story") + " from benchmark t left join tk4 on tk4.doc = t.item_id left join nm4 on nm4.doc = t.item_id", recursive=True))
+def t_pages(spark, d):
+    """A row for each item: degree, tokens, shares of names in its vector and its tokens, and its eight nearest by all terms and by story, each
+    with cosine and distance."""
+    w, cls, raw, story = _partners_of(spark, d, 8)
+    far = written(_distances(spark, d), "distances")
+    items = b.read(spark, d, "benchmark").select(F.col("item_id").alias("i"))
+    deg = far.filter("d = 1").groupBy("i").agg(F.count("*").alias("deg"))
+    names = w.join(cls, "term").groupBy(F.col("doc").alias("i")).agg(F.sum(F.expr("if(cls = 0, w * w, 0d)")).alias("s"))
+    proper = cls.filter("cls = 0").join(w.select("term").distinct(), "term", "left_semi").select("term", F.lit(1).alias("proper"))
+    toks = _words(spark, d).select(F.col("doc").alias("i"), F.lower("word").alias("term"), (F.length("word") > 1).alias("big")).join(proper, "term", "left")
+    toks = toks.groupBy("i").agg(F.count("*").alias("n"), F.count_if("big").alias("big"), F.count_if(F.col("big") & F.col("proper").isNotNull()).alias("own"))
+
+    def listed(rows, name):
+        rows = rows.join(far, ["i", "j"], "left").withColumn("x", F.struct("rank", "j", F.round("cos", 4).alias("cos"), F.coalesce("d", F.lit(-1).cast("long")).alias("d")))
+        return rows.groupBy("i").agg(F.expr("transform(array_sort(collect_list(x)), x -> struct(x.j, x.cos, x.d))").alias(name))
+
+    rows = items.join(deg, "i", "left").join(toks, "i", "left").join(names, "i", "left").join(listed(raw, "raw"), "i", "left").join(listed(story, "story"), "i", "left")
+    none = "cast(array() as array<struct<j:bigint,cos:double,d:bigint>>)"
+    return rows.selectExpr("i id", "coalesce(deg, 0L) deg", "coalesce(n, 0L) tokens", "round(coalesce(s, 0d), 3) self_name", "round(coalesce(own, 0L) / greatest(coalesce(big, 0L), 1L), 3) tok_name", f"coalesce(raw, {none}) raw", f"coalesce(story, {none}) story")
+
+
 _NAMES_STORY = "sw as (select w.* from w join cls using (term) where cls = 2), sq as (select doc, greatest(sqrt(sum(w * w)), 1e-12) n from sw group by doc), st as (select doc, term, w / n w from sw join sq using (doc)), nw as (select w.* from w join cls using (term) where cls = 0), nq as (select doc, greatest(sqrt(sum(w * w)), 1e-12) n from nw group by doc), na as (select doc, term, w / n w from nw join nq using (doc))"
 _LINKED = "(select round(avg(case when abs(i - j) = 1 then 1.0 else 0.0 end), 6) from {0}n) linked_{1}"
 _AUC = "{0}a as (select round(coalesce(c.cos, 0), 9) s, y.item_id = x.item_id + 1 hit from benchmark x join benchmark y on x.item_id < y.item_id left join {0}c c on c.i = x.item_id and c.j = y.item_id), {0}k as (select rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 rk, hit from {0}a)"

@@ -29,7 +29,7 @@ BLOCK = 1024
 #: the same while only sketches are compared
 SKETCHED = 4096
 #: bytes of text for each bucket that connects rows by their common parts
-CONNECTED = 1 << 27
+CONNECTED = 1 << 26
 #: bits of a part's hash that are sent to find out whether any other set has it
 FRAGMENT = 36
 #: bits of a row's place in its pack

@@ -301,6 +301,43 @@ def test_places_and_choices_by_brute_force(spark):
     assert {(r.doc, r.start, r.stop) for r in got.collect()} == {(k, a, z) for k, s in chosen.items() for a, z in s}
 
 
+def test_nested_wikitext_against_a_tree():
+    """Wikitext written from a random tree, and what is read of it against what the tree says."""
+    import random
+
+    rng = random.Random(7)
+
+    def node(depth, inside):
+        kind = rng.choice(["text", "link", "bare", "template", "ref", "italic"] if depth else ["text"])
+        kids = [node(depth - 1, inside + [kind]) for _ in range(rng.randint(1, 3))] if kind not in ("text", "bare") else []
+        return ("text" if kind == "italic" and "italic" in inside else kind), rng.choice(["ab", "c d", "x,", "é"]) + str(rng.randrange(99)), kids
+
+    def written(n):
+        kind, word, kids = n
+        inner = "".join(map(written, kids))
+        return {"text": word + " ", "bare": f"[[{word}]]", "link": f"[[{word}|{inner}]]", "template": f"{{{{t|{inner}}}}}", "ref": f"<ref>{inner}</ref>", "italic": f"<i>{inner}</i>"}[kind]
+
+    def read(n):
+        kind, word, kids = n
+        return {"text": word + " ", "bare": word, "template": ""}.get(kind, "".join(map(read, kids)))
+
+    def links(n, above):
+        kind, word, kids = n
+        kids = [] if kind == "text" else kids  # italics within italics are plain text
+        name = {"link": "image caption", "template": "template", "ref": "reference", "italic": "italic title"}
+        own = [(word, (read(n) if kind == "link" else word).strip(), above or "prose")] if kind in ("link", "bare") else []
+        return own + [x for k in kids for x in links(k, above or name.get(kind))]
+
+    for _ in range(300):
+        tree = [node(4, []) for _ in range(3)]
+        text = "".join(map(written, tree))
+        got = lk.parse_wikitext("Start " + text + " end")
+        want = [x for n in tree for x in links(n, None)]
+        assert [(r[0], r[1], r[2]) for r in got] == want
+        line = " ".join(("Start " + "".join(map(read, tree)) + " end").split())
+        assert all(" ".join(r[4].split()) == line for r in got)
+
+
 def test_components_of_paths_and_stars_take_few_rounds(spark, monkeypatch):
     n, rounds = 10_000, []
     keep = cc.written

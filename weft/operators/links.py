@@ -15,8 +15,48 @@ from ..functions.fixed import NAMESPACES, PLACES
 _OPEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|<(/?)(ref|table|td|th|tr|i|gallery)\b[^>]*?(/?)>|\{\||\|\}|''+|\n==([^=\n]+)==[ \t]*(?=\n)", re.IGNORECASE)
 
 
+def strip_code(text: str) -> str:
+    """What a reader sees of wikitext: no templates, galleries, tags or quotes of italics; of a link its words, to any depth. What is not closed
+    stays as it is."""
+    stack, at = [("", [])], 0
+
+    def close(kind: str) -> str | None:
+        """The text since the innermost construct of a kind was opened; None if none is open."""
+        if all(k != kind for k, _ in stack):
+            return None
+        while stack[-1][0] != kind:
+            opened, parts = stack.pop()
+            stack[-1][1].append(("" if opened == "gallery" else opened) + "".join(parts))
+        return "".join(stack.pop()[1])
+
+    for m in _OPEN.finditer(text):
+        stack[-1][1].append(text[at : m.start()])
+        at, t = m.end(), m.group()
+        if t in ("{{", "[["):
+            stack.append((t, []))
+        elif t == "}}":
+            if close("{{") is None:
+                stack[-1][1].append(t)
+        elif t == "]]":
+            inner = close("[[")
+            stack[-1][1].append(t if inner is None else inner.partition("|")[2] if "|" in inner else inner)
+        elif (m.group(2) or "").lower() == "gallery" and not m.group(3):
+            if m.group(1):
+                close("gallery")
+            else:
+                stack.append(("gallery", []))
+        elif m.group(4):
+            stack[-1][1].append("\n" + m.group(4).strip())
+    stack[-1][1].append(text[at:])
+    while len(stack) > 1:
+        opened, parts = stack.pop()
+        stack[-1][1].append(("" if opened == "gallery" else opened) + "".join(parts))
+    return "".join(stack[0][1])
+
+
 def parse_wikitext(text: str) -> list[tuple[str, str, str, str, str]]:
-    """(target, shown, place, section, line) of each [[link]]: its place by the outermost construct around it that decides one."""
+    """(target, shown, place, section, line) of each [[link]] in the order in which they begin, links in the words of others too: its place by
+    the outermost construct around it that decides one; its words and its line as a reader sees them."""
     out, stack, section = [], [], "Lead"
     for m in _OPEN.finditer(text):
         t = m.group()
@@ -37,15 +77,13 @@ def parse_wikitext(text: str) -> list[tuple[str, str, str, str, str]]:
                 while (top := stack.pop())[0] != "[[":
                     pass
                 inner = text[top[2] : m.start()]
-                if "[[" in inner:
-                    continue
                 target, _, shown = inner.partition("|")
                 low = text.rfind("\n", 0, top[2]) + 1
                 high = text.find("\n", m.end())
                 line = text[low : high if high >= 0 else len(text)]
                 place = stack[0][1] if stack else "list" if line.lstrip().startswith(("*", "#", ";", ":")) else "prose"
                 if target.split(":")[0].strip() not in NAMESPACES:
-                    out.append((target.strip(), (shown or target).strip(), place, section, re.sub(r"\s+", " ", line)))
+                    out.append((top[2], target.strip(), (strip_code(shown) if shown else target).strip(), place, section, re.sub(r"\s+", " ", strip_code(line))))
         elif m.group(4):
             section, stack = m.group(4).strip(), []
         elif t.startswith("''"):
@@ -63,7 +101,7 @@ def parse_wikitext(text: str) -> list[tuple[str, str, str, str, str]]:
                         pass
             else:
                 stack.append((tag, {"ref": "reference", "i": "italic title", "gallery": "gallery"}.get(tag, "table"), m.end()))
-    return out
+    return [row for _, *row in sorted(out, key=lambda row: row[0])]
 
 
 def wikilinks(pages: DataFrame) -> DataFrame:

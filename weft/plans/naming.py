@@ -628,6 +628,26 @@ def l_place(spark, d):
     return lk.wikilinks(pages).select("page", "place", "target", "section")
 
 
+_NESTED = """v as (select p_partkey page, p_name nm, cast(p_partkey as varchar) k from part)"""
+_NESTED_ROWS = [
+    ("'I' || k", "nm", "infobox", "Lead", "''"),
+    ("'U' || k", "'U' || k", "infobox", "Lead", "''"),
+    ("'L' || k", "'the ' || nm || ' of mm'", "list", "Lead", "'* see the ' || nm || ' of mm now'"),
+    ("'M' || k", "'mm'", "image caption", "Lead", "'* see the ' || nm || ' of mm now'"),
+    ("'P' || k", "'p ' || nm", "prose", "Life", "'On p ' || nm || ', as Q' || k || ' has it.'"),
+    ("'Q' || k", "'Q' || k", "reference", "Life", "'On p ' || nm || ', as Q' || k || ' has it.'"),
+]
+
+
+@query("l_nested", b.sql(_NESTED, " union all ".join(f"select page, {t} target, {w} shown, '{p}' place, '{s}' as section, {n} line from v" for t, w, p, s, n in _NESTED_ROWS)))
+def l_nested(spark, d):
+    """A page for each part with links in the words of links, in templates within links, and in tags; words and lines as they are read."""
+    text = "{{Infobox x|a=[[I#|''@'' {{t|[[U#]]}}]]}}\n* see [[L#|the \'\'\'@\'\'\' of [[M#|mm]]]] now\n== Life ==\nOn [[P#|p <i>@</i>]], <ref>as [[Q#]]</ref> has{{cite|x}} it.\n[[File:y.png|thumb]]\n"
+    whole = F.replace(F.replace(F.lit(text), F.lit("#"), F.col("p_partkey").cast("string")), F.lit("@"), F.col("p_name"))
+    pages = b.read(spark, d, "part").select(F.col("p_partkey").alias("page"), whole.alias("wikitext"))
+    return lk.wikilinks(pages).select("page", "target", "shown", "place", "section", "line")
+
+
 @query("prj_qual", "select p_partkey, nullif(regexp_extract(p_name || case when p_size % 2 = 0 then ' (' || p_brand || ')' else '' end, '\\(([^()]+)\\)$', 1), '') qual from part")
 def prj_qual(spark, d):
     full = F.concat("p_name", F.expr("if(p_size % 2 = 0, concat(' (', p_brand, ')'), '')"))

@@ -56,3 +56,20 @@ def test_likelihood_ratio(spark):
     most = sum(power) - got["lognormal"].r
     grid = [lognormal(m / 4, s / 4) for m in range(-16, 9) for s in range(2, 14)]
     assert most >= max(grid) - 0.5 and 0 <= got["lognormal"].p <= 1
+
+
+def test_strong_pairs_and_agreement(spark):
+    """Pairs above a share of runs against all pairs, and whether runs agree, with hot signatures in chunks."""
+    from weft.operators import community as cm
+
+    rng = random.Random(3)
+    runs = [[(n % 4 if rng.random() < 0.7 else rng.randrange(4)) for n in range(60)] for _ in range(9)]
+    rows = spark.createDataFrame([(r, n, c) for r, own in enumerate(runs) for n, c in enumerate(own)], "run long, node long, community long").cache()
+    sigs = cm.signatures(rows).cache()
+    for tau, chunk in ((0.5, 3), (0.8, 1024), (1.0, 2)):
+        got = {(x.i, x.j): x.p for x in cm.strong_pairs(rows, sigs, tau, chunk).collect()}
+        want = {(i, j): sum(own[i] == own[j] for own in runs) / 9 for i in range(60) for j in range(i + 1, 60)}
+        assert got == pytest.approx({k: p for k, p in want.items() if p >= tau})
+    assert not cm.unanimous(rows, sigs)
+    alike = rows.filter("run = 0").crossJoin(spark.range(3).withColumnRenamed("id", "again")).selectExpr("again run", "node", "(community + again) % 4 community")
+    assert cm.unanimous(alike, cm.signatures(alike))

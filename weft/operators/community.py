@@ -3,12 +3,15 @@ graph that each needs is broadcast after a check of its size."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .components import salted
 from .graph import ranked
 
 MOST_EDGES = 20_000_000
@@ -109,14 +112,52 @@ def coassignment(labels: DataFrame) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.count("*").alias("n")).join(total).select("i", "j", (F.col("n") / F.col("runs")).alias("p"))
 
 
+def signatures(labels: DataFrame) -> DataFrame:
+    """node, sig: its communities by run, of labels that have every node in every run."""
+    return labels.groupBy("node").agg(F.expr("transform(array_sort(collect_list(struct(run, community))), x -> x.community)").alias("sig"))
+
+
+def unanimous(labels: DataFrame, sigs: DataFrame) -> bool:
+    """Whether any two nodes are together in all runs or in none: signatures part the nodes as finely as any run, and no finer than the
+    coarsest only then. No pair is made."""
+    many = sigs.agg(F.count_distinct("sig").alias("n")).first().n
+    coarsest = labels.groupBy("run").agg(F.count_distinct("community").alias("k")).agg(F.min("k").alias("k")).first().k
+    return many == (coarsest or 0)
+
+
+def strong_pairs(labels: DataFrame, sigs: DataFrame, tau: float = 0.5, chunk: int = 1024) -> DataFrame:
+    """i < j, p of pairs that share at least tau of the runs, and no others. Such a pair differs in so few runs that, of one block of runs
+    more than that, it has one alike (pigeonhole); nodes with equal signatures of a block are candidates, whose runs are then compared.
+    A signature that many nodes have is dealt out as pairs of chunks."""
+    total = labels.select("run").distinct().count()
+    need = max(1, math.ceil(tau * total - 1e-9))
+    blocks = max(1, total - need + 1)
+    keyed = sigs.select("node", F.posexplode(F.expr(f"transform(sequence(0, {blocks - 1}), b -> filter(sig, (x, k) -> k % {blocks} = b))")).alias("block", "part")).select("node", F.struct("block", "part").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.expr(f"cast(ceil(c / {chunk}) as int)").alias("chunks"))
+    rows = salted(keyed, sizes, "key", "node").withColumn("own", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    both = rows.select(F.col("node").alias("i"), "key", "x", "y", F.col("own").alias("oi")).join(rows.select(F.col("node").alias("j"), "key", "x", "y", F.col("own").alias("oj")), ["key", "x", "y"])
+    found = both.filter("i < j and (x = y or oi <> oj)").select("i", "j").distinct()
+    found = found.join(sigs.selectExpr("node i", "sig si"), "i").join(sigs.selectExpr("node j", "sig sj"), "j")
+    return found.select("i", "j", F.expr("size(filter(zip_with(si, sj, (a, b) -> a = b), z -> z))").alias("n")).filter(F.col("n") >= need).select("i", "j", (F.col("n") / F.lit(total)).alias("p"))
+
+
+def era_rows(rows: DataFrame) -> DataFrame:
+    """era, n, mean_loyalty, below_half, top_share, entropy_bits, counts of rows (era, tradition, loyalty): counts has tradition and n, by tradition."""
+    per = rows.groupBy("era").agg(F.count("*").alias("n"), F.avg("loyalty").alias("mean_loyalty"), F.avg((F.col("loyalty") < 0.5).cast("double")).alias("below_half"))
+    c = rows.groupBy("era", "tradition").agg(F.count("*").alias("c")).join(per.select("era", "n"), "era").withColumn("p", F.col("c") / F.col("n"))
+    share = c.groupBy("era").agg(F.max("p").alias("top_share"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"), F.array_sort(F.collect_list(F.struct("tradition", F.col("c").alias("n")))).alias("counts"))
+    return per.join(share, "era")
+
+
 def consensus(nodes: DataFrame, labels: DataFrame, tau: float = 0.5, rounds: int = 10, count: int = 20) -> DataFrame:
     """node, community that runs agree on: pairs with p >= tau make a graph that is run again until all p are 0 or 1."""
     labels = written(labels, "labels")
     for _ in range(rounds):
-        p = written(coassignment(labels), "pairs")
-        if not p.filter("p > 0.001 and p < 0.999").limit(1).count():
+        sigs = written(signatures(labels), "signatures")
+        if unanimous(labels, sigs):
             break
-        strong = p.filter(F.col("p") >= tau).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("p").alias("weight"))
+        strong = written(strong_pairs(labels, sigs, tau), "pairs").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("p").alias("weight"))
         labels = written(runs(nodes, strong, count, "weight"), "labels")
     return labels.filter("run = 0").select("node", "community")
 

@@ -35,6 +35,13 @@ def agg_coassign_given(spark, d):
     return _six(cm.coassignment(labels(spark, d)), "p")
 
 
+@query("agg_coassign_strong", b.sql(LABELS, PAIRS, "select i, j, round(p, 6) p from co where p >= 0.5"))
+def agg_coassign_strong(spark, d):
+    """Pairs that share half of the runs or more, without making the others."""
+    rows = labels(spark, d)
+    return _six(cm.strong_pairs(rows, cm.signatures(rows), 0.5), "p")
+
+
 @query("agg_share_given", b.sql(LABELS, b.REGIONS, SHARES, "select node, community, round(share, 6) share from shares"))
 def agg_share_given(spark, d):
     return _six(cm.mapped_shares(labels(spark, d), _agreed(spark, d)), "share")
@@ -96,6 +103,17 @@ def agg_era_rows_given(spark, d):
     return per.join(p.groupBy("era").agg(F.round(F.max("p"), 3).alias("top_share"), F.round(-F.sum(F.col("p") * F.log2("p")), 3).alias("entropy_bits")), "era")
 
 
+_ERAS = "er as (select r.node, r.community era, l.loyalty, case when x.community < 2 then x.community else -1 end tradition from regions r join loy l using (node) join lab x on x.node = r.node and x.run = 0), pe as (select era, count(*) n, avg(loyalty) m, avg(case when loyalty < 0.5 then 1.0 else 0.0 end) h from er group by era), ct as (select era, tradition, count(*) c, count(*) / any_value(n) p from er join pe using (era) group by era, tradition)"
+
+
+@query("agg_era_traditions", b.sql(LABELS, b.REGIONS, SHARES, LOYAL, _ERAS, "select era, n, round(m, 6) mean_loyalty, round(h, 6) below_half, round(max(p), 6) top_share, round(-sum(p * log2(p)), 6) entropy_bits, list(struct_pack(tradition := cast(tradition as bigint), n := c) order by tradition) counts from pe join ct using (era) group by all"))
+def agg_era_traditions(spark, d):
+    """By region: nodes, loyalty, and how many nodes each tradition (a community of the first run, -1 for the rest) has."""
+    first = labels(spark, d).filter("run = 0").select("node", F.expr("if(community < 2, community, -1L)").alias("tradition"))
+    rows = cm.loyalty(labels(spark, d), _agreed(spark, d)).select("node", F.col("community").alias("era"), "loyalty").join(first, "node")
+    return _six(cm.era_rows(rows), "mean_loyalty", "below_half", "top_share", "entropy_bits")
+
+
 @query("c_anchor_given", b.sql(b.NATIONS, "an(node, tradition) as (values (2, 0), (3, 1), (5, 2)), t as (select community, max(tradition) tradition from nations join an using (node) group by 1)", "select node, coalesce(tradition, -1) tradition from nations left join t using (community)"))
 def c_anchor_given(spark, d):
     return cm.anchored(b.nations(spark, d), {2: 0, 3: 1, 5: 2})

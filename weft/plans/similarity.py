@@ -246,9 +246,11 @@ def t_pair_export(spark, d):
     return near.join(terms, ["i", "j"])
 
 
-#: items are linked to the next one and to the fifth after them; how far apart they are
+#: items are linked to the next one and to the fifth after them; how far apart they are, by levels until there is no new item
 _HOPS = """near1 as (select x.item_id a, y.item_id b from benchmark x join benchmark y on abs(x.item_id - y.item_id) in (1, 5)),
-  hop(i, j, d) as (select item_id, item_id, cast(0 as bigint) from benchmark union select h.i, e.b, h.d + 1 from hop h join near1 e on e.a = h.j where h.d < 14), far as (select i, j, min(d) d from hop group by all)"""
+  walked(i, found, seen, d) as (select distinct item_id, [item_id], [item_id], cast(0 as bigint) from benchmark
+    union all select i, fresh, list_concat(seen, fresh), d + 1 from (select i, seen, d, list_filter(ends, lambda z: not list_contains(seen, z)) fresh from (select w.i, any_value(w.seen) seen, any_value(w.d) d, list(distinct e.b) ends from (select i, unnest(found) j, seen, d from walked) w join near1 e on e.a = w.j group by w.i)) where len(fresh) > 0),
+  far as (select i, unnest(found) j, d from walked)"""
 _SPLIT = "co4 as (select i, j, cos, name_part, paper_part, story_part from co union all select j, i, cos, name_part, paper_part, story_part from co), rk4 as (select *, row_number() over (partition by i order by round(cos, 9) desc, j) rank from co4), sc4 as (select x.doc i, y.doc j, sum(x.w * y.w) cos from st x join st y on x.term = y.term and x.doc <> y.doc group by all), sk4 as (select *, row_number() over (partition by i order by round(cos, 9) desc, j) rank from sc4)"
 _SIMILAR = (WORDS, STATS, CLS, W, COS, _STORY, _SPLIT, _HOPS)
 

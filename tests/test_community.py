@@ -29,3 +29,14 @@ def test_a_component_knows_the_whole_weight():
     a, b = np.array([0, 0, 1, 3, 3, 4, 2]), np.array([1, 2, 2, 4, 5, 5, 3])
     assert len(set(cm.louvain(6, a, b, np.ones(7), 0).tolist())) == 2
     assert len(set(cm.louvain(6, a, b, np.ones(7), 0, 2000.0).tolist())) == 1
+
+
+def test_swaps_keep_degrees_and_move_edges():
+    rng, n = np.random.default_rng(1), 3000
+    key = np.unique(rng.integers(0, n, (40_000, 2)) @ np.array([n, 1]))
+    a, b = key // n, key % n
+    a, b = a[a < b], b[a < b]
+    c, d = cm.swapped(a.copy(), b.copy(), n, 5 * len(a), rng)
+    assert (c < d).all() and len(np.unique(c * n + d)) == len(a)
+    assert (np.bincount(np.concatenate([a, b]), minlength=n) == np.bincount(np.concatenate([c, d]), minlength=n)).all()
+    assert np.isin(c * n + d, a * n + b).mean() < 0.05

@@ -40,3 +40,9 @@ def test_swaps_keep_degrees_and_move_edges():
     assert (c < d).all() and len(np.unique(c * n + d)) == len(a)
     assert (np.bincount(np.concatenate([a, b]), minlength=n) == np.bincount(np.concatenate([c, d]), minlength=n)).all()
     assert np.isin(c * n + d, a * n + b).mean() < 0.05
+
+
+def test_random_graphs_have_all_their_edges(spark):
+    for m in (0, 7, 40, 45, 99):
+        rows = cm.pooled_degrees(spark, "gnm", 10, m, 3).groupBy("graph").agg({"degree": "sum", "*": "count"}).collect()
+        assert [(r["sum(degree)"], r["count(1)"]) for r in rows] == [(2 * min(m, 45), 10)] * 3

@@ -46,3 +46,21 @@ def test_random_graphs_have_all_their_edges(spark):
     for m in (0, 7, 40, 45, 99):
         rows = cm.pooled_degrees(spark, "gnm", 10, m, 3).groupBy("graph").agg({"degree": "sum", "*": "count"}).collect()
         assert [(r["sum(degree)"], r["count(1)"]) for r in rows] == [(2 * min(m, 45), 10)] * 3
+
+
+@pytest.mark.parametrize("width", [8.0, 0.001])
+def test_only_rows_near_a_groups_end_are_ranked(spark, monkeypatch, width):
+    """The same groups as ranking all digests gives, whether the first width holds the end of each or not; few rows are ranked."""
+    import hashlib
+
+    n, k, trials, made = 4000, 900, 6, []
+    v = np.random.default_rng(3).normal(size=n)
+    kept = cm.written
+    monkeypatch.setattr(cm, "written", lambda df, name="t": made.append((name, kept(df, name))) or made[-1][1])
+    values = spark.createDataFrame([(i, float(v[i]), i < k) for i in range(n)], "node long, v double, g boolean")
+    got = cm.permutation_test(values, "v", "g", trials, width=width).first()
+    first = [sorted(range(n), key=lambda i: hashlib.md5(f"42-{t}-{i}".encode()).hexdigest())[:k] for t in range(trials)]
+    assert got.observed == pytest.approx(v[:k].mean())
+    assert got.p == sum(v[f].mean() <= v[:k].mean() + 1e-9 for f in first) / trials
+    if width == 8.0:
+        assert made[-1][1].count() < n * trials / 5

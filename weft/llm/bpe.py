@@ -33,6 +33,8 @@ CLOSED, GLUED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, ONE_MORE, TWO_MORE = range(7)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LONG = 48
 BLOCK = 512
+#: bytes of text that are encoded at once; a numpy pass takes many times that
+CHUNK = 1 << 19
 #: pieces in each of the two generations of the cache
 CACHE = 250_000
 
@@ -281,7 +283,7 @@ def encode_column(column, path: str) -> Iterator[tuple[int, int, list[bytes]]]:
     """For ranges of rows of an Arrow text column: the ids of each text as little-endian 32-bit numbers."""
     m = merger(path)
     data, offs = text_bytes(column)
-    for i, j in row_chunks(offs):
+    for i, j in row_chunks(offs, CHUNK):
         part = data[offs[i] : offs[j]].tobytes()
         own = offs[i : j + 1] - offs[i]
         starts, count = token_starts(part, own)

@@ -18,3 +18,14 @@ def test_encoding_holds_few_texts_at_once():
     tracemalloc.stop()
     whole = sum(len(ids) for text in texts for _, _, rows in bpe.encode_column(pa.array([text]), path) for ids in rows)
     assert got == whole and peak < 90e6, peak
+
+
+def test_a_worker_keeps_no_vocabulary_and_no_cache_when_its_task_ends():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+    def run(batches):
+        for texts in batches:
+            yield from bpe.encode_column(texts, path)
+            assert bpe._MERGERS
+
+    assert len(list(bpe.forgotten(run)([pa.array(["some words"])]))) == 1 and not bpe._MERGERS

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import row_chunks, text_bytes
+from .common import handed_back, row_chunks, text_bytes
 
 # classes of characters
 END, LETTER, NUMBER, OTHER, GLUE, SPACE, SHORT2, SHORT3 = range(8)
@@ -36,7 +36,7 @@ BLOCK = 512
 #: bytes of text that are encoded at once; a numpy pass takes many times that
 CHUNK = 1 << 19
 #: pieces in each of the two generations of the cache
-CACHE = 250_000
+CACHE = 100_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +294,18 @@ def encode_column(column, path: str) -> Iterator[tuple[int, int, list[bytes]]]:
         yield i, j, [b"".join(got[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
+def forgotten(run):
+    """A function for mapInArrow that leaves no vocabulary and no cache behind in its worker, which later tasks of any kind use again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _MERGERS.clear()
+
+    return wrapped
+
+
 def token_offsets(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Byte offset at which each token of a text starts."""
     ends = np.cumsum(sizes[ids])
@@ -317,7 +329,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", starts: bool = True)
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(m).astype(np.int32))) for m in made]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *lists], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(handed_back(forgotten(run)), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -353,4 +365,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(handed_back(forgotten(run)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, SPACE, classes
-from .common import row_chunks, text_bytes
+from .common import handed_back, row_chunks, text_bytes
 
 Q = 8
 RATE = 0.1
@@ -259,5 +259,5 @@ def without(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, segment:
         return run
 
     for held in indexes(benchmark, rate, segment):
-        docs = docs.mapInArrow(keeper(held), docs.schema)
+        docs = docs.mapInArrow(handed_back(keeper(held)), docs.schema)
     return docs

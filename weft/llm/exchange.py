@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions, row_chunks, text_bytes
+from .common import give_back, handed_back, partitions, row_chunks, text_bytes
 
 PACK = 1 << 21
 #: in place of a null doc_id, which comes after all others
@@ -99,7 +99,7 @@ def packs_of(docs: DataFrame) -> DataFrame:
             body = join_parts(squeeze(ids.view(np.uint64)), squeeze(np.diff(offs, prepend=0)), zstandard.ZstdCompressor(level=3).compress(data.tobytes()), zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([body], pa.binary())], names=["pack", "body"])
 
-    return docs.mapInArrow(run, "pack long, body binary")
+    return docs.mapInArrow(handed_back(run), "pack long, body binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def ask(packs: DataFrame, question: Callable[[Pack], Iterator[tuple[int, int, by
             for key, body in zip(batch.column("pack").to_pylist(), batch.column("body").to_pylist()):
                 yield from rows_of(key, question(Pack(body)))
 
-    return packs.mapInArrow(run, ASKED)
+    return packs.mapInArrow(handed_back(run), ASKED)
 
 
 def ask_again(packs: DataFrame, answers: DataFrame, question: Callable[[Pack, dict], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
@@ -147,6 +147,7 @@ def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes]]) -
         out: list[bytes] = []
         for kind in np.unique(kinds):
             out += reply(int(kind), [payloads[i] for i in np.flatnonzero(kinds == kind)])
+        give_back()
         return pa.table([table.column("bucket"), table.column("pack"), table.column("kind"), pa.array(out, pa.binary())], names=["bucket", "pack", "kind", "payload"])
 
     return asked.groupBy("bucket").applyInArrow(run, ASKED)

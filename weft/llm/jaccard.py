@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components, salted
 from . import exchange as ex
-from .common import lower_ascii, mix64, padded, partitions, runs, slice_hash, written
+from .common import give_back, handed_back, lower_ascii, mix64, padded, partitions, runs, slice_hash, written
 
 #: documents of a block of a tile
 BLOCK = 1024
@@ -214,6 +214,8 @@ def neighbours(packs: DataFrame, size: int, words: int, percent: int) -> DataFra
                 out.append(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([kind] * len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=["a", "b", "kind", "sketch"]))
         for a, b, sketch in sizes:
             out.append(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([3] * len(a), pa.int32()), pa.array(sketch, pa.binary())], names=["a", "b", "kind", "sketch"]))
+        del rows
+        give_back()
         return pa.concat_tables(out)
 
     first = ex.answer(ex.ask(packs, question), reply)
@@ -354,6 +356,7 @@ def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
     heads = written(heads.select("node", F.col("component").alias("family"), "n", bands_column(percent).alias("band"), "sketch"), "heads")
 
     def near(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.sort_by("node")
         sketch = folded(table.column("sketch").to_pylist())
         return pairs_table(table.column("node").to_numpy(), near_sketches(table.column("n").to_numpy(), sketch, sides(table), percent))
@@ -374,6 +377,7 @@ def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
         return pa.table([*(want.column(c) if body else want.column(c).slice(0, 0) for c in names), pa.array(body, pa.binary())], names=[*names, "shingles"])
 
     def compare(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.sort_by("node")
         sets = [ex.expand_sorted(s) for s in table.column("shingles").to_pylist()]
         return pairs_table(table.column("node").to_numpy(), tile_links(sets, sides(table), percent))
@@ -391,7 +395,7 @@ def linked_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
     # a set's own name where it has a twin or a link; others are groups of their own
     names = twins.selectExpr("a node", "head name").union(twins.selectExpr("head", "head").distinct()).union(group.selectExpr("node", "node"))
     names = salted(names.distinct(), group.withColumnRenamed("node", "name"), "name", "node", "left").select("node", F.coalesce("component", "name").alias("component"))
-    every = packs.mapInArrow(sizes, "node long, doc_id long, n_shingles long").join(names, "node", "left")
+    every = packs.mapInArrow(handed_back(sizes), "node long, doc_id long, n_shingles long").join(names, "node", "left")
     every = written(every, "sized")
     grouped = every.filter("component is not null")
     named = salted(grouped, grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component", "node")

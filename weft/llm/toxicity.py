@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, mix64, padded, row_chunks, runs, slice_hash, text_bytes, words64, written
+from .common import handed_back, lower_ascii, mix64, padded, row_chunks, runs, slice_hash, text_bytes, words64, written
 
 SLOTS = 1 << 20
 SAMPLE = 20_000
@@ -74,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
                 own = (key % SLOTS).astype("<u4")
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), y.slice(i, j - i), pa.array([own[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["doc_id", "y", "slots"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id long, y int, slots binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(handed_back(run), "doc_id long, y int, slots binary")
     return rows.groupBy("doc_id", "y").agg(F.min("slots").alias("slots"))
 
 
@@ -203,4 +203,4 @@ def score(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -> D
                 out[i:j] = 1 / (1 + np.exp(-np.clip(m.raw(key // (2 * INPUTS), key % (2 * INPUTS), j - i), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(handed_back(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

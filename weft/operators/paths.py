@@ -1,18 +1,28 @@
-"""Shortest paths and betweenness by frontier joins, for a block of sources at once. A block's state is at most its sources times the
-nodes they reach; what a block leaves (distances, or one sum for each node) is a table of its own, so a lost block is made again alone."""
+"""Shortest paths and betweenness. Frontier joins go for a block of sources at once: a block's state is at most its sources times the
+nodes they reach; what a block leaves (distances, or one sum for each node) is a table of its own, so a lost block is made again alone.
+Betweenness deals out sources, each task with the edges of its component, as long as these are few enough for a task."""
 
 from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .components import SMALL, components, salted
 from .graph import ranked
 
 #: sources of a block
 BLOCK = 1 << 12
+#: edges of a component whose betweenness is worked out from its edges in a task, at most; and of components that share a task
+MOST_EDGES, BAG = 4_000_000, 1 << 12
+#: edges times sources of a task
+WORK = 1 << 25
+#: nodes and edges, times sources, that a task holds at once
+STATE = 1 << 22
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -41,15 +51,70 @@ def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataF
     return out
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, betweenness: normalised, unweighted, exact."""
-    step = written(_both(edges), "steps")
-    parts = [written(_dependencies(step, some), "sums") for some in _blocks(nodes, block)]
-    sums = functools.reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("s").alias("s"))
+def betweenness(edges: DataFrame, nodes: DataFrame, block: int = BLOCK, most: int = MOST_EDGES, work: int = WORK) -> DataFrame:
+    """node, betweenness: normalised, unweighted, exact. Paths stay in a component, whose edges go to as many tasks as its edges times its
+    nodes ask for, each with some of the sources; small components share a task. If a component has over most edges, all goes by frontier
+    joins; that bound chooses the way and not the result."""
+    edges = written(edges.select("src", "dst"), "edges")
+    found = written(components(edges.selectExpr("src a", "dst b"), SMALL), "components")
+    tagged = edges.join(found.withColumnRenamed("node", "src"), "src")
+    sizes = written(tagged.groupBy("component").agg(F.count("*").alias("m")), "sizes")
+    whole = sizes.agg(F.sum("m").alias("m"), F.max("m").alias("most")).first()
+    if (whole.most or 0) > most:
+        step = written(_both(edges), "steps")
+        sums = functools.reduce(DataFrame.union, [written(_dependencies(step, some), "sums") for some in _blocks(nodes, block)])
+    else:
+        bags = max(1, (whole.m or 0) // BAG)
+        sizes = sizes.selectExpr("component", f"m > {BAG} alone", f"if(m > {BAG}, component, pmod(xxhash64(component), {bags})) bag", f"if(m > {BAG}, cast(least(m, ceil(m * (m + 1D) / {work})) as int), 1) parts")
+        tasks = min(4096, sizes.groupBy("alone", "bag").agg(F.max("parts").alias("n")).agg(F.sum("n").alias("n")).first().n or 1)
+        dealt = salted(tagged, sizes, "component", "src").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("alone", "bag", "part", "parts", "src", "dst").repartition(tasks, "alone", "bag", "part")
+        sums = dealt.groupBy("alone", "bag", "part").applyInPandas(_passed, "node long, s double")
+    sums = sums.groupBy("node").agg(F.sum("s").alias("s"))
     n = nodes.agg(F.count("*").alias("n"))
     return nodes.join(sums, "node", "left").join(n).select("node", F.expr("if(n > 2, coalesce(s, 0d) / ((n - 1) * (n - 2)), 0d)").alias("betweenness"))
 
 
+def _passed(key, pdf):
+    """node, s: how much of the shortest paths from this part's sources pass each node of some components (edges src, dst)."""
+    ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
+    a, b = np.concatenate([at[: len(pdf)], at[len(pdf) :]]), np.concatenate([at[len(pdf) :], at[: len(pdf)]])
+    b = b[np.lexsort((b, a))]
+    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(ids)))])
+    sources, few = np.arange(int(key[2]), len(ids), int(pdf["parts"].iloc[0])), max(1, STATE // (len(ids) + len(pdf)))
+    total = np.zeros(len(ids))
+    for i in range(0, len(sources), few):
+        total += passed(len(ids), first, b, sources[i : i + few])
+    return pd.DataFrame({"node": ids, "s": total})
+
+
+def passed(n: int, first: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """How much of the shortest paths from the sources pass each of n nodes; node v's neighbours are b[first[v]:first[v + 1]]. A place is a
+    source's index times n plus a node. Path counts go outwards by levels, dependencies back over the same steps."""
+    start = np.arange(len(sources)) * n + sources
+    seen, paths, nth = np.zeros(len(sources) * n, bool), np.zeros(len(sources) * n), np.zeros(len(sources) * n, np.int32)
+    seen[start], paths[start] = True, 1.0
+    frontier, steps = start, []
+    while len(frontier):
+        node = frontier % n
+        many = first[node + 1] - first[node]
+        ends = np.cumsum(many)
+        to = np.repeat(frontier - node, many) + b[np.arange(many.sum()) + np.repeat(first[node] - ends + many, many)]
+        new = ~seen[to]
+        to, here = to[new], np.repeat(frontier, many)[new]
+        np.add.at(paths, to, paths[here])
+        seen[to] = True
+        nth[to] = np.arange(len(to), dtype=np.int32)
+        frontier = to[nth[to] == np.arange(len(to))]  # each place once
+        if len(to):
+            steps.append((here.astype(np.int32), to.astype(np.int32)))
+    share = np.zeros(len(seen))
+    for here, to in reversed(steps):
+        np.add.at(share, here, paths[here] / paths[to] * (1 + share[to]))
+    share[start] = 0
+    return share.reshape(len(sources), n).sum(axis=0)
+
+
 def _dependencies(step: DataFrame, sources: DataFrame) -> DataFrame:
     """node, s: how much of the shortest paths from the sources pass each node. Path counts go outwards by levels, dependencies back."""
     start = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))

@@ -34,3 +34,12 @@ def test_grams_are_read_again_from_their_document(spark):
     counts = {r.df: r.n for r in cp.document_counts(docs).groupBy("df").agg(F.count("*").alias("n")).collect()}
     want = cp.shingle_index(cp.shingles(docs).filter("gram is not null")).groupBy("df").agg(F.count("*").alias("n")).collect()
     assert counts == {r.df: r.n for r in want}
+
+
+def test_grams_are_dealt_out_by_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i) % 40}" for i in range(60))) for k in range(12)], "doc_id long, text string")
+    want = sorted(cp.document_counts(docs).select("x", "y", "df").collect())
+    monkeypatch.setattr(cp, "DEALT", 100)
+    dealt = cp.document_counts(docs)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString() and dealt.rdd.getNumPartitions() > 4
+    assert want and sorted(dealt.select("x", "y", "df").collect()) == want

@@ -64,3 +64,19 @@ def test_only_rows_near_a_groups_end_are_ranked(spark, monkeypatch, width):
     assert got.p == sum(v[f].mean() <= v[:k].mean() + 1e-9 for f in first) / trials
     if width == 8.0:
         assert made[-1][1].count() < n * trials / 5
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_pairs_of_runs_are_counted_for_classes_of_nodes(spark, monkeypatch, chunk):
+    """Each pair of nodes once, whichever class and chunk they are of; nodes that no run parts are counted as one."""
+    rows = [(r, n, (n % 4 * (r + 1) + (n % 5 == 0)) % 3) for r in range(5) for n in range(40) if (r, n) != (2, 7)]
+    want = {}
+    for r, i, c in rows:
+        for s, j, e in rows:
+            if r == s and c == e and i < j:
+                want[i, j] = want.get((i, j), 0) + 1
+    made, kept = {}, cm.written
+    monkeypatch.setattr(cm, "written", lambda df, name="t": made.setdefault(name, kept(df, name)))
+    got = cm.coassignment(spark.createDataFrame([*rows, (0, 99, None)], "run long, node long, community long"), chunk).collect()
+    assert len(got) == len(want) and {(g.i, g.j): g.p for g in got} == {k: n / 5 for k, n in want.items()}
+    assert made["pairs"].count() < len(want) / 8

@@ -80,3 +80,22 @@ def test_pairs_of_runs_are_counted_for_classes_of_nodes(spark, monkeypatch, chun
     got = cm.coassignment(spark.createDataFrame([*rows, (0, 99, None)], "run long, node long, community long"), chunk).collect()
     assert len(got) == len(want) and {(g.i, g.j): g.p for g in got} == {k: n / 5 for k, n in want.items()}
     assert made["pairs"].count() < len(want) / 8
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_pairs_are_counted_before_they_are_rows(spark, monkeypatch, chunk):
+    """Nodes that are all of different classes: over 255 runs, communities of any number, labels that are missing."""
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 3, (300, 11)) * 10**12 - 7
+    rows = [(r, n, int(label[r, n])) for r in range(300) for n in range(11) if (r, n) not in ((3, 4), (9, 4), (9, 5))]
+    want = {}
+    for i in range(11):
+        for j in range(i + 1, 11):
+            want[i, j] = sum(label[r, i] == label[r, j] and not {(r, i), (r, j)} & {(3, 4), (9, 4), (9, 5)} for r in range(300))
+    made, kept = {}, cm.written
+    monkeypatch.setattr(cm, "written", lambda df, name="t": made.setdefault(name, kept(df, name)))
+    df = spark.createDataFrame(rows, "run long, node long, community long")
+    assert {(g.i, g.j): round(g.p * 300) for g in cm.coassignment(df, chunk).collect()} == {k: n for k, n in want.items() if n}
+    made.clear()
+    assert {(g.i, g.j): round(g.p * 300) for g in cm.coassignment(df, chunk, 0.34).collect()} == {k: n for k, n in want.items() if n >= 102}
+    assert made["pairs"].filter("single").count() == made["pairs"].count()

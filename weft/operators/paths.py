@@ -1,26 +1,29 @@
 """Shortest paths and betweenness. Frontier joins go for a block of sources at once: a block's state is at most its sources times the
 nodes they reach; what a block leaves (distances, or one sum for each node) is a table of its own, so a lost block is made again alone.
-Betweenness deals out sources, each task with the edges of its component, as long as these are few enough for a task."""
+That is for components of very many edges. As long as these are few enough for a task, sources are dealt out, each task with the edges of
+its component in packs."""
 
 from __future__ import annotations
 
 import functools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
 from .components import SMALL, components, salted
 from .graph import ranked
+from .packs import batch, batches, dealt, packed
 
 #: sources of a block
 BLOCK = 1 << 12
-#: edges of a component whose betweenness is worked out from its edges in a task, at most; and of components that share a task
+#: edges of a component whose paths are worked out from its edges in a task, at most; and of components that share a task
 MOST_EDGES, BAG = 4_000_000, 1 << 12
-#: edges times sources of a task
-WORK = 1 << 25
+#: edges times sources of a task; parts of a component at most
+WORK, PARTS = 1 << 25, 512
+#: rows of distances of a task, about; rows that it holds before it hands them on
+ROWS, HELD = 1 << 24, 1 << 18
 #: nodes and edges, times sources, that a task holds at once
 STATE = 1 << 22
 
@@ -38,8 +41,82 @@ def _blocks(sources: DataFrame, block: int) -> list[DataFrame]:
     return [rows.filter(F.col("part") == k).select("node") for k in range(-(-many // block))]
 
 
-def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, node, dist over simple undirected edges (src, dst), for every source of sources (node); reachable nodes only."""
+def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK, most: int = MOST_EDGES) -> DataFrame:
+    """source, node, dist over simple undirected edges (src, dst), for every source of sources (node); reachable nodes only. A component's
+    edges go to as many tasks as its sources times its nodes ask for, each with some of the sources. If a component has over most edges, all
+    goes by frontier joins; that bound chooses the way and not the result."""
+    edges = written(edges.select("src", "dst"), "edges")
+    found, tagged, sizes, whole = _components(edges)
+    if (whole.most or 0) > most:
+        return _walked(edges, sources, block)
+    sources = written(sources.select("node").distinct(), "sources")
+    flags = found.join(sources.withColumn("s", F.lit(1.0)), "node", "left").select("node", "component", F.coalesce("s", F.lit(0.0)).alias("s"))
+    flags = written(flags, "flags")
+    wanted = flags.groupBy("component").agg(F.count("*").alias("n"), F.sum("s").alias("s")).filter("s > 0")
+    bags = max(1, (whole.m or 0) // BAG)
+    sizes = written(sizes.join(wanted, "component").selectExpr("component", *_bagged(bags), f"if(m > {BAG}, cast(least(s, {PARTS}, ceil(n * s / {ROWS})) as int), 1) parts"), "parts")
+    tasks = sizes.groupBy("alone", "bag").agg(F.max("parts").alias("n")).agg(F.sum("n").alias("n")).first().n or 1
+    rows = salted(tagged, sizes, "component", "src").join(flags.selectExpr("node src", "s w"), "src").join(flags.selectExpr("node dst", "s v"), "dst")
+    reached = dealt(packed(rows.select("alone", "bag", "parts", "src", "dst", "w", "v")), _levels, "source long, node long, dist long", min(4096, tasks))
+    alone = sources.join(found, "node", "left_anti")
+    return reached.unionByName(alone.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("dist")))
+
+
+def _components(edges: DataFrame):
+    """Components of the nodes, edges with theirs, how many edges (m) each has, and all and the most of one."""
+    found = written(components(edges.selectExpr("src a", "dst b"), SMALL), "components")
+    tagged = edges.join(found.withColumnRenamed("node", "src"), "src")
+    sizes = written(tagged.groupBy("component").agg(F.count("*").alias("m")), "sizes")
+    return found, tagged, sizes, sizes.agg(F.sum("m").alias("m"), F.max("m").alias("most")).first()
+
+
+def _bagged(bags: int) -> list[str]:
+    return [f"m > {BAG} alone", f"if(m > {BAG}, component, pmod(xxhash64(component), {bags})) bag"]
+
+
+def _levels(key, parts, ids, first, b, w):
+    """source, node, dist from this part's sources (w of a source's edges is 1). 64 sources are the bits of a number for each node; a level
+    hands them on over all edges, or over those of the nodes that were just reached, if these are few."""
+    n, held, many_held = len(ids), [], 0
+    names = ["source", "node", "dist"]
+    sources = np.flatnonzero(w[first[:-1]] > 0)[key[2] :: parts]
+    for i in range(0, len(sources), 64):
+        some = sources[i : i + 64]
+        bits, seen, new = np.uint64(1) << np.arange(len(some), dtype=np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        seen[some] = bits
+        at, dist = np.sort(some), 0
+        fresh = seen[at]
+        while len(at):
+            on = np.unpackbits(fresh.view(np.uint8).reshape(len(at), 8), axis=1, bitorder="little")
+            row, bit = np.nonzero(on)
+            held.append([ids[some[bit]], ids[at[row]], np.full(len(row), dist)])
+            many_held += len(row)
+            if many_held > HELD:
+                yield from batches(names, [np.concatenate(x) for x in zip(*held)], HELD)
+                held, many_held = [], 0
+            many = first[at + 1] - first[at]
+            if 8 * many.sum() < len(b):
+                ends = np.cumsum(many)
+                to = b[np.arange(many.sum()) + np.repeat(first[at] - ends + many, many)]
+                np.bitwise_or.at(new, to, np.repeat(fresh, many))
+                at = np.unique(to)
+                fresh = new[at] & ~seen[at]
+                new[at] = 0
+                at, fresh = at[fresh > 0], fresh[fresh > 0]
+            else:
+                new[at] = fresh
+                got = np.bitwise_or.reduceat(new[b], first[:-1]) & ~seen  # every node has an edge
+                new[at] = 0
+                at = np.flatnonzero(got)
+                fresh = got[at]
+            seen[at] |= fresh
+            dist += 1
+    if held:
+        yield from batches(names, [np.concatenate(x) for x in zip(*held)], HELD)
+
+
+def _walked(edges: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """distances by frontier joins."""
     step, out = written(_both(edges), "steps"), None
     for some in _blocks(sources, block):
         seen = frontier = written(some.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("dist")), "frontier")
@@ -56,36 +133,29 @@ def betweenness(edges: DataFrame, nodes: DataFrame, block: int = BLOCK, most: in
     nodes ask for, each with some of the sources; small components share a task. If a component has over most edges, all goes by frontier
     joins; that bound chooses the way and not the result."""
     edges = written(edges.select("src", "dst"), "edges")
-    found = written(components(edges.selectExpr("src a", "dst b"), SMALL), "components")
-    tagged = edges.join(found.withColumnRenamed("node", "src"), "src")
-    sizes = written(tagged.groupBy("component").agg(F.count("*").alias("m")), "sizes")
-    whole = sizes.agg(F.sum("m").alias("m"), F.max("m").alias("most")).first()
+    found, tagged, sizes, whole = _components(edges)
     if (whole.most or 0) > most:
         step = written(_both(edges), "steps")
         sums = functools.reduce(DataFrame.union, [written(_dependencies(step, some), "sums") for some in _blocks(nodes, block)])
     else:
         bags = max(1, (whole.m or 0) // BAG)
-        sizes = sizes.selectExpr("component", f"m > {BAG} alone", f"if(m > {BAG}, component, pmod(xxhash64(component), {bags})) bag", f"if(m > {BAG}, cast(least(m, ceil(m * (m + 1D) / {work})) as int), 1) parts")
+        sizes = sizes.join(found.groupBy("component").agg(F.count("*").alias("n")), "component")
+        sizes = written(sizes.selectExpr("component", *_bagged(bags), f"if(m > {BAG}, cast(least(n, {PARTS}, ceil(m * n * 1D / {work})) as int), 1) parts"), "parts")
         tasks = min(4096, sizes.groupBy("alone", "bag").agg(F.max("parts").alias("n")).agg(F.sum("n").alias("n")).first().n or 1)
-        dealt = salted(tagged, sizes, "component", "src").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("alone", "bag", "part", "parts", "src", "dst").repartition(tasks, "alone", "bag", "part")
-        sums = dealt.groupBy("alone", "bag", "part").applyInPandas(_passed, "node long, s double")
+        rows = salted(tagged, sizes, "component", "src").selectExpr("alone", "bag", "parts", "src", "dst", "1D w")
+        sums = dealt(packed(rows), _passed, "node long, s double", tasks)
     sums = sums.groupBy("node").agg(F.sum("s").alias("s"))
     n = nodes.agg(F.count("*").alias("n"))
     return nodes.join(sums, "node", "left").join(n).select("node", F.expr("if(n > 2, coalesce(s, 0d) / ((n - 1) * (n - 2)), 0d)").alias("betweenness"))
 
 
-def _passed(key, pdf):
-    """node, s: how much of the shortest paths from this part's sources pass each node of some components (edges src, dst)."""
-    ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-    a, b = np.concatenate([at[: len(pdf)], at[len(pdf) :]]), np.concatenate([at[len(pdf) :], at[: len(pdf)]])
-    b = b[np.lexsort((b, a))]
-    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(ids)))])
-    sources, few = np.arange(int(key[2]), len(ids), int(pdf["parts"].iloc[0])), max(1, STATE // (len(ids) + len(pdf)))
+def _passed(key, parts, ids, first, b, w):
+    """node, s: how much of the shortest paths from this part's sources pass each node of some components."""
+    sources, few = np.arange(key[2], len(ids), parts), max(1, STATE // (len(ids) + len(b) // 2))
     total = np.zeros(len(ids))
     for i in range(0, len(sources), few):
         total += passed(len(ids), first, b, sources[i : i + few])
-    return pd.DataFrame({"node": ids, "s": total})
+    yield batch(["node", "s"], ids, total)
 
 
 def passed(n: int, first: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:

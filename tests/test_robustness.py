@@ -105,3 +105,21 @@ def test_curves(spark, block):
 def test_curve_without_edges(spark):
     v, e = frames(spark, [3, 4], [])
     assert sorted(tuple(r) for r in rb.curves(v, e, rb.random_orders(v, 1)).collect()) == [("random0", 0, 0.5), ("random0", 1, 0.5), ("random0", 2, 0.0)]
+
+
+def test_a_whole_graph_is_replayed_without_rows_of_edges_by_order(spark, monkeypatch):
+    """The same curves as by blocks; an order's edges are no table."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    pairs = sorted({(min(x, y), max(x, y)) for x, y in rng.integers(0, 70, (90, 2)).tolist() if x != y})
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    v = spark.createDataFrame([(k,) for k in range(75)], "node long")
+    orders = rb.random_orders(v, 9).cache()
+    want = sorted(tuple(r) for r in rb.curves(v, e, orders, 20).collect())
+    made, kept = [], rb.written
+    monkeypatch.setattr(rb, "written", lambda df, name="t": made.append(name) or kept(df, name))
+    assert sorted(tuple(r) for r in rb.curves(v, e, orders).collect()) == want
+    assert made == ["orders", "edges"]
+    monkeypatch.setattr(rb, "WHOLE", 10)
+    assert sorted(tuple(r) for r in rb.curves(v, e, orders).collect()) == want

@@ -4,12 +4,14 @@ its end that is removed first comes back, so a curve is what the edges merge in
 The edges of an order are cut into blocks of BLOCK by time. What lies before a block is contracted: halves of the time line are taken
 in turn, for all orders at once, and the later half's ends become the components of the earlier half's edges, with their sizes. So
 after a number of rounds that grows with the logarithm of the number of blocks each block is replayed by itself, and no task
-holds more of a graph than a block."""
+holds more of a graph than a block. That is for graphs of many edges; one of WHOLE edges or fewer is sent in packs to the tasks that
+replay the orders."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,11 @@ from ..storage import written
 from .biconnected import pieces
 from .components import components, salted
 from .graph import ranked
+from .packs import batches, packed, unpacked
 
 BLOCK = 1 << 18
+#: edges of a graph that is replayed as a whole, at most, and tasks that its orders are dealt out to
+WHOLE, PARTS = 4_000_000, 64
 
 
 def attack_order(scores: DataFrame, score: str, name: str) -> DataFrame:
@@ -98,10 +103,102 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"order_id": pdf["order_id"].iloc[0], "leaf": pdf["leaf"].iloc[0], "t": steps, "until": pd.array([*steps[1:], None], "Int64"), "size": sizes})
 
 
-def curves(nodes: DataFrame, edges: DataFrame, orders: DataFrame, block: int = BLOCK) -> DataFrame:
+def _runs(rows):
+    """part, order, then node, next and data of each run of rows of one part and order (None: the graph's packs)."""
+    for some in rows:
+        part, order = some.column("part").to_numpy(), some.column("order_id")
+        code = order.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.append((part[1:] != part[:-1]) | (code[1:] != code[:-1]), True)) + 1 if len(part) else []
+        start = 0
+        for end in ends:
+            yield int(part[start]), order[int(start)].as_py(), some.slice(start, end - start)
+            start = end
+
+
+def _replayed(rows, many: int):
+    """order_id, step, fraction of each order."""
+    at, packs, graph, node, pos = (None, None), [], None, [], []
+
+    def out():
+        return _curve(at[1], graph, np.concatenate(node), np.concatenate(pos), many)
+
+    for part, order, some in _runs(rows):
+        if at != (part, order):
+            if node:
+                yield from out()
+            if at[0] != part:
+                packs, graph = [], None
+            at, node, pos = (part, order), [], []
+        if order is None:
+            packs += [(n, x.as_buffer()) for n, x in zip(some.column("n").to_pylist(), some.column("data"))]
+            continue
+        if graph is None:
+            ids, first, b, _ = unpacked(packs) if packs else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), None)
+            a = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
+            graph, packs = (ids, a[a < b], b[a < b]), []
+        node.append(some.column("node").to_numpy())
+        pos.append(some.column("next").to_numpy())
+    if node:
+        yield from out()
+
+
+def _curve(order: str, graph, node: np.ndarray, pos: np.ndarray, many: int):
+    """The curve of one order (pos of node, by node) on a graph (ids, and edges between their places)."""
+    ids, a, b = graph
+    largest = np.ones(many + 1, np.int64)  # by step
+    largest[many:] = 0
+    if len(ids) and len(node):
+        place = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+        when = np.where(node[place] == ids, pos[place], -1)
+        t = np.minimum(when[a], when[b])
+        line = np.argsort(-t, kind="stable")[: np.count_nonzero(t >= 0)]
+        parent, size, most, start, block = np.arange(len(ids)), np.ones(len(ids), np.int64).tolist(), 1, 0, 1 << 10
+        while start < len(line):
+            some = line[start : start + block]
+            start, block = start + block, min(2 * block, 1 << 16)
+            ra, rb, ts = parent[a[some]], parent[b[some]], t[some]
+            apart = ra != rb  # by now; the others change nothing
+            up = parent.tolist()
+            for x, y, s in zip(ra[apart].tolist(), rb[apart].tolist(), ts[apart].tolist()):
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                while up[y] != y:
+                    up[y] = up[up[y]]
+                    y = up[y]
+                if x != y:
+                    if size[x] < size[y]:
+                        x, y = y, x
+                    up[y] = x
+                    size[x] += size[y]
+                    if size[x] > most:
+                        largest[s] = most = size[x]
+            parent = np.array(up)
+            while (parent != (top := parent[parent])).any():
+                parent = top
+        largest[:many] = np.maximum.accumulate(largest[:many][::-1])[::-1]
+    fraction = largest / many if many else np.zeros(1)
+    for made in batches(["step", "fraction"], [np.arange(many + 1), fraction]):
+        yield pa.RecordBatch.from_arrays([pa.array([order] * len(made)), *made.columns], names=["order_id", "step", "fraction"])
+
+
+def curves(nodes: DataFrame, edges: DataFrame, orders: DataFrame, block: int | None = None) -> DataFrame:
     """order_id, step, fraction of the nodes in the largest component after so many removals; edges: src < dst, distinct; orders: order_id,
-    node, pos (0, 1, ... for all nodes)."""
+    node, pos (0, 1, ... for all nodes). block: edges are cut into blocks of so many; if not given, only where there are over WHOLE edges."""
     orders = written(orders, "orders")
+    edges = written(edges.select("src", "dst"), "edges") if block is None else edges
+    if block is None and edges.count() <= WHOLE:
+        parts, many = max(1, min(PARTS, orders.select("order_id").distinct().count())), nodes.count()
+        packs = packed(edges.selectExpr("true alone", "0L bag", f"{parts} parts", "src", "dst", "1D w"))
+        packs = packs.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("string").alias("order_id"), "node", "next", "n", "data")
+        rows = orders.selectExpr(f"cast(pmod(xxhash64(order_id), {parts}) as int) part", "order_id", "node", "pos next", "0 n", "cast(null as binary) data")
+        rows = packs.unionByName(rows).repartition(parts, "part").sortWithinPartitions("part", "order_id", "node", "next")
+        return rows.mapInArrow(lambda some: _replayed(some, many), "order_id string, step long, fraction double")
+    return _cut(nodes, edges, orders, block or BLOCK)
+
+
+def _cut(nodes: DataFrame, edges: DataFrame, orders: DataFrame, block: int) -> DataFrame:
+    """curves by blocks of edges."""
     rows, last = _timed(edges, orders, block)
     rows = written(_contracted(rows, last), "contracted")
     made = written(rows.groupBy("order_id", "leaf").applyInPandas(_replay, "order_id string, leaf long, t long, until long, size long"), "merges")

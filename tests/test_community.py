@@ -99,3 +99,29 @@ def test_pairs_are_counted_before_they_are_rows(spark, monkeypatch, chunk):
     made.clear()
     assert {(g.i, g.j): round(g.p * 300) for g in cm.coassignment(df, chunk, 0.34).collect()} == {k: n for k, n in want.items() if n >= 102}
     assert made["pairs"].filter("single").count() == made["pairs"].count()
+
+
+def test_attached_nodes_are_drawn_in_blocks():
+    """m different neighbours each, more for older nodes, and a random number call for a block and for each double draw only."""
+    rng, calls = np.random.default_rng(2), []
+
+    class Counted:
+        def random(self, size):
+            calls.append(size)
+            return rng.random(size)
+
+        def integers(self, low, high):
+            calls.append(high)
+            return rng.integers(low, high)
+
+    degree = cm.attached(20_000, 3, Counted())
+    assert degree.sum() == 2 * 3 * (20_000 - 3) and degree[3:].min() == 3 and len(calls) < 300
+    assert degree[:20].mean() > 50 * degree[-2000:].mean() / 3
+    assert [cm.attached(n, 3, rng).tolist() for n in (2, 3, 4)] == [[0, 0], [0, 0, 0], [1, 1, 1, 3]]
+    assert all(sorted(cm.attached(5, 3, rng).tolist()) in ([1, 2, 2, 3, 4], [2, 2, 2, 3, 3]) for _ in range(20))
+
+
+def test_graphs_are_not_put_into_one_task(spark):
+    rows = [(g, k, k + 1) for g in range(20) for k in range(5)]
+    made = cm.null_modularity(spark.createDataFrame(rows, "graph long, src long, dst long"))
+    assert made.rdd.getNumPartitions() > 20 and made.count() == 20

@@ -125,3 +125,18 @@ def test_graphs_are_not_put_into_one_task(spark):
     rows = [(g, k, k + 1) for g in range(20) for k in range(5)]
     made = cm.null_modularity(spark.createDataFrame(rows, "graph long, src long, dst long"))
     assert made.rdd.getNumPartitions() > 20 and made.count() == 20
+
+
+def test_lists_and_arrays_move_nodes_alike(monkeypatch):
+    rng, n = np.random.default_rng(6), 2000
+    key = np.unique(rng.integers(0, n, (3000, 2)) @ np.array([n, 1]))
+    a, b = key // n, key % n
+    a, b, w = a[a < b], b[a < b], rng.integers(1, 4, (a < b).sum()).astype(float)
+    used, few = [], cm._few
+    monkeypatch.setattr(cm, "_few", lambda *args: used.append(1) or few(*args))
+    one = cm.louvain(n, a, b, w, 3)
+    assert used and len(set(one.tolist())) < n
+    monkeypatch.setattr(cm, "LISTED", 0)
+    label = cm.louvain(n, a, b, w, 3)
+    q = [sum(w[x[a] == x[b]]) / w.sum() - ((np.bincount(x[np.append(a, b)], np.append(w, w)) / (2 * w.sum())) ** 2).sum() for x in (one, label)]
+    assert q[0] == pytest.approx(q[1], abs=0.02) and q[0] > 0.7
